@@ -32,7 +32,9 @@ class IngestResult:
     chunks: int
 
 
-def processed_at(moment: datetime | None) -> Column:
+def processed_at(moment: datetime | Column | None) -> Column:
+    if isinstance(moment, Column):
+        return moment
     return F.lit(moment).cast("timestamp") if moment is not None else F.current_timestamp()
 
 
@@ -62,7 +64,7 @@ def documents_from_files(
 
 def load_documents(
     spark: SparkSession, root: str, manifest: DataFrame | None = None, settings: Settings = Settings(),
-    image_text: Callable[[bytes], str] | None = None, moment: datetime | None = None,
+    image_text: Callable[[bytes], str] | None = None, moment: datetime | Column | None = None,
 ) -> DataFrame:
     """Document rows (with ``hash``) of every new or changed file under ``root``.
 
@@ -125,7 +127,7 @@ def _store_documents(
 
 def ingest(
     spark: SparkSession, root: str, store: str, manifest: str, embedder: Embedder = embed_hash,
-    settings: Settings = Settings(), image_text: Callable[[bytes], str] | None = None, moment: datetime | None = None,
+    settings: Settings = Settings(), image_text: Callable[[bytes], str] | None = None, moment: datetime | Column | None = None,
 ) -> IngestResult:
     """Bring the store up to date with the folder: new and changed files only."""
     before = read_manifest(spark, manifest)
@@ -136,7 +138,7 @@ def ingest(
 
 def rebuild(
     spark: SparkSession, root: str, store: str, manifest: str, embedder: Embedder = embed_hash,
-    settings: Settings = Settings(), image_text: Callable[[bytes], str] | None = None, moment: datetime | None = None,
+    settings: Settings = Settings(), image_text: Callable[[bytes], str] | None = None, moment: datetime | Column | None = None,
 ) -> IngestResult:
     """Read everything again and replace store and manifest."""
     nothing = read_manifest(spark, manifest).limit(0)
