@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +20,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions import vectors as V
-from passagemill.session import ensure_checkpoint_dir
+from passagemill.session import ensure_checkpoint_dir, scratch_path
 
 # A block of requests is sent to the tasks only below this size; a larger
 # batch is ranked tile by tile (see ``_grid_candidates``).
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Best-so-far rows a task may hold for one block of requests.
 STATE_ROWS = 2_000_000
-# Requests asking for more than this many hits keep no state in the task.
-STATE_K = 4096
+# Requests asking for more hits than this keep no state in the task.
+STATE_K = 1_000_000
+# Requests asking for more hits than this are ranked by a distributed sort.
+RANK_K = 4096
+# Ranked ids (about 100 bytes each) are broadcast up to this many.
+BROADCAST_HITS = 500_000
 # Cells of one score matrix, and pairs of one exact re-computation.
 SCORE_CELLS = 4_000_000
 EXACT_PAIRS = 65_536
@@ -287,21 +292,27 @@ def knn_batch(
     )
     rows = store.where("embedding is not null").select("chunk_id", "embedding")
     schema = _candidate_schema(requests, store)
-    first = queries.select(F.size("embedding")).first()
-    if first is None:
+    shape = queries.agg(F.max(F.size("embedding")).alias("dim"), F.max("k").alias("most")).first()
+    if shape["dim"] is None:
         return store.sparkSession.createDataFrame([], _ranked_schema(schema))
-    dim = first[0]
+    dim = shape["dim"]
     block_rows = max(1, broadcast_bytes // (8 * max(1, dim)))
+    if shape["most"] <= RANK_K:
+        return rank_hits(_candidates(queries, rows, schema, metric, dim, block_rows, tile_rows))
+    few = _candidates(queries.where(F.col("k") <= RANK_K), rows, schema, metric, dim, block_rows, tile_rows)
+    many = _candidates(queries.where(F.col("k") > RANK_K), rows, schema, metric, dim, block_rows, tile_rows)
+    return rank_hits(few).unionByName(rank_long(many))
+
+
+def _candidates(
+    queries: DataFrame, rows: DataFrame, schema: T.StructType, metric: str, dim: int, block_rows: int, tile_rows: int,
+) -> DataFrame:
     # Reads one row more than may be broadcast, never the whole batch.
     collected = queries.limit(block_rows + 1).toArrow()
-    if len(collected) <= block_rows:
-        candidates = None
-        for block in _state_sized(_as_block(collected, dim)):
-            found = _scan_candidates(block, rows, schema, metric)
-            candidates = found if candidates is None else candidates.unionAll(found)
-    else:
-        candidates = _grid_candidates(queries, rows, schema, metric, dim, block_rows, tile_rows)
-    return rank_hits(candidates)
+    if len(collected) > block_rows:
+        return _grid_candidates(queries, rows, schema, metric, dim, block_rows, tile_rows)
+    scans = [_scan_candidates(block, rows, schema, metric) for block in _state_sized(_as_block(collected, dim))]
+    return reduce(DataFrame.unionAll, scans) if scans else rows.sparkSession.createDataFrame([], schema)
 
 
 def _ranked_schema(schema: T.StructType) -> T.StructType:
@@ -326,6 +337,31 @@ def rank_hits(candidates: DataFrame) -> DataFrame:
     )
 
 
+def rank_long(candidates: DataFrame) -> DataFrame:
+    """``rank_hits`` for requests that want very many rows.
+
+    Rows are range-partitioned over (request, distance, id), so even a single
+    request spreads over all tasks; a row's rank is its place within its
+    partition plus the request's rows in the partitions before.
+    """
+    spark = candidates.sparkSession
+    order = [F.asc("q_id"), F.asc_nulls_last("distance"), F.asc("chunk_id")]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "ranked")
+    # Written out so that the partition numbers stay what they are.
+    candidates.repartitionByRange(tasks, *order).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    placed = spark.read.parquet(path)
+    sizes = placed.groupBy("q_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("q_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("q_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("q_id", "part").orderBy(F.asc_nulls_last("distance"), F.asc("chunk_id"))
+    # Requests times tasks rows.
+    ranked = placed.withColumn("place", F.row_number().over(within)).join(offsets, ["q_id", "part"])
+    return ranked.withColumn("rank", F.col("offset") + F.col("place")).where("rank <= k").select(
+        "q_id", "rank", "chunk_id", "distance"
+    )
+
+
 def knn_topk(query: list[float], store: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """The ``k`` nearest chunks of one vector; a top-n, not a full sort."""
     vector = F.array(*[F.lit(float(x)) for x in query])
@@ -435,7 +471,7 @@ def mmr(
     """
     wanted = requests.where("k > 0 and fetch_k > 0")
     near = fetch_candidates(wanted, store, metric, **options)
-    found = near.join(store.select("chunk_id", "embedding"), "chunk_id")
+    found = join_hits(near, store.select("chunk_id", "embedding"), wanted, "fetch_k")
     asked = wanted.select("q_id", "embedding", "k", "fetch_k", "lambda_mult")
     large = asked.where(F.col("fetch_k") > group_rows)
     rounds = large.agg(F.max(F.least("k", "fetch_k"))).first()[0]
@@ -448,6 +484,17 @@ def mmr(
     return picked if ranked is None else picked.unionByName(ranked)
 
 
-def attach_content(hits: DataFrame, store: DataFrame) -> DataFrame:
+def join_hits(hits: DataFrame, rows: DataFrame, requests: DataFrame, limit_col: str = "k") -> DataFrame:
+    """Join ranked ids with columns of the store.
+
+    There are at most as many hits as the requests asked for in total. Below
+    ``BROADCAST_HITS`` they are broadcast and the store is only scanned; above
+    that both sides are shuffled by id.
+    """
+    most = requests.agg(F.coalesce(F.sum(F.greatest(F.col(limit_col), F.lit(0)).cast("long")), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(hits) if most <= BROADCAST_HITS else hits, "chunk_id")
+
+
+def attach_content(hits: DataFrame, store: DataFrame, requests: DataFrame) -> DataFrame:
     """Text and metadata of ranked ids; only ids and scores were shuffled."""
-    return hits.join(store.drop("embedding"), "chunk_id")
+    return join_hits(hits, store.drop("embedding", "hash"), requests)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.session import path_exists
-from passagemill.sources.manifest import current_version
+from passagemill.sources.manifest import manifest_exists
 from passagemill.sources.store import load_store, store_exists
 
 
@@ -24,7 +24,7 @@ def store_status(spark: SparkSession, store: str, manifest: str, root: str) -> D
     """One row telling which parts of a set-up are in place."""
     loaded = store_exists(spark, store) and load_store(spark, store) is not None
     row = (
-        store_exists(spark, store), loaded, store, current_version(spark, manifest) is not None, manifest,
+        store_exists(spark, store), loaded, store, manifest_exists(spark, manifest), manifest,
         path_exists(spark, root), root,
     )
     return spark.createDataFrame(

@@ -26,7 +26,7 @@ from passagemill.operators.userfuncs import answer, extract_text
 from passagemill.plans import inputs as I
 from passagemill.plans.ingest import document_columns, ingest, load_documents, rebuild
 from passagemill.plans.search import build_prompts, prepare_requests, search
-from passagemill.schemas import DOCUMENTS, STORE
+from passagemill.schemas import DOCUMENTS
 from passagemill.session import scratch_path
 from passagemill.settings import PROMPT_TEMPLATE, Settings
 from passagemill.sources.manifest import read_manifest, write_manifest
@@ -278,7 +278,7 @@ def _question_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     ready = prepare_requests(asked, JOINED)
     store = I.saved_document_store(spark, sf_dir)
     ranked = knn_batch(ready, store, JOINED.metric)
-    return asked, hit_columns(attach_content(ranked, store))
+    return asked, hit_columns(attach_content(ranked, store, ready))
 
 
 def sparse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,9 +402,9 @@ def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "store")
     chunks = I.document_store(spark, sf_dir)
     labelled = I.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path"))
-    create_store(chunks.join(labelled, "path", "left_semi").select(*STORE.names), path)
+    create_store(chunks.join(labelled, "path", "left_semi"), path)
     before = load_store(spark, path)
-    append_store(chunks.join(labelled, "path", "left_anti").select(*STORE.names), path)
+    append_store(chunks.join(labelled, "path", "left_anti"), path)
     after = reload_store(spark, path)
     assert before is not None and after is not None
     return after.select("path", "chunk_no", "chunk_id", "content", "file_size", F.size("embedding").cast("long").alias("dimension"))

@@ -16,12 +16,12 @@ from passagemill.operators.chunking import chunk_recursive
 from passagemill.operators.embedding import embed_hash
 from passagemill.operators.filters import filter_changed, filter_nonblank, filter_size_cap, filter_visible
 from passagemill.operators.userfuncs import extract_text
-from passagemill.schemas import DOCUMENTS, STORE
-from passagemill.session import scratch_path
+from passagemill.schemas import DOCUMENTS
+from passagemill.session import scratch, scratch_path
 from passagemill.settings import Settings
 from passagemill.sources.manifest import read_manifest, write_manifest
 from passagemill.sources.rawfiles import hash_files, list_files, read_bytes, with_file_columns
-from passagemill.sources.store import create_store, store_exists, update_store
+from passagemill.sources.store import as_store, create_store, load_store, store_exists, update_store
 
 Embedder = Callable[[DataFrame], DataFrame]
 
@@ -64,86 +64,97 @@ def documents_from_files(
 
 def load_documents(
     spark: SparkSession, root: str, manifest: DataFrame | None = None, settings: Settings = Settings(),
-    image_text: Callable[[bytes], str] | None = None, moment: datetime | Column | None = None,
+    image_text: Callable[[bytes], str] | None = None, moment: datetime | Column | None = None, work: str | None = None,
 ) -> DataFrame:
     """Document rows (with ``hash``) of every new or changed file under ``root``.
 
     Hidden and over-long files are dropped before a byte is read. With a
     manifest, files are first hashed where they lie and only the changed ones
-    are read into rows; without one every file is read once.
+    are read into rows; without one every file is read once. Paths and hashes
+    are kept in ``work`` for as long as the result is used.
     """
-    found = with_file_columns(list_files(spark, root), settings)
+    work = work or scratch_path(spark, "load")
+    found = with_file_columns(list_files(spark, root, f"{work}/listing"), settings)
     wanted = filter_size_cap(filter_visible(found), settings.max_file_bytes)
-    tables = wanted.where("kind = 'csv'")
+    tables = hash_files(wanted.where("kind = 'csv'"))
     others = wanted.where("kind <> 'csv'")
     if manifest is not None:
-        others = filter_changed(hash_files(others), manifest)
-        hashed_tables = filter_changed(hash_files(tables), manifest)
-        # Both are used more than once below, and are only paths and hashes.
-        folder = scratch_path(spark, "changed-files")
-        others.write.parquet(f"{folder}/others")
-        hashed_tables.write.parquet(f"{folder}/tables")
-        others = spark.read.parquet(f"{folder}/others")
-        hashed_tables = spark.read.parquet(f"{folder}/tables")
-    else:
-        hashed_tables = hash_files(tables)
+        others = _kept(filter_changed(hash_files(others), manifest), f"{work}/others")
+        tables = filter_changed(tables, manifest)
+    tables = _kept(tables, f"{work}/tables")
     at = processed_at(moment)
-    files = with_file_columns(read_bytes(others), settings)
-    documents = documents_from_files(files, at, settings, image_text)
-    cards = csv_cards(hashed_tables, settings.preview_rows)
-    described = with_file_columns(hashed_tables.join(cards, "path"), settings)
+    documents = documents_from_files(with_file_columns(read_bytes(others), settings), at, settings, image_text)
+    if tables.isEmpty():
+        return documents
+    cards = csv_cards(tables, settings.preview_rows)
+    described = with_file_columns(tables.join(cards, "path"), settings)
     return documents.unionByName(document_columns(filter_nonblank(described), at))
 
 
+def _kept(rows: DataFrame, path: str) -> DataFrame:
+    """Rows written once, because they are used more than once."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def chunks_with_vectors(documents: DataFrame, embedder: Embedder = embed_hash, settings: Settings = Settings()) -> DataFrame:
     chunks = chunk_recursive(documents, settings.chunk_size, settings.chunk_overlap, settings.separators)
-    return embedder(chunks).select(*[F.col(f.name).cast(f.dataType) for f in STORE.fields])
+    return as_store(embedder(chunks))
 
 
-def _store_documents(
-    spark: SparkSession, documents: DataFrame, before: DataFrame, store: str, manifest: str,
-    embedder: Embedder, settings: Settings, fresh: bool,
-) -> IngestResult:
-    folder = scratch_path(spark, "ingest")
-    # Documents feed the chunks and the manifest; reading the files again for
-    # the second use could see other bytes than the first.
-    documents.write.parquet(f"{folder}/documents")
-    documents = spark.read.parquet(f"{folder}/documents")
-    n_documents = documents.count()
-    if n_documents == 0:
-        return IngestResult(0, 0)
-    chunks_with_vectors(documents, embedder, settings).write.parquet(f"{folder}/chunks")
-    chunks = spark.read.parquet(f"{folder}/chunks")
-    if fresh or not store_exists(spark, store):
-        create_store(chunks, store)
-    else:
-        update_store(chunks, store, documents)
-    # The manifest comes last: a run that fails before this point is repeated
-    # in full by the next one.
-    processed = documents.select("path", "hash", "processed_at", F.col("file_size").alias("size"))
-    write_manifest(merge_manifest(before, processed), manifest)
-    return IngestResult(n_documents, chunks.count())
+def processed_files(chunks: DataFrame) -> DataFrame:
+    """Manifest rows of chunked documents; each has a first chunk."""
+    return chunks.where("chunk_no = 0").select("path", "hash", "processed_at", F.col("file_size").alias("size"))
 
 
 def ingest(
     spark: SparkSession, root: str, store: str, manifest: str, embedder: Embedder = embed_hash,
-    settings: Settings = Settings(), image_text: Callable[[bytes], str] | None = None, moment: datetime | Column | None = None,
+    settings: Settings = Settings(), image_text: Callable[[bytes], str] | None = None,
+    moment: datetime | Column | None = None,
 ) -> IngestResult:
     """Bring the store up to date with the folder: new and changed files only."""
     before = read_manifest(spark, manifest)
-    known = None if before.isEmpty() else before
-    documents = load_documents(spark, root, known, settings, image_text, moment)
-    return _store_documents(spark, documents, before, store, manifest, embedder, settings, fresh=False)
+    if before.isEmpty() and not store_exists(spark, store):
+        return _build(spark, root, store, manifest, embedder, settings, image_text, moment)
+    with scratch(spark, "ingest") as work:
+        documents = load_documents(spark, root, before, settings, image_text, moment, work)
+        chunks = _kept(chunks_with_vectors(documents, embedder, settings), f"{work}/chunks")
+        result = _counted(chunks)
+        if result.documents:
+            if store_exists(spark, store):
+                update_store(chunks, store)
+            else:
+                create_store(chunks, store)
+            # The manifest comes last: a run that fails before this point is
+            # repeated in full by the next one.
+            write_manifest(merge_manifest(before, processed_files(chunks)), manifest)
+    return result
 
 
 def rebuild(
     spark: SparkSession, root: str, store: str, manifest: str, embedder: Embedder = embed_hash,
-    settings: Settings = Settings(), image_text: Callable[[bytes], str] | None = None, moment: datetime | Column | None = None,
+    settings: Settings = Settings(), image_text: Callable[[bytes], str] | None = None,
+    moment: datetime | Column | None = None,
 ) -> IngestResult:
     """Read everything again and replace store and manifest."""
-    nothing = read_manifest(spark, manifest).limit(0)
-    documents = load_documents(spark, root, None, settings, image_text, moment)
-    result = _store_documents(spark, documents, nothing, store, manifest, embedder, settings, fresh=True)
+    result = _build(spark, root, store, manifest, embedder, settings, image_text, moment)
     if result.documents == 0:
         raise ValueError(f"no documents found under {root}")
     return result
+
+
+def _build(spark, root, store, manifest, embedder, settings, image_text, moment) -> IngestResult:
+    """Files to a new store in one pass over their bytes."""
+    with scratch(spark, "build") as work:
+        documents = load_documents(spark, root, None, settings, image_text, moment, work)
+        if documents.isEmpty():
+            return IngestResult(0, 0)
+        create_store(chunks_with_vectors(documents, embedder, settings), store)
+    chunks = load_store(spark, store)
+    write_manifest(processed_files(chunks), manifest)
+    return _counted(chunks)
+
+
+def _counted(chunks: DataFrame) -> IngestResult:
+    row = chunks.agg(F.count_if(F.col("chunk_no") == 0).alias("documents"), F.count(F.lit(1)).alias("chunks")).first()
+    return IngestResult(row["documents"], row["chunks"])

@@ -14,6 +14,7 @@ from passagemill.schemas import STORE
 from passagemill.session import scratch_path
 from passagemill.settings import Settings
 from passagemill.sources.rawfiles import open_filesystem, with_file_columns
+from passagemill.sources.store import as_store
 
 MOMENT = "2026-01-01 00:00:00"
 VECTOR_DIM = 64
@@ -71,7 +72,7 @@ def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed chunks of all documents with their hashed vectors."""
-    return embed_hash(chunk_fixed(text_documents(spark, sf_dir))).select(*STORE.names)
+    return as_store(embed_hash(chunk_fixed(text_documents(spark, sf_dir))))
 
 
 def saved_document_store(spark: SparkSession, sf_dir: str) -> DataFrame:

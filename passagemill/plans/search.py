@@ -36,8 +36,8 @@ def search(
     ``requests`` has q_id and query and may have k, search_type, fetch_k and
     lambda_mult; what is absent comes from the settings.
     """
-    ranked = rank_requests(prepare_requests(requests, settings, embedder), store, settings)
-    return hit_columns(attach_content(ranked, store))
+    ready = prepare_requests(requests, settings, embedder)
+    return hit_columns(attach_content(rank_requests(ready, store, settings), store, ready))
 
 
 def build_prompts(

@@ -37,7 +37,8 @@ CHUNKS = T.StructType([
 
 EMBEDDING = T.ArrayType(T.FloatType())
 
-STORE = T.StructType(CHUNKS.fields + [T.StructField("embedding", EMBEDDING)])
+# ``hash`` is the hash of the file the chunk was cut from.
+STORE = T.StructType(CHUNKS.fields + [T.StructField("hash", T.StringType()), T.StructField("embedding", EMBEDDING)])
 
 REQUEST_BODY = T.StructType([
     T.StructField("query", T.StringType()),

@@ -1,27 +1,15 @@
-"""The manifest of processed files: versioned Parquet folders.
-
-A version counts once its ``_SUCCESS`` marker exists, which Spark writes when
-the job commits, so a run that dies half-way leaves the previous version in
-place and nothing is overwritten while it is being read.
-"""
+"""The manifest of processed files, one small row per path."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from passagemill.schemas import MANIFEST
-from passagemill.session import child_names, path_exists
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    return sorted(int(name[1:]) for name in child_names(spark, path) if name.startswith("v") and name[1:].isdigit())
+from passagemill.sources.versions import current_version, write_version
 
 
-def current_version(spark: SparkSession, path: str) -> str | None:
-    for number in reversed(_versions(spark, path)):
-        if path_exists(spark, f"{path}/v{number}/_SUCCESS"):
-            return f"{path}/v{number}"
-    return None
+def manifest_exists(spark: SparkSession, path: str) -> bool:
+    return current_version(spark, path) is not None
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -36,8 +24,4 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(manifest: DataFrame, path: str) -> str:
-    spark = manifest.sparkSession
-    number = max(_versions(spark, path), default=0) + 1
-    target = f"{path}/v{number}"
-    manifest.select(*MANIFEST.names).write.parquet(target)
-    return target
+    return write_version(manifest.select(*MANIFEST.names), path)

@@ -63,14 +63,18 @@ def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
             yield pd.DataFrame(rows, columns=["path", "length", "is_dir"])
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every regular file under ``root`` as (path, length)."""
+def list_files(spark: SparkSession, root: str, listing: str | None = None) -> DataFrame:
+    """Every regular file under ``root`` as (path, length).
+
+    The listing is kept in the ``listing`` folder, by default a new one in the
+    shared folder.
+    """
     filesystem, inner = open_filesystem(root)
     empty = spark.createDataFrame([], "path string, length long")
     if filesystem.get_file_info(inner).type != pafs.FileType.Directory:
         log.error("folder %s does not exist", root)
         return empty
-    listing = scratch_path(spark, "listing")
+    listing = listing or scratch_path(spark, "listing")
     frontier = spark.createDataFrame([(root,)], "path string")
     level = 0
     while True:

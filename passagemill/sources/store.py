@@ -1,108 +1,142 @@
 """The vector table: chunks with their embedding, as Parquet.
 
-Rows are laid out in ``bucket`` folders by a hash of their path, so replacing
-the chunks of changed files rewrites only the buckets those files fall into.
+Each write adds one folder below ``data``, laid out in ``bucket`` folders by a
+hash of the chunk's path. A small versioned ``parts`` table names the bucket
+folders that make up the store, so replacing the chunks of changed files
+rewrites only the buckets those files fall into, and readers see the change
+all at once or not at all.
 """
 
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from passagemill.operators.changes import replace_chunks
 from passagemill.schemas import STORE
-from passagemill.session import child_names, path_exists, scratch_path
+from passagemill.session import child_names, delete_path, scratch
+from passagemill.sources.versions import current_version, write_version
 
 log = logging.getLogger(__name__)
 
+# Choose it so that one bucket is a few gigabytes; it is fixed at creation.
 BUCKETS = 64
-# The layout's bucket count is recorded next to the data.
-COUNT_FILE = "_buckets"
+PARTS = "folder string, bucket int, buckets int"
 
 
-def _with_bucket(chunks: DataFrame, buckets: int) -> DataFrame:
-    return chunks.select(*STORE.names, F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int").alias("bucket"))
+def as_store(chunks: DataFrame) -> DataFrame:
+    """Exactly the store's columns; metadata that is absent becomes null."""
+    present = set(chunks.columns)
+    return chunks.select(*[
+        (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name) for f in STORE.fields
+    ])
 
 
-def _write(chunks: DataFrame, path: str, buckets: int, mode: str) -> None:
+def bucket_of(path: str, buckets: int):
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+
+
+def _read_parts(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(folder, bucket, bucket count) rows: buckets times writes, so few."""
+    current = current_version(spark, f"{path}/parts")
+    if current is None:
+        return []
+    return [tuple(row) for row in spark.read.schema(PARTS).parquet(current).collect()]
+
+
+def _write_parts(spark: SparkSession, path: str, parts: list[tuple[str, int, int]]) -> None:
+    write_version(spark.createDataFrame(parts, PARTS).coalesce(1), f"{path}/parts")
+
+
+def _write_data(chunks: DataFrame, path: str, buckets: int) -> list[tuple[str, int, int]]:
+    """Write one data folder and return its parts."""
+    spark = chunks.sparkSession
+    folder = f"w{uuid.uuid4().hex}"
     # Rebalancing groups rows by bucket for few output files, and lets
     # adaptive execution split a bucket that is too large for one task.
-    rows = _with_bucket(chunks, buckets).hint("rebalance", "bucket")
-    rows.write.mode(mode).partitionBy("bucket").option("partitionOverwriteMode", "dynamic" if mode == "overwrite" else "static").parquet(path)
+    rows = as_store(chunks).withColumn("bucket", bucket_of("path", buckets)).hint("rebalance", "bucket")
+    rows.write.partitionBy("bucket").parquet(f"{path}/data/{folder}")
+    names = [name for name in child_names(spark, f"{path}/data/{folder}") if name.startswith("bucket=")]
+    return [(folder, int(name.split("=")[1]), buckets) for name in names]
 
 
-def _bucket_count(spark: SparkSession, path: str) -> int:
-    folder = child_names(spark, f"{path}/{COUNT_FILE}")
-    return int(folder[0]) if folder else BUCKETS
+def _read_data(spark: SparkSession, path: str, parts: list[tuple[str, int, int]]) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], STORE)
+    folders = [f"{path}/data/{folder}/bucket={bucket}" for folder, bucket, _ in parts]
+    return spark.read.schema(STORE).parquet(*folders)
 
 
 def store_exists(spark: SparkSession, path: str) -> bool:
-    return path_exists(spark, f"{path}/_SUCCESS")
+    return current_version(spark, f"{path}/parts") is not None
 
 
 def create_store(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """First write; an earlier store at ``path`` is replaced as a whole."""
-    spark = chunks.sparkSession
-    rows = _with_bucket(chunks, buckets).hint("rebalance", "bucket")
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{COUNT_FILE}/{buckets}")
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(jpath)
+    parts = _write_data(chunks, path, buckets)
+    # An empty store still records its bucket count.
+    _write_parts(chunks.sparkSession, path, parts or [("", -1, buckets)])
 
 
 def append_store(chunks: DataFrame, path: str) -> None:
     """Add chunks to an existing store, leaving older ones as they are."""
-    _write(chunks, path, _bucket_count(chunks.sparkSession, path), "append")
+    spark = chunks.sparkSession
+    parts = _read_parts(spark, path)
+    if not parts:
+        raise FileNotFoundError(f"no store at {path}")
+    _write_parts(spark, path, parts + _write_data(chunks, path, parts[0][2]))
 
 
 def load_store(spark: SparkSession, path: str) -> DataFrame | None:
-    """The store as rows, or None with a warning when there is none."""
-    if not store_exists(spark, path):
+    """The store as it is now, or None with a warning when there is none."""
+    parts = _read_parts(spark, path)
+    if not parts:
         log.warning("no store at %s", path)
         return None
-    schema = T.StructType(STORE.fields + [T.StructField("bucket", T.IntegerType())])
-    return spark.read.schema(schema).parquet(path).drop("bucket")
+    return _read_data(spark, path, [part for part in parts if part[1] >= 0])
 
 
 def reload_store(spark: SparkSession, path: str) -> DataFrame | None:
-    """Open the store again after another writer changed it."""
-    if store_exists(spark, path):
-        spark.catalog.refreshByPath(path)
+    """Open the store again, seeing what other writers added since."""
     return load_store(spark, path)
 
 
 def update_store(new_chunks: DataFrame, path: str, changed_paths: DataFrame | None = None) -> None:
-    """Replace the chunks of changed paths in place, touching their buckets only.
+    """Replace the chunks of changed paths, rewriting only their buckets.
 
-    The new content of the touched buckets is written to the shared folder
-    first, so the final overwrite reads nothing it replaces, can be repeated,
-    and gives the same rows however often it runs.
+    ``changed_paths`` names paths that may have no chunk left; by default the
+    paths of ``new_chunks``. Running it again gives the same rows.
     """
     spark = new_chunks.sparkSession
-    buckets = _bucket_count(spark, path)
-    changed = (new_chunks if changed_paths is None else changed_paths).select("path").distinct()
-    staged = scratch_path(spark, "store-update")
-    _with_bucket(new_chunks, buckets).write.parquet(f"{staged}/new")
-    changed.write.parquet(f"{staged}/changed")
-    new_chunks = spark.read.parquet(f"{staged}/new")
-    changed = spark.read.parquet(f"{staged}/changed")
-    # At most ``buckets`` numbers.
-    touched = [
-        row[0] for row in changed.select(F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")).distinct().collect()
-    ]
-    if not touched:
-        return
-    schema = T.StructType(STORE.fields + [T.StructField("bucket", T.IntegerType())])
-    old = spark.read.schema(schema).parquet(path).where(F.col("bucket").isin(*touched))
-    merged = replace_chunks(old.select(*STORE.names), new_chunks.select(*STORE.names), changed)
-    _with_bucket(merged, buckets).write.parquet(f"{staged}/merged")
-    merged = spark.read.parquet(f"{staged}/merged")
-    _write(merged, path, buckets, "overwrite")
-    # A dynamic overwrite leaves folders alone that receive no row.
-    filled = {row[0] for row in merged.select("bucket").distinct().collect()}
-    for number in set(touched) - filled:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={number}")
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-    spark.catalog.refreshByPath(path)
+    parts = _read_parts(spark, path)
+    if not parts:
+        raise FileNotFoundError(f"no store at {path}")
+    buckets = parts[0][2]
+    with scratch(spark, "store-update") as staged:
+        # Written once because both are read more than once below; reading
+        # them back also gives the optimizer their size.
+        as_store(new_chunks).write.parquet(f"{staged}/new")
+        fresh = spark.read.schema(STORE).parquet(f"{staged}/new")
+        (fresh if changed_paths is None else changed_paths).select("path").distinct().write.parquet(f"{staged}/changed")
+        changed = spark.read.schema("path string").parquet(f"{staged}/changed")
+        # At most ``buckets`` numbers.
+        touched = {row[0] for row in changed.select(bucket_of("path", buckets)).distinct().collect()}
+        if not touched:
+            return
+        old = _read_data(spark, path, [part for part in parts if part[1] in touched])
+        written = _write_data(replace_chunks(old, fresh, changed), path, buckets)
+    kept = [part for part in parts if part[1] not in touched]
+    _write_parts(spark, path, (kept + written) or [("", -1, buckets)])
+
+
+def vacuum_store(spark: SparkSession, path: str) -> list[str]:
+    """Delete data folders the current version does not use; readers of an
+    older version must be done."""
+    used = {folder for folder, _, _ in _read_parts(spark, path)}
+    unused = [name for name in child_names(spark, f"{path}/data") if name not in used]
+    for name in unused:
+        delete_path(spark, f"{path}/data/{name}")
+    return unused
