@@ -13,6 +13,8 @@ WHITESPACE = (
     "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 )
 NON_BLANK = f"[^{WHITESPACE}]"
+# Encodings tried in turn; the last accepts every byte.
+ENCODINGS = ("utf-8", "utf-16", "latin-1")
 OUTER_BLANKS = f"^[{WHITESPACE}]+|[{WHITESPACE}]+\\z"
 
 
@@ -34,19 +36,19 @@ def content_hash(content: Column) -> Column:
     return F.coalesce(F.md5(content), F.lit(""))
 
 
+def decode_bytes(raw: bytes, encodings: tuple[str, ...] = ENCODINGS) -> str:
+    """The first encoding that accepts all bytes (the per-row helper)."""
+    for encoding in encodings:
+        try:
+            return raw.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+    return ""
+
+
 @F.pandas_udf(T.StringType())
 def _decode_fallback(content: pd.Series) -> pd.Series:
-    def decode(raw):
-        if raw is None:
-            return None
-        for encoding in ("utf-16", "latin-1"):
-            try:
-                return bytes(raw).decode(encoding)
-            except UnicodeDecodeError:
-                continue
-        return ""
-
-    return content.map(decode)
+    return content.map(lambda raw: None if raw is None else decode_bytes(bytes(raw), ENCODINGS[1:]))
 
 
 def decode_text(content: Column) -> Column:

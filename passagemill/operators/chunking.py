@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.functions.text import is_nonblank, trim_blanks
 from passagemill.settings import CHUNK_OVERLAP, CHUNK_SIZE, SEPARATORS
 
 
@@ -24,9 +23,12 @@ def _check(size: int, overlap: int) -> None:
 
 def _with_chunks(documents: DataFrame, pieces: Column, text_col: str) -> DataFrame:
     kept = [c for c in documents.columns if c != text_col]
+    # The plain (not outer) form makes the optimizer add a filter on the array
+    # that computes all pieces a second time.
     return (
         documents.withColumn("__pieces", pieces)
-        .select(*kept, F.posexplode("__pieces").alias("chunk_no", text_col))
+        .select(*kept, F.posexplode_outer("__pieces").alias("chunk_no", text_col))
+        .where("chunk_no is not null")
         .withColumn("chunk_no", F.col("chunk_no").cast("long"))
     )
 
@@ -122,8 +124,8 @@ def chunk_recursive(
 ) -> DataFrame:
     """Chunks cut at paragraphs, else lines, else words, else characters.
 
-    Texts that fit one chunk never leave the JVM; of the others only the text
-    itself crosses to Python, not the metadata columns.
+    Only the text crosses to Python and only the chunks come back; metadata
+    stays in the JVM, and nothing is shuffled.
     """
     _check(size, overlap)
     levels = tuple(separators)
@@ -132,9 +134,4 @@ def chunk_recursive(
     def split_batch(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else split_text(t, size, overlap, levels))
 
-    text = F.col(text_col)
-    fits = F.length(text) <= size
-    pieces = F.when(fits, F.when(is_nonblank(text), F.array(trim_blanks(text)))).otherwise(
-        split_batch(F.when(~fits, text))
-    )
-    return chunk_ids(_with_chunks(documents, pieces, text_col), path_col)
+    return chunk_ids(_with_chunks(documents, split_batch(F.col(text_col)), text_col), path_col)

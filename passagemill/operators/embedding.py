@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +19,20 @@ from passagemill.settings import HASH_DIM
 TOKEN = re.compile(r"[^\W_]+")
 
 
-@lru_cache(maxsize=200_000)
-def _token_hash(token: str) -> int:
-    return int(hashlib.md5(token.encode("utf-8"), usedforsecurity=False).hexdigest()[:8], 16)
+class _TokenHashes(dict):
+    """Hash of each token seen by this worker, forgotten when it grows large."""
+
+    LIMIT = 500_000
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        digest = hashlib.md5(token.encode("utf-8"), usedforsecurity=False).digest()
+        value = self[token] = int.from_bytes(digest[:4], "big")
+        return value
+
+
+_TOKEN_HASHES = _TokenHashes()
 
 
 def _as_lists(rows: np.ndarray, valid: np.ndarray) -> pa.Array:
@@ -37,16 +47,16 @@ def token_counts(text: Column, dim: int = HASH_DIM) -> Column:
 
     @F.arrow_udf(EMBEDDING)
     def count_batch(texts: pa.Array) -> pa.Array:
-        rows = np.zeros((len(texts), dim), dtype=np.float32)
-        valid = np.ones(len(texts), dtype=bool)
+        hashes: list[int] = []
+        sizes = np.zeros(len(texts), dtype=np.int64)
         for position, value in enumerate(texts.to_pylist()):
-            if value is None:
-                valid[position] = False
-                continue
-            buckets = [_token_hash(token) % dim for token in TOKEN.findall(value.lower())]
-            if buckets:
-                rows[position] = np.bincount(buckets, minlength=dim)
-        return _as_lists(rows, valid)
+            if value is not None:
+                tokens = TOKEN.findall(value.lower())
+                sizes[position] = len(tokens)
+                hashes.extend(map(_TOKEN_HASHES.__getitem__, tokens))
+        cells = np.repeat(np.arange(len(texts)) * dim, sizes) + np.array(hashes, dtype=np.int64) % dim
+        rows = np.bincount(cells, minlength=len(texts) * dim).astype(np.float32).reshape(len(texts), dim)
+        return _as_lists(rows, texts.is_valid().to_numpy(zero_copy_only=False))
 
     return count_batch(text)
 
@@ -79,7 +89,7 @@ def sparse_terms(df: DataFrame, id_col: str, dim: int = HASH_DIM, text_col: str
     """The non-zero entries of ``token_counts`` as rows (id, dim, tf)."""
     return (
         df.select(id_col, token_counts(F.col(text_col), dim).alias("counts"))
-        .select(id_col, F.posexplode("counts").alias("dim", "tf"))
+        .select(id_col, F.posexplode_outer("counts").alias("dim", "tf"))
         .where("tf > 0")
         .select(id_col, F.col("dim").cast("long").alias("dim"), F.col("tf").cast("long").alias("tf"))
     )

@@ -417,8 +417,8 @@ def _mmr_bounded(asked: DataFrame, found: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "distance", "embedding"))).alias("found")
     )
     picked = gathered.join(asked, "q_id").select(
-        "q_id", "found", F.posexplode(_mmr_positions("embedding", "found.embedding", "k", "lambda_mult")).alias("turn", "pick")
-    )
+        "q_id", "found", F.posexplode_outer(_mmr_positions("embedding", "found.embedding", "k", "lambda_mult")).alias("turn", "pick")
+    ).where("turn is not null")
     chosen = F.col("found")[F.col("pick")]
     return picked.select(
         "q_id", (F.col("turn") + 1).cast("long").alias("rank"), chosen["chunk_id"].alias("chunk_id"),

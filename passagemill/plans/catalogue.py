@@ -96,7 +96,7 @@ def decode_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(F.col("doc_id") % 2 == 0, F.encode(text, "UTF-8")).otherwise(
         F.encode(F.regexp_replace(text, "\n", "\r\n"), "UTF-16")
     )
-    return I.table(spark, sf_dir, "documents").select("doc_id", decode_text(raw).alias("content"))
+    return I.spread_table(spark, sf_dir, "documents").select("doc_id", decode_text(raw).alias("content"))
 
 
 def scan_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,11 +169,11 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embed_hash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse_terms(I.table(spark, sf_dir, "documents"), "doc_id", text_col="text")
+    return sparse_terms(I.spread_table(spark, sf_dir, "documents"), "doc_id", text_col="text")
 
 
 def embed_hash_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unit = embed_hash(I.table(spark, sf_dir, "documents"), text_col="text")
+    unit = embed_hash(I.spread_table(spark, sf_dir, "documents"), text_col="text")
     return unit.select(
         "doc_id",
         F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1_000_000).cast("long").cast("string")), ",").alias("vector"),
@@ -188,14 +188,14 @@ def _load_counter():
 
 
 def embed_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    embedded = embed(I.table(spark, sf_dir, "documents"), _load_counter, 2, text_col="text")
+    embedded = embed(I.spread_table(spark, sf_dir, "documents"), _load_counter, 2, text_col="text")
     return embedded.select(
         "doc_id", F.col("embedding")[0].cast("double").alias("characters"), F.col("embedding")[1].cast("double").alias("vowels")
     )
 
 
 def embed_word2vec_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = I.table(spark, sf_dir, "documents")
+    documents = I.spread_table(spark, sf_dir, "documents")
     model = fit_word2vec(documents, dim=16, text_col="text")
     return embed_word2vec(documents, model, text_col="text").select("doc_id", F.size("embedding").alias("dimension"), "embedding")
 

@@ -9,18 +9,17 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.functions.text import content_hash, decode_text, wrap_content
+from passagemill.functions.text import wrap_content
 from passagemill.operators.cards import csv_cards
 from passagemill.operators.changes import merge_manifest
 from passagemill.operators.chunking import chunk_recursive
 from passagemill.operators.embedding import embed_hash
 from passagemill.operators.filters import filter_changed, filter_nonblank, filter_size_cap, filter_visible
-from passagemill.operators.userfuncs import extract_text
 from passagemill.schemas import DOCUMENTS
 from passagemill.session import scratch, scratch_path
 from passagemill.settings import Settings
 from passagemill.sources.manifest import read_manifest, write_manifest
-from passagemill.sources.rawfiles import hash_files, list_files, read_bytes, with_file_columns
+from passagemill.sources.rawfiles import hash_files, list_files, read_texts, with_file_columns, with_file_names
 from passagemill.sources.store import as_store, create_store, load_store, store_exists, update_store
 
 Embedder = Callable[[DataFrame], DataFrame]
@@ -45,23 +44,6 @@ def document_columns(files: DataFrame, at: Column) -> DataFrame:
     return renamed.select(*DOCUMENTS.names, *extra)
 
 
-def documents_from_files(
-    files: DataFrame, at: Column, settings: Settings = Settings(), image_text: Callable[[bytes], str] | None = None,
-) -> DataFrame:
-    """Files with bytes (path, length, content, kind, ...) -> document rows.
-
-    Table files are described by ``csv_cards`` from their path instead and
-    images need a user function; without one they yield no document.
-    """
-    text = decode_text(F.when(F.col("kind") != "image", F.col("content")))
-    if image_text is not None:
-        image = extract_text(F.when(F.col("kind") == "image", F.col("content")), image_text)
-        text = F.when(F.col("kind") == "image", F.coalesce(image, F.lit(""))).otherwise(text)
-    read = files.withColumn("hash", content_hash(F.col("content"))).withColumn("content", text)
-    wrapped = read.withColumn("content", wrap_content(F.col("content"), F.col("kind"), F.col("file_type")))
-    return document_columns(filter_nonblank(wrapped), at)
-
-
 def load_documents(
     spark: SparkSession, root: str, manifest: DataFrame | None = None, settings: Settings = Settings(),
     image_text: Callable[[bytes], str] | None = None, moment: datetime | Column | None = None, work: str | None = None,
@@ -79,15 +61,20 @@ def load_documents(
     tables = hash_files(wanted.where("kind = 'csv'"))
     others = wanted.where("kind <> 'csv'")
     if manifest is not None:
-        others = _kept(filter_changed(hash_files(others), manifest), f"{work}/others")
+        changed = filter_changed(hash_files(others), manifest).select("path", "length")
+        others = _kept(with_file_columns(changed, settings), f"{work}/others")
         tables = filter_changed(tables, manifest)
     tables = _kept(tables, f"{work}/tables")
     at = processed_at(moment)
-    documents = documents_from_files(with_file_columns(read_bytes(others), settings), at, settings, image_text)
+    # Table files are described from their path; images without a function
+    # for them yield no document.
+    texts = with_file_names(read_texts(others, image_text))
+    wrapped = texts.withColumn("content", wrap_content(F.col("text"), F.col("kind"), F.col("file_type")))
+    documents = document_columns(filter_nonblank(wrapped), at)
     if tables.isEmpty():
         return documents
     cards = csv_cards(tables, settings.preview_rows)
-    described = with_file_columns(tables.join(cards, "path"), settings)
+    described = with_file_names(tables.join(cards, "path"))
     return documents.unionByName(document_columns(filter_nonblank(described), at))
 
 

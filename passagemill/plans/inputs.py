@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from passagemill.operators.chunking import chunk_fixed
 from passagemill.operators.embedding import embed_hash
 from passagemill.schemas import STORE
-from passagemill.session import scratch_path
+from passagemill.session import scratch_path, spread_small
 from passagemill.settings import Settings
 from passagemill.sources.rawfiles import open_filesystem, with_file_columns
 from passagemill.sources.store import as_store
@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table that feeds heavy per-row work."""
+    return spread_small(table(spark, sf_dir, name))
+
+
 def moment():
     return F.to_timestamp(F.lit(MOMENT))
 
@@ -63,7 +68,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as document rows, one path each."""
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_name"),
         F.concat(F.lit("."), "lang").alias("file_type"), F.col("n_chars").alias("file_size"),
         F.col("text").alias("content"), moment().alias("processed_at"),
@@ -90,7 +95,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(
+    return spread_table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("chunk_id"), "embedding",
         F.concat(F.lit("/labels/"), F.col("label").cast("string")).alias("path"),
         F.concat(F.lit("."), F.col("label").cast("string")).alias("file_type"),

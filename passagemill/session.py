@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from functools import lru_cache
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Options that change results or plans; cluster sizing stays with the caller.
 SQL_OPTIONS = {
@@ -46,6 +46,23 @@ def _ship(application: str, spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(shutil.make_archive(str(archive), "zip", package.parent, package.name))
 
 
+# Below this size a table may be dealt out evenly before heavy per-row work.
+SPREAD_BYTES = 1024 * 1024 * 1024
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal a small input out over all tasks; leave a large one as it is.
+
+    A file with a single row group is a single task's work however many cores
+    are free. Moving such an input costs little; an input beyond
+    ``SPREAD_BYTES`` already has enough splits and must not be shuffled.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 

@@ -14,7 +14,7 @@ import hashlib
 import logging
 import math
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyarrow import fs as pafs
@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.functions import paths as P
-from passagemill.functions.text import content_hash
+from passagemill.functions.text import content_hash, decode_bytes
+from passagemill.operators.userfuncs import image_to_text
 from passagemill.schemas import FILES
 from passagemill.session import scratch_path
 
 log = logging.getLogger(__name__)
 
 LISTING = "path string, length long, is_dir boolean"
+TEXTS = "path string, length long, kind string, hash string, text string"
 HASHES = "path string, length long, hash string"
 READ_BLOCK = 8 * 1024 * 1024
 BATCH_BYTES = 32 * 1024 * 1024
@@ -149,6 +151,44 @@ def hash_files(paths: DataFrame) -> DataFrame:
     return _spread(paths.select("path", "length")).mapInPandas(_hash_contents, HASHES)
 
 
+def _read_texts(image_text: Callable[[bytes], str] | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kinds: dict[str, str] = {}
+
+        def paths() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                kinds.update(zip(batch["path"], batch["kind"]))
+                yield batch
+
+        for files in _read_contents(paths()):
+            rows = []
+            for path, length, raw in files.itertuples(index=False):
+                kind = kinds.pop(path)
+                if raw is None:
+                    digest, text = "", ""
+                else:
+                    digest = hashlib.md5(raw, usedforsecurity=False).hexdigest()
+                    if kind == "image":
+                        text = image_to_text(raw, image_text)
+                    else:
+                        text = decode_bytes(raw).replace("\r\n", "\n").replace("\r", "\n")
+                rows.append((path, length, kind, digest, text))
+            yield pd.DataFrame(rows, columns=["path", "length", "kind", "hash", "text"])
+
+    return run
+
+
+def read_texts(paths: DataFrame, image_text: Callable[[bytes], str] | None = None) -> DataFrame:
+    """(path, length, kind) -> the same with ``hash`` and ``text``.
+
+    The task that reads a file also decodes it, so bytes make no round trip.
+    Unreadable files hash to the empty string and have no text; images are
+    read only when there is a function for them.
+    """
+    wanted = paths if image_text is not None else paths.where("kind <> 'image'")
+    return _spread(wanted.select("path", "length", "kind")).mapInPandas(_read_texts(image_text), TEXTS)
+
+
 def scan_files(spark: SparkSession, root: str, mode: str = "complete") -> DataFrame:
     """Every regular file under ``root`` with its bytes and hash.
 
@@ -167,10 +207,11 @@ def scan_files(spark: SparkSession, root: str, mode: str = "complete") -> DataFr
     return found.withColumn("hash", content_hash(F.col("content")))
 
 
+def with_file_names(files: DataFrame) -> DataFrame:
+    """Add file_name and file_type."""
+    return files.withColumn("file_name", P.file_name(F.col("path"))).withColumn("file_type", P.file_ext(F.col("file_name")))
+
+
 def with_file_columns(files: DataFrame, settings) -> DataFrame:
     """Add file_name, file_type and kind."""
-    return (
-        files.withColumn("file_name", P.file_name(F.col("path")))
-        .withColumn("file_type", P.file_ext(F.col("file_name")))
-        .withColumn("kind", P.classify_kind(F.col("file_name"), F.col("file_type"), settings))
-    )
+    return with_file_names(files).withColumn("kind", P.classify_kind(F.col("file_name"), F.col("file_type"), settings))
