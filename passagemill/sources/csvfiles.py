@@ -101,18 +101,18 @@ def _split_stats(spark: SparkSession, paths: list[str], width: int, sep: str) ->
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
     plain = dict(header=True, schema=schema, sep=sep, escape='"')
     lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("uri"), (F.length(F.regexp_replace("value", '[^"]', "")) % 2).alias("odd")
+        _read_from().alias("uri"), (F.length(F.regexp_replace("value", '[^"]', "")) % 2).alias("odd")
     )
     # A line with an odd number of quotes means a quoted line break, and such
     # a file has to be read in order.
     in_order = {row["uri"] for row in lines.where("odd = 1").select("uri").distinct().collect()}
-    uri_of = {path: _as_uri(path) for path in paths}
+    uri_of = {path: _local_form(path) for path in paths}
     groups = [
         ([path for path in paths if uri_of[path] not in in_order], False),
         ([path for path in paths if uri_of[path] in in_order], True),
     ]
     parts = [
-        spark.read.csv(group, multiLine=multi_line, **plain).select(F.col("_metadata.file_path").alias("uri"), *names)
+        spark.read.csv(group, multiLine=multi_line, **plain).select(_read_from().alias("uri"), *names)
         for group, multi_line in groups if group
     ]
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -134,12 +134,14 @@ def _split_stats(spark: SparkSession, paths: list[str], width: int, sep: str) ->
     )
 
 
-def _as_uri(path: str) -> str:
-    if path.startswith("file:"):
-        return "file:///" + path[len("file:"):].lstrip("/")
-    return path if "://" in path else f"file://{path}"
+def _local_form(path: str) -> str:
+    """Local paths without their scheme, however they are spelled."""
+    return "/" + path[len("file:"):].lstrip("/") if path.startswith("file:") else path
 
 
+def _read_from():
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+
 
 def summarise_csv(files: DataFrame, preview_rows: int, sep: str | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(path, length) -> header, first rows, column kinds and row count per file."""
