@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions import vectors as V
-from passagemill.session import ensure_checkpoint_dir, scratch_path
+from passagemill.session import keep
 
 # A block of requests is sent to the tasks only below this size; a larger
 # batch is ranked tile by tile (see ``_grid_candidates``).
@@ -347,10 +347,8 @@ def rank_long(candidates: DataFrame) -> DataFrame:
     spark = candidates.sparkSession
     order = [F.asc("q_id"), F.asc_nulls_last("distance"), F.asc("chunk_id")]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch_path(spark, "ranked")
     # Written out so that the partition numbers stay what they are.
-    candidates.repartitionByRange(tasks, *order).withColumn("part", F.spark_partition_id()).write.parquet(path)
-    placed = spark.read.parquet(path)
+    placed = keep(candidates.repartitionByRange(tasks, *order).withColumn("part", F.spark_partition_id()), "ranked")
     sizes = placed.groupBy("q_id", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("q_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("q_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -432,30 +430,32 @@ def _mmr_rounds(requests: DataFrame, found: DataFrame, rounds: int) -> DataFrame
     Each round picks one row per request with an aggregate that combines on
     the map side; the candidates of a request are never brought together.
     """
-    ensure_checkpoint_dir(requests.sparkSession)
     asked = requests.select("q_id", F.col("embedding").alias("q_vec"), "k", "lambda_mult")
-    state = found.join(asked, "q_id").select(
+    state = keep(found.join(asked, "q_id").select(
         "q_id", "rank", "chunk_id", "distance", "embedding", "k", "lambda_mult",
         F.coalesce(V.cosine(F.col("embedding"), F.col("q_vec")), F.lit(0.0)).alias("relevance"),
         F.lit(None).cast("double").alias("redundancy"),
-    ).checkpoint()
+    ), "mmr-state")
     chosen = None
     for number in range(1, rounds + 1):
         score = F.when(F.col("redundancy").isNull(), F.col("relevance")).otherwise(
             F.col("lambda_mult") * F.col("relevance") - (1 - F.col("lambda_mult")) * F.col("redundancy")
         )
-        best = state.where(F.col("k") >= number).groupBy("q_id").agg(
+        best = keep(state.where(F.col("k") >= number).groupBy("q_id").agg(
             F.max_by(F.struct("chunk_id", "distance", "embedding"), F.struct(score, -F.col("rank"))).alias("best")
-        ).checkpoint()
+        ), "mmr-pick")
         if best.isEmpty():
             break
         picked = best.select("q_id", F.lit(number).cast("long").alias("rank"), "best.chunk_id", "best.distance")
         chosen = picked if chosen is None else chosen.unionAll(picked)
-        state = state.join(best.select("q_id", F.col("best.chunk_id").alias("gone"), F.col("best.embedding").alias("vec")), "q_id")
+        if number == rounds:
+            break
+        # Requests that have all their rows drop out with this join.
+        latest = best.select("q_id", F.col("best.chunk_id").alias("gone"), F.col("best.embedding").alias("vec"))
         similar = F.coalesce(V.cosine(F.col("embedding"), F.col("vec")), F.lit(0.0))
-        state = (
-            state.where("chunk_id <> gone").withColumn("redundancy", F.greatest("redundancy", similar))
-            .drop("gone", "vec").checkpoint()
+        state = keep(
+            state.join(latest, "q_id").where("chunk_id <> gone")
+            .withColumn("redundancy", F.greatest("redundancy", similar)).drop("gone", "vec"), "mmr-state",
         )
     return chosen
 

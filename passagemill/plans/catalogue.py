@@ -27,7 +27,7 @@ from passagemill.plans import inputs as I
 from passagemill.plans.ingest import document_columns, ingest, load_documents, rebuild
 from passagemill.plans.search import build_prompts, prepare_requests, search
 from passagemill.schemas import DOCUMENTS
-from passagemill.session import scratch_path
+from passagemill.session import keep, scratch_path
 from passagemill.settings import PROMPT_TEMPLATE, Settings
 from passagemill.sources.manifest import read_manifest, write_manifest
 from passagemill.sources.rawfiles import list_files, scan_files
@@ -275,7 +275,7 @@ def read_questions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _question_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All user questions and their nearest document chunks."""
     asked = I.questions(spark, sf_dir)
-    ready = prepare_requests(asked, JOINED)
+    ready = keep(prepare_requests(asked, JOINED), "requests")
     store = I.saved_document_store(spark, sf_dir)
     ranked = knn_batch(ready, store, JOINED.metric)
     return asked, hit_columns(attach_content(ranked, store, ready))

@@ -16,7 +16,7 @@ from passagemill.operators.chunking import chunk_recursive
 from passagemill.operators.embedding import embed_hash
 from passagemill.operators.filters import filter_changed, filter_nonblank, filter_size_cap, filter_visible
 from passagemill.schemas import DOCUMENTS
-from passagemill.session import scratch, scratch_path
+from passagemill.session import keep, scratch, scratch_path
 from passagemill.settings import Settings
 from passagemill.sources.manifest import read_manifest, write_manifest
 from passagemill.sources.rawfiles import hash_files, list_files, read_texts, with_file_columns, with_file_names
@@ -62,9 +62,9 @@ def load_documents(
     others = wanted.where("kind <> 'csv'")
     if manifest is not None:
         changed = filter_changed(hash_files(others), manifest).select("path", "length")
-        others = _kept(with_file_columns(changed, settings), f"{work}/others")
+        others = keep(with_file_columns(changed, settings), "others", f"{work}/others")
         tables = filter_changed(tables, manifest)
-    tables = _kept(tables, f"{work}/tables")
+    tables = keep(tables, "tables", f"{work}/tables")
     at = processed_at(moment)
     # Table files are described from their path; images without a function
     # for them yield no document.
@@ -78,12 +78,6 @@ def load_documents(
     return documents.unionByName(document_columns(filter_nonblank(described), at))
 
 
-def _kept(rows: DataFrame, path: str) -> DataFrame:
-    """Rows written once, because they are used more than once."""
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def chunks_with_vectors(documents: DataFrame, embedder: Embedder = embed_hash, settings: Settings = Settings()) -> DataFrame:
     chunks = chunk_recursive(documents, settings.chunk_size, settings.chunk_overlap, settings.separators)
     return as_store(embedder(chunks))
@@ -105,7 +99,7 @@ def ingest(
         return _build(spark, root, store, manifest, embedder, settings, image_text, moment)
     with scratch(spark, "ingest") as work:
         documents = load_documents(spark, root, before, settings, image_text, moment, work)
-        chunks = _kept(chunks_with_vectors(documents, embedder, settings), f"{work}/chunks")
+        chunks = keep(chunks_with_vectors(documents, embedder, settings), "chunks", f"{work}/chunks")
         result = _counted(chunks)
         if result.documents:
             if store_exists(spark, store):

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from passagemill.operators.chunking import chunk_fixed
 from passagemill.operators.embedding import embed_hash
-from passagemill.schemas import STORE
-from passagemill.session import scratch_path, spread_small
+from passagemill.session import keep, scratch_path, spread_small
 from passagemill.settings import Settings
 from passagemill.sources.rawfiles import open_filesystem, with_file_columns
 from passagemill.sources.store import as_store
@@ -82,9 +81,7 @@ def document_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def saved_document_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``document_store`` written once, for plans that read it several times."""
-    path = scratch_path(spark, "document-store")
-    document_store(spark, sf_dir).write.parquet(path)
-    return spark.read.schema(STORE).parquet(path)
+    return keep(document_store(spark, sf_dir), "document-store")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from passagemill.operators.filters import valid_requests, validate_requests
 from passagemill.operators.hits import hit_columns, prompts
 from passagemill.operators.search import attach_content, knn_batch, mmr
 from passagemill.plans.ingest import Embedder
+from passagemill.session import keep
 from passagemill.settings import Settings
 from passagemill.sources.requests import resolve_search_params
 
@@ -36,7 +37,8 @@ def search(
     ``requests`` has q_id and query and may have k, search_type, fetch_k and
     lambda_mult; what is absent comes from the settings.
     """
-    ready = prepare_requests(requests, settings, embedder)
+    # Used for every search type and for the join below, embedded once.
+    ready = keep(prepare_requests(requests, settings, embedder), "requests")
     return hit_columns(attach_content(rank_requests(ready, store, settings), store, ready))
 
 

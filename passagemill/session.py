@@ -86,9 +86,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/passagemill/{label}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+def keep(rows: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write rows to the shared folder once and read them back.
+
+    Cuts the lineage, so rows that are used several times are computed once
+    and survive the loss of executors, and tells the optimizer their size.
+    (``checkpoint`` would compute them twice.)
+    """
+    path = path or scratch_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 @contextmanager
