@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagemill.settings import CELL_JOIN, CODE_HEADING, IMAGE_HEADING, MISSING_CELL, PREVIEW_CHARS, PREVIEW_TAIL
+
 # The characters Python's str.strip() removes.
 WHITESPACE = (
     "\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
@@ -67,27 +69,25 @@ def decode_text(content: Column) -> Column:
 
 def wrap_content(text: Column, kind: Column, extension: Column) -> Column:
     """Prefix source code always and image text only when there is some."""
+    before, after = CODE_HEADING.split("{extension}")
     stripped = trim_blanks(text)
     return (
-        F.when(kind == "code", F.concat(F.lit("Source code file ("), extension, F.lit("):\n"), text))
-        .when(
-            kind == "image",
-            F.when(stripped != "", F.concat(F.lit("OCR extracted text from image:\n"), stripped)).otherwise(""),
-        )
+        F.when(kind == "code", F.concat(F.lit(before), extension, F.lit(after), text))
+        .when(kind == "image", F.when(stripped != "", F.concat(F.lit(IMAGE_HEADING), stripped)).otherwise(""))
         .otherwise(text)
     )
 
 
-def content_preview(text: Column, n: int = 200) -> Column:
-    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
+def content_preview(text: Column, n: int = PREVIEW_CHARS) -> Column:
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(PREVIEW_TAIL))).otherwise(text)
 
 
 def row_to_text(columns: list[str]) -> Column:
     """``name: value`` pairs joined with `` | ``; nulls print ``nan``."""
     return F.concat_ws(
-        " | ",
+        CELL_JOIN,
         *[
-            F.concat(F.lit(f"{name}: "), F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("nan")))
+            F.concat(F.lit(f"{name}: "), F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(MISSING_CELL)))
             for name in columns
         ],
     )

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.functions.text import row_to_text
-from passagemill.settings import PREVIEW_ROWS
+from passagemill.settings import (
+    CARD_COLUMNS, CARD_PREVIEW, CARD_ROW, CARD_ROWS, CARD_TITLE, CELL_JOIN, MISSING_CELL, PREVIEW_ROWS,
+)
 from passagemill.sources.csvfiles import SPLIT_BYTES, summarise_csv
 
 
@@ -26,9 +28,10 @@ def preview_rows(df: DataFrame, order_by, n: int = PREVIEW_ROWS) -> DataFrame:
 
 def table_card(df: DataFrame, name: str, order_by, n: int = PREVIEW_ROWS) -> DataFrame:
     """One row (name, content) describing ``df``: columns, size, first rows."""
+    before, after = CARD_ROW.split("{number}")
     lines = preview_rows(df, order_by, n).select(
         "row_no",
-        F.concat(F.lit("Row "), F.col("row_no").cast("string"), F.lit(": "), row_to_text(df.columns)).alias("line"),
+        F.concat(F.lit(before), F.col("row_no").cast("string"), F.lit(after), row_to_text(df.columns)).alias("line"),
         F.lit(0).cast("long").alias("n_rows"),
     )
     size = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
@@ -38,17 +41,17 @@ def table_card(df: DataFrame, name: str, order_by, n: int = PREVIEW_ROWS) -> Dat
         F.sum("n_rows").alias("n_rows"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("row_no", "line")))), lambda r: r["line"]).alias("lines"),
     )
-    heading = [F.lit(f"CSV File: {name}"), F.lit(f"Columns: {', '.join(df.columns)}")]
+    heading = [F.lit(f"{CARD_TITLE}{name}"), F.lit(f"{CARD_COLUMNS}{', '.join(df.columns)}")]
     content = F.concat_ws(
-        "\n", *heading, F.concat(F.lit("Number of rows: "), F.col("n_rows").cast("string")),
-        F.lit("\nData preview:"), F.col("lines"),
+        "\n", *heading, F.concat(F.lit(CARD_ROWS), F.col("n_rows").cast("string")),
+        F.lit(CARD_PREVIEW), F.col("lines"),
     )
     return both.select(F.lit(name).alias("name"), content.alias("content"))
 
 
 def _cell(value, kind: str) -> str:
     if value is None:
-        return "nan"
+        return MISSING_CELL
     if kind == "int":
         return str(int(value))
     if kind == "float":
@@ -66,14 +69,14 @@ def _render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 cards.append("")
                 continue
             lines = [
-                f"CSV File: {row.path.rsplit('/', 1)[-1]}",
-                f"Columns: {', '.join(row.header)}",
-                f"Number of rows: {row.n_rows}",
-                "\nData preview:",
+                f"{CARD_TITLE}{row.path.rsplit('/', 1)[-1]}",
+                f"{CARD_COLUMNS}{', '.join(row.header)}",
+                f"{CARD_ROWS}{row.n_rows}",
+                CARD_PREVIEW,
             ]
             for number, cells in enumerate(row.preview, 1):
                 shown = [f"{n}: {_cell(c, k)}" for n, c, k in zip(row.header, cells, row.kinds)]
-                lines.append(f"Row {number}: {' | '.join(shown)}")
+                lines.append(CARD_ROW.format(number=number) + CELL_JOIN.join(shown))
             cards.append("\n".join(lines))
         yield pd.DataFrame({"path": batch["path"], "content": cards})
 

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions import vectors as V
+from passagemill.operators.embedding import token_counts
 from passagemill.session import keep
+from passagemill.settings import HASH_DIM
 
 # A block of requests is sent to the tasks only below this size; a larger
 # batch is ranked tile by tile (see ``_grid_candidates``).
@@ -41,6 +43,8 @@ EXACT_PAIRS = 65_536
 MERGE_FANOUT = 32
 # Rows per tile when the request batch is too large to broadcast.
 TILE_ROWS = 500_000
+# Requests (with one vector each) broadcast in a round of distributed MMR.
+MMR_BROADCAST_REQUESTS = 5_000
 # Candidates one task re-ranks at once.
 MMR_GROUP_ROWS = 20_000
 
@@ -360,6 +364,19 @@ def rank_long(candidates: DataFrame) -> DataFrame:
     )
 
 
+def sparse_search(requests: DataFrame, chunks: DataFrame, dim: int = HASH_DIM, **options) -> DataFrame:
+    """Rank by the cosine of hashed term counts.
+
+    ``requests(q_id, query, k)``, ``chunks(chunk_id, content)``. The product
+    over shared terms is taken inside the store scan: joining on the term
+    would pair every request with every chunk that has a common word. Counts
+    are whole numbers, so scores are exact in any order.
+    """
+    asked = requests.select("q_id", "k", token_counts(F.col("query"), dim).alias("embedding"))
+    rows = chunks.select("chunk_id", token_counts(F.col("content"), dim).alias("embedding"))
+    return knn_batch(asked, rows, "cosine", **options)
+
+
 def knn_topk(query: list[float], store: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """The ``k`` nearest chunks of one vector; a top-n, not a full sort."""
     vector = F.array(*[F.lit(float(x)) for x in query])
@@ -424,40 +441,37 @@ def _mmr_bounded(asked: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def _mmr_rounds(requests: DataFrame, found: DataFrame, rounds: int) -> DataFrame:
+def _mmr_rounds(requests: DataFrame, found: DataFrame, rounds: int, n_requests: int) -> DataFrame:
     """Round by round over distributed candidates, for very large ``fetch_k``.
 
     Each round picks one row per request with an aggregate that combines on
-    the map side; the candidates of a request are never brought together.
+    the map side, and brings every other row's redundancy up to date; the
+    candidates of a request are never brought together.
     """
     asked = requests.select("q_id", F.col("embedding").alias("q_vec"), "k", "lambda_mult")
-    state = keep(found.join(asked, "q_id").select(
-        "q_id", "rank", "chunk_id", "distance", "embedding", "k", "lambda_mult",
-        F.coalesce(V.cosine(F.col("embedding"), F.col("q_vec")), F.lit(0.0)).alias("relevance"),
-        F.lit(None).cast("double").alias("redundancy"),
-    ), "mmr-state")
-    chosen = None
+    asked = F.broadcast(asked) if n_requests <= MMR_BROADCAST_REQUESTS else asked
+    relevance = F.coalesce(V.cosine(F.col("embedding"), F.col("q_vec")), F.lit(0.0))
+    columns = ["q_id", "rank", "chunk_id", "distance", "embedding", "k", "lambda_mult", "relevance", "redundancy", "turn"]
+    state = found.join(asked, "q_id").withColumns({
+        "relevance": relevance, "redundancy": F.lit(None).cast("double"), "turn": F.lit(None).cast("long"),
+    }).select(*columns)
     for number in range(1, rounds + 1):
+        state = keep(state, "mmr-state")
         score = F.when(F.col("redundancy").isNull(), F.col("relevance")).otherwise(
             F.col("lambda_mult") * F.col("relevance") - (1 - F.col("lambda_mult")) * F.col("redundancy")
         )
-        best = keep(state.where(F.col("k") >= number).groupBy("q_id").agg(
-            F.max_by(F.struct("chunk_id", "distance", "embedding"), F.struct(score, -F.col("rank"))).alias("best")
-        ), "mmr-pick")
-        if best.isEmpty():
-            break
-        picked = best.select("q_id", F.lit(number).cast("long").alias("rank"), "best.chunk_id", "best.distance")
-        chosen = picked if chosen is None else chosen.unionAll(picked)
-        if number == rounds:
-            break
-        # Requests that have all their rows drop out with this join.
-        latest = best.select("q_id", F.col("best.chunk_id").alias("gone"), F.col("best.embedding").alias("vec"))
+        best = state.where((F.col("k") >= number) & F.col("turn").isNull()).groupBy("q_id").agg(
+            F.max_by(F.struct("chunk_id", "embedding"), F.struct(score, -F.col("rank"))).alias("best")
+        ).select("q_id", F.col("best.chunk_id").alias("taken"), F.col("best.embedding").alias("vec"))
+        best = F.broadcast(best) if n_requests <= MMR_BROADCAST_REQUESTS else best
         similar = F.coalesce(V.cosine(F.col("embedding"), F.col("vec")), F.lit(0.0))
-        state = keep(
-            state.join(latest, "q_id").where("chunk_id <> gone")
-            .withColumn("redundancy", F.greatest("redundancy", similar)).drop("gone", "vec"), "mmr-state",
-        )
-    return chosen
+        # Requests that have all their rows find no partner and stay as they are.
+        state = state.join(best, "q_id", "left").withColumns({
+            "redundancy": F.when(F.col("taken").isNull(), F.col("redundancy")).otherwise(F.greatest("redundancy", similar)),
+            "turn": F.when(F.col("chunk_id") == F.col("taken"), F.lit(number).cast("long")).otherwise(F.col("turn")),
+        }).select(*columns)
+    picked = state.where("turn is not null")
+    return picked.select("q_id", F.col("turn").alias("rank"), "chunk_id", "distance")
 
 
 def mmr(
@@ -474,11 +488,11 @@ def mmr(
     found = join_hits(near, store.select("chunk_id", "embedding"), wanted, "fetch_k")
     asked = wanted.select("q_id", "embedding", "k", "fetch_k", "lambda_mult")
     large = asked.where(F.col("fetch_k") > group_rows)
-    rounds = large.agg(F.max(F.least("k", "fetch_k"))).first()[0]
+    load = large.agg(F.max(F.least("k", "fetch_k")).alias("rounds"), F.count(F.lit(1)).alias("n")).first()
     ranked = None
-    if rounds:
+    if load["n"]:
         asked = asked.where(F.col("fetch_k") <= group_rows)
-        ranked = _mmr_rounds(large, found.join(large.select("q_id"), "q_id", "left_semi"), rounds)
+        ranked = _mmr_rounds(large, found.join(large.select("q_id"), "q_id", "left_semi"), load["rounds"], load["n"])
         found = found.join(asked.select("q_id"), "q_id", "left_semi")
     picked = _mmr_bounded(asked, found)
     return picked if ranked is None else picked.unionByName(ranked)

@@ -20,7 +20,7 @@ from passagemill.operators.filters import (
 from passagemill.operators.hits import (
     collect_sources, files_fetched, hit_columns, hit_counts, prompts, stuff_context, to_answer_record, to_response,
 )
-from passagemill.operators.search import attach_content, knn_batch, knn_topk, mmr
+from passagemill.operators.search import attach_content, knn_batch, knn_topk, mmr, sparse_search
 from passagemill.operators.status import store_info, store_status
 from passagemill.operators.userfuncs import answer, extract_text
 from passagemill.plans import inputs as I
@@ -281,13 +281,9 @@ def _question_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return asked, hit_columns(attach_content(ranked, store, ready))
 
 
-def sparse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashed term counts compared by cosine: an exact sparse dot product."""
-    from passagemill.operators.embedding import token_counts
-
-    asked = I.questions(spark, sf_dir).select("q_id", token_counts(F.col("query")).alias("embedding"), F.lit(10).alias("k"))
-    chunks = chunk_fixed(I.text_documents(spark, sf_dir)).withColumn("embedding", token_counts(F.col("content")))
-    return _distance(knn_batch(asked, chunks, "cosine"))
+def sparse_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = I.questions(spark, sf_dir).withColumn("k", F.lit(10))
+    return _distance(sparse_search(asked, chunk_fixed(I.text_documents(spark, sf_dir))))
 
 
 def question_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -478,7 +474,7 @@ QUERIES = {
     "requests_valid": requests_valid,
     "requests_rejected": requests_rejected,
     "read_questions": read_questions_query,
-    "sparse_search": sparse_search,
+    "sparse_search": sparse_search_query,
     "question_hits": question_hits,
     "hit_counts": hit_counts_query,
     "files_fetched": files_fetched_query,

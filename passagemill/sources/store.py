@@ -55,9 +55,12 @@ def _write_data(chunks: DataFrame, path: str, buckets: int) -> list[tuple[str, i
     """Write one data folder and return its parts."""
     spark = chunks.sparkSession
     folder = f"w{uuid.uuid4().hex}"
-    # Rebalancing groups rows by bucket for few output files, and lets
-    # adaptive execution split a bucket that is too large for one task.
-    rows = as_store(chunks).withColumn("bucket", bucket_of("path", buckets)).hint("rebalance", "bucket")
+    rows = as_store(chunks).withColumn("bucket", bucket_of("path", buckets))
+    if buckets > 1:
+        # Rebalancing groups rows by bucket for few output files, and lets
+        # adaptive execution split a bucket that is too large for one task.
+        # A store of one bucket is written where its rows are.
+        rows = rows.hint("rebalance", "bucket")
     rows.write.partitionBy("bucket").parquet(f"{path}/data/{folder}")
     names = [name for name in child_names(spark, f"{path}/data/{folder}") if name.startswith("bucket=")]
     return [(folder, int(name.split("=")[1]), buckets) for name in names]
