@@ -17,6 +17,7 @@ WHITESPACE = (
 NON_BLANK = f"[^{WHITESPACE}]"
 # Encodings tried in turn; the last accepts every byte.
 ENCODINGS = ("utf-8", "utf-16", "latin-1")
+BYTE_ORDER_MARKS = (b"\xff\xfe", b"\xfe\xff")
 OUTER_BLANKS = f"^[{WHITESPACE}]+|[{WHITESPACE}]+\\z"
 
 
@@ -39,8 +40,13 @@ def content_hash(content: Column) -> Column:
 
 
 def decode_bytes(raw: bytes, encodings: tuple[str, ...] = ENCODINGS) -> str:
-    """The first encoding that accepts all bytes (the per-row helper)."""
+    """The first encoding that accepts all bytes (the per-row helper).
+
+    As when a file is opened as text, UTF-16 needs its byte order mark.
+    """
     for encoding in encodings:
+        if encoding == "utf-16" and not raw.startswith(BYTE_ORDER_MARKS):
+            continue
         try:
             return raw.decode(encoding)
         except UnicodeDecodeError:
@@ -57,8 +63,8 @@ def decode_text(content: Column) -> Column:
     """UTF-8, else UTF-16, else Latin-1, with newlines normalised.
 
     UTF-8 is handled in the JVM. Only bytes that are not UTF-8 are sent to
-    Python, whose UTF-16 rules (byte order mark, native order without one,
-    lone surrogates rejected) the JVM decoders do not follow.
+    Python, whose UTF-16 rules (byte order mark required, odd lengths and lone
+    surrogates rejected) the JVM decoders do not follow.
     """
     as_text = content.cast("string")
     is_utf8 = F.is_valid_utf8(as_text)

@@ -103,7 +103,7 @@ def ingest(
         result = _counted(chunks)
         if result.documents:
             if store_exists(spark, store):
-                update_store(chunks, store)
+                update_store(chunks, store, kept=True)
             else:
                 create_store(chunks, store)
             # The manifest comes last: a run that fails before this point is

@@ -15,6 +15,7 @@ import logging
 import math
 import os
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyarrow import fs as pafs
@@ -32,6 +33,7 @@ log = logging.getLogger(__name__)
 LISTING = "path string, length long, is_dir boolean"
 TEXTS = "path string, length long, kind string, hash string, text string"
 HASHES = "path string, length long, hash string"
+LISTING_ROWS = 10_000
 READ_BLOCK = 8 * 1024 * 1024
 BATCH_BYTES = 32 * 1024 * 1024
 TASK_BYTES = 128 * 1024 * 1024
@@ -50,19 +52,34 @@ def open_filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
+def _entries(folder: str) -> Iterator[tuple[str, int, bool]]:
+    """(name, size, is_dir) of files and folders directly in ``folder``.
+
+    A local folder is read as a stream, however many entries it has; links to
+    folders are not followed.
+    """
+    filesystem, inner = open_filesystem(folder)
+    if isinstance(filesystem, pafs.LocalFileSystem):
+        with os.scandir(inner) as entries:
+            for entry in entries:
+                if entry.is_dir(follow_symlinks=False):
+                    yield entry.name, 0, True
+                elif entry.is_file():
+                    yield entry.name, entry.stat().st_size, False
+        return
+    for info in filesystem.get_file_info(pafs.FileSelector(inner)):
+        if info.type in (pafs.FileType.Directory, pafs.FileType.File):
+            yield info.base_name, info.size or 0, info.type == pafs.FileType.Directory
+
+
 def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for folder in batch["path"]:
-            filesystem, inner = open_filesystem(folder)
-            is_local = isinstance(filesystem, pafs.LocalFileSystem)
-            rows = []
-            for info in filesystem.get_file_info(pafs.FileSelector(inner)):
-                is_dir = info.type == pafs.FileType.Directory
-                if is_dir and is_local and os.path.islink(info.path):
-                    continue
-                if is_dir or info.type == pafs.FileType.File:
-                    rows.append((f"{folder.rstrip('/')}/{info.base_name}", info.size or 0, is_dir))
-            yield pd.DataFrame(rows, columns=["path", "length", "is_dir"])
+            entries = _entries(folder)
+            while rows := list(islice(entries, LISTING_ROWS)):
+                names, sizes, dirs = zip(*rows)
+                paths = [f"{folder.rstrip('/')}/{name}" for name in names]
+                yield pd.DataFrame({"path": paths, "length": sizes, "is_dir": dirs})
 
 
 def list_files(spark: SparkSession, root: str, listing: str | None = None) -> DataFrame:

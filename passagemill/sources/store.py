@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from passagemill.operators.changes import replace_chunks
 from passagemill.schemas import STORE
-from passagemill.session import child_names, delete_path, scratch
+from passagemill.session import child_names, delete_path, keep, scratch
 from passagemill.sources.versions import current_version, write_version
 
 log = logging.getLogger(__name__)
@@ -107,11 +107,14 @@ def reload_store(spark: SparkSession, path: str) -> DataFrame | None:
     return load_store(spark, path)
 
 
-def update_store(new_chunks: DataFrame, path: str, changed_paths: DataFrame | None = None) -> None:
+def update_store(
+    new_chunks: DataFrame, path: str, changed_paths: DataFrame | None = None, kept: bool = False,
+) -> None:
     """Replace the chunks of changed paths, rewriting only their buckets.
 
     ``changed_paths`` names paths that may have no chunk left; by default the
-    paths of ``new_chunks``. Running it again gives the same rows.
+    paths of ``new_chunks``. ``kept`` tells that ``new_chunks`` is a written
+    table already. Running it again gives the same rows.
     """
     spark = new_chunks.sparkSession
     parts = _read_parts(spark, path)
@@ -121,10 +124,9 @@ def update_store(new_chunks: DataFrame, path: str, changed_paths: DataFrame | No
     with scratch(spark, "store-update") as staged:
         # Written once because both are read more than once below; reading
         # them back also gives the optimizer their size.
-        as_store(new_chunks).write.parquet(f"{staged}/new")
-        fresh = spark.read.schema(STORE).parquet(f"{staged}/new")
-        (fresh if changed_paths is None else changed_paths).select("path").distinct().write.parquet(f"{staged}/changed")
-        changed = spark.read.schema("path string").parquet(f"{staged}/changed")
+        fresh = as_store(new_chunks) if kept else keep(as_store(new_chunks), "new", f"{staged}/new")
+        paths = (fresh if changed_paths is None else changed_paths).select("path").distinct()
+        changed = keep(paths, "changed", f"{staged}/changed")
         # At most ``buckets`` numbers.
         touched = {row[0] for row in changed.select(bucket_of("path", buckets)).distinct().collect()}
         if not touched:

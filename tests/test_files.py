@@ -1,10 +1,13 @@
 import hashlib
+import io
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from passagemill.functions.paths import classify_kind, file_ext, file_name, is_visible
-from passagemill.functions.text import content_preview, decode_text, is_nonblank, render_prompt, row_to_text, trim_blanks
+from passagemill.functions.text import content_preview, decode_bytes, decode_text, is_nonblank, render_prompt, row_to_text, trim_blanks
 from passagemill.operators.cards import csv_cards, table_card
 from passagemill.plans.ingest import load_documents
 from passagemill.settings import Settings
@@ -92,7 +95,7 @@ def test_load_documents(spark, tree):
     assert content["x.py"] == "Source code file (.py):\nprint(1)"
     assert content["__init__.py"] == "Source code file (.py):\n"
     assert content["odd.txt"] == "caféx"
-    assert content["even.txt"] == "慣"
+    assert content["even.txt"] == "café"
     assert content["bom.txt"] == "hi"
     assert content["bom8.txt"] == "﻿hi"
     assert content["badsur.txt"] == "\x00ØA\x00"
@@ -136,7 +139,7 @@ def test_decode_column(spark):
     cases = [TREE[n] for n in ("a.md", "odd.txt", "even.txt", "bom.txt", "bom8.txt", "badsur.txt")] + [None, b"", b"a\rb"]
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c binary")
     got = [r[1] for r in rows.select("i", decode_text(F.col("c")).alias("t")).orderBy("i").collect()]
-    assert got == ["hello\nworld", "caféx", "慣", "hi", "﻿hi", "\x00ØA\x00", "", "", "a\nb"]
+    assert got == ["hello\nworld", "caféx", "café", "hi", "﻿hi", "\x00ØA\x00", "", "", "a\nb"]
 
 
 def test_blank_and_trim_follow_python(spark):
@@ -196,3 +199,17 @@ def test_scan_csv_infers_types(spark, tmp_path):
     rows = scan_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
     assert dict(rows.dtypes)["x"] == "int"
     assert {(r["x"], r["y"], r["source_path"].rsplit("/", 1)[-1]) for r in rows.collect()} == {(1, "u", "a.csv"), (2, "w", "b.csv")}
+
+
+@given(st.binary(max_size=12) | st.text(max_size=8).map(lambda t: t.encode("utf-16")) | st.text(max_size=8).map(str.encode))
+@settings(max_examples=300, deadline=None)
+def test_decoding_follows_text_files(raw):
+    def read():
+        for encoding in ("utf-8", "utf-16", "latin-1", "cp1252"):
+            try:
+                return io.TextIOWrapper(io.BytesIO(raw), encoding=encoding).read()
+            except UnicodeDecodeError:
+                continue
+        return ""
+
+    assert decode_bytes(raw).replace("\r\n", "\n").replace("\r", "\n") == read()

@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -198,3 +200,27 @@ def test_ids_of_other_types(spark):
         T.StructField("chunk_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))]))
     got = knn_batch(requests_of(spark, [(1,)], k=3), store).orderBy("rank").collect()
     assert [r["chunk_id"] for r in got] == [3, 7, 5]
+
+
+@given(st.integers(0, 2**31), st.integers(1, 9), st.integers(1, 12), st.sampled_from([0.0, 0.25, 0.5, 1.0]))
+@settings(max_examples=200, deadline=None)
+def test_mmr_helper_properties(seed, k, n, weight):
+    rng = np.random.default_rng(seed)
+    # Few distinct directions, so copies and ties are common.
+    rows = rng.integers(-1, 2, size=(n, 3)).astype(float)
+    query = rng.integers(-1, 2, size=3).astype(float)
+    picks = S._mmr_picks(query, rows, k, weight)
+    assert len(picks) == min(k, n) == len(set(picks))
+    if weight == 1.0:
+        lengths = np.linalg.norm(rows, axis=1) * np.linalg.norm(query)
+        cosines = np.divide(rows @ query, lengths, out=np.zeros(n), where=lengths > 0)
+        chosen = [round(c, 9) for c in cosines[picks]]
+        assert chosen == sorted(chosen, reverse=True)
+
+
+def test_sparse_search_counts_shared_terms(spark):
+    chunks = spark.createDataFrame([("a", "red red blue"), ("b", "blue"), ("c", "green"), ("d", "")], "chunk_id string, content string")
+    asked = spark.createDataFrame([(1, "Red", 4)], "q_id long, query string, k int")
+    got = S.sparse_search(asked, chunks, dim=4096).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in got] == ["a", "b", "c", "d"]
+    assert abs(got[0]["distance"] - (1 - 2 / 5**0.5)) < 1e-12 and got[1]["distance"] == 1.0 and got[3]["distance"] is None
