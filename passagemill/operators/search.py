@@ -81,7 +81,11 @@ def _lengths(rows: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Distances of one block of requests to rows of the store."""
+    """Distances of one block of requests to rows of the store.
+
+    Every metric is written as an inner product to be made large, so that one
+    single-precision matrix product finds the few rows worth an exact look.
+    """
 
     def __init__(self, block: Block, metric: str):
         if metric not in ("l2", "cosine", "dot"):
@@ -89,23 +93,47 @@ class Scorer:
         self.metric = metric
         self.queries = block.vectors.astype(np.float64)
         self.query_lengths = _lengths(self.queries)
+        self.undefined = self._without_direction(self.query_lengths)
+        if metric == "l2":
+            form = np.column_stack([self.queries, np.ones(len(self.queries))])
+        else:
+            form = self._scaled(self.queries, self.query_lengths)
+        form[self.undefined] = 0.0
+        self.form, self.form_lengths = form, _lengths(form)
+        self.single = form.astype(np.float32)
+
+    def _without_direction(self, lengths: np.ndarray) -> np.ndarray:
+        bad = ~np.isfinite(lengths)
+        return bad | (lengths == 0) if self.metric == "cosine" else bad
+
+    def _scaled(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        if self.metric != "cosine":
+            return rows.copy()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return rows / lengths[:, None]
 
     def rough(self, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All distances by matrix product, and the error to allow for."""
-        product = self.queries @ rows.T
-        widest = lengths.max(initial=0.0)
-        if self.metric == "dot":
-            scores, slack = -product, 1e-11 * self.query_lengths * widest
-        elif self.metric == "cosine":
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scores = 1 - product / (self.query_lengths[:, None] * lengths[None, :])
-            slack = np.full(len(self.queries), 1e-11)
+        """Inner products of all pairs and, per request, the error to allow."""
+        bad = self._without_direction(lengths)
+        if self.metric == "l2":
+            form = np.column_stack([rows, -0.5 * lengths**2])
+        else:
+            form = self._scaled(rows, lengths)
+        form[bad] = 0.0
+        widest = _lengths(form).max(initial=0.0)
+        if widest * self.form_lengths.max(initial=0.0) < 1e30:
+            products, unit = self.single @ form.astype(np.float32).T, 1.2e-7
         else:
-            squares = self.query_lengths**2
-            scores = squares[:, None] + (lengths**2)[None, :] - 2 * product
-            slack = 1e-11 * (squares + widest**2)
-        scores[np.isnan(scores)] = np.inf
-        return scores, slack
+            products, unit = self.form @ form.T, 2.3e-16
+        products[:, bad] = -np.inf
+        products[self.undefined] = -np.inf
+        return products, (form.shape[1] + 4) * unit * self.form_lengths * widest
+
+    def product_at(self, distance: np.ndarray) -> np.ndarray:
+        """The inner product that corresponds to a distance."""
+        if self.metric == "l2":
+            return (self.query_lengths**2 - distance) / 2
+        return 1 - distance if self.metric == "cosine" else -distance
 
     def exact(self, q: np.ndarray, rows: np.ndarray, i: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Distances of the pairs (q, i); undefined ones are infinite."""
@@ -141,14 +169,20 @@ class BestRows:
         for start in range(0, len(rows), step):
             part = rows[start:start + step].astype(np.float64)
             lengths = _lengths(part)
-            scores, slack = self.scorer.rough(part, lengths)
-            bound = self.bound
-            if len(part) > self.most and np.isinf(bound).any():
-                bound = np.minimum(bound, np.partition(scores, self.most - 1, axis=1)[:, self.most - 1])
-            q, i = np.nonzero(scores <= (bound + slack)[:, None])
+            products, slack = self.scorer.rough(part, lengths)
+            floor = self.scorer.product_at(self.bound)
+            # Requests that have not seen ``k`` rows yet take the part's own
+            # k-th best as their first bound.
+            unbounded = np.flatnonzero(np.isinf(self.bound) & ~self.scorer.undefined)
+            if len(unbounded) and len(part) > self.most:
+                place = len(part) - self.most
+                own = np.partition(products[unbounded], place, axis=1)[:, place]
+                floor[unbounded] = np.fmax(floor[unbounded], own - slack[unbounded])
+            floor = np.nextafter((floor - slack).astype(products.dtype), -np.inf)
+            q, i = np.divmod(np.flatnonzero(products >= floor[:, None]), len(part))
             self.held.append((q, self.scorer.exact(q, part, i, lengths), ids.take(pa.array(start + i))))
             self.n_held += len(q)
-            if self.n_held > self.limit or np.isinf(self.bound).any():
+            if self.n_held > self.limit or len(unbounded):
                 self.compact()
 
     def compact(self) -> pa.Table:

@@ -118,6 +118,18 @@ def test_zero_vectors_rank_last_under_cosine(spark):
     assert [r["chunk_id"] for r in one] == ["c0001", "c0002", "c0000"] and one[2]["distance"] is None
 
 
+def test_undefined_requests_and_rows_among_others(spark, data, monkeypatch):
+    queries, vectors = data[0].copy(), data[1].copy()
+    queries[3], vectors[7], vectors[11] = 0, 0, np.nan
+    monkeypatch.setattr(S, "SCORE_CELLS", 500)
+    got = ranked(knn_batch(requests_of(spark, queries, k=299), store_of(spark, vectors), "cosine"))
+    assert [row[1:] for row in got[3]] == [(f"c{i:04d}", None) for i in range(299)]
+    assert [row[1] for row in got[0]][-1] == "c0007" and got[0][-1][2] is None
+    clean = np.delete(np.arange(300), [7, 11])
+    want = brute(queries[:1], vectors[clean], 298, "cosine")[0]
+    assert [row[1] for row in got[0]][:298] == [f"c{clean[int(w[1][1:])]:04d}" for w in want]
+
+
 def test_empty_sides(spark):
     store, requests = store_of(spark, [(1, 0)]), requests_of(spark, [(1, 0)])
     assert knn_batch(requests, store.limit(0)).count() == 0
