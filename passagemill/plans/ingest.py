@@ -19,8 +19,12 @@ from passagemill.schemas import DOCUMENTS
 from passagemill.session import keep, scratch, scratch_path
 from passagemill.settings import Settings
 from passagemill.sources.manifest import read_manifest, write_manifest
-from passagemill.sources.rawfiles import hash_files, list_files, read_texts, with_file_columns, with_file_names
-from passagemill.sources.store import as_store, create_store, load_store, store_exists, update_store
+from passagemill.sources.rawfiles import (
+    LISTING, hash_files, list_files, read_texts, with_file_columns, with_file_names,
+)
+from passagemill.sources.store import (
+    as_store, bucket_count, create_store, load_store, store_exists, update_store,
+)
 
 Embedder = Callable[[DataFrame], DataFrame]
 
@@ -130,7 +134,9 @@ def _build(spark, root, store, manifest, embedder, settings, image_text, moment)
         documents = load_documents(spark, root, None, settings, image_text, moment, work)
         if documents.isEmpty():
             return IngestResult(0, 0)
-        create_store(chunks_with_vectors(documents, embedder, settings), store)
+        found = spark.read.schema(LISTING).parquet(f"{work}/listing/level=*")
+        text_bytes = found.agg(F.sum("length")).first()[0]
+        create_store(chunks_with_vectors(documents, embedder, settings), store, bucket_count(text_bytes))
     chunks = load_store(spark, store)
     write_manifest(processed_files(chunks), manifest)
     return _counted(chunks)

@@ -22,8 +22,11 @@ from passagemill.sources.versions import current_version, write_version
 
 log = logging.getLogger(__name__)
 
-# Choose it so that one bucket is a few gigabytes; it is fixed at creation.
-BUCKETS = 64
+# A bucket is the unit of rewriting, so aim for a few gigabytes each; the
+# number is fixed when the store is created.
+BUCKETS = 8
+BUCKET_BYTES = 4 * 1024**3
+MOST_BUCKETS = 8192
 PARTS = "folder string, bucket int, buckets int"
 
 
@@ -35,6 +38,11 @@ def as_store(chunks: DataFrame) -> DataFrame:
     ])
 
 
+def bucket_count(text_bytes: int) -> int:
+    """Buckets for a store of documents of that total size."""
+    return min(MOST_BUCKETS, max(BUCKETS, -(-text_bytes // BUCKET_BYTES)))
+
+
 def bucket_of(path: str, buckets: int):
     return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
 

@@ -7,7 +7,9 @@ from passagemill.operators.filters import filter_changed
 from passagemill.operators.status import store_info, store_status
 from passagemill.schemas import DOCUMENTS, MANIFEST
 from passagemill.sources.manifest import read_manifest, write_manifest
-from passagemill.sources.store import append_store, create_store, store_exists, update_store, vacuum_store
+from passagemill.sources.store import (
+    BUCKET_BYTES, BUCKETS, MOST_BUCKETS, append_store, bucket_count, create_store, store_exists, update_store, vacuum_store,
+)
 from passagemill.streaming.ingest import ingest_stream
 from passagemill.streaming.search import search_stream
 
@@ -74,6 +76,11 @@ def test_store(spark, tmp_path):
     assert (info["vectors"], info["documents"], info["dimension"]) == (len(want), 20, 1)
 
 
+def test_bucket_count_follows_the_data():
+    assert bucket_count(0) == BUCKETS and bucket_count(100 * BUCKET_BYTES - 1) == 100
+    assert bucket_count(10**18) == MOST_BUCKETS
+
+
 def test_store_can_become_empty(spark, tmp_path):
     path = str(tmp_path / "s")
     create_store(chunks_of(spark, [("a", 0, "x")]), path)
