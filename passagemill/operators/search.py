@@ -243,8 +243,13 @@ def _candidate_schema(requests: DataFrame, store: DataFrame) -> T.StructType:
     ])
 
 
+def _with_vector(rows):
+    """A table or batch without the rows whose vector is missing."""
+    return rows.filter(rows.column("embedding").is_valid()) if rows.column("embedding").null_count else rows
+
+
 def _as_block(table: pa.Table, dim: int) -> Block:
-    table = table.combine_chunks()
+    table = _with_vector(table).combine_chunks()
     ids = table["q_id"]
     vectors = table["embedding"]
     return Block(
@@ -267,7 +272,8 @@ def _scan_candidates(block: Block, store: DataFrame, schema: T.StructType, metri
     dim = block.vectors.shape[1]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = ((b.column("chunk_id"), _matrix(b.column("embedding"), dim)) for b in batches)
+        present = map(_with_vector, batches)
+        parts = ((b.column("chunk_id"), _matrix(b.column("embedding"), dim)) for b in present)
         yield from _rank_stream(shared.value, metric, parts)
 
     return store.mapInArrow(scan, schema)
@@ -300,7 +306,7 @@ def _grid_candidates(
     def cell(requests: pa.Table, rows: pa.Table) -> pa.Table:
         found = []
         if len(requests) and len(rows):
-            part = rows.combine_chunks()
+            part = _with_vector(rows).combine_chunks()
             ids, vectors = part["chunk_id"].combine_chunks(), _matrix(part["embedding"].combine_chunks(), dim)
             for block in _state_sized(_as_block(requests, dim)):
                 found.extend(_rank_stream(block, metric, iter([(ids, vectors)])))
@@ -325,17 +331,20 @@ def knn_batch(
     ``requests(q_id, embedding, k)``, ``store(chunk_id, embedding)``; both ids
     are unique. Returns (q_id, rank, chunk_id, distance), ties broken by id.
     """
-    queries = requests.where("k > 0 and embedding is not null").select(
+    # Requests are read several times below, but embedded once.
+    queries = keep(requests.where("k > 0").select(
         "q_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("k").cast("long").alias("k")
-    )
-    rows = store.where("embedding is not null").select("chunk_id", "embedding")
+    ), "requests")
+    # Missing vectors are dropped in the tasks: a filter on the column here
+    # would compute embeddings that come from a function a second time.
+    rows = store.select("chunk_id", "embedding")
     schema = _candidate_schema(requests, store)
-    shape = queries.agg(F.max(F.size("embedding")).alias("dim"), F.max("k").alias("most")).first()
-    if shape["dim"] is None:
+    one = queries.where("embedding is not null").select(F.size("embedding")).first()
+    if one is None:
         return store.sparkSession.createDataFrame([], _ranked_schema(schema))
-    dim = shape["dim"]
+    dim = one[0]
     block_rows = max(1, broadcast_bytes // (8 * max(1, dim)))
-    if shape["most"] <= RANK_K:
+    if queries.agg(F.max("k")).first()[0] <= RANK_K:
         return rank_hits(_candidates(queries, rows, schema, metric, dim, block_rows, tile_rows))
     few = _candidates(queries.where(F.col("k") <= RANK_K), rows, schema, metric, dim, block_rows, tile_rows)
     many = _candidates(queries.where(F.col("k") > RANK_K), rows, schema, metric, dim, block_rows, tile_rows)

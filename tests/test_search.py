@@ -138,6 +138,17 @@ def test_empty_sides(spark):
     assert mmr(requests.limit(0), store).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 32}])
+def test_missing_vectors_take_no_part(spark, options):
+    store = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 1.0])], STORE)
+    asked = spark.createDataFrame([(n, None if n == 1 else [1.0, 0.0], 5, 5, 0.5) for n in range(4)], ASKED)
+    got = ranked(knn_batch(asked, store, **options))
+    assert set(got) == {0, 2, 3} and [row[1] for row in got[2]] == ["a", "c"]
+    assert knn_batch(asked, store.where("embedding is null"), **options).count() == 0
+    assert knn_batch(asked.where("embedding is null"), store, **options).count() == 0
+    assert set(ranked(mmr(asked, store, **options))) == {0, 2, 3}
+
+
 def test_wrong_dimension_and_metric_fail(spark):
     with pytest.raises(Exception, match="2 entries"):
         knn_batch(requests_of(spark, [(1, 0)]), store_of(spark, [(1, 0, 0)])).collect()
