@@ -344,6 +344,7 @@ def answers_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, hits = _question_hits(spark, sf_dir)
+    hits = keep(hits, "hits")
     answered = answer(prompts(asked, hits), _load_echo)
     return _flat_sources(to_answer_record(answered, hits))
 

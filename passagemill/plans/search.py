@@ -46,6 +46,7 @@ def build_prompts(
     requests: DataFrame, store: DataFrame, settings: Settings = Settings(), embedder: Embedder = embed_hash,
 ) -> tuple[DataFrame, DataFrame]:
     """(prompts, hits): one finished prompt per valid request, and its passages."""
-    hits = search(requests, store, settings, embedder)
+    # Small beside the store, and needed for prompts and sources alike.
+    hits = keep(search(requests, store, settings, embedder), "hits")
     asked = valid_requests(validate_requests(requests))
     return prompts(asked, hits, settings.prompt_template), hits
