@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
@@ -32,20 +32,24 @@ def build_session(app_name: str = "passagemill", master: str | None = None, **op
     return ship_package(builder.getOrCreate())
 
 
+_SHIPPED: set[str] = set()
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
     """Send this package to the executors, once per application."""
-    _ship(spark.sparkContext.applicationId, spark)
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        # Spark serves the archive from the driver; only the driver reads this file.
+        archive = Path(tempfile.mkdtemp(prefix="passagemill-")) / f"passagemill-{uuid.uuid4().hex}.zip"
+        with zipfile.ZipFile(archive, "w") as target:
+            for module in sorted(package.rglob("*.py")):
+                target.write(module, module.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _SHIPPED.add(application)
     return spark
 
 
-@lru_cache(maxsize=1)
-def _ship(application: str, spark: SparkSession) -> None:
-    package = Path(__file__).resolve().parent
-    # Spark serves the archive from the driver; only the driver reads this file.
-    archive = Path(tempfile.mkdtemp(prefix="passagemill-")) / "passagemill"
-    spark.sparkContext.addPyFile(shutil.make_archive(str(archive), "zip", package.parent, package.name))
-
-
 # Below this size a table may be dealt out evenly before heavy per-row work.
 SPREAD_BYTES = 1024 * 1024 * 1024
 

@@ -88,6 +88,9 @@ def list_files(spark: SparkSession, root: str, listing: str | None = None) -> Da
     The listing is kept in the ``listing`` folder, by default a new one in the
     shared folder.
     """
+    if ":" not in root:
+        # Tasks do not share the driver's working directory.
+        root = os.path.abspath(root)
     filesystem, inner = open_filesystem(root)
     empty = spark.createDataFrame([], "path string, length long")
     if filesystem.get_file_info(inner).type != pafs.FileType.Directory:
