@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from passagemill.llm import linededup
 from passagemill.llm.common import table
 from passagemill.llm.linededup import op3_line_dedup
 from passagemill.llm.simhash import near_duplicates
+from passagemill.llm.substrings import dedup_passages
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -15,9 +17,16 @@ def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Words of every document that stay when repeated passages go."""
+    return dedup_passages(table(spark, sf_dir, "documents")) \
+        .select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLES = {
