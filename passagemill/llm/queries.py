@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from passagemill.llm import linededup
 from passagemill.llm.common import table
 from passagemill.llm.linededup import op3_line_dedup
+from passagemill.llm.packing import op4_best_fit_packing
 from passagemill.llm.secrets import op6_secret_scan
 from passagemill.llm.simhash import near_duplicates
 from passagemill.llm.substrings import dedup_passages
@@ -27,6 +28,7 @@ def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op6_secret_scan": op6_secret_scan,
     "op9_substring_dedup": op9_substring_dedup,
 }
