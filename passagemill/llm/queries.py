@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from passagemill.llm import linededup
 from passagemill.llm.common import table
 from passagemill.llm.linededup import op3_line_dedup
+from passagemill.llm.fingerprints import op8_document_fingerprints
 from passagemill.llm.htmltext import op5_html_extraction
 from passagemill.llm.packing import op4_best_fit_packing
 from passagemill.llm.secrets import op6_secret_scan
@@ -32,6 +33,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_html_extraction": op5_html_extraction,
     "op6_secret_scan": op6_secret_scan,
+    "op8_document_fingerprints": op8_document_fingerprints,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
