@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from passagemill.llm import linededup
 from passagemill.llm.common import table
 from passagemill.llm.linededup import op3_line_dedup
+from passagemill.llm.decontaminate import op2_benchmark_decontamination
 from passagemill.llm.fingerprints import op8_document_fingerprints
 from passagemill.llm.htmltext import op5_html_extraction
 from passagemill.llm.packing import op4_best_fit_packing
@@ -29,6 +30,7 @@ def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_html_extraction": op5_html_extraction,
