@@ -277,11 +277,16 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, leaves: int = GROUP_LE
 
     def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob in batch.column(0):
-                ids = np.unique(unpack([blob.as_py()])[0])
-                yield pa.RecordBatch.from_arrays([pa.array([None if x == NULL_ID else x for x in ids.tolist()], pa.int64())], ["doc_id"])
+            some = [np.unique(unpack([blob.as_py()])[0]) for blob in batch.column(1)]
+            packed = [pack(ids, np.zeros(len(ids), np.uint64)) for ids in some]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["bucket", "ids"])
 
-    ids = keep(found.select("windows").mapInArrow(owners, "doc_id long").distinct(), "owners")
+    def distinct(bucket: pa.Table) -> pa.Table:
+        ids = np.unique(unpack(x.as_py() for x in bucket.column("ids"))[0])
+        return pa.table({"doc_id": pa.array([None if x == NULL_ID else x for x in ids.tolist()], pa.int64())})
+
+    ids = found.mapInArrow(owners, "bucket long, ids binary").groupBy("bucket").applyInArrow(distinct, "doc_id long")
+    ids = keep(ids, "owners")
     hit, rest = split_by_ids(rows, ids, "doc_id")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
