@@ -47,57 +47,43 @@ UNIT_WORDS = frozenset(
     "ml l litre litres liter liters gallon gallons pint pints cup cups second seconds sec minute minutes min hour hours h hr hrs day days week "
     "weeks month months year years cent cents dollar dollars euro euros percent degree degrees watt watts volt volts amp amps joule joules "
     "calorie calories newton newtons mph kmh bit bits byte bytes kb mb gb tb".split())
+ENDS = frozenset(".!?:;")
 SKIP, LITERAL, NUMBER_KIND, UNIT, TITLE, MEASURE_KIND = range(6)
 PLACEHOLDERS = {k: np.uint64(xxhash.xxh64_intdigest(f"<{k}>")) for k in ("number", "unit", "name", "measure")}
 
 
-class Tokens:
-    """What words are, remembered for the words of late."""
+class Tokens(dict):
+    """What words are, remembered for the words of late: a hash of the folded
+    word, whose lowest bits give way to its kind and whether it ends a sentence."""
 
-    SIZE = 400_000
+    SIZE = 300_000
 
-    def __init__(self):
-        self.at: dict[str, int] = {}
-        self.hash, self.kind, self.ends = np.zeros(self.SIZE, np.uint64), np.zeros(self.SIZE, np.int8), np.zeros(self.SIZE, bool)
-
-    def _add(self, word: str) -> int:
-        core = word.strip(EDGES)
+    def __missing__(self, word: str) -> int:
+        plain = word.isalpha()
+        core = word if plain else word.strip(EDGES)
         low = core.lower()
-        n = self.at[word] = len(self.at)
         if not core:
             kind = SKIP
-        elif low in NUMBER_WORDS or NUMBER.fullmatch(core):
+        elif low in NUMBER_WORDS or not plain and NUMBER.fullmatch(core):
             kind = NUMBER_KIND
-        elif MEASURE.fullmatch(low):
+        elif not plain and MEASURE.fullmatch(low):
             kind = MEASURE_KIND
         elif low in UNIT_WORDS:
             kind = UNIT
         else:
             kind = TITLE if len(core) > 1 and core[0].isupper() and core[1:].islower() else LITERAL
-        self.hash[n], self.kind[n], self.ends[n] = xxhash.xxh64_intdigest(low), kind, word.rstrip("\"'”’»)")[-1:] in tuple(".!?:;")
-        return n
+        ends = not plain and word.rstrip("\"'”’»)")[-1:] in ENDS
+        value = self[word] = xxhash.xxh64_intdigest(low) & ~15 | kind | ends << 3
+        return value
 
     def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token: its hash in the template, its own hash, whether it is a slot."""
-        if len(self.at) > self.SIZE // 2:
-            self.at.clear()
+        if len(self) > self.SIZE:
+            self.clear()
         lines = [words for line in text.split("\n") if (words := line.split())]
         words = [w for line in lines for w in line]
-        if len(words) + len(self.at) > self.SIZE:
-            return self._large(words, lines)
-        find = self.at
-        index = np.fromiter((find[w] if w in find else self._add(w) for w in words), np.int64, len(words))
-        return self._resolve(self.hash[index], self.kind[index], self.ends[index], lines)
-
-    def _large(self, words: list[str], lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A text with more words than are remembered."""
-        parts = []
-        for start in range(0, len(words), self.SIZE // 2):
-            self.at.clear()
-            some = words[start:start + self.SIZE // 2]
-            index = np.fromiter((self.at[w] if w in self.at else self._add(w) for w in some), np.int64, len(some))
-            parts.append((self.hash[index], self.kind[index], self.ends[index]))
-        return self._resolve(*(np.concatenate(x) for x in zip(*parts)), lines)
+        found = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return self._resolve(found & np.uint64(~15 & (1 << 64) - 1), found & np.uint64(7), (found & np.uint64(8)) > 0, lines)
 
     @staticmethod
     def _resolve(own, kind, ends, lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
