@@ -12,6 +12,7 @@ from passagemill.llm.decontaminate import op2_benchmark_decontamination
 from passagemill.llm.fingerprints import op8_document_fingerprints
 from passagemill.llm.htmltext import op5_html_extraction
 from passagemill.llm.packing import op4_best_fit_packing
+from passagemill.llm.quality import op7_quality_classifier
 from passagemill.llm.secrets import op6_secret_scan
 from passagemill.llm.simhash import near_duplicates
 from passagemill.llm.substrings import dedup_passages
@@ -35,6 +36,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_html_extraction": op5_html_extraction,
     "op6_secret_scan": op6_secret_scan,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_substring_dedup": op9_substring_dedup,
 }
