@@ -16,6 +16,7 @@ from passagemill.llm.quality import op7_quality_classifier
 from passagemill.llm.secrets import op6_secret_scan
 from passagemill.llm.simhash import near_duplicates
 from passagemill.llm.substrings import dedup_passages
+from passagemill.llm.toxicity import op10_toxicity
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -39,6 +40,7 @@ QUERIES = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
