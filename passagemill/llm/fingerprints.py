@@ -145,7 +145,9 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     once = rows.dropDuplicates(["k", "th"]) if repeated else rows
     after = keep(_followers(keys), "followers")
     begins = after.select(F.col("k").alias("owner"), "half", "next_k", "next_th")
-    begins = once.join(begins, (F.col("k") == F.col("next_k")) & (F.col("th") == F.col("next_th"))) \
+    # Both joins are dealt by k alone, so that one shuffle of the texts serves both.
+    this = F.least("th", "next_th") == F.greatest("th", "next_th")
+    begins = once.join(begins, (F.col("k") == F.col("next_k")) & this) \
         .select(F.col("owner").alias("k"), F.substring("text", F.lit(1), F.col("half")).alias("begin"))
     both = once.join(begins, "k")
     n = F.length("text")
