@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.llm.common import table
+from passagemill.llm.decontaminate import drop_leaks
 from passagemill.llm.linededup import dedup_lines
+from passagemill.llm.packing import pack
+from passagemill.llm.quality import keep_good
 from passagemill.llm.simhash import drop_near_duplicates
 from passagemill.session import keep, ship_package
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated three-line windows go; a text that loses all its lines goes whole."""
     done = dedup_lines(docs).where("n_removed = 0 OR text <> ''")
-    return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +31,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs)
 
 
-STAGES = [("line dedup", line_dedup), ("SimHash near-dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with its own or other parameters, go."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What stays is tokenised, cut and packed into sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination), ("best-fit packing", packing),
+]
 
-# The classifier and the packing have no SQL form.
+# The classifier and the tokens have no SQL form.
 ORACLE_SQL = None
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import table
+from passagemill.llm.common import split_by_ids, table
 from passagemill.llm.substrings import rolling
 from passagemill.session import keep
 
@@ -208,6 +208,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataFra
         "doc_id", "item_id", "b.item_tokens", "b.matched_tokens", "b.n_slots", (-F.col("b.same")).alias("n_changed"))
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id holds no benchmark item, with all columns."""
+    leaked = keep(find_leaks(docs, benchmark).select("doc_id").distinct(), "leaked")
+    return split_by_ids(docs, leaked, "doc_id")[1]
+
+
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, verbatim or with other parameters."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
