@@ -42,7 +42,8 @@ def _id() -> Column:
 def dedup_lines(docs: DataFrame, width: int = WINDOW_LINES) -> DataFrame:
     """``docs`` (doc_id, text, any others) with text deduplicated, and n_lines, n_removed.
 
-    A null text stays null with zero lines; an empty text is one empty line. A
+    Columns named n_lines or n_removed are replaced; names that begin with two
+    underscores are this function's own. A null text stays null with zero lines; an empty text is one empty line. A
     text all of whose lines go becomes empty. A null doc_id sorts before all
     others. Rows that repeat both doc_id and text are one occurrence.
     """
@@ -53,17 +54,18 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW_LINES) -> DataFrame:
     starts = keep(later.groupBy("id").agg(F.array_sort(F.collect_set("at")).alias("starts")), "starts")
     docs = docs.withColumn("__key", F.xxhash64(_id()))
     hit, rest = split_by_ids(docs, keep(starts.select(F.xxhash64("id").alias("__key")).distinct(), "touched"), "__key")
-    starts = starts.select(F.xxhash64("id").alias("__key"), "starts", F.col("id").alias("__who"))
-    hit = hit.join(starts, (hit["__key"] == starts["__key"]) & _id().eqNullSafe(F.col("__who")), "left").drop("__who").drop(starts["__key"])
+    starts = starts.select(F.xxhash64("id").alias("__other"), F.col("starts").alias("__starts"), F.col("id").alias("__who"))
+    hit = hit.join(starts, (F.col("__key") == F.col("__other")) & _id().eqNullSafe(F.col("__who")), "left")
     # Between a removed window's end and the next one's start lie the lines that stay.
     n = F.size(F.split("text", "\n", -1))
-    gaps = F.zip_with(F.concat(F.array(F.lit(-width)), F.col("starts")), F.concat(F.col("starts"), F.array(n)),
+    gaps = F.zip_with(F.concat(F.array(F.lit(-width)), F.col("__starts")), F.concat(F.col("__starts"), F.array(n)),
                       lambda a, b: F.struct((a + width).alias("from"), (b - a - width).alias("many")))
-    kept = F.flatten(F.transform(F.filter(gaps, lambda g: g["many"] > 0), lambda g: F.slice("lines", g["from"] + 1, g["many"])))
-    hit = hit.withColumn("lines", F.split("text", "\n", -1)).withColumn("kept", F.when(F.col("starts").isNull(), F.col("lines")).otherwise(kept))
+    kept = F.flatten(F.transform(F.filter(gaps, lambda g: g["many"] > 0), lambda g: F.slice("__lines", g["from"] + 1, g["many"])))
+    hit = hit.withColumn("__lines", F.split("text", "\n", -1)) \
+        .withColumn("__kept", F.when(F.col("__starts").isNull(), F.col("__lines")).otherwise(kept))
     hit = hit.withColumns({
-        "text": F.array_join("kept", "\n"), "n_lines": F.size("lines").cast("long"),
-        "n_removed": (F.size("lines") - F.size("kept")).cast("long")}).drop("lines", "kept", "starts")
+        "text": F.array_join("__kept", "\n"), "n_lines": F.size("__lines").cast("long"),
+        "n_removed": (F.size("__lines") - F.size("__kept")).cast("long")}).drop("__lines", "__kept", "__starts", "__who", "__other")
     rest = rest.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n).cast("long"), "n_removed": F.lit(0).cast("long")})
     return hit.unionByName(rest).drop("__key")
 
