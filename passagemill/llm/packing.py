@@ -23,6 +23,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -62,12 +63,28 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        self.model = self.encoder.model
+        # How a byte-level vocabulary writes bytes: printable ones as they are, others from U+0100 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.bytes = {b: 256 + n for n, b in enumerate(others)}
         self.pieces: dict[bytes, bytes] = {}
 
     def encode(self, words: list[bytes]) -> None:
-        found = self.encoder.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for word, e in zip(words, found):
-            self.pieces[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        """Words of letters in lower case are one piece of the vocabulary's model, so
+        that they can go to it directly; others take the tokenizer's whole way."""
+        rest = []
+        for word in words:
+            text = word.decode()
+            if text.isalpha() and text == text.lower() and (word.isascii() or is_normalized("NFC", text)):
+                ids = [t.id for t in self.model.tokenize(text if word.isascii() else word.decode("latin-1").translate(self.bytes))]
+                self.pieces[word] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(word)
+        if rest:
+            found = self.encoder.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+            for word, e in zip(rest, found):
+                self.pieces[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     @staticmethod
     def parts(word: bytes) -> tuple[bytes, bytes]:
@@ -77,10 +94,10 @@ class WordIds(dict):
         return stem.lower() if stem.isascii() and b"|" not in stem else stem, word[len(stem):]
 
     def of(self, words: list[bytes]) -> bytes:
-        if len(self) > 300_000 or len(self.pieces) > 300_000:
+        if len(self) > 500_000:
             self.clear()
             self.pieces.clear()
-        new = set(words).difference(self)
+        new = [w for w in set(words) if w not in self]
         if new:
             split = {w: self.parts(w) for w in new}
             missing = {p for parts in split.values() for p in parts if p and p not in self.pieces}
