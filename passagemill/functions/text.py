@@ -100,7 +100,10 @@ def row_to_text(columns: list[str]) -> Column:
 
 
 def render_prompt(context: Column, question: Column, template: str) -> Column:
-    """Fill ``{context}`` and ``{question}``; other braces stay as they are."""
-    before, rest = template.split("{context}", 1)
-    middle, after = rest.split("{question}", 1)
-    return F.concat(F.lit(before), context, F.lit(middle), question, F.lit(after))
+    """Fill the first ``{context}`` and ``{question}``; other braces stay as they are."""
+    slots = sorted((template.index(name), name, column) for name, column in (("{context}", context), ("{question}", question)))
+    parts, at = [], 0
+    for start, name, column in slots:
+        parts += [F.lit(template[at:start]), column]
+        at = start + len(name)
+    return F.concat(*parts, F.lit(template[at:]))

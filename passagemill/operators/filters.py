@@ -29,15 +29,21 @@ def filter_changed(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def validate_requests(requests: DataFrame, text_col: str = "query") -> DataFrame:
-    """Add ``status`` (valid / rejected) and ``reason`` and trim the text."""
+    """Add ``status`` (valid / rejected) and ``reason`` and trim the text.
+
+    A ``problem`` that ``parse_requests`` found is a reason, too.
+    """
     text = trim_blanks(F.col(text_col))
     reason = F.when(F.col(text_col).isNull(), F.concat(F.lit("missing "), F.lit(text_col))).when(
         text == "", F.concat(F.lit("empty "), F.lit(text_col))
     )
+    if "problem" in requests.columns:
+        reason = F.coalesce(reason, F.col("problem"))
     return (
         requests.withColumn("reason", reason)
         .withColumn(text_col, text)
         .withColumn("status", F.when(F.col("reason").isNull(), "valid").otherwise("rejected"))
+        .drop("problem")
     )
 
 

@@ -24,6 +24,9 @@ from passagemill.operators.embedding import token_counts
 from passagemill.session import keep
 from passagemill.settings import HASH_DIM
 
+# More than any store holds: a request for more gets everything, and sums of
+# counts stay in 64 bits.
+MOST_HITS = 1 << 40
 # A block of requests is sent to the tasks only below this size; a larger
 # batch is ranked tile by tile (see ``_grid_candidates``).
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -333,7 +336,7 @@ def knn_batch(
     """
     # Requests are read several times below, but embedded once.
     queries = keep(requests.where("k > 0").select(
-        "q_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("k").cast("long").alias("k")
+        "q_id", F.col("embedding").cast("array<double>").alias("embedding"), F.least(F.col("k").cast("long"), F.lit(MOST_HITS)).alias("k")
     ), "requests")
     # Missing vectors are dropped in the tasks: a filter on the column here
     # would compute embeddings that come from a function a second time.
@@ -535,7 +538,10 @@ def mmr(
     ranked = None
     if load["n"]:
         asked = asked.where(F.col("fetch_k") <= group_rows)
-        ranked = _mmr_rounds(large, found.join(large.select("q_id"), "q_id", "left_semi"), load["rounds"], load["n"])
+        many = found.join(large.select("q_id"), "q_id", "left_semi")
+        # A request asks for more rounds than it has candidates only to get them all.
+        most = near.groupBy("q_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+        ranked = _mmr_rounds(large, many, min(load["rounds"], most), load["n"])
         found = found.join(asked.select("q_id"), "q_id", "left_semi")
     picked = _mmr_bounded(asked, found)
     return picked if ranked is None else picked.unionByName(ranked)
@@ -548,7 +554,7 @@ def join_hits(hits: DataFrame, rows: DataFrame, requests: DataFrame, limit_col:
     ``BROADCAST_HITS`` they are broadcast and the store is only scanned; above
     that both sides are shuffled by id.
     """
-    most = requests.agg(F.coalesce(F.sum(F.greatest(F.col(limit_col), F.lit(0)).cast("long")), F.lit(0))).first()[0]
+    most = requests.agg(F.coalesce(F.sum(F.greatest(F.least(F.col(limit_col).cast("long"), F.lit(MOST_HITS)), F.lit(0))), F.lit(0))).first()[0]
     return rows.join(F.broadcast(hits) if most <= BROADCAST_HITS else hits, "chunk_id")
 
 

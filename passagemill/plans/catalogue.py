@@ -291,8 +291,7 @@ def question_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hit_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, hits = _question_hits(spark, sf_dir)
-    return hit_counts(asked, hits.where("distance < 0.5"))
+    return hit_counts(*_question_hits(spark, sf_dir))
 
 
 def files_fetched_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,16 +373,16 @@ def replace_chunks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_chunks(store, renewed).select("path", "chunk_no", "content")
 
 
-def _upper(raw: bytes) -> str:
+def _joined_words(raw: bytes) -> str:
     text = raw.decode("utf-8")
     if text.startswith("E"):
         raise ValueError("unreadable image")
-    return text.upper()
+    return text.replace(" ", "_")
 
 
 def extract_text_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = I.files(spark, sf_dir).where("kind = 'image'")
-    return images.select("path", extract_text(F.col("hash").cast("binary"), _upper).alias("content"))
+    return images.select("path", extract_text(F.col("text").cast("binary"), _joined_words).alias("content"))
 
 
 def manifest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,9 +157,9 @@ bodies AS (
 parsed AS (SELECT q_id, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM bodies),
 asked AS (
   SELECT q_id, json_extract_string(j, '$.query') AS raw,
-         CASE WHEN json_type(j, '$.k') IN ('UBIGINT', 'BIGINT') THEN json_extract_string(j, '$.k')::INT END AS k0,
+         CASE WHEN json_type(j, '$.k') IN ('UBIGINT', 'BIGINT') THEN json_extract_string(j, '$.k')::BIGINT END AS k0,
          json_extract_string(j, '$.search_type') AS type0,
-         json_extract_string(j, '$.fetch_k')::INT AS fetch0, json_extract_string(j, '$.lambda_mult')::DOUBLE AS lambda0
+         json_extract_string(j, '$.fetch_k')::BIGINT AS fetch0, json_extract_string(j, '$.lambda_mult')::DOUBLE AS lambda0
   FROM parsed),
 checked AS (
   SELECT *, """ + _trim("raw") + r""" AS query FROM asked),
@@ -200,9 +200,9 @@ def _literal(text: str) -> str:
 
 
 def _prompt(context: str, question: str) -> str:
-    before, rest = PROMPT_TEMPLATE.split("{context}")
-    middle, after = rest.split("{question}")
-    return f"{_literal(before)} || {context} || {_literal(middle)} || {question} || {_literal(after)}"
+    before, rest = PROMPT_TEMPLATE.split("{question}")
+    middle, after = rest.split("{context}")
+    return f"{_literal(before)} || {question} || {_literal(middle)} || {context} || {_literal(after)}"
 
 
 PROMPTS = f"""{QUESTIONS},
@@ -323,7 +323,7 @@ ORACLES = {
         SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY distance, chunk_id)::BIGINT AS rank, chunk_id, round(distance, 6) AS distance
         FROM scored QUALIFY rank <= 10""",
     "question_hits": f"WITH {QUESTIONS} SELECT * REPLACE (round(distance, 6) AS distance) FROM hits",
-    "hit_counts": f"WITH {QUESTIONS} SELECT q_id, count(distance) FILTER (distance < 0.5) AS hits FROM questions LEFT JOIN hits USING (q_id) GROUP BY q_id",
+    "hit_counts": f"WITH {QUESTIONS} SELECT q_id, count(distance) AS hits FROM questions LEFT JOIN hits USING (q_id) GROUP BY q_id",
     "files_fetched": f"WITH {QUESTIONS} SELECT q_id, string_agg(file_name, ',' ORDER BY rank) AS file_names FROM hits GROUP BY q_id",
     "stuffed_context": f"WITH {QUESTIONS} SELECT q_id, string_agg(content, chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY q_id",
     "prompts": f"WITH {PROMPTS} SELECT q_id, query, prompt FROM prompts",
@@ -342,7 +342,7 @@ ORACLES = {
     "replace_chunks": f"""WITH {CHUNKS}, changed AS (SELECT d.* FROM documents d JOIN labels l USING (doc_id) WHERE quality = 0)
         SELECT path, chunk_no, content FROM chunks WHERE path NOT IN (SELECT doc_id::VARCHAR FROM changed)
         UNION ALL SELECT doc_id::VARCHAR, window_no::BIGINT, piece FROM ({_windows('changed', 'doc_id', 'text', 500, 100)})""",
-    "extract_text_user": f"""WITH {FILES} SELECT path, CASE WHEN hash LIKE 'E%' THEN '' ELSE upper(hash) END AS content FROM kinds WHERE kind = 'image'""",
+    "extract_text_user": f"""WITH {FILES} SELECT path, CASE WHEN text LIKE 'E%' THEN '' ELSE replace(text, ' ', '_') END AS content FROM kinds WHERE kind = 'image'""",
     "manifest_roundtrip": f"WITH {MANIFEST} SELECT path, hash, processed_at, size + 1 AS size FROM manifest",
     "store_roundtrip": f"WITH {CHUNKS} SELECT path, chunk_no, chunk_id, content, file_size, 64::BIGINT AS dimension FROM chunks",
     "store_status": "SELECT count(*) > 0 AS store_exists, count(*) > 0 AS store_loaded, false AS manifest_exists, true AS folder_exists FROM documents",

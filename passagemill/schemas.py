@@ -42,12 +42,15 @@ STORE = T.StructType(CHUNKS.fields + [T.StructField("hash", T.StringType()), T.S
 
 REQUEST_BODY = T.StructType([
     T.StructField("query", T.StringType()),
-    T.StructField("k", T.IntegerType()),
+    T.StructField("k", T.LongType()),
     T.StructField("search_type", T.StringType()),
-    T.StructField("fetch_k", T.IntegerType()),
+    T.StructField("fetch_k", T.LongType()),
     T.StructField("lambda_mult", T.DoubleType()),
 ])
 
+# The counts again, as numbers of any size, to tell what does not fit from what is absent.
+REQUEST_NUMBERS = T.StructType([T.StructField("k", T.DoubleType()), T.StructField("fetch_k", T.DoubleType())])
+
 HIT_COLUMNS = [
     "q_id", "rank", "chunk_id", "content", "source",
     "file_name", "file_type", "file_size", "distance",
