@@ -25,6 +25,7 @@ from passagemill.sources.rawfiles import (
 from passagemill.sources.store import (
     as_store, bucket_count, create_store, load_store, store_exists, update_store,
 )
+from passagemill.sources.versions import newest_number
 
 Embedder = Callable[[DataFrame], DataFrame]
 
@@ -95,9 +96,16 @@ def processed_files(chunks: DataFrame) -> DataFrame:
 def ingest(
     spark: SparkSession, root: str, store: str, manifest: str, embedder: Embedder = embed_hash,
     settings: Settings = Settings(), image_text: Callable[[bytes], str] | None = None,
-    moment: datetime | Column | None = None,
+    moment: datetime | Column | None = None, drop_missing: bool = False,
 ) -> IngestResult:
-    """Bring the store up to date with the folder: new and changed files only."""
+    """Bring the store up to date with the folder: new and changed files only.
+
+    A known file that has become blank or unreadable loses its chunks and its
+    manifest entry; ``drop_missing`` does the same for files that are gone.
+    Should another run have changed the manifest meanwhile, this one fails at
+    the end and can be repeated.
+    """
+    base = newest_number(spark, manifest)
     before = read_manifest(spark, manifest)
     if before.isEmpty() and not store_exists(spark, store):
         return _build(spark, root, store, manifest, embedder, settings, image_text, moment)
@@ -105,17 +113,35 @@ def ingest(
         documents = load_documents(spark, root, before, settings, image_text, moment, work)
         chunks = keep(chunks_with_vectors(documents, embedder, settings), "chunks", f"{work}/chunks")
         result = _counted(chunks)
-        if result.documents:
+        touched = _touched(spark, work, before, drop_missing)
+        if not touched.isEmpty():
             if store_exists(spark, store):
-                update_store(chunks, store, kept=True)
+                update_store(chunks, store, touched)
             else:
-                create_store(chunks, store)
+                create_store(chunks, store, bucket_count(_text_bytes(spark, work)))
             # The manifest comes last: a run that fails before this point is
             # repeated in full by the next one.
-            write_manifest(merge_manifest(before, processed_files(chunks)), manifest)
+            kept = before.join(touched, "path", "left_anti")
+            write_manifest(merge_manifest(kept, processed_files(chunks)), manifest, base)
     return result
 
 
+def _listing(spark: SparkSession, work: str) -> DataFrame:
+    return spark.read.schema(LISTING).parquet(f"{work}/listing/level=*").where("NOT is_dir")
+
+
+def _text_bytes(spark: SparkSession, work: str) -> int:
+    return _listing(spark, work).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
+def _touched(spark: SparkSession, work: str, before: DataFrame, drop_missing: bool) -> DataFrame:
+    """Paths whose chunks go: changed files, whatever came of them, and perhaps files that are gone."""
+    paths = spark.read.schema("path string").parquet(f"{work}/others", f"{work}/tables")
+    if drop_missing:
+        paths = paths.unionAll(before.select("path").join(_listing(spark, work).select("path"), "path", "left_anti"))
+    return keep(paths.distinct(), "touched", f"{work}/touched")
+
+
 def rebuild(
     spark: SparkSession, root: str, store: str, manifest: str, embedder: Embedder = embed_hash,
     settings: Settings = Settings(), image_text: Callable[[bytes], str] | None = None,
@@ -134,9 +160,7 @@ def _build(spark, root, store, manifest, embedder, settings, image_text, moment)
         documents = load_documents(spark, root, None, settings, image_text, moment, work)
         if documents.isEmpty():
             return IngestResult(0, 0)
-        found = spark.read.schema(LISTING).parquet(f"{work}/listing/level=*")
-        text_bytes = found.agg(F.sum("length")).first()[0]
-        create_store(chunks_with_vectors(documents, embedder, settings), store, bucket_count(text_bytes))
+        create_store(chunks_with_vectors(documents, embedder, settings), store, bucket_count(_text_bytes(spark, work)))
     chunks = load_store(spark, store)
     write_manifest(processed_files(chunks), manifest)
     return _counted(chunks)

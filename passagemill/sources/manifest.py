@@ -23,5 +23,6 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).parquet(current)
 
 
-def write_manifest(manifest: DataFrame, path: str) -> str:
-    return write_version(manifest.select(*MANIFEST.names), path)
+def write_manifest(manifest: DataFrame, path: str, base: int | None = None) -> str:
+    """The next version; with ``base``, only if that is still the newest one."""
+    return write_version(manifest.select(*MANIFEST.names), path, base=base)

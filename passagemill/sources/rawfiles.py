@@ -35,6 +35,8 @@ TEXTS = "path string, length long, kind string, hash string, text string"
 HASHES = "path string, length long, hash string"
 LISTING_ROWS = 10_000
 READ_BLOCK = 8 * 1024 * 1024
+# What one value of a row can hold; a longer file is an unreadable one, and the run goes on.
+MOST_BYTES = (1 << 31) - (1 << 20)
 BATCH_BYTES = 32 * 1024 * 1024
 TASK_BYTES = 128 * 1024 * 1024
 
@@ -65,17 +67,35 @@ def _entries(folder: str) -> Iterator[tuple[str, int, bool]]:
                 if entry.is_dir(follow_symlinks=False):
                     yield entry.name, 0, True
                 elif entry.is_file():
-                    yield entry.name, entry.stat().st_size, False
+                    try:
+                        size = entry.stat().st_size
+                    except OSError as error:  # deleted meanwhile, or closed to us
+                        log.warning("could not look at %s/%s: %s", folder, entry.name, error)
+                        continue
+                    yield entry.name, size, False
         return
     for info in filesystem.get_file_info(pafs.FileSelector(inner)):
         if info.type in (pafs.FileType.Directory, pafs.FileType.File):
             yield info.base_name, info.size or 0, info.type == pafs.FileType.Directory
 
 
+def _readable(folder: str) -> Iterator[tuple[str, int, bool]]:
+    """Entries of a folder as far as they can be read; the rest is logged."""
+    entries = _entries(folder)
+    while True:
+        try:
+            yield next(entries)
+        except StopIteration:
+            return
+        except OSError as error:
+            log.warning("could not list %s: %s", folder, error)
+            return
+
+
 def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for folder in batch["path"]:
-            entries = _entries(folder)
+            entries = _readable(folder)
             while rows := list(islice(entries, LISTING_ROWS)):
                 names, sizes, dirs = zip(*rows)
                 paths = [f"{folder.rstrip('/')}/{name}" for name in names]
@@ -130,10 +150,12 @@ def _read_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, length in zip(batch["path"], batch["length"]):
             try:
                 filesystem, inner = open_filesystem(path)
+                if (filesystem.get_file_info(inner).size or 0) > MOST_BYTES:
+                    raise OSError("too long for one value of a row")
                 with filesystem.open_input_stream(inner) as stream:
                     content = stream.read()
                 length = len(content)
-            except OSError as error:
+            except (OSError, MemoryError) as error:
                 log.warning("could not read %s: %s", path, error)
                 content = None
             rows.append((path, length, content))

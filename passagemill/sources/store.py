@@ -1,10 +1,15 @@
 """The vector table: chunks with their embedding, as Parquet.
 
 Each write adds one folder below ``data``, laid out in ``bucket`` folders by a
-hash of the chunk's path. A small versioned ``parts`` table names the bucket
-folders that make up the store, so replacing the chunks of changed files
-rewrites only the buckets those files fall into, and readers see the change
-all at once or not at all.
+hash of the chunk's path. A small versioned ``parts`` table names the folders
+that make up the store, in the order of their writes. A write that replaces
+the chunks of changed files adds, beside its own chunks, a list of the paths
+that it supersedes; readers leave out what an older write holds for them. So
+a write costs what has changed, not what is stored, and readers see all of it
+or none. ``compact_store`` brings a store back to one folder without lists.
+
+Writers may overlap: a version of the parts follows the one it was made from,
+and a writer that finds another version in between adds its folders to that.
 """
 
 from __future__ import annotations
@@ -15,19 +20,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.operators.changes import replace_chunks
 from passagemill.schemas import STORE
-from passagemill.session import child_names, delete_path, keep, scratch
-from passagemill.sources.versions import current_version, write_version
+from passagemill.session import child_names, delete_path
+from passagemill.sources.versions import VersionConflict, current_number, newest_number, write_version
 
 log = logging.getLogger(__name__)
 
-# A bucket is the unit of rewriting, so aim for a few gigabytes each; the
-# number is fixed when the store is created.
+# A bucket is what a reader of some paths has to look through, so aim for a few
+# gigabytes each; the number is fixed when the store is created or compacted.
 BUCKETS = 8
 BUCKET_BYTES = 4 * 1024**3
 MOST_BUCKETS = 8192
-PARTS = "folder string, bucket int, buckets int"
+PARTS = "folder string, bucket int, buckets int, place long, gone boolean"
+#: Times a writer looks again when others come first.
+ATTEMPTS = 20
+Parts = list[tuple[str, int, int, int, bool]]
 
 
 def as_store(chunks: DataFrame) -> DataFrame:
@@ -47,22 +54,36 @@ def bucket_of(path: str, buckets: int):
     return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
 
 
-def _read_parts(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
-    """(folder, bucket, bucket count) rows: buckets times writes, so few."""
-    current = current_version(spark, f"{path}/parts")
-    if current is None:
+def _read_parts(spark: SparkSession, path: str) -> Parts:
+    """(folder, bucket, buckets, place, gone) rows: buckets times writes since the
+    last compaction, so few. ``gone``: the write has a list of superseded paths."""
+    number = current_number(spark, f"{path}/parts")
+    if number is None:
         return []
-    return [tuple(row) for row in spark.read.schema(PARTS).parquet(current).collect()]
+    return [tuple(row) for row in spark.read.schema(PARTS).parquet(f"{path}/parts/v{number}").collect()]
 
 
-def _write_parts(spark: SparkSession, path: str, parts: list[tuple[str, int, int]]) -> None:
-    write_version(spark.createDataFrame(parts, PARTS).coalesce(1), f"{path}/parts")
+def _write_parts(spark: SparkSession, path: str, parts: Parts, base: int) -> None:
+    write_version(spark.createDataFrame(parts, PARTS).coalesce(1), f"{path}/parts", base=base)
 
 
-def _write_data(chunks: DataFrame, path: str, buckets: int) -> list[tuple[str, int, int]]:
+def _add_part(spark: SparkSession, path: str, added: list[tuple[str, int, int]], gone: bool) -> None:
+    """Make a written folder the newest part of the store."""
+    for _ in range(ATTEMPTS):
+        base = newest_number(spark, f"{path}/parts")
+        parts = _read_parts(spark, path)
+        place = max(part[3] for part in parts) + 1
+        try:
+            return _write_parts(spark, path, parts + [(*part, place, gone) for part in added], base)
+        except VersionConflict:
+            log.info("another writer was first at %s; looking again", path)
+    raise VersionConflict(f"{path}: others came first {ATTEMPTS} times")
+
+
+def _write_data(chunks: DataFrame, path: str, buckets: int, folder: str | None = None) -> list[tuple[str, int, int]]:
     """Write one data folder and return its parts."""
     spark = chunks.sparkSession
-    folder = f"w{uuid.uuid4().hex}"
+    folder = folder or f"w{uuid.uuid4().hex}"
     rows = as_store(chunks).withColumn("bucket", bucket_of("path", buckets))
     if buckets > 1:
         # Rebalancing groups rows by bucket for few output files, and lets
@@ -74,22 +95,40 @@ def _write_data(chunks: DataFrame, path: str, buckets: int) -> list[tuple[str, i
     return [(folder, int(name.split("=")[1]), buckets) for name in names]
 
 
-def _read_data(spark: SparkSession, path: str, parts: list[tuple[str, int, int]]) -> DataFrame:
-    if not parts:
+def _read_data(spark: SparkSession, path: str, parts: Parts) -> DataFrame:
+    """What the parts hold, without what later ones supersede."""
+    held = [part for part in parts if part[1] >= 0]
+    if not held:
         return spark.createDataFrame([], STORE)
-    folders = [f"{path}/data/{folder}/bucket={bucket}" for folder, bucket, _ in parts]
-    return spark.read.schema(STORE).parquet(*folders)
+    rows = spark.read.schema(STORE).parquet(*[f"{path}/data/{folder}/bucket={bucket}" for folder, bucket, *_ in held])
+    oldest = min(part[3] for part in held)
+    lists = {part[0]: part[3] for part in parts if part[4] and part[3] > oldest}
+    if not lists:
+        return rows
+    places = F.create_map(*[F.lit(x) for folder, place in {part[0]: part[3] for part in held}.items() for x in (folder, place)])
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/data/(w[0-9a-f]+)/bucket=", 1)
+    rows = rows.select("*", F.element_at(places, folder).alias("__place"))
+    # One list for each write since the last compaction. Spark broadcasts them while they are small.
+    gone = None
+    for name, place in lists.items():
+        one = spark.read.schema("path string").parquet(f"{path}/gone/{name}").select("path", F.lit(place).cast("long").alias("__until"))
+        gone = one if gone is None else gone.unionAll(one)
+    gone = gone.groupBy("path").agg(F.max("__until").alias("__until"))
+    rows = rows.join(gone, "path", "left").where("__until IS NULL OR __place >= __until")
+    return rows.select(*STORE.names)
 
 
 def store_exists(spark: SparkSession, path: str) -> bool:
-    return current_version(spark, f"{path}/parts") is not None
+    return current_number(spark, f"{path}/parts") is not None
 
 
 def create_store(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """First write; an earlier store at ``path`` is replaced as a whole."""
+    spark = chunks.sparkSession
+    base = newest_number(spark, f"{path}/parts")
     parts = _write_data(chunks, path, buckets)
     # An empty store still records its bucket count.
-    _write_parts(chunks.sparkSession, path, parts or [("", -1, buckets)])
+    _write_parts(spark, path, [(*part, 0, False) for part in parts or [("", -1, buckets)]], base)
 
 
 def append_store(chunks: DataFrame, path: str) -> None:
@@ -98,7 +137,7 @@ def append_store(chunks: DataFrame, path: str) -> None:
     parts = _read_parts(spark, path)
     if not parts:
         raise FileNotFoundError(f"no store at {path}")
-    _write_parts(spark, path, parts + _write_data(chunks, path, parts[0][2]))
+    _add_part(spark, path, _write_data(chunks, path, parts[0][2]), False)
 
 
 def load_store(spark: SparkSession, path: str) -> DataFrame | None:
@@ -107,7 +146,7 @@ def load_store(spark: SparkSession, path: str) -> DataFrame | None:
     if not parts:
         log.warning("no store at %s", path)
         return None
-    return _read_data(spark, path, [part for part in parts if part[1] >= 0])
+    return _read_data(spark, path, parts)
 
 
 def reload_store(spark: SparkSession, path: str) -> DataFrame | None:
@@ -115,41 +154,65 @@ def reload_store(spark: SparkSession, path: str) -> DataFrame | None:
     return load_store(spark, path)
 
 
-def update_store(
-    new_chunks: DataFrame, path: str, changed_paths: DataFrame | None = None, kept: bool = False,
-) -> None:
-    """Replace the chunks of changed paths, rewriting only their buckets.
+def load_paths(spark: SparkSession, path: str, paths: DataFrame) -> DataFrame:
+    """What the store holds of some paths, from their buckets alone."""
+    parts = _read_parts(spark, path)
+    if not parts:
+        raise FileNotFoundError(f"no store at {path}")
+    # At most ``buckets`` numbers for each bucket count that writes have used.
+    wanted = {
+        buckets: {row[0] for row in paths.select(bucket_of("path", buckets)).distinct().collect()} for buckets in {part[2] for part in parts}}
+    kept = [part if part[1] in wanted[part[2]] else (part[0], -1, *part[2:]) for part in parts]
+    return _read_data(spark, path, kept).join(paths.select("path").distinct(), "path", "left_semi")
+
+
+def update_store(new_chunks: DataFrame, path: str, changed_paths: DataFrame | None = None) -> None:
+    """Replace the chunks of changed paths.
 
     ``changed_paths`` names paths that may have no chunk left; by default the
-    paths of ``new_chunks``. ``kept`` tells that ``new_chunks`` is a written
-    table already. Running it again gives the same rows.
+    paths of ``new_chunks``. Running it again gives the same rows. Nothing of
+    what the store holds is read or rewritten.
     """
     spark = new_chunks.sparkSession
     parts = _read_parts(spark, path)
     if not parts:
         raise FileNotFoundError(f"no store at {path}")
     buckets = parts[0][2]
-    with scratch(spark, "store-update") as staged:
-        # Written once because both are read more than once below; reading
-        # them back also gives the optimizer their size.
-        fresh = as_store(new_chunks) if kept else keep(as_store(new_chunks), "new", f"{staged}/new")
-        paths = (fresh if changed_paths is None else changed_paths).select("path").distinct()
-        changed = keep(paths, "changed", f"{staged}/changed")
-        # At most ``buckets`` numbers.
-        touched = {row[0] for row in changed.select(bucket_of("path", buckets)).distinct().collect()}
-        if not touched:
-            return
-        old = _read_data(spark, path, [part for part in parts if part[1] in touched])
-        written = _write_data(replace_chunks(old, fresh, changed), path, buckets)
-    kept = [part for part in parts if part[1] not in touched]
-    _write_parts(spark, path, (kept + written) or [("", -1, buckets)])
+    folder = f"w{uuid.uuid4().hex}"
+    written = _write_data(new_chunks, path, buckets, folder)
+    if changed_paths is None:
+        fresh = [f"{path}/data/{name}/bucket={bucket}" for name, bucket, _ in written]
+        changed_paths = spark.read.schema(STORE).parquet(*fresh) if fresh else None
+    if changed_paths is None:
+        return
+    changed_paths.select("path").distinct().write.parquet(f"{path}/gone/{folder}")
+    # A write without chunks is a part for its list alone.
+    _add_part(spark, path, written or [(folder, -1, buckets)], True)
+
+
+def compact_store(spark: SparkSession, path: str, buckets: int | None = None) -> None:
+    """Rewrite the store as one folder without superseded rows.
+
+    Call it when many writes have gathered; a writer that comes in between
+    makes it fail with a ``VersionConflict``, and nothing is lost.
+    """
+    base = newest_number(spark, f"{path}/parts")
+    parts = _read_parts(spark, path)
+    if not parts:
+        raise FileNotFoundError(f"no store at {path}")
+    buckets = buckets or parts[0][2]
+    place = max(part[3] for part in parts) + 1
+    written = _write_data(_read_data(spark, path, parts), path, buckets)
+    _write_parts(spark, path, [(*part, place, False) for part in written or [("", -1, buckets)]], base)
 
 
 def vacuum_store(spark: SparkSession, path: str) -> list[str]:
     """Delete data folders the current version does not use; readers of an
-    older version must be done."""
-    used = {folder for folder, _, _ in _read_parts(spark, path)}
+    older version, and writers, must be done."""
+    used = {part[0] for part in _read_parts(spark, path)}
     unused = [name for name in child_names(spark, f"{path}/data") if name not in used]
-    for name in unused:
-        delete_path(spark, f"{path}/data/{name}")
+    for kind in ("data", "gone"):
+        for name in child_names(spark, f"{path}/{kind}"):
+            if name not in used:
+                delete_path(spark, f"{path}/{kind}/{name}")
     return unused

@@ -8,8 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from passagemill.operators.embedding import embed_hash
 from passagemill.plans.ingest import Embedder, chunks_with_vectors
+from passagemill.session import keep, scratch
 from passagemill.settings import Settings
-from passagemill.sources.store import create_store, store_exists, update_store
+from passagemill.sources.store import BUCKETS, create_store, load_paths, store_exists, update_store
 
 
 def latest_per_path(documents: DataFrame) -> DataFrame:
@@ -20,21 +21,28 @@ def latest_per_path(documents: DataFrame) -> DataFrame:
 
 def ingest_stream(
     documents: DataFrame, store: str, checkpoint: str, embedder: Embedder = embed_hash,
-    settings: Settings = Settings(), available_now: bool = True,
+    settings: Settings = Settings(), available_now: bool = True, buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Keep ``store`` up to date with a stream of document rows.
 
     Each micro-batch replaces the chunks of its paths, so replaying a batch
-    after a failure leaves the same rows, not a second copy.
+    after a failure leaves the same rows, not a second copy. Its cost follows
+    the batch; ``compact_store`` now and then keeps reading cheap. A document
+    that was processed before what the store holds of its path is late and
+    changes nothing. ``buckets`` is for a store that does not exist yet.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        latest = latest_per_path(batch)
-        chunks = chunks_with_vectors(latest, embedder, settings)
-        if store_exists(batch.sparkSession, store):
-            update_store(chunks, store, batch)
-        else:
-            create_store(chunks, store)
+        spark = batch.sparkSession
+        if not store_exists(spark, store):
+            create_store(chunks_with_vectors(latest_per_path(batch), embedder, settings), store, buckets)
+            return
+        with scratch(spark, "ingest-stream") as work:
+            latest = keep(latest_per_path(batch), "latest", f"{work}/latest")
+            held = load_paths(spark, store, latest).groupBy("path").agg(F.max("processed_at").alias("__held"))
+            fresh = latest.join(held, "path", "left").where("__held IS NULL OR processed_at IS NULL OR processed_at >= __held").drop("__held")
+            fresh = keep(fresh, "fresh", f"{work}/fresh")
+            update_store(chunks_with_vectors(fresh, embedder, settings), store, fresh)
 
     writer = documents.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write_batch)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
