@@ -32,7 +32,7 @@ from passagemill.settings import PROMPT_TEMPLATE, Settings
 from passagemill.sources.manifest import read_manifest, write_manifest
 from passagemill.sources.rawfiles import list_files, scan_files
 from passagemill.sources.requests import parse_requests, read_questions, resolve_search_params
-from passagemill.sources.store import append_store, create_store, load_store, reload_store
+from passagemill.sources.store import append_store, as_store, compact_store, create_store, load_store, reload_store, update_store
 from passagemill.streaming.ingest import ingest_stream
 from passagemill.streaming.search import search_stream
 
@@ -406,6 +406,20 @@ def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("path", "chunk_no", "chunk_id", "content", "file_size", F.size("embedding").cast("long").alias("dimension"))
 
 
+def compact_store_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of low quality are replaced, toxic ones removed, and the store is compacted."""
+    path = scratch_path(spark, "store")
+    create_store(I.document_store(spark, sf_dir), path)
+    labels = I.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path"), "quality", "toxic")
+    poor = labels.where("quality = 0 AND toxic = 0")
+    fresh = I.text_documents(spark, sf_dir).join(poor, "path", "left_semi") \
+        .withColumn("content", F.concat(F.lit("seen as "), "file_type"))
+    update_store(as_store(embed_hash(chunk_fixed(fresh))), path)
+    update_store(I.document_store(spark, sf_dir).limit(0), path, labels.where("toxic = 1"))
+    compact_store(spark, path)
+    return load_store(spark, path).select("path", "chunk_no", "content")
+
+
 def store_status_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, manifest = scratch_path(spark, "store"), scratch_path(spark, "manifest")
     create_store(I.document_store(spark, sf_dir), path)
@@ -491,6 +505,7 @@ QUERIES = {
     "extract_text_user": extract_text_user,
     "manifest_roundtrip": manifest_roundtrip,
     "store_roundtrip": store_roundtrip,
+    "compact_store": compact_store_query,
     "store_status": store_status_query,
     "ingest_stream": ingest_stream_query,
     "search_stream": search_stream_query,

@@ -345,6 +345,9 @@ ORACLES = {
     "extract_text_user": f"""WITH {FILES} SELECT path, CASE WHEN text LIKE 'E%' THEN '' ELSE replace(text, ' ', '_') END AS content FROM kinds WHERE kind = 'image'""",
     "manifest_roundtrip": f"WITH {MANIFEST} SELECT path, hash, processed_at, size + 1 AS size FROM manifest",
     "store_roundtrip": f"WITH {CHUNKS} SELECT path, chunk_no, chunk_id, content, file_size, 64::BIGINT AS dimension FROM chunks",
+    "compact_store": f"""WITH {CHUNKS}
+        SELECT path, chunk_no, content FROM chunks WHERE path NOT IN (SELECT doc_id::VARCHAR FROM labels WHERE quality = 0 OR toxic = 1)
+        UNION ALL SELECT doc_id::VARCHAR, 0::BIGINT, 'seen as .' || lang FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND toxic = 0""",
     "store_status": "SELECT count(*) > 0 AS store_exists, count(*) > 0 AS store_loaded, false AS manifest_exists, true AS folder_exists FROM documents",
     "ingest_stream": f"""SELECT doc_id::VARCHAR AS path, chunk_no, md5(doc_id || '#' || chunk_no) AS chunk_id, piece AS content
         FROM ({_stripped_windows('documents', 'doc_id', 'text', 1000, 200)})""",
