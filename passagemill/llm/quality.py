@@ -228,7 +228,8 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, t
     share = min(1.0, train_rows / max(1, known.count()))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
     known = known.where(draw < int(share * (1 << 30)))
-    sample = marked.join(known, "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.min("quality").alias("quality"))
+    # The sample's labels are a bounded list of some train_rows.
+    sample = marked.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.min("quality").alias("quality"))
     rows = sample.orderBy("doc_id").toArrow()
     x = np.frombuffer(b"".join(rows.column("features").to_pylist()), np.float32).reshape(-1, POOLED).astype(np.float64)
     net = Network.fit(x, rows.column("quality").to_numpy().astype(np.float64))
