@@ -12,7 +12,7 @@ from passagemill.functions.text import row_to_text
 from passagemill.settings import (
     CARD_COLUMNS, CARD_PREVIEW, CARD_ROW, CARD_ROWS, CARD_TITLE, CELL_JOIN, MISSING_CELL, PREVIEW_ROWS,
 )
-from passagemill.sources.csvfiles import SPLIT_BYTES, summarise_csv
+from passagemill.sources.csvfiles import RANGE_BYTES, summarise_csv
 
 
 def preview_rows(df: DataFrame, order_by, n: int = PREVIEW_ROWS) -> DataFrame:
@@ -81,6 +81,6 @@ def _render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": batch["path"], "content": cards})
 
 
-def csv_cards(files: DataFrame, n: int = PREVIEW_ROWS, sep: str | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def csv_cards(files: DataFrame, n: int = PREVIEW_ROWS, sep: str | None = None, split_bytes: int = RANGE_BYTES) -> DataFrame:
     """(path, length) of table files -> (path, content); unreadable gives ''."""
     return summarise_csv(files, n, sep, split_bytes).mapInPandas(_render, "path string, content string")

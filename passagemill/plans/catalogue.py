@@ -29,6 +29,7 @@ from passagemill.plans.search import build_prompts, prepare_requests, search
 from passagemill.schemas import DOCUMENTS
 from passagemill.session import keep, scratch_path
 from passagemill.settings import PROMPT_TEMPLATE, Settings
+from passagemill.sources.csvfiles import scan_csv
 from passagemill.sources.manifest import read_manifest, write_manifest
 from passagemill.sources.rawfiles import list_files, scan_files
 from passagemill.sources.requests import parse_requests, read_questions, resolve_search_params
@@ -106,6 +107,12 @@ def scan_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scan_csv_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scan_csv(spark, I.customer_tables(spark, sf_dir))
+    return rows.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.col("c_nationkey").cast("long").alias("c_nationkey"),
+                       "c_mktsegment", F.regexp_extract("source_path", "block=([0-9]+)/", 1).alias("folder"))
+
+
 def csv_cards_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = list_files(spark, I.customer_tables(spark, sf_dir)).where("path like '%.csv' and path not like '%/.%'")
     return csv_cards(files).select(
@@ -466,6 +473,7 @@ QUERIES = {
     "decode_text": decode_text_query,
     "scan_files": scan_files_query,
     "csv_cards": csv_cards_query,
+    "scan_csv": scan_csv_query,
     "load_documents": load_documents_query,
     "ingest": ingest_query,
     "rebuild": rebuild_query,

@@ -272,6 +272,8 @@ ORACLES = {
     "decode_text": "SELECT doc_id, text AS content FROM documents",
     "scan_files": f"""WITH {CORPUS.replace('{cap}', '1')}
         SELECT path, file_size::BIGINT AS length, text AS content, md5(text) AS hash FROM corpus""",
+    "scan_csv": """SELECT c_custkey::BIGINT AS c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_mktsegment,
+        (c_custkey // 500)::VARCHAR AS folder FROM customer""",
     "csv_cards": f"""SELECT block, {_card('part', 'customer', 'block')} AS content
         FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY c_custkey) AS row_no, count(*) OVER (PARTITION BY block) AS n
               FROM (SELECT *, c_custkey // 500 AS block FROM customer)) GROUP BY block""",

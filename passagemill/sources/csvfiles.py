@@ -1,30 +1,45 @@
 """Comma- and tab-separated files.
 
-Most files fit one task: Spark spreads the paths and each task streams its
-files in blocks. Files above ``SPLIT_BYTES`` go through Spark's CSV reader,
-which splits them, so that one huge table is not one task's work.
+One tokeniser reads every file, whatever its size and name. A file is read in
+byte ranges, each by a task: a first look counts the quotes of every range, so
+that each knows whether it begins inside a quoted cell, and a range reads the
+records that begin in it. What the ranges found is put together by file. A
+file in which quotes stand where that rule would be misled (each range checks
+its own records) is read again in order by one task, with the same tokeniser.
+
+A byte that is no UTF-8, or a record with more cells than the first ones have,
+makes the whole file unreadable, wherever it stands.
 """
 
 from __future__ import annotations
 
+import csv
 import logging
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from passagemill.sources.rawfiles import _spread, open_filesystem
+from passagemill.session import keep
+from passagemill.sources.rawfiles import open_filesystem
 
 log = logging.getLogger(__name__)
 
-SPLIT_BYTES = 256 * 1024 * 1024
-BLOCK_ROWS = 50_000
+RANGE_BYTES = 64 * 1024 * 1024
+BLOCK_BYTES = 1024 * 1024
 SUMMARY = (
     "path string, header array<string>, preview array<array<string>>, "
     "kinds array<string>, n_rows long"
 )
+#: What a range has: its first cells, how many cells its records have, and for
+#: each place whether all present cells are whole numbers (of 64 bits, with or
+#: without a sign), numbers, or truth values.
+FOUND = (
+    "path string, start long, first array<array<string>>, n_rows long, first_cells int, most_cells int, "
+    "flags array<array<boolean>>, bad boolean, odd boolean"
+)
 
 # Cell texts the data-frame library reads as missing.
 MISSING = (
@@ -32,141 +47,257 @@ MISSING = (
     "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
     "nan", "null",
 )
-INTEGER = r"^\s*[+-]?[0-9]{1,18}\s*$"
-NUMBER = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-BOOLEAN = r"^(True|TRUE|true|False|FALSE|false)$"
-KINDS = {"int": INTEGER, "float": NUMBER, "bool": BOOLEAN}
+ABSENT = frozenset(MISSING)
+INTEGER = re.compile(r"\s*[+-]?[0-9]+\s*", re.A)
+NUMBER = re.compile(r"\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*", re.A)
+BOOLEAN = re.compile(r"True|TRUE|true|False|FALSE|false")
+WHOLE, SIGNED, UNSIGNED, REAL, TRUTH = range(5)
+LINE = re.compile(rb"[^\r\n]*(?:\r\n|\r|\n)")
 
 
 def separator(path: str, sep: str | None = None) -> str:
     return sep or ("\t" if path.lower().endswith(".tsv") else ",")
 
 
-def scan_csv(spark: SparkSession, paths, sep: str = ",") -> DataFrame:
-    """Rows of files that share a header, typed, with their file in ``source_path``."""
+def scan_csv(spark: SparkSession, paths, sep: str = ",", multi_line: bool | None = None) -> DataFrame:
+    """Rows of files that share a header, typed, with their file in ``source_path``.
+
+    Files are split between tasks unless a quoted cell has a line break, which
+    is looked for where ``multi_line`` does not tell.
+    """
+    if multi_line is None:
+        quotes = F.length(F.regexp_replace("value", '[^"]', ""))
+        multi_line = not spark.read.text(paths).where(quotes % 2 == 1).isEmpty()
     return (
-        spark.read.csv(paths, header=True, inferSchema=True, sep=sep, multiLine=True, escape='"')
+        spark.read.csv(paths, header=True, inferSchema=True, sep=sep, multiLine=multi_line, escape='"')
         .select("*", F.col("_metadata.file_path").alias("source_path"))
     )
 
 
-def _fits(cells: pd.Series, kind: str) -> bool:
-    present = cells.dropna()
-    return bool(present.str.match(KINDS[kind]).all())
+class _Lines:
+    """Lines of a file from a place on, decoded; counts what has been taken."""
+
+    def __init__(self, stream, at: int):
+        self.stream, self.at, self.buffer, self.place, self.ended = stream, at, b"", 0, False
+        self.quotes, self.within, self.odd = 0, False, False
+
+    def _more(self) -> None:
+        block = self.stream.read(BLOCK_BYTES)
+        self.ended = not block
+        self.buffer, self.place = self.buffer[self.place:] + block, 0
+
+    def raw(self) -> bytes:
+        while True:
+            found = LINE.match(self.buffer, self.place)
+            # A line that ends with the buffer may go on with a line feed.
+            if found and (found.end() < len(self.buffer) or self.ended or found[0].endswith(b"\n")):
+                line = found[0]
+            elif self.ended:
+                line = self.buffer[self.place:]
+            else:
+                self._more()
+                continue
+            self.place += len(line)
+            self.at += len(line)
+            return line
+
+    def __iter__(self) -> Iterator[str]:
+        return self
+
+    def __next__(self) -> str:
+        start, line = self.at, self.raw()
+        if not line:
+            raise StopIteration
+        # A record's second line has to begin within quotes by their count.
+        self.odd |= self.within and self.quotes % 2 == 0
+        self.within = True
+        self.quotes += line.count(b'"')
+        text = line.decode("utf-8")
+        return text.removeprefix("﻿") if start == 0 else text
+
+    def records(self, sep: str, end: int | None) -> Iterator[list[str]]:
+        """Records that begin before ``end``."""
+        reader = csv.reader(self, delimiter=sep)
+        while end is None or self.at < end:
+            self.quotes, self.within = 0, False
+            record = next(reader, None)
+            if record is None:
+                return
+            self.odd |= self.quotes % 2 == 1
+            if record and (len(record) > 1 or record[0].strip(" \t")):
+                yield record
 
 
-def _summarise(path: str, preview_rows: int, sep: str | None, whole: bool):
+def _skip_to_record(stream, start: int, quoted: bool) -> _Lines:
+    """Lines from the first record that begins at ``start`` or after it."""
+    stream.seek(start - 1)
+    lines = _Lines(stream, start - 1)
+    before = stream.read(1)
+    if not quoted and before == b"\n":
+        lines.at = start
+        return lines
+    if before == b"\r" and not quoted:
+        after = stream.read(1)
+        lines.buffer, lines.at = after, start
+        if after != b"\n":
+            return lines
+        lines.buffer, lines.at = b"", start + 1
+        return lines
+    lines.at = start
+    while line := lines.raw():
+        quoted ^= line.count(b'"') % 2 == 1
+        if not quoted:
+            break
+    return lines
+
+
+def _flags_of(cell: str, flags: list[bool]) -> None:
+    if flags[WHOLE] or flags[REAL]:
+        whole = INTEGER.fullmatch(cell)
+        if whole:
+            value = int(cell) if len(cell) < 40 else 1 << 64
+            flags[SIGNED] = flags[SIGNED] and -(1 << 63) <= value < 1 << 63
+            flags[UNSIGNED] = flags[UNSIGNED] and 0 <= value < 1 << 64
+        else:
+            flags[WHOLE] = False
+            flags[REAL] = flags[REAL] and bool(NUMBER.fullmatch(cell))
+    flags[TRUTH] = flags[TRUTH] and bool(BOOLEAN.fullmatch(cell))
+
+
+def _read_range(path: str, sep: str, start: int, end: int | None, quoted: bool, rows: int) -> tuple:
+    csv.field_size_limit(1 << 30)
     filesystem, inner = open_filesystem(path)
-    header, preview, fits, n_rows = None, [], {}, 0
-    with filesystem.open_input_stream(inner) as stream:
-        blocks = pd.read_csv(
-            stream, sep=separator(path, sep), dtype=str, encoding="utf-8",
-            chunksize=BLOCK_ROWS if whole else max(preview_rows, 1), index_col=None,
-        )
-        for block in blocks:
+    first, flags, n_rows, first_cells, most = [], [], 0, None, 0
+    with filesystem.open_input_file(inner) as stream:
+        lines = _Lines(stream, 0) if start == 0 else _skip_to_record(stream, start, quoted)
+        records = lines.records(sep, end)
+        if start == 0:
+            header = next(records, None)
             if header is None:
-                header = [str(name) for name in block.columns]
-                fits = {kind: [True] * len(header) for kind in KINDS}
-                head = block.head(preview_rows)
-                preview = [[None if pd.isna(c) else c for c in row] for row in head.itertuples(index=False)]
-            if not whole:
-                break
-            n_rows += len(block)
-            for kind, flags in fits.items():
-                for position in range(len(header)):
-                    flags[position] = flags[position] and _fits(block.iloc[:, position], kind)
-    kinds = [
-        next((kind for kind in KINDS if fits[kind][position]), "text") for position in range(len(header))
-    ]
-    return path, header, preview, kinds, n_rows
-
-
-def _summaries(preview_rows: int, sep: str | None, whole: bool):
+                raise ValueError("no header")
+            first.append(header)
+        for record in records:
+            n_rows += 1
+            if first_cells is None:
+                first_cells = len(record)
+            most = max(most, len(record))
+            if len(first) < rows + (start == 0):
+                first.append(record)
+            while len(flags) < len(record):
+                flags.append([True] * 5)
+            for cell, own in zip(record, flags):
+                if cell not in ABSENT and (own[WHOLE] or own[REAL] or own[TRUTH]):
+                    _flags_of(cell, own)
+    return path, start, first, n_rows, first_cells, most, flags, False, lines.odd
+
+
+COLUMNS = [part.split()[0] for part in FOUND.split(", ")]
+
+
+def _read_ranges(rows: int, sep: str | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path in batch["path"]:
+            for path, start, end, quoted in batch[["path", "start", "end", "quoted"]].itertuples(index=False):
                 try:
-                    row = _summarise(path, preview_rows, sep, whole)
-                except (OSError, ValueError, pd.errors.ParserError) as error:
+                    found = _read_range(path, separator(path, sep), int(start), None if pd.isna(end) else int(end), bool(quoted), rows)
+                except (OSError, ValueError, csv.Error) as error:
                     log.warning("could not read table %s: %s", path, error)
-                    row = (path, None, None, None, 0)
-                yield pd.DataFrame([row], columns=["path", "header", "preview", "kinds", "n_rows"])
+                    found = (path, start, [], 0, None, 0, [], True, False)
+                yield pd.DataFrame([found], columns=COLUMNS)
 
     return run
 
 
-def _split_stats(spark: SparkSession, paths: list[str], width: int, sep: str) -> DataFrame:
-    """Row count and column kinds of large files through the splitting reader."""
-    names = [f"c{n}" for n in range(width)]
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    plain = dict(header=True, schema=schema, sep=sep, escape='"')
-    lines = spark.read.text(paths).select(
-        _read_from().alias("uri"), (F.length(F.regexp_replace("value", '[^"]', "")) % 2).alias("odd")
-    )
-    # A line with an odd number of quotes means a quoted line break, and such
-    # a file has to be read in order.
-    in_order = {row["uri"] for row in lines.where("odd = 1").select("uri").distinct().collect()}
-    uri_of = {path: _local_form(path) for path in paths}
-    groups = [
-        ([path for path in paths if uri_of[path] not in in_order], False),
-        ([path for path in paths if uri_of[path] in in_order], True),
-    ]
-    parts = [
-        spark.read.csv(group, multiLine=multi_line, **plain).select(_read_from().alias("uri"), *names)
-        for group, multi_line in groups if group
-    ]
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-    def kind_of(name: str):
-        present = F.when(~F.col(name).isin(*MISSING), F.col(name))
-        result = F.lit("text")
-        for kind, pattern in reversed(KINDS.items()):
-            result = F.when(F.coalesce(F.bool_and(present.rlike(pattern)), F.lit(True)), kind).otherwise(result)
-        return result
-
-    stats = rows.groupBy("uri").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.array(*[kind_of(name) for name in names]).alias("kinds")
-    )
-    named = spark.createDataFrame(list(uri_of.items()), "path string, uri string")
-    return named.join(stats, "uri", "left").select(
-        "path", F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"),
-        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-    )
+def _count_quotes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        counts = []
+        for path, start, end in batch[["path", "start", "end"]].itertuples(index=False):
+            total = 0
+            try:
+                filesystem, inner = open_filesystem(path)
+                with filesystem.open_input_file(inner) as stream:
+                    stream.seek(int(start))
+                    left = (1 << 62) if pd.isna(end) else int(end) - int(start)
+                    while left and (block := stream.read(min(left, BLOCK_BYTES))):
+                        total += block.count(b'"')
+                        left -= len(block)
+            except OSError as error:
+                log.warning("could not read table %s: %s", path, error)
+            counts.append(total)
+        yield batch[["path", "start", "end", "length"]].assign(quotes=counts)
 
 
-def _local_form(path: str) -> str:
-    """Local paths without their scheme, however they are spelled."""
-    return "/" + path[len("file:"):].lstrip("/") if path.startswith("file:") else path
-
-
-def _read_from():
-    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
-
-
-def summarise_csv(files: DataFrame, preview_rows: int, sep: str | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(path, length) -> header, first rows, column kinds and row count per file."""
-    spark = files.sparkSession
-    files = files.select("path", "length")
-    # Spark's reader drops _ and . names and reads others as patterns or
-    # escapes, so only plain names may be split.
-    plain = F.col("path").rlike(r"^[\w./:=+@-]+$") & ~F.col("path").rlike(r"/[_.][^/]*$")
-    splits = (F.col("length") > split_bytes) & plain
-    small = _spread(files.where(~splits)).mapInPandas(_summaries(preview_rows, sep, True), SUMMARY)
-    large = files.where(splits)
-    # Few by construction: at most one per SPLIT_BYTES of input, and the CSV
-    # reader's own file index keeps the same list on the driver.
-    large_paths = [row["path"] for row in large.select("path").collect()]
-    if not large_paths:
-        return small
-    heads = _spread(large).mapInPandas(_summaries(preview_rows, sep, False), SUMMARY).drop("kinds", "n_rows")
-    result = small
-    for one_sep in sorted({separator(path, sep) for path in large_paths}):
-        paths = [path for path in large_paths if separator(path, sep) == one_sep]
-        mine = heads.where(F.col("path").isin(*paths)) if len(large_paths) != len(paths) else heads
-        width = mine.agg(F.max(F.size("header"))).first()[0]
-        if width is None or width < 1:
-            stats = mine.select("path", F.array().cast("array<string>").alias("kinds"), F.lit(0).cast("long").alias("n_rows"))
-        else:
-            stats = _split_stats(spark, paths, width, one_sep)
-        result = result.unionByName(mine.join(stats, "path"))
-    return result
+def _names(header: list[str]) -> list[str]:
+    """Column names as the data-frame library gives them: none empty, none twice."""
+    names, counts = [], {}
+    for n, name in enumerate(header):
+        name = base = name or f"Unnamed: {n}"
+        while counts.get(name, 0):
+            counts[base] += 1
+            name = f"{base}.{counts[base] - 1}"
+        counts[name] = counts.get(name, 0) + 1
+        names.append(name)
+    return names
+
+
+def _kind(flags: list[bool]) -> str:
+    if flags[WHOLE]:
+        return "int" if flags[SIGNED] or flags[UNSIGNED] else "text"
+    return "float" if flags[REAL] else "bool" if flags[TRUTH] else "text"
+
+
+def _merge(rows: int):
+    def run(found: pd.DataFrame) -> pd.DataFrame:
+        """All ranges of one file; they are as many as its length has ranges."""
+        found = found.sort_values("start")
+        path = found["path"].iloc[0]
+        unreadable = pd.DataFrame([(path, None, None, None, 0)], columns=[p.split()[0] for p in SUMMARY.split(", ")])
+        if found["bad"].any() or found["start"].iloc[0] != 0:
+            return unreadable
+        parts = [list(map(list, x)) for x in found["first"]]
+        header, parts[0] = _names(parts[0][0]), parts[0][1:]
+        firsts = found["first_cells"].dropna()
+        # Where the first record has more cells than the header, the surplus leads as row labels.
+        lead = max(0, int(firsts.iloc[0]) - len(header)) if len(firsts) else 0
+        if found["most_cells"].max() > len(header) + lead:
+            return unreadable
+        flags = [[True] * 5 for _ in header]
+        for one in found["flags"]:
+            for own, more in zip(flags, list(one)[lead:]):
+                own[:] = [a and bool(b) for a, b in zip(own, more)]
+        preview = [r[lead:] + [""] * (len(header) + lead - len(r)) for part in parts for r in part][:rows]
+        preview = [[None if c in ABSENT else c for c in r[:len(header)]] for r in preview]
+        return pd.DataFrame([(path, header, preview, [_kind(f) for f in flags], int(found["n_rows"].sum()))],
+                            columns=[p.split()[0] for p in SUMMARY.split(", ")])
+
+    return run
+
+
+def summarise_csv(files: DataFrame, preview_rows: int, sep: str | None = None, split_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(path, length) -> header, first rows, column kinds and row count per file.
+
+    ``split_bytes`` is what a task reads at once; results do not depend on it.
+    """
+    files = files.select("path", F.coalesce("length", F.lit(0)).alias("length"))
+    last = F.greatest(F.floor((F.col("length") - 1) / split_bytes), F.lit(0)).cast("long")
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("n"), last.alias("last"))
+    ranges = ranges.select(
+        "path", (F.col("n") * split_bytes).alias("start"), F.when(F.col("n") < F.col("last"), (F.col("n") + 1) * split_bytes).alias("end"),
+        F.least("length", F.lit(split_bytes)).cast("long").alias("length"))
+    # A file of one range begins outside quotes and need not be looked at first.
+    several = _deal(ranges.where("start > 0 OR end IS NOT NULL")).mapInPandas(_count_quotes, "path string, start long, end long, length long, quotes long")
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    several = several.withColumn("quoted", F.coalesce(F.sum("quotes").over(before) % 2 == 1, F.lit(False))).drop("quotes")
+    single = ranges.where("start = 0 AND end IS NULL").withColumn("quoted", F.lit(False))
+    found = keep(_deal(single.unionByName(several)).mapInPandas(_read_ranges(preview_rows, sep), FOUND), "tables")
+    misled = found.groupBy("path").agg(F.bool_or("odd").alias("odd"), F.count("*").alias("n")).where("odd AND n > 1").select("path")
+    again = misled.select("path", F.lit(0).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(False).alias("quoted"))
+    found = found.join(misled, "path", "left_anti").unionByName(again.mapInPandas(_read_ranges(preview_rows, sep), FOUND))
+    return found.groupBy("path").applyInPandas(_merge(preview_rows), SUMMARY)
+
+
+def _deal(ranges: DataFrame) -> DataFrame:
+    """Ranges spread over the tasks; those of one file go apart."""
+    total = ranges.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(ranges.sparkSession.sparkContext.defaultParallelism, -(-total // (4 * RANGE_BYTES)))
+    return ranges.repartition(tasks, "path", "start")
