@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagemill.settings import CELL_JOIN, CODE_HEADING, IMAGE_HEADING, MISSING_CELL, PREVIEW_CHARS, PREVIEW_TAIL
+from passagemill.settings import CELL_JOIN, CODE_HEADING, ENCODINGS, IMAGE_HEADING, MISSING_CELL, PREVIEW_CHARS, PREVIEW_TAIL
 
 # The characters Python's str.strip() removes.
 WHITESPACE = (
@@ -15,8 +15,6 @@ WHITESPACE = (
     "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 )
 NON_BLANK = f"[^{WHITESPACE}]"
-# Encodings tried in turn; the last accepts every byte.
-ENCODINGS = ("utf-8", "utf-16", "latin-1")
 BYTE_ORDER_MARKS = (b"\xff\xfe", b"\xfe\xff")
 OUTER_BLANKS = f"^[{WHITESPACE}]+|[{WHITESPACE}]+\\z"
 

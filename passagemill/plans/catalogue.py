@@ -25,9 +25,9 @@ from passagemill.operators.status import store_info, store_status
 from passagemill.operators.userfuncs import answer, extract_text
 from passagemill.plans import inputs as I
 from passagemill.plans.ingest import document_columns, ingest, load_documents, rebuild
-from passagemill.plans.search import build_prompts, prepare_requests, search
+from passagemill.plans.search import answer_questions, build_prompts, prepare_requests, search
 from passagemill.schemas import DOCUMENTS
-from passagemill.session import keep, scratch_path
+from passagemill.session import delete_path, keep, scratch_path
 from passagemill.settings import PROMPT_TEMPLATE, Settings
 from passagemill.sources.csvfiles import scan_csv
 from passagemill.sources.manifest import read_manifest, write_manifest
@@ -355,6 +355,11 @@ def answer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_sources(to_answer_record(answered, hits))
 
 
+def answer_questions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, store = I.questions(spark, sf_dir), I.saved_document_store(spark, sf_dir)
+    return _flat_sources(answer_questions(asked, store, _load_echo, JOINED))
+
+
 def search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = parse_requests(I.request_bodies(spark, sf_dir)).drop("body")
     return _distance(search(requests, I.saved_document_store(spark, sf_dir)))
@@ -451,6 +456,31 @@ def search_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _distance(spark.read.parquet(f"{output}/batch=*"))
 
 
+def stream_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whatever was asked gets a reply."""
+    bodies, store, output, replies = (scratch_path(spark, label) for label in ("bodies", "store", "hits", "replies"))
+    I.request_bodies(spark, sf_dir).write.parquet(bodies)
+    create_store(I.document_store(spark, sf_dir), store)
+    arriving = spark.readStream.schema("q_id long, body string").parquet(bodies)
+    search_stream(arriving, store, output, scratch_path(spark, "progress"), replies=replies).awaitTermination()
+    found = F.get_json_object("response", "$.count").cast("long")
+    return spark.read.parquet(f"{replies}/batch=*").select("q_id", "status", "reason", found.alias("hits"))
+
+
+def ingest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of files already in the store, some turn blank, some vanish and some change."""
+    root = I.corpus_folder(spark, sf_dir)
+    store, manifest = scratch_path(spark, "store"), scratch_path(spark, "manifest")
+    ingest(spark, root, store, manifest, settings=WINDOWS)
+    rows = I.corpus_rows(spark, sf_dir, root).join(I.table(spark, sf_dir, "labels"), "doc_id")
+    text = F.when(F.col("quality") == 0, " \n").otherwise(F.concat(F.lit("again "), "source_name"))
+    rows = rows.withColumn("source_name", F.element_at(F.split("path", "/"), -1)).where("quality = 0 OR toxic = 1")
+    I.write_files(rows.select("path", text.alias("content")))
+    delete_path(spark, f"{root}/src0")
+    ingest(spark, root, store, manifest, settings=WINDOWS, drop_missing=True)
+    return load_store(spark, store).select("file_name", "chunk_no", "content")
+
+
 def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "documents").select("doc_id", content_preview(F.col("text")).alias("preview"))
 
@@ -506,6 +536,9 @@ QUERIES = {
     "hits_json": hits_json,
     "answers_echo": answers_echo,
     "answer_records": answer_records,
+    "answer_questions": answer_questions_query,
+    "stream_replies": stream_replies,
+    "ingest_changes": ingest_changes,
     "search": search_query,
     "store_info": store_info_query,
     "ingest_counts": ingest_counts_query,

@@ -73,12 +73,12 @@ def load_documents(
     at = processed_at(moment)
     # Table files are described from their path; images without a function
     # for them yield no document.
-    texts = with_file_names(read_texts(others, image_text))
+    texts = with_file_names(read_texts(others, image_text, settings.encodings))
     wrapped = texts.withColumn("content", wrap_content(F.col("text"), F.col("kind"), F.col("file_type")))
     documents = document_columns(filter_nonblank(wrapped), at)
     if tables.isEmpty():
         return documents
-    cards = csv_cards(tables, settings.preview_rows)
+    cards = csv_cards(tables, settings.preview_rows, settings.table_sep)
     described = with_file_names(tables.join(cards, "path"))
     return documents.unionByName(document_columns(filter_nonblank(described), at))
 

@@ -234,6 +234,10 @@ loaded AS (
 INGESTED = f"""WITH {CORPUS.replace('{cap}', '1048576')}, pieces AS ({_stripped_windows('loaded', 'path', 'content', 1000, 200)})
 SELECT path, chunk_no, piece AS content, 64::BIGINT AS dimension, md5(text) AS hash, file_size::BIGINT AS size FROM pieces"""
 
+CHANGED = "CASE WHEN quality = 0 THEN ' ' || chr(10) WHEN toxic = 1 THEN 'again ' || file_name ELSE text END"
+CHANGED_CORPUS = CORPUS.replace("file_name, text,", f"file_name, {CHANGED} AS text,").replace("strlen(text)", f"strlen({CHANGED})") \
+    .replace("FROM documents)", "FROM documents LEFT JOIN labels USING (doc_id) WHERE source <> 'src0')").replace("{cap}", "1048576")
+
 FILE_COLUMNS = "c_custkey, c_name, c_nationkey, c_mktsegment"
 CARD_ROW = (
     "'Row ' || row_no || ': c_custkey: ' || c_custkey || ' | c_name: ' || c_name || ' | c_nationkey: ' || c_nationkey"
@@ -282,6 +286,8 @@ ORACLES = {
         WHERE regexp_matches(content, '{NON_BLANK}')""",
     "ingest": INGESTED,
     "rebuild": INGESTED,
+    "ingest_changes": f"""WITH {CHANGED_CORPUS}, pieces AS ({_stripped_windows('loaded', 'path', 'content', 1000, 200)})
+        SELECT file_name, chunk_no, piece AS content FROM pieces""",
     "chunk_fixed": f"WITH {CHUNKS} SELECT path, chunk_no, chunk_id, content, file_type FROM chunks",
     "chunk_windows": f"""SELECT doc_id::VARCHAR AS path, chunk_no, md5(doc_id || '#' || chunk_no) AS chunk_id, piece AS content
         FROM ({_stripped_windows('documents', 'doc_id', 'text', 700, 300)})""",
@@ -334,9 +340,17 @@ ORACLES = {
         SELECT q_id, count(*) AS n, string_agg(source || '|' || file_name || '|' || file_type || '|' || file_size || '|' || content, '#' ORDER BY rank) AS results
         FROM hits GROUP BY q_id) SELECT q_id, query, coalesce(n, 0) AS count, coalesce(results, '') AS results FROM questions LEFT JOIN results USING (q_id)""",
     "answers_echo": f"WITH {PROMPTS} SELECT q_id, query, {ECHO} AS answer, length(prompt) % 2 = 0 AS answered FROM prompts",
+    "stream_replies": f"""WITH {BODIES}
+        SELECT q_id, CASE WHEN raw IS NULL OR query = '' THEN 'rejected' ELSE 'answered' END AS status,
+               CASE WHEN raw IS NULL THEN 'missing query' WHEN query = '' THEN 'empty query' END AS reason,
+               CASE WHEN raw IS NOT NULL AND query <> '' THEN least(k, CASE WHEN type0 = 'mmr' THEN fetch_k ELSE k END) END::BIGINT AS hits
+        FROM (SELECT *, coalesce(k0, 15) AS k, coalesce(fetch0, coalesce(k0, 15) * 3) AS fetch_k FROM checked)""",
     "answer_records": f"""WITH {PROMPTS}, {SOURCES}
         SELECT q_id, query, {ECHO} AS answer, CASE WHEN length(prompt) % 2 = 0 THEN coalesce(sources, '') ELSE '' END AS sources
         FROM prompts LEFT JOIN sources USING (q_id)""",
+    "answer_questions": f"""WITH {PROMPTS}, {SOURCES}
+        SELECT q_id, query, {ECHO} AS answer, CASE WHEN length(prompt) % 2 = 0 THEN coalesce(sources, '') ELSE '' END AS sources
+        FROM prompts LEFT JOIN sources USING (q_id)""",
     "search": SEARCHED,
     "store_info": """SELECT '.' || label AS file_type, count(embedding) AS vectors, count(DISTINCT label) AS documents, max(len(embedding))::INT AS dimension
         FROM embeddings GROUP BY label""",

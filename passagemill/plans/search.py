@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.operators.embedding import embed_hash
-from passagemill.operators.filters import valid_requests, validate_requests
-from passagemill.operators.hits import hit_columns, prompts
+from passagemill.operators.filters import rejected_requests, valid_requests, validate_requests
+from passagemill.operators.hits import hit_columns, prompts, to_answer_record
 from passagemill.operators.search import attach_content, knn_batch, mmr
+from passagemill.operators.userfuncs import answer
 from passagemill.plans.ingest import Embedder
 from passagemill.session import keep
 from passagemill.settings import Settings
@@ -42,6 +45,24 @@ def search(
     return hit_columns(attach_content(rank_requests(ready, store, settings), store, ready))
 
 
+def answer_questions(
+    requests: DataFrame, store: DataFrame, load: Callable[[], Callable[[str], str]], settings: Settings = Settings(),
+    embedder: Embedder = embed_hash,
+) -> DataFrame:
+    """Questions in, answer records out: (q_id, query, answer, sources) of every request.
+
+    ``load`` runs once per task and returns the function from prompt to text.
+    A request that is rejected, or on which the function fails, has the error
+    as its answer and no sources.
+    """
+    made, hits = build_prompts(requests, store, settings, embedder)
+    # Asked once each, whatever is done with the records.
+    answered = keep(answer(made, load).select("q_id", "query", "answer", "answered"), "answers")
+    refused = rejected_requests(validate_requests(requests)).select(
+        "q_id", "query", F.concat(F.lit("Error: "), "reason").alias("answer"), F.lit(False).alias("answered"))
+    return to_answer_record(answered.unionByName(refused), hits, settings.preview_chars)
+
+
 def build_prompts(
     requests: DataFrame, store: DataFrame, settings: Settings = Settings(), embedder: Embedder = embed_hash,
 ) -> tuple[DataFrame, DataFrame]:

@@ -27,6 +27,7 @@ from passagemill.functions.text import content_hash, decode_bytes
 from passagemill.operators.userfuncs import image_to_text
 from passagemill.schemas import FILES
 from passagemill.session import scratch_path
+from passagemill.settings import ENCODINGS
 
 log = logging.getLogger(__name__)
 
@@ -193,7 +194,7 @@ def hash_files(paths: DataFrame) -> DataFrame:
     return _spread(paths.select("path", "length")).mapInPandas(_hash_contents, HASHES)
 
 
-def _read_texts(image_text: Callable[[bytes], str] | None):
+def _read_texts(image_text: Callable[[bytes], str] | None, encodings: tuple[str, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kinds: dict[str, str] = {}
 
@@ -213,14 +214,16 @@ def _read_texts(image_text: Callable[[bytes], str] | None):
                     if kind == "image":
                         text = image_to_text(raw, image_text)
                     else:
-                        text = decode_bytes(raw).replace("\r\n", "\n").replace("\r", "\n")
+                        text = decode_bytes(raw, encodings).replace("\r\n", "\n").replace("\r", "\n")
                 rows.append((path, length, kind, digest, text))
             yield pd.DataFrame(rows, columns=["path", "length", "kind", "hash", "text"])
 
     return run
 
 
-def read_texts(paths: DataFrame, image_text: Callable[[bytes], str] | None = None) -> DataFrame:
+def read_texts(
+    paths: DataFrame, image_text: Callable[[bytes], str] | None = None, encodings: tuple[str, ...] = ENCODINGS,
+) -> DataFrame:
     """(path, length, kind) -> the same with ``hash`` and ``text``.
 
     The task that reads a file also decodes it, so bytes make no round trip.
@@ -228,7 +231,7 @@ def read_texts(paths: DataFrame, image_text: Callable[[bytes], str] | None = Non
     read only when there is a function for them.
     """
     wanted = paths if image_text is not None else paths.where("kind <> 'image'")
-    return _spread(wanted.select("path", "length", "kind")).mapInPandas(_read_texts(image_text), TEXTS)
+    return _spread(wanted.select("path", "length", "kind")).mapInPandas(_read_texts(image_text, encodings), TEXTS)
 
 
 def scan_files(spark: SparkSession, root: str, mode: str = "complete") -> DataFrame:
