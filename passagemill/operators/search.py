@@ -342,16 +342,15 @@ def knn_batch(
     # would compute embeddings that come from a function a second time.
     rows = store.select("chunk_id", "embedding")
     schema = _candidate_schema(requests, store)
-    one = queries.where("embedding is not null").select(F.size("embedding")).first()
-    if one is None:
+    dim, most = queries.agg(F.max(F.when(F.col("embedding").isNotNull(), F.size("embedding"))), F.max("k")).first()
+    if dim is None:
         return store.sparkSession.createDataFrame([], _ranked_schema(schema))
-    dim = one[0]
     block_rows = max(1, broadcast_bytes // (8 * max(1, dim)))
-    if queries.agg(F.max("k")).first()[0] <= RANK_K:
-        return rank_hits(_candidates(queries, rows, schema, metric, dim, block_rows, tile_rows))
+    if most <= RANK_K:
+        return rank_hits(_candidates(queries, rows, schema, metric, dim, block_rows, tile_rows), most)
     few = _candidates(queries.where(F.col("k") <= RANK_K), rows, schema, metric, dim, block_rows, tile_rows)
     many = _candidates(queries.where(F.col("k") > RANK_K), rows, schema, metric, dim, block_rows, tile_rows)
-    return rank_hits(few).unionByName(rank_long(many))
+    return rank_hits(few, RANK_K).unionByName(rank_long(many))
 
 
 def _candidates(
@@ -370,9 +369,11 @@ def _ranked_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([q, T.StructField("rank", T.LongType()), chunk, distance])
 
 
-def rank_hits(candidates: DataFrame) -> DataFrame:
+def rank_hits(candidates: DataFrame, most: int | None = None) -> DataFrame:
     """Number (q_id, chunk_id, distance, k) per request from 1 and keep ``k``.
 
+    ``most``, no less than any ``k``, lets Spark drop rows before the shuffle.
+
     Ranked in two levels: within a slice of the tasks' results, then among the
     survivors, so a request's candidates never meet in one task all at once.
     """
@@ -380,9 +381,12 @@ def rank_hits(candidates: DataFrame) -> DataFrame:
     sliced = candidates.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(MERGE_FANOUT)))
     within = Window.partitionBy("q_id", "slice").orderBy(*nearest)
     overall = Window.partitionBy("q_id").orderBy(*nearest)
+    wanted = F.col("rank") <= F.col("k")
+    if most is not None:
+        wanted = wanted & (F.col("rank") <= F.lit(int(most)))
     return (
-        sliced.withColumn("rank", F.row_number().over(within)).where("rank <= k")
-        .withColumn("rank", F.row_number().over(overall)).where("rank <= k")
+        sliced.withColumn("rank", F.row_number().over(within)).where(wanted)
+        .withColumn("rank", F.row_number().over(overall)).where(wanted)
         .select("q_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "distance")
     )
 

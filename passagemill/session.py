@@ -110,6 +110,11 @@ def scratch(spark: SparkSession, label: str) -> Iterator[str]:
     delete_path(spark, path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the work tables of all runs; no result that reads them may be in use."""
+    delete_path(spark, f"{shared_dir(spark)}/passagemill")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
