@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm import linededup
+from passagemill.llm import linededup, secrets, substrings
 from passagemill.llm.common import table
 from passagemill.llm.linededup import op3_line_dedup
 from passagemill.llm.decontaminate import op2_benchmark_decontamination
@@ -45,4 +45,6 @@ QUERIES = {
 
 ORACLES = {
     "op3_line_dedup": linededup.SQL,
+    "op6_secret_scan": secrets.SQL,
+    "op9_substring_dedup": substrings.SQL,
 }

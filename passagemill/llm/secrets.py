@@ -208,3 +208,34 @@ def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
     counts = [F.size(F.array_remove("spans.rank", n)) for n in range(len(BASE_RULES))]
     counts = [(F.size("spans") - c).cast("long").alias(f"n_{r.kind}") for c, r in zip(counts, BASE_RULES)]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def _sql() -> str:
+    """The same spans in SQL, every rule matched against every text."""
+    parts = []
+    for rank, rule in enumerate(RULES):
+        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+        parts.append(f"""
+  SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, lengths[n] AS part,
+         coalesce(list_sum(gaps[1:n]), 0) + coalesce(list_sum(wholes[1:n - 1]), 0) AS start,
+         coalesce(list_sum(gaps[1:n]), 0) + list_sum(wholes[1:n]) AS stop, {rule.least} AS least
+  FROM (SELECT *, unnest(range(1, len(wholes) + 1)) AS n FROM (
+    SELECT doc_id, list_transform(string_split_regex(text, {pattern}), lambda x: length(x)) AS gaps,
+           list_transform(regexp_extract_all(text, {pattern}), lambda x: length(x)) AS wholes,
+           list_transform(regexp_extract_all(text, {pattern}, {rule.group}), lambda x: length(x)) AS lengths
+    FROM texts WHERE regexp_matches(text, {pattern})))""")
+    counts = ", ".join(f"count(*) FILTER (rank = {n}) AS n_{r.kind}" for n, r in enumerate(BASE_RULES))
+    listed = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
+    zeros = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(parts)}),
+grouped AS (
+  SELECT doc_id, {counts}, {listed} FILTER (rank < {len(BASE_RULES)}) AS base, {listed} AS spans
+  FROM found WHERE part >= least GROUP BY doc_id)
+SELECT doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN grouped USING (doc_id)
+"""
+
+
+SQL = _sql()

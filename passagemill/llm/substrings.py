@@ -310,3 +310,25 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, leaves: int = GROUP_LE
     keyed = hit.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(NULL_ID)), F.lit(buckets)).cast("long"))
     done = keyed.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(cut, KEPT)
     return done.unionByName(rest.mapInArrow(whole, KEPT))
+
+
+SQL = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), single AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM texts
+), suffixes AS (
+  SELECT doc_id, pos, string_agg(word, ' ') OVER w AS start, count(*) OVER w AS n
+  FROM single WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+), windows AS (
+  SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY start) AS first FROM suffixes WHERE n = 13
+), covered AS (
+  SELECT DISTINCT doc_id, pos + k AS pos FROM windows, range(13) AS r(k) WHERE first < doc_id
+), counted AS (
+  SELECT s.doc_id, count(*) AS n_words, count(c.pos) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY s.pos) FILTER (WHERE c.pos IS NULL), '') AS kept
+  FROM single s LEFT JOIN covered c ON s.doc_id = c.doc_id AND s.pos = c.pos GROUP BY s.doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN counted USING (doc_id)
+"""
