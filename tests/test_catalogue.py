@@ -9,11 +9,12 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as entry  # noqa: E402
+from passagemill.plans import catalogue  # noqa: E402
 from tools.check_oracles import TABLES, rows_of  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name in catalogue.QUERIES}
+ORACLES = {name: text for name, text in entry.oracle_sql().items() if name in catalogue.QUERIES}
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +26,7 @@ def sql():
 
 
 def test_oracles_name_queries():
+    assert set(QUERIES) == set(catalogue.QUERIES)
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {"chunk_recursive", "embed_word2vec"}
 
