@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import table
+from passagemill.llm.common import split_by_ids, table
 from passagemill.session import keep
 
 SLOTS = 1 << 14
@@ -244,10 +244,13 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with all columns."""
-    verdicts = classify(docs, labels, threshold=threshold).groupBy("doc_id").agg(F.min("predicted").alias("__predicted"))
-    good = verdicts.where("__predicted = 1").select(F.col("doc_id").alias("__id"))
-    return docs.join(good, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of ``docs`` that the classifier does not reject, with all columns.
+
+    Rows that share a doc_id go together, if the classifier rejects one of them.
+    """
+    # The rejected are the shorter list; while it is short, the texts need no shuffle to meet it.
+    rejected = keep(classify(docs, labels, threshold=threshold).where("predicted = 0").select("doc_id").distinct(), "rejected")
+    return split_by_ids(docs, rejected, "doc_id")[1]
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import components
+from passagemill.llm.common import components, split_by_ids
 from passagemill.session import keep
 
 SHINGLE_WORDS = 4
@@ -214,12 +214,13 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, ma
 
     Rows that repeat a doc_id are one document: one of them stays.
     """
-    kept = near_duplicates(docs, shingle_words, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = keep(kept.groupBy("doc_id").agg(F.count("*").alias("__rows")), "kept")
-    repeated = kept.where("__rows > 1").select("doc_id")
-    once = kept.where("__rows = 1").select(F.col("doc_id").alias("__id"))
-    single = docs.join(once, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    found = near_duplicates(docs, shingle_words, max_bits)
+    found = keep(found.groupBy("doc_id").agg(
+        F.count("*").alias("rows"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")), "found")
+    # What goes is the shorter list; while it is short, the texts need no shuffle to meet it.
+    _, rest = split_by_ids(docs, keep(found.where("NOT stays").select("doc_id"), "dropped"), "doc_id")
+    repeated = keep(found.where("stays AND rows > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
-        return single
-    again = docs.join(repeated.select(F.col("doc_id").alias("__id")), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+        return rest
+    again, single = split_by_ids(rest, repeated, "doc_id")
     return single.unionByName(again.dropDuplicates(["doc_id"]))
