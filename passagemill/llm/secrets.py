@@ -15,7 +15,6 @@ the same expression: ``split`` gives the lengths between the matches and
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from re import _constants as kinds
 from re import _parser as parser

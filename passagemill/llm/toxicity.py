@@ -374,7 +374,8 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
         .otherwise(int(min(1.0, TRAIN_NEGATIVE / max(1, many.get(0, 0))) * (1 << 30)))
     short = F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS
     # The sample's labels are a bounded list, so the texts need no shuffle to meet it.
-    rows = docs.where(short).join(F.broadcast(known.where(draw < limit)), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    rows = docs.where(short).join(F.broadcast(known.where(draw < limit)), "doc_id") \
+        .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
     rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").orderBy("doc_id").toArrow()
     return rows.column("text").to_pylist(), rows.column("toxic").to_numpy().astype(np.float64)
 
