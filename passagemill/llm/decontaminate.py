@@ -76,8 +76,8 @@ class Tokens(dict):
         value = self[word] = xxhash.xxh64_intdigest(low) & ~15 | kind | ends << 3
         return value
 
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: its hash in the template, its own hash, whether it is a slot."""
+    def template(self, text: str) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """The text's templates, each with what is a slot in it, and the tokens' own hashes."""
         if len(self) > self.SIZE:
             self.clear()
         lines = [words for line in text.split("\n") if (words := line.split())]
@@ -86,7 +86,7 @@ class Tokens(dict):
         return self._resolve(found & np.uint64(~15 & (1 << 64) - 1), found & np.uint64(7), (found & np.uint64(8)) > 0, lines)
 
     @staticmethod
-    def _resolve(own, kind, ends, lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _resolve(own, kind, ends, lines) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
         first = np.zeros(len(own), bool)
         if len(own):
             first[np.r_[0, np.cumsum([len(x) for x in lines])[:-1]]] = True
@@ -97,40 +97,55 @@ class Tokens(dict):
         own, kind = own[used], kind[used]
         before = np.r_[-1, np.flatnonzero(used)[:-1]] if len(own) else np.zeros(0, np.int64)
         start = start[used] > before
-        template = own.copy()
+        values = own.copy()
         number = kind == NUMBER_KIND
-        template[number] = PLACEHOLDERS["number"]
+        values[number] = PLACEHOLDERS["number"]
         unit = (kind == UNIT) & np.r_[False, number[:-1]] if len(own) else number
-        template[unit] = PLACEHOLDERS["unit"]
+        values[unit] = PLACEHOLDERS["unit"]
+        measure = kind == MEASURE_KIND
+        values[measure] = PLACEHOLDERS["measure"]
+        value = number | unit | measure
         # A sentence's first word is a name if it is one inside a sentence, too.
         title = kind == TITLE
         name = title & ~start
         if name.any():
             name |= title & np.isin(own, own[name])
-        template[name] = PLACEHOLDERS["name"]
-        measure = kind == MEASURE_KIND
-        template[measure] = PLACEHOLDERS["measure"]
-        return template, own, number | unit | name | measure
-
+        # What surrounds a passage has a say in that; it has none where all such words are names, or no words are.
+        kinds = [name, *([title] if (title & ~name).any() else []), *([np.zeros_like(name)] if name.any() else [])]
+        return [(np.where(k, PLACEHOLDERS["name"], values), value | k) for k in kinds], own
 
-def _windows(template: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows, and which of them are evidence."""
-    hashes = rolling(template, width) ^ np.uint64(width)
-    slots = np.r_[0, np.cumsum(slot)]
-    return hashes, width - (slots[width:] - slots[:-width])[:len(hashes)] >= LITERALS * width
 
+def _windows(templates: list[tuple[np.ndarray, np.ndarray]], own: np.ndarray, width: int, literals: bool) -> Iterator[tuple]:
+    """Hashes of the windows, which of them to take, and what is a slot, for each template and for the words themselves.
 
-WINDOW_ROWS = "id long, row long, tokens int, at int, width int, hash long, slots array<struct<at:int,value:long>>"
+    ``literals`` takes those that are evidence; literal are words that the text's surroundings make no slots.
+    A window that an earlier template has is not taken again.
+    """
+    slots = np.r_[0, np.cumsum(templates[0][1])]
+    evidence = width - (slots[width:] - slots[:-width])[:max(0, len(own) - width + 1)] >= LITERALS * width
+    earlier: list[np.ndarray] = []
+    for template, slot in [*templates, (own, np.zeros(len(own), bool))]:
+        hashes = rolling(template, width) ^ np.uint64(width)
+        wanted = evidence.copy() if literals else np.ones(len(hashes), bool)
+        for h in earlier:
+            wanted &= hashes != h
+        earlier.append(hashes)
+        yield hashes, wanted, slot
+
+
+WINDOW_ROWS = "id long, row long, tokens int, at int, width int, hash long, slots array<struct<at:int,value:long>>, fixed array<struct<at:int,value:long>>"
+PLACES = pa.list_(pa.struct([("at", pa.int32()), ("value", pa.int64())]))
 ARROW_ROWS = pa.schema([
     ("id", pa.int64()), ("row", pa.int64()), ("tokens", pa.int32()), ("at", pa.int32()), ("width", pa.int32()), ("hash", pa.int64()),
-    ("slots", pa.list_(pa.struct([("at", pa.int32()), ("value", pa.int64())])))])
+    ("slots", PLACES), ("fixed", PLACES)])
 
 
 def template_windows(texts: DataFrame, widths: list[int] | None, bitmap: bytes | None = None) -> DataFrame:
     """Template windows of ``texts`` (id, row, text), with the slots in them.
 
-    Without ``widths`` a text has the windows of its own width: WINDOW, or all
-    its tokens if it has fewer. ``bitmap`` lets through what may be wanted.
+    Without ``widths`` a text is an item and has the windows of its own width:
+    WINDOW, or all its tokens if it has fewer. ``fixed`` are then its slots that
+    a window's template holds as they are. ``bitmap`` lets through what may be wanted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,16 +154,20 @@ def template_windows(texts: DataFrame, widths: list[int] | None, bitmap: bytes |
         for batch in batches:
             out = []
             for n, (id_, row) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                template, own, slot = tokens.template(batch.column(2)[n].as_py() or "")
-                for width in widths or [min(WINDOW, len(template))]:
-                    if not width or len(template) < width:
+                templates, own = tokens.template(batch.column(2)[n].as_py() or "")
+
+                def places(which: np.ndarray, at: int, width: int) -> list[dict]:
+                    return [{"at": k, "value": int(own[at + k].view(np.int64))} for k in np.flatnonzero(which[at:at + width]).tolist()]
+
+                for width in widths or [min(WINDOW, len(own))]:
+                    if not width or len(own) < width:
                         continue
-                    hashes, wanted = _windows(template, slot, width)
-                    if bits is not None:
-                        wanted &= bits[(hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)]
-                    for at in np.flatnonzero(wanted).tolist():
-                        slots = [{"at": k, "value": int(own[at + k].view(np.int64))} for k in np.flatnonzero(slot[at:at + width]).tolist()]
-                        out.append((id_, row, len(template), at, width, int(hashes[at].view(np.int64)), slots))
+                    for hashes, wanted, slot in _windows(templates, own, width, widths is None):
+                        if bits is not None:
+                            wanted &= bits[(hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)]
+                        fixed = templates[0][1] & ~slot if widths is None else np.zeros(len(own), bool)
+                        for at in np.flatnonzero(wanted).tolist():
+                            out.append((id_, row, len(own), at, width, int(hashes[at].view(np.int64)), places(slot, at, width), places(fixed, at, width)))
             columns = list(zip(*out)) or [()] * len(ARROW_ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW_ROWS)], schema=ARROW_ROWS)
 
@@ -193,9 +212,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataFra
     found = template_windows(texts, widths or [WINDOW], _bitmap(items))
     item = items.select(
         F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("tokens").alias("item_tokens"), "hash", F.col("at").alias("item_at"),
-        F.col("slots").alias("item_slots"))
+        F.col("slots").alias("item_slots"), "fixed")
     pairs = found.select(F.col("id").alias("doc_id"), "row", "at", "width", "hash", "slots").join(item, "hash")
-    values = F.zip_with("item_slots", "slots", lambda i, d: F.struct(i["value"].alias("item"), d["value"].alias("doc")))
+    values = F.concat(
+        F.zip_with("item_slots", "slots", lambda i, d: F.struct(i["value"].alias("item"), d["value"].alias("doc"))),
+        F.transform("fixed", lambda i: F.struct(i["value"].alias("item"), i["value"].alias("doc"))))
     keys = ["doc_id", "row", "item_id", "item_row", "item_tokens", "width"]
     lined = pairs.groupBy(*keys, (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
         F.array_sort(F.collect_set("item_at")).alias("places"), F.array_distinct(F.flatten(F.collect_list(values))).alias("values"))

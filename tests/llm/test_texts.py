@@ -192,3 +192,22 @@ def test_leaks(spark):
     assert sorted(str(r.doc_id) for r in decontaminate.drop_leaks(docs, items).collect()) == ["2", "3", "4", "6", "8", "9"]
     assert decontaminate.find_leaks(docs.limit(0), items).collect() == []
     assert decontaminate.find_leaks(docs, items.limit(0)).collect() == []
+
+
+WHAT = "What is the total price of all the books that Maria carried home from the old market?"
+
+
+def leaks_of(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(docs, rows).collect()}
+
+
+def test_leaks_are_found_whatever_surrounds_them(spark):
+    """A verbatim item, in mid-line, in capitals and where its first words are capitalised elsewhere, and one with another name."""
+    short = "The capital of Norway is called Oslo"
+    texts = ["so then " + WHAT, WHAT.upper(), "the novel What Is The Total Of All began. " * 40 + WHAT, "so then " + WHAT.replace("Maria", "Anna"),
+             "we know The capital of Norway is called Oslo", short.upper(), ITEMS[0][1].upper(), WHAT.lower()]
+    got = leaks_of(spark, texts, [WHAT, short, ITEMS[0][1]])
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 2), (7, 0)}
+    assert {k for k, r in got.items() if r.n_changed} == {(3, 0)}
