@@ -31,7 +31,7 @@ from passagemill.session import keep
 WINDOW = 8
 #: Tokens in a row that must match; a shorter item must match whole.
 RUN = 13
-#: A window with fewer literal tokens than this share is no evidence.
+#: A window with fewer literal tokens than this share is evidence only with the very values of its slots.
 LITERALS = 0.5
 BITMAP_BITS = 24
 
@@ -118,18 +118,18 @@ class Tokens(dict):
 def _windows(templates: list[tuple[np.ndarray, np.ndarray]], own: np.ndarray, width: int, literals: bool) -> Iterator[tuple]:
     """Hashes of the windows, which of them to take, and what is a slot, for each template and for the words themselves.
 
-    ``literals`` takes those that are evidence; literal are words that the text's surroundings make no slots.
-    A window that an earlier template has is not taken again.
+    ``literals`` takes a template's only if they are evidence (literal are words that the text's surroundings make
+    no slots); windows of the words themselves, slots included, always are. One that is taken is not taken again.
     """
     slots = np.r_[0, np.cumsum(templates[0][1])]
     evidence = width - (slots[width:] - slots[:-width])[:max(0, len(own) - width + 1)] >= LITERALS * width
-    earlier: list[np.ndarray] = []
-    for template, slot in [*templates, (own, np.zeros(len(own), bool))]:
+    earlier: list[tuple[np.ndarray, np.ndarray]] = []
+    for template, slot in [(own, np.zeros(len(own), bool)), *templates]:
         hashes = rolling(template, width) ^ np.uint64(width)
-        wanted = evidence.copy() if literals else np.ones(len(hashes), bool)
-        for h in earlier:
-            wanted &= hashes != h
-        earlier.append(hashes)
+        wanted = evidence.copy() if literals and template is not own else np.ones(len(hashes), bool)
+        for h, taken in earlier:
+            wanted &= ~taken | (hashes != h)
+        earlier.append((hashes, wanted.copy()))
         yield hashes, wanted, slot
 
 

@@ -211,3 +211,12 @@ def test_leaks_are_found_whatever_surrounds_them(spark):
     got = leaks_of(spark, texts, [WHAT, short, ITEMS[0][1]])
     assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 2), (7, 0)}
     assert {k for k, r in got.items() if r.n_changed} == {(3, 0)}
+
+
+def test_exact_copies_of_items_with_few_literal_words_are_found(spark):
+    items = ["Compute 12 + 45 + 78 + 90 + 33", "Alice Bob Carol Dave Erin Frank Grace Heidi Ivan Judy Karl Lena Mona Nils",
+             "Add 1 2 3 4 5 6 7 to the sum of them", "9 8 7 6 5 4 3 2 1 9 8 7 6 5 4"]
+    texts = ["so " + x + " then" for x in items] + ["Compute 13 + 45 + 78 + 90 + 33", items[1].replace("Grace", "Gina"), items[3].replace("2", "0")]
+    got = leaks_of(spark, texts, items)
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3)}
+    assert all(r.n_changed == 0 for r in got.values())
