@@ -6,8 +6,11 @@ Windows of template tokens are hashed; those of the documents meet those of
 the benchmark in a hash join. Matches of one document and item line up on a
 diagonal (the difference of their positions), and there the slots must be
 consistent: whatever stands in the document for a slot's value in the item
-must be the same wherever that value occurs. A document holds an item if
-``run`` consecutive tokens, or all of a shorter item, match that way.
+must be the same wherever that value occurs in the stretch. A document holds an
+item if ``run`` consecutive tokens, or all of a shorter item, match that way.
+What is a name does not depend on a passage's surroundings: windows with all
+capitalised words as names, and with none, meet as well, and so do windows of
+the words themselves, for which no literal words are needed.
 
 Documents' windows pass a bitmap of the benchmark's hashes first. Its size is
 fixed, whatever the benchmark's; what passes it by chance ends in the join.
@@ -196,6 +199,53 @@ def _longest_run(places: Column) -> Column:
     return F.aggregate(places, state, step, lambda s: s["best"])
 
 
+def _stretch(places: list[int], width: int, values: dict[int, tuple[int, int]]) -> tuple[int, int, int]:
+    """Tokens, distinct slots and changed ones of the longest stretch of a diagonal that is matched and consistent.
+
+    ``places`` are the matched windows, ascending, and ``values`` the values in
+    item and document of each slot's place. Of stretches as long, the one with
+    the fewest changes is returned.
+    """
+    best = (0, 0, 0)
+    begin = 0
+    for end in range(1, len(places) + 1):
+        if end < len(places) and places[end] == places[end - 1] + 1:
+            continue
+        left, last = places[begin], places[end - 1] + width
+        begin = end
+        # Of each slot's value in the item: the one it has in the document, and where it was last.
+        seen: dict[int, tuple[int, int]] = {}
+        cuts = []
+        for at in range(left, last):
+            if at in values:
+                item, doc = values[at]
+                if item in seen and seen[item][0] != doc and seen[item][1] >= left:
+                    cuts.append((left, at))
+                    left = seen[item][1] + 1
+                seen[item] = doc, at
+        for a, b in [*cuts, (left, last)]:
+            if b - a >= best[0]:
+                pairs = {values[at] for at in range(a, b) if at in values}
+                best = max(best, (b - a, -sum(i != d for i, d in pairs), len(pairs)))
+    return best[0], best[2], -best[1]
+
+
+def _stretches(lined: DataFrame) -> DataFrame:
+    """doc_id, row, item_id, item_tokens, matched_tokens, n_slots and n_changed of each diagonal."""
+    keys = ["doc_id", "row", "item_id", "item_tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for places, width, values in zip(*(batch.column(x) for x in ("places", "width", "values"))):
+                found.append(_stretch(places.as_py(), width.as_py(), {v["at"]: (v["item"], v["doc"]) for v in values.as_py()}))
+            columns = [pa.array([f[k] for f in found], pa.int32()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *columns], [*keys, "matched_tokens", "n_slots", "n_changed"])
+
+    return lined.select(*keys, "places", "width", "values").mapInArrow(
+        run, "doc_id long, row long, item_id long, item_tokens int, matched_tokens int, n_slots int, n_changed int")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataFrame:
     """doc_id, item_id, item_tokens, matched_tokens, n_slots, n_changed for each
     item that a document holds; n_changed counts slots with another value.
@@ -215,16 +265,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataFra
         F.col("slots").alias("item_slots"), "fixed")
     pairs = found.select(F.col("id").alias("doc_id"), "row", "at", "width", "hash", "slots").join(item, "hash")
     values = F.concat(
-        F.zip_with("item_slots", "slots", lambda i, d: F.struct(i["value"].alias("item"), d["value"].alias("doc"))),
-        F.transform("fixed", lambda i: F.struct(i["value"].alias("item"), i["value"].alias("doc"))))
+        F.zip_with("item_slots", "slots", lambda i, d: F.struct((F.col("item_at") + i["at"]).alias("at"), i["value"].alias("item"), d["value"].alias("doc"))),
+        F.transform("fixed", lambda i: F.struct((F.col("item_at") + i["at"]).alias("at"), i["value"].alias("item"), i["value"].alias("doc"))))
     keys = ["doc_id", "row", "item_id", "item_row", "item_tokens", "width"]
     lined = pairs.groupBy(*keys, (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
         F.array_sort(F.collect_set("item_at")).alias("places"), F.array_distinct(F.flatten(F.collect_list(values))).alias("values"))
-    lined = lined.where(F.size("values") == F.size(F.array_distinct("values.item")))
-    lined = lined.withColumn("matched_tokens", _longest_run(F.col("places")) + F.col("width") - 1)
-    held = lined.where(F.col("matched_tokens") >= F.least("item_tokens", F.lit(run)))
-    changed = F.size(F.filter("values", lambda v: v["item"] != v["doc"]))
-    best = F.max(F.struct("matched_tokens", (-changed).alias("same"), F.size("values").alias("n_slots"), "item_tokens"))
+    least = F.least("item_tokens", F.lit(run))
+    held = _stretches(lined.where(_longest_run(F.col("places")) + F.col("width") - 1 >= least)).where(F.col("matched_tokens") >= least)
+    best = F.max(F.struct("matched_tokens", (-F.col("n_changed")).alias("same"), "n_slots", "item_tokens"))
     return held.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
         "doc_id", "item_id", "b.item_tokens", "b.matched_tokens", "b.n_slots", (-F.col("b.same")).alias("n_changed"))
 

@@ -220,3 +220,23 @@ def test_exact_copies_of_items_with_few_literal_words_are_found(spark):
     got = leaks_of(spark, texts, items)
     assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3)}
     assert all(r.n_changed == 0 for r in got.values())
+
+
+def test_a_consistent_stretch_counts_beside_an_edited_slot(spark):
+    """One of two occurrences of a value edited, far from a long verbatim run, and near it on either side."""
+    tail = " ".join(f"word{chr(97 + n % 26)}{chr(97 + n // 26)}" for n in range(50))
+    item = "there Alice paid 7 dollars and " + tail + " and then Alice paid 7 dollars again"
+    close = "one Alice sat by a Alice and one Alice by b Alice"
+    texts = [item[::-1].replace("7", "8", 1)[::-1], item.replace("7", "8", 1), item.replace("Alice", "Bob", 1), item.replace("Alice", "Bob"),
+             "one Bob sat by a Carl and one Bob by b Carl"]
+    got = leaks_of(spark, texts, [item, close])
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 0)}
+    assert got[(3, 0)].n_changed == 1 and got[(3, 0)].matched_tokens == got[(3, 0)].item_tokens
+    assert all(got[(n, 0)].n_changed <= 1 and got[(n, 0)].matched_tokens >= 50 for n in range(3))
+
+
+def test_stretches():
+    values = {1: (1, 1), 20: (1, 2), 30: (1, 2)}
+    assert decontaminate._stretch(list(range(33)), 8, values) == (38, 1, 1)
+    assert decontaminate._stretch([0, 1, 2, 19, 20], 8, values) == (10, 1, 0)
+    assert decontaminate._stretch([5], 8, {}) == (8, 0, 0)
