@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,21 +22,32 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def split_by_ids(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows whose key is among ``ids``, and the others.
+def split_by_ids(rows: DataFrame, ids: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose keys are among ``ids``, and the others.
 
-    ``ids`` (one column ``key``, distinct, a written table) is broadcast only if
+    ``ids`` (columns ``keys``, distinct, a written table) is broadcast only if
     it is small, so that the texts of ``rows`` stay where they are; beyond that
     both sides are shuffled. Nulls are equal to each other.
     """
     count = ids.count()
-    other = ids.select(F.col(key).alias("__id"))
-    if count * 16 <= BROADCAST_BYTES:
+    other = ids.select(*(F.col(key).alias(f"__other_{n}") for n, key in enumerate(keys)))
+    if count * 16 * len(keys) <= BROADCAST_BYTES:
         other = F.broadcast(other)
-    same = rows[key].eqNullSafe(F.col("__id"))
+    same = reduce(Column.__and__, (rows[key].eqNullSafe(F.col(f"__other_{n}")) for n, key in enumerate(keys)))
     return rows.join(other, same, "left_semi"), rows.join(other, same, "left_anti")
 
 
+def row_of() -> Column:
+    """What tells rows with one doc_id, or none, apart: a hash of the text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text are not among ``gone`` (doc_id, row; distinct, a written table)."""
+    gone = gone.select("doc_id", F.col("row").alias("__row"))
+    return split_by_ids(docs.withColumn("__row", row_of()), gone, "doc_id", "__row")[1].drop("__row")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (u, v): a row (u, v) for each vertex u
     with an edge, v being the smallest vertex of its component (v = u left out).

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import split_by_ids, table
+from passagemill.llm.common import row_of, table, without_rows
 from passagemill.llm.substrings import rolling
 from passagemill.session import keep
 
@@ -246,19 +246,12 @@ def _stretches(lined: DataFrame) -> DataFrame:
         run, "doc_id long, row long, item_id long, item_tokens int, matched_tokens int, n_slots int, n_changed int")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id, item_id, item_tokens, matched_tokens, n_slots, n_changed for each
-    item that a document holds; n_changed counts slots with another value.
-
-    ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns
-    are not read. Null and empty texts hold nothing and are in nothing. Rows
-    that repeat doc_id and text, or an item, count once; of rows that share only
-    the doc_id each is judged, and the best match is returned.
-    """
+def _held(docs: DataFrame, benchmark: DataFrame, run: int) -> DataFrame:
+    """The stretches of each text (doc_id, row) that count for an item."""
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
     items = keep(template_windows(items.dropDuplicates(["id", "row"]), None), "items")
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), row_of().alias("row"), F.col("text").cast("string").alias("text"))
     found = template_windows(texts, widths or [WINDOW], _bitmap(items))
     item = items.select(
         F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("tokens").alias("item_tokens"), "hash", F.col("at").alias("item_at"),
@@ -271,16 +264,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataFra
     lined = pairs.groupBy(*keys, (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
         F.array_sort(F.collect_set("item_at")).alias("places"), F.array_distinct(F.flatten(F.collect_list(values))).alias("values"))
     least = F.least("item_tokens", F.lit(run))
-    held = _stretches(lined.where(_longest_run(F.col("places")) + F.col("width") - 1 >= least)).where(F.col("matched_tokens") >= least)
+    return _stretches(lined.where(_longest_run(F.col("places")) + F.col("width") - 1 >= least)).where(F.col("matched_tokens") >= least)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataFrame:
+    """doc_id, item_id, item_tokens, matched_tokens, n_slots, n_changed for each
+    item that a document holds; n_changed counts slots with another value.
+
+    ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns
+    are not read. Null and empty texts hold nothing and are in nothing. Rows
+    that repeat doc_id and text, or an item, count once; of rows that share only
+    the doc_id each is judged, and the best match is returned.
+    """
+    held = _held(docs, benchmark, run)
     best = F.max(F.struct("matched_tokens", (-F.col("n_changed")).alias("same"), "n_slots", "item_tokens"))
     return held.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
         "doc_id", "item_id", "b.item_tokens", "b.matched_tokens", "b.n_slots", (-F.col("b.same")).alias("n_changed"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id holds no benchmark item, with all columns."""
-    leaked = keep(find_leaks(docs, benchmark).select("doc_id").distinct(), "leaked")
-    return split_by_ids(docs, leaked, "doc_id")[1]
+    """The rows of ``docs`` whose text holds no benchmark item, with all columns."""
+    leaked = keep(_held(docs, benchmark, RUN).select("doc_id", "row").distinct(), "leaked")
+    return without_rows(docs, leaked)
 
 
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

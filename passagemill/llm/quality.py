@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import split_by_ids, table
+from passagemill.llm.common import row_of, table, without_rows
 from passagemill.session import keep
 
 SLOTS = 1 << 14
@@ -144,16 +144,16 @@ def pool(slots: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """doc_id and pooled features (packed floats) of every row of ``docs``."""
+    """doc_id, the hash ``row`` of its text, and pooled features (packed floats) of every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Slots()
         for batch in batches:
             pooled = [pool(slots.of(text), vectors).tobytes() for text in _texts([batch], 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pooled, pa.binary())], ["doc_id", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(pooled, pa.binary())], ["doc_id", "row", "features"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, features binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_of().alias("row"))
+    return rows.mapInArrow(run, "doc_id long, row long, features binary")
 
 
 @dataclass
@@ -221,6 +221,11 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, t
     of several labels of a doc_id the smallest is. Without labels of both kinds
     the score is their share.
     """
+    return _classified(docs, labels, train_rows, threshold).drop("row")
+
+
+def _classified(docs: DataFrame, labels: DataFrame, train_rows: int, threshold: float) -> DataFrame:
+    """What ``classify`` returns, and the hash ``row`` of each text."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~is_held_out())
     known = keep(known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")), "labels")
     marked = keep(features(docs, word_vectors(docs)), "features")
@@ -236,21 +241,22 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, POOLED)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.score(x.astype(np.float64)), pa.float64())], ["doc_id", "score"])
+            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, POOLED)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(net.score(x.astype(np.float64)), pa.float64())], ["doc_id", "row", "score"])
 
-    scored = marked.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = marked.mapInArrow(run, "doc_id long, row long, score double")
+    return scored.select("doc_id", "row", is_held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with all columns.
 
-    Rows that share a doc_id go together, if the classifier rejects one of them.
+    Rows that share a doc_id, or have none, are judged each by its own text.
     """
     # The rejected are the shorter list; while it is short, the texts need no shuffle to meet it.
-    rejected = keep(classify(docs, labels, threshold=threshold).where("predicted = 0").select("doc_id").distinct(), "rejected")
-    return split_by_ids(docs, rejected, "doc_id")[1]
+    rejected = keep(_classified(docs, labels, TRAIN_ROWS, threshold).where("predicted = 0").select("doc_id", "row").distinct(), "rejected")
+    return without_rows(docs, rejected)
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import components, split_by_ids
+from passagemill.llm.common import components, row_of, split_by_ids, without_rows
 from passagemill.session import keep
 
 SHINGLE_WORDS = 4
@@ -60,16 +60,16 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and its fingerprint ``fp`` as a signed long; a null text is empty."""
+    """doc_id, the hash ``row`` of its text, and its fingerprint ``fp`` as a signed long; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             found = np.fromiter((fingerprint(t.as_py() or b"", shingle_words) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["doc_id", "row", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_of().alias("row"))
+    return rows.mapInArrow(run, "doc_id long, row long, fp long")
 
 
 class Forest:
@@ -189,6 +189,13 @@ def link_shards(distinct: DataFrame, max_bits: int = MAX_BITS, shard_rows: int =
     return tasks.mapInArrow(run, "u long, v long")
 
 
+def _rooted(distinct: DataFrame, max_bits: int, shard_rows: int) -> DataFrame:
+    """fp, least and the component's ``root`` of distinct fingerprints (fp, least)."""
+    roots = components(link_shards(distinct.select("fp"), max_bits, shard_rows))
+    return distinct.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left") \
+        .select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
                     shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, fingerprint, component_id of every row of ``docs`` (doc_id, text).
@@ -201,26 +208,30 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     """
     marked = keep(fingerprints(docs, shingle_words), "fingerprints")
     distinct = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(link_shards(distinct.select("fp"), max_bits, shard_rows))
-    rooted = distinct.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left") \
-        .select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(distinct, max_bits, shard_rows)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return marked.join(named, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The document of each group whose id is its component's, with all its columns.
+    """The document of each component with the smallest doc_id, with all its columns.
 
-    Rows that repeat a doc_id are one document: one of them stays.
+    Rows that repeat a doc_id and its text are one document: one of them stays.
+    Other texts of a doc_id are other documents, and so are those without one;
+    these come after all others, and of several the one with the smallest hash stays.
     """
-    found = near_duplicates(docs, shingle_words, max_bits)
-    found = keep(found.groupBy("doc_id").agg(
-        F.count("*").alias("rows"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")), "found")
+    marked = keep(fingerprints(docs, shingle_words), "fingerprints")
+    who = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    distinct = keep(marked.groupBy("fp").agg(F.min(who).alias("least")), "distinct")
+    rooted = _rooted(distinct, max_bits, SHARD_ROWS)
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("first")), "root").select("fp", "first")
+    found = keep(marked.join(named, "fp").groupBy("doc_id", "row").agg(
+        F.count("*").alias("rows"), F.bool_or(who == F.col("first")).alias("stays")), "found")
     # What goes is the shorter list; while it is short, the texts need no shuffle to meet it.
-    _, rest = split_by_ids(docs, keep(found.where("NOT stays").select("doc_id"), "dropped"), "doc_id")
-    repeated = keep(found.where("stays AND rows > 1").select("doc_id"), "repeated")
+    rest = without_rows(docs, keep(found.where("NOT stays").select("doc_id", "row"), "dropped"))
+    repeated = keep(found.where("stays AND rows > 1").select("doc_id", F.col("row").alias("__row")), "repeated")
     if repeated.isEmpty():
         return rest
-    again, single = split_by_ids(rest, repeated, "doc_id")
-    return single.unionByName(again.dropDuplicates(["doc_id"]))
+    again, single = split_by_ids(rest.withColumn("__row", row_of()), repeated, "doc_id", "__row")
+    return single.unionByName(again.dropDuplicates(["doc_id", "__row"])).drop("__row")

@@ -119,3 +119,28 @@ def test_pipeline_stages(spark):
     placed = corpus_pipeline.packing(spark, clean, SF)
     assert {r.doc_id for r in placed.collect()} == stay - leaks
     assert placed.agg(F.sum("length")).first() == packing.cut_pieces(clean).agg(F.sum("length")).first()
+
+
+def test_filters_tell_rows_without_or_with_one_id_apart(spark, texts):
+    """Several null ids and several texts of one id: each row goes by its own text."""
+    rng = random.Random(4)
+    near, leak, junk, *good = (sentence(rng, 60) for _ in range(6))
+    schema = "doc_id long, text string"
+    rows = [(i, t) for i in (None, 5) for t in (leak, junk, *good[:2])] + [(None, near), (None, near), (3, near), (None, good[2]), (None, good[2].upper())]
+    docs = spark.createDataFrame(rows, schema)
+
+    def left(kept):
+        return sorted(((-1 if r.doc_id is None else r.doc_id), r.text) for r in kept.collect())
+
+    items = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    assert left(decontaminate.drop_leaks(docs, items)) == sorted((-1 if i is None else i, t) for i, t in rows if t != leak)
+    single = left(simhash.drop_near_duplicates(docs))
+    lowered = [t.lower() for _, t in single]
+    assert sorted(lowered) == sorted({t.lower() for _, t in rows}) and (3, near) in single
+    assert {(5, t) for t in (leak, junk, *good[:2])} <= set(single)
+    labelled, labels, _ = texts
+    some = {r.doc_id: r.text for r in labelled.where("doc_id BETWEEN 100 AND 123").collect()}
+    copies = labelled.where("doc_id BETWEEN 100 AND 123").withColumn("doc_id", F.lit(None).cast("long"))
+    kept = quality.keep_good(labelled.where("doc_id < 9000").unionByName(copies), labels).select("doc_id", "text").collect()
+    stay = {r.doc_id for r in kept} & set(some)
+    assert 0 < len(stay) < len(some) and sorted(r.text for r in kept if r.doc_id is None) == sorted(some[i] for i in stay)
