@@ -4,6 +4,7 @@ A word enters as the sum of two inputs: the vector of its hashed self, and the
 mean of the vectors of its hashed character n-grams (with its beginning and
 end marked), so that unseen forms of known words are recognised. The network
 reads a window of words in both directions, and attention pools its states.
+A run of letters too long for a word enters as overlapping pieces, each a word.
 All overlapping windows of a text are read, and a logistic function of its
 worst windows and of their number gives the score. Labels are of documents:
 training takes windows among the worst that the network itself finds in toxic
@@ -38,13 +39,21 @@ STEPS, BATCH, RATE, WORD_DROP = 900, 160, 4e-3, 0.5
 #: Negative documents whose worst windows are looked up each time, and worst windows of a document to choose from.
 WORST_NEGATIVE, WORST = 600, 3
 WORD = re.compile(r"\w+")
+#: Characters of a word; longer runs (texts without spaces) are read as overlapping pieces, which share more than any n-gram holds.
+PIECE, PIECE_STRIDE = 40, 30
 #: Windows that are read at once.
 BLOCK = 2048
 
 
+def pieces(word: str) -> list[str]:
+    """A word of up to PIECE characters, or all such pieces of a longer one, PIECE_STRIDE apart and the last at its end."""
+    last = len(word) - PIECE
+    return [word] if last <= 0 else [word[at:at + PIECE] for at in (*range(0, last, PIECE_STRIDE), last)]
+
+
 def grams(word: str) -> list[int]:
     """Slots of a word's character trigrams and of its longer beginnings and ends."""
-    marked = f"^{word[:40]}$"
+    marked = f"^{word}$"
     parts = [marked[i:i + 3] for i in range(len(marked) - 2)]
     parts += [marked[:n] for n in (4, 5, 6, 7)] + [marked[-n:] for n in (4, 5, 6)]
     return [xxhash.xxh64_intdigest(p) % GRAM_SLOTS for p in parts]
@@ -63,6 +72,8 @@ class Lexicon:
 
     def of(self, text: str) -> np.ndarray:
         words = WORD.findall(text.lower())
+        if max(map(len, words), default=0) > PIECE:
+            words = [p for w in words for p in pieces(w)]
         at = self.at
         try:
             return np.fromiter(map(at.__getitem__, words), np.int64, len(words))

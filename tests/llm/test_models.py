@@ -144,3 +144,14 @@ def test_filters_tell_rows_without_or_with_one_id_apart(spark, texts):
     kept = quality.keep_good(labelled.where("doc_id < 9000").unionByName(copies), labels).select("doc_id", "text").collect()
     stay = {r.doc_id for r in kept} & set(some)
     assert 0 < len(stay) < len(some) and sorted(r.text for r in kept if r.doc_id is None) == sorted(some[i] for i in stay)
+
+
+@pytest.mark.parametrize("many", [39, 40, 41, 70, 71, 100, 1000])
+def test_long_words_are_read_whole(many):
+    word = "".join(chr(0x4E00 + n) for n in range(many))
+    lexicon = toxicity.Lexicon()
+    index, inputs = lexicon.of("x " + word + " x"), lexicon.take_new()
+    assert len(index) == len(inputs.word) + 1 and all(len(p) <= toxicity.PIECE for p in lexicon.at)
+    read = set(inputs.flat.tolist())
+    assert {toxicity.xxhash.xxh64_intdigest(word[n:n + 3]) % toxicity.GRAM_SLOTS for n in range(many - 2)} <= read
+    assert {toxicity.xxhash.xxh64_intdigest(x) % toxicity.GRAM_SLOTS for x in ("^" + word[:2], word[-2:] + "$")} <= read
