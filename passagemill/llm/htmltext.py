@@ -7,13 +7,15 @@ lines. Text lengths are summed over sliding windows of lines. A run of text
 starts at a surge point, where a window's sum leaves the floor, and ends at a
 dive point, where a whole window is blank; the runs that rise high enough are
 the main text. On pages that mark their article, lines outside it are blank
-and every run within it counts, however short.
+and every run within it counts, however short. On others a short run counts if
+it follows one that rises high enough in the same parent container.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +31,10 @@ SURGE = 120
 
 RAW = "script|style|noscript|template|svg|iframe|textarea|title|select|object|canvas|math|audio|video"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</(?P=raw)\s*>|.*\Z)|<[!?][^>]*+(?:>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+(?<=/)>|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</(?P=raw)\s*>|.*\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)",
     re.S | re.I)
+ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
 
@@ -47,39 +50,89 @@ REMOVED_NAMES = frozenset(
     "notice notices notification alert popup modal newsletter subscribe subscription signup login sidebar menu nav navbar navigation "
     "breadcrumb breadcrumbs footer header masthead toolbar pagination pager share sharing social related recommended recommendations "
     "comment comments commentlist disqus replies reply respond widget search complementary contentinfo form".split())
+#: Other words of such a name; a name with any further word (no-sidebar, related-work) says something else.
+PLAIN_NAMES = frozenset(
+    "site main page global primary secondary top bottom left right upper lower mobile desktop post entry block wp user "
+    "list lists item items links link buttons button icons bar box boxes wrapper wrap container inner outer area section region row column col "
+    "slot unit posts articles stories text title body content icon overlay message dialog panel group".split())
 #: Elements that the next block ends even where they are not closed.
 SHORT_TAGS = frozenset("p span a li".split())
 VOID_TAGS = frozenset("br hr img input meta link area base col embed source track wbr".split())
 
 
-def _removed(tag: str, attributes: str) -> bool:
+def _says_removed(name: str) -> bool:
+    parts = [x for x in re.split(r"[_-]+", name) if x and not x.isdigit()]
+    return not REMOVED_NAMES.isdisjoint(parts) and all(x in REMOVED_NAMES or x in PLAIN_NAMES for x in parts)
+
+
+def _removed(tag: str, attributes: str, named: bool = True) -> bool:
+    """``named``: its name may say so, too."""
     if tag in REMOVED_TAGS:
         return True
     if not attributes:
         return False
-    if tag in NAMED_TAGS:
+    if tag in NAMED_TAGS and tag != "article" and named:
         for values in NAMES.findall(attributes):
-            if not REMOVED_NAMES.isdisjoint(re.split(r"[\s_-]+", "".join(values).lower())):
+            if any(_says_removed(name) for name in "".join(values).lower().split()):
                 return True
     return tag not in VOID_TAGS and bool(HIDDEN.search(attributes))
 
 
-def to_lines(page: str) -> tuple[list[str], list[bool]]:
-    """The page's lines (blank ones for edges), and whether each is in an article."""
+def _holders(page: str) -> set[int]:
+    """Where the tags of containers stand that hold an article or main."""
+    if not ARTICLE.search(page):
+        return set()
+    found: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    many: Counter[str] = Counter()
+    marked = 0
+    for token in TOKEN.finditer(page):
+        tag = (token["tag"] or token["tag2"] or "").lower()
+        if tag not in SECTION_TAGS or tag in VOID_TAGS:
+            continue
+        if token["close"] or token["close2"]:
+            while many[tag]:
+                last, _ = stack.pop()
+                many[last] -= 1
+                if last == tag:
+                    break
+            marked = min(marked, len(stack))
+            continue
+        if tag in ("article", "main"):
+            found.update(at for _, at in stack[marked:])
+            marked = len(stack)
+        if not (token["attributes"] or "").endswith("/"):
+            stack.append((tag, token.start()))
+            many[tag] += 1
+    return found
+
+
+def to_lines(page: str) -> tuple[list[str], list[bool], list[tuple[int, int]]]:
+    """The page's lines (blank ones for edges), whether each is in an article, and its container and that one's parent."""
     lines: list[str] = []
     inside: list[bool] = []
+    places: list[tuple[int, int]] = []
     buffer: list[str] = []
-    articles, skipped, depth, at = 0, "", 0, 0
+    holders = _holders(page)
+    #: Open containers and their numbers; the page is number 0. Tags that are open, outside and inside what is removed.
+    stack: list[tuple[str, int]] = [("", 0)]
+    outer: Counter[str] = Counter()
+    inner: list[str] = []
+    within: Counter[str] = Counter()
+    articles, skipped, at, made = 0, "", 0, 0
 
     def end_line(blanks: int = 0) -> None:
         text = " ".join(html.unescape("".join(buffer)).split()) if buffer else ""
         buffer.clear()
+        place = (stack[-1][1], stack[-2][1] if len(stack) > 1 else 0)
         if text:
             lines.append(text)
             inside.append(articles > 0)
+            places.append(place)
         if blanks and lines and lines[-1]:
             lines.extend([""] * blanks)
             inside.extend([False] * blanks)
+            places.extend([place] * blanks)
 
     for token in TOKEN.finditer(page):
         if not skipped and token.start() > at:
@@ -91,36 +144,57 @@ def to_lines(page: str) -> tuple[list[str], list[bool]]:
         closing, attributes = bool(token["close"] or token["close2"]), token["attributes"] or ""
         block = tag in LINE_TAGS or tag in SECTION_TAGS
         if skipped:
-            if skipped in SHORT_TAGS and block and tag != skipped:
-                skipped = ""
-            elif tag == skipped:
-                depth += -1 if closing else 0 if skipped in SHORT_TAGS else 1
-                if skipped in SHORT_TAGS and not closing:
+            if skipped in SHORT_TAGS:
+                if block and tag != skipped or tag == skipped and not closing:
                     skipped = ""
-                elif depth == 0:
+                elif tag == skipped:
                     skipped = ""
                     continue
+            elif closing and within[tag]:
+                while (last := inner.pop()) != tag:
+                    within[last] -= 1
+                within[tag] -= 1
+                if not inner:
+                    skipped = ""
+                    continue
+            elif closing and outer[tag]:
+                # Its parent ends, so what was never closed ends, too.
+                skipped = ""
+            elif not closing and (tag in SECTION_TAGS or tag == skipped) and tag not in VOID_TAGS and not attributes.endswith("/"):
+                inner.append(tag)
+                within[tag] += 1
             if skipped:
                 continue
-        if not closing and _removed(tag, attributes) and tag not in VOID_TAGS:
+        if not closing and tag not in VOID_TAGS and _removed(tag, attributes, token.start() not in holders):
             end_line(WINDOW_LINES)
             if not attributes.endswith("/"):
-                skipped, depth = tag, 1
+                skipped, inner = tag, [tag]
+                within = Counter(inner)
         elif tag in SECTION_TAGS:
             end_line(WINDOW_LINES)
             if tag in ("article", "main"):
                 articles = max(0, articles + (-1 if closing else 1))
+            if closing:
+                while outer[tag]:
+                    last, _ = stack.pop()
+                    outer[last] -= 1
+                    if last == tag:
+                        break
+            elif tag not in VOID_TAGS and not attributes.endswith("/"):
+                made += 1
+                stack.append((tag, made))
+                outer[tag] += 1
         elif block:
             end_line()
     if not skipped:
         buffer.append(page[at:])
     end_line()
-    return lines, inside
+    return lines, inside, places
 
 
 def main_text(page: str, window: int = WINDOW_LINES, surge: int = SURGE) -> str:
     """The main text of a page, its blocks joined by a space."""
-    lines, inside = to_lines(page)
+    lines, inside, places = to_lines(page)
     if any(inside):
         lines, surge = [x if i else "" for x, i in zip(lines, inside)], 1
     if not lines:
@@ -131,7 +205,17 @@ def main_text(page: str, window: int = WINDOW_LINES, surge: int = SURGE) -> str:
     edges = np.flatnonzero(np.diff(np.r_[False, sums > 0, False]))
     runs = [(a, b, sums[a:b].max()) for a, b in zip(edges[::2], edges[1::2])]
     best = max((top for *_, top in runs), default=0)
-    kept = [x for a, b, top in runs if top >= min(surge, best) for x in lines[a:b] if x]
+    wanted = np.array([top >= min(surge, best) for *_, top in runs], bool)
+    # Where no run rises high enough, all those beside the best count.
+    first, last = {}, {}
+    for n, (a, b, _) in enumerate(runs):
+        for place in {p for k in range(a, b) if lines[k] for p in places[k]}:
+            if wanted[n] or best < surge:
+                first.setdefault(place, n)
+            last[place] = n
+    parents = {p for n, (a, b, _) in enumerate(runs) if wanted[n] for k in range(a, b) if lines[k] for p in places[k]}
+    family = [{p for k in range(a, b) if lines[k] for p in places[k]} & parents for a, b, _ in runs]
+    kept = [x for n, (a, b, _) in enumerate(runs) if wanted[n] or any(first.get(p, n + 1) <= n <= last[p] for p in family[n]) for x in lines[a:b] if x]
     return " ".join(kept)
 
 

@@ -240,3 +240,20 @@ def test_stretches():
     assert decontaminate._stretch(list(range(33)), 8, values) == (38, 1, 1)
     assert decontaminate._stretch([0, 1, 2, 19, 20], 8, values) == (10, 1, 0)
     assert decontaminate._stretch([5], 8, {}) == (8, 0, 0)
+
+
+WORDS = "word " * 40
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<article class="post no-sidebar"><p>%s</article>', "%s"), ('<article class="post comments-open"><p>%s</article>', "%s"),
+    ('<article class="sidebar"><p>%s</article>', "%s"), ('<div class="sidebar"><main><p>%s</main></div>', "%s"),
+    ('<div class="content with-sidebar"><p>%s</div>', "%s"), ('<section id="search-algorithms"><p>%s</section>', "%s"),
+    ('<div class="related-work"><p>%s</div>', "%s"), ('<div class="site-footer">no</div><div class="ad">no</div><p>%s', "%s"),
+    ('<div><div class="ad">no<p>no</body></div><p>%s', "%s"), ('<section><div class="ad">no</section><p>%s', "%s"),
+    ('<p>%s<svg viewBox="0 0" /><p>more<math/><p>end<svg><path/>no</svg>', "%s more end"),
+    ('<div><div>%s</div><div>short one</div><div>short two</div></div>', "%s short one short two"),
+    ('<div><div>a short one</div><div>short</div><div>also short</div></div>', "a short one short also short"),
+])
+def test_names_unclosed_containers_and_short_blocks_lose_no_text(page, text):
+    assert htmltext.main_text(page.replace("%s", WORDS)) == text.replace("%s", WORDS.strip())
