@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm import linededup, secrets, substrings
+from passagemill.llm import centroids, linededup, secrets, substrings
+from passagemill.llm.centroids import op11_centroid_clustering
 from passagemill.llm.common import table
 from passagemill.llm.linededup import op3_line_dedup
 from passagemill.llm.decontaminate import op2_benchmark_decontamination
@@ -41,10 +42,12 @@ QUERIES = {
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
 
 ORACLES = {
     "op3_line_dedup": linededup.SQL,
     "op6_secret_scan": secrets.SQL,
     "op9_substring_dedup": substrings.SQL,
+    "op11_centroid_clustering": centroids.SQL,
 }

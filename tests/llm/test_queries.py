@@ -18,6 +18,7 @@ COLUMNS = {
     "op8_document_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     "op9_substring_dedup": "doc_id n_words n_removed kept_sha256",
     "op10_toxicity": "doc_id held_out score predicted",
+    "op11_centroid_clustering": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
     "pipeline": "doc_id piece start length ids_crc32 sequence_id offset",
 }
 
@@ -33,7 +34,7 @@ def test_query(spark, name):
     got = [tuple(r) for r in df.collect()]
     assert df.columns == COLUMNS[name].split()
     sql = duckdb.connect()
-    for table in ("documents", "pages", "labels", "benchmark"):
+    for table in ("documents", "embeddings", "pages", "labels", "benchmark"):
         sql.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     if name in entry.oracle_sql():
         result = sql.execute(entry.oracle_sql()[name])
@@ -41,7 +42,7 @@ def test_query(spark, name):
         assert sorted(columns) == sorted(df.columns)
         assert rows_of(df.columns, got) == rows_of(columns, result.fetchall())
     elif name not in ("op2_benchmark_decontamination", "op4_best_fit_packing", "pipeline"):
-        table = "pages" if name.startswith("op5") else "documents"
+        table = {"op5": "pages", "op11": "embeddings"}.get(name.split("_")[0], "documents")
         assert sorted(r[0] for r in got) == sorted(r[0] for r in sql.execute(f"SELECT * FROM {table}").fetchall())
     else:
         assert got
