@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm import centroids, linededup, secrets, substrings
+from passagemill.llm import centroids, linededup, merkle, ngramjoin, secrets, substrings
 from passagemill.llm.centroids import op11_centroid_clustering
 from passagemill.llm.common import table
 from passagemill.llm.linededup import op3_line_dedup
 from passagemill.llm.decontaminate import op2_benchmark_decontamination
 from passagemill.llm.fingerprints import op8_document_fingerprints
 from passagemill.llm.htmltext import op5_html_extraction
+from passagemill.llm.merkle import op12_merkle_manifest
+from passagemill.llm.ngramjoin import op13_ngram_jaccard_join
 from passagemill.llm.packing import op4_best_fit_packing
 from passagemill.llm.quality import op7_quality_classifier
 from passagemill.llm.secrets import op6_secret_scan
@@ -43,6 +45,8 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
 ORACLES = {
@@ -50,4 +54,6 @@ ORACLES = {
     "op6_secret_scan": secrets.SQL,
     "op9_substring_dedup": substrings.SQL,
     "op11_centroid_clustering": centroids.SQL,
+    "op12_merkle_manifest": merkle.SQL,
+    "op13_ngram_jaccard_join": ngramjoin.SQL,
 }

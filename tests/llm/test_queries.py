@@ -19,6 +19,8 @@ COLUMNS = {
     "op9_substring_dedup": "doc_id n_words n_removed kept_sha256",
     "op10_toxicity": "doc_id held_out score predicted",
     "op11_centroid_clustering": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
+    "op12_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op13_ngram_jaccard_join": "doc_id n_shingles component_id",
     "pipeline": "doc_id piece start length ids_crc32 sequence_id offset",
 }
 
