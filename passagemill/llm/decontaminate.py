@@ -9,11 +9,18 @@ consistent: whatever stands in the document for a slot's value in the item
 must be the same wherever that value occurs in the stretch. A document holds an
 item if ``run`` consecutive tokens, or all of a shorter item, match that way.
 What is a name does not depend on a passage's surroundings: windows with all
-capitalised words as names, and with none, meet as well, and so do windows of
-the words themselves, for which no literal words are needed.
-
-Documents' windows pass a bitmap of the benchmark's hashes first. Its size is
-fixed, whatever the benchmark's; what passes it by chance ends in the join.
+capitalised words as names, and with none, meet as well. A template's window is
+evidence only if enough of it are words that this template leaves as they are.
+Windows of the words themselves meet, too, and need no such share.
+
+An item of fewer than ``WINDOW`` tokens has no template; its own words must
+match. One of ``SHORT_TOKENS`` tokens and ``SHORT_CHARS`` letters and digits
+counts anywhere, one of fewer tokens as a line or sentence of its own, and one
+of fewer letters only if the whole text is nothing else.
+
+Documents' windows pass a bitmap of the benchmark's hashes first, which has
+room for ``BITMAP_ROOM`` bits a window and takes 16 MB at most; what passes it
+by chance ends in the join.
 """
 
 from __future__ import annotations
@@ -36,7 +43,13 @@ WINDOW = 8
 RUN = 13
 #: A window with fewer literal tokens than this share is evidence only with the very values of its slots.
 LITERALS = 0.5
-BITMAP_BITS = 24
+#: What an item without a whole window needs, so that common words hold nothing.
+SHORT_TOKENS = 4
+SHORT_CHARS = 12
+#: Marks on the hashes of windows that are a line or sentence, or a text, of their own.
+AS_LINE, AS_TEXT = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD6E8FEB86659FD93)
+BITMAP_ROOM = 16
+BITMAP_BITS = range(16, 28)
 
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”‘’„‚«»‹›¿¡…–—·•"
 NUMBER = re.compile(r"[+-]?\d[\d.,:/'^-]*")
@@ -79,8 +92,8 @@ class Tokens(dict):
         value = self[word] = xxhash.xxh64_intdigest(low) & ~15 | kind | ends << 3
         return value
 
-    def template(self, text: str) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-        """The text's templates, each with what is a slot in it, and the tokens' own hashes."""
+    def template(self, text: str) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+        """The text's templates, each with what is a slot in it, the tokens' own hashes, and where lines and sentences start."""
         if len(self) > self.SIZE:
             self.clear()
         lines = [words for line in text.split("\n") if (words := line.split())]
@@ -89,7 +102,7 @@ class Tokens(dict):
         return self._resolve(found & np.uint64(~15 & (1 << 64) - 1), found & np.uint64(7), (found & np.uint64(8)) > 0, lines)
 
     @staticmethod
-    def _resolve(own, kind, ends, lines) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    def _resolve(own, kind, ends, lines) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
         first = np.zeros(len(own), bool)
         if len(own):
             first[np.r_[0, np.cumsum([len(x) for x in lines])[:-1]]] = True
@@ -115,27 +128,41 @@ class Tokens(dict):
             name |= title & np.isin(own, own[name])
         # What surrounds a passage has a say in that; it has none where all such words are names, or no words are.
         kinds = [name, *([title] if (title & ~name).any() else []), *([np.zeros_like(name)] if name.any() else [])]
-        return [(np.where(k, PLACEHOLDERS["name"], values), value | k) for k in kinds], own
+        return [(np.where(k, PLACEHOLDERS["name"], values), value | k) for k in kinds], own, start
 
 
-def _windows(templates: list[tuple[np.ndarray, np.ndarray]], own: np.ndarray, width: int, literals: bool) -> Iterator[tuple]:
-    """Hashes of the windows, which of them to take, and what is a slot, for each template and for the words themselves.
+def _whole_windows(templates: list[tuple[np.ndarray, np.ndarray]], own: np.ndarray, is_item: bool) -> Iterator[tuple]:
+    """Hashes of the windows, which of them to take, and what is a slot, for the words themselves and each template.
 
-    ``literals`` takes a template's only if they are evidence (literal are words that the text's surroundings make
-    no slots); windows of the words themselves, slots included, always are. One that is taken is not taken again.
+    An item's windows are taken only if they are evidence. One that is taken is not taken again.
     """
-    slots = np.r_[0, np.cumsum(templates[0][1])]
-    evidence = width - (slots[width:] - slots[:-width])[:max(0, len(own) - width + 1)] >= LITERALS * width
     earlier: list[tuple[np.ndarray, np.ndarray]] = []
     for template, slot in [(own, np.zeros(len(own), bool)), *templates]:
-        hashes = rolling(template, width) ^ np.uint64(width)
-        wanted = evidence.copy() if literals and template is not own else np.ones(len(hashes), bool)
+        hashes = rolling(template, WINDOW) ^ np.uint64(WINDOW)
+        wanted = np.ones(len(hashes), bool)
+        if is_item:
+            slots = np.r_[0, np.cumsum(slot)]
+            wanted = (WINDOW - (slots[WINDOW:] - slots[:-WINDOW]) >= LITERALS * WINDOW) | (template is own)
         for h, taken in earlier:
             wanted &= ~taken | (hashes != h)
         earlier.append((hashes, wanted.copy()))
         yield hashes, wanted, slot
 
 
+def _short_windows(own: np.ndarray, start: np.ndarray, width: int, chars: int | None) -> Iterator[tuple]:
+    """The same for windows of the words themselves that are shorter; ``chars`` is an item's."""
+    hashes, none = rolling(own, width) ^ np.uint64(width), np.zeros(len(own), bool)
+    every = np.ones(len(hashes), bool)
+    if chars is not None:
+        mark = AS_TEXT if chars < SHORT_CHARS else AS_LINE if width < SHORT_TOKENS else np.uint64(0)
+        yield hashes ^ mark, every, none
+        return
+    ends = np.r_[start[1:], True]
+    yield hashes, every, none
+    yield hashes ^ AS_LINE, start[:len(hashes)] & ends[width - 1:], none
+    yield hashes ^ AS_TEXT, every & (len(own) == width), none
+
+
 WINDOW_ROWS = "id long, row long, tokens int, at int, width int, hash long, slots array<struct<at:int,value:long>>, fixed array<struct<at:int,value:long>>"
 PLACES = pa.list_(pa.struct([("at", pa.int32()), ("value", pa.int64())]))
 ARROW_ROWS = pa.schema([
@@ -154,10 +181,13 @@ def template_windows(texts: DataFrame, widths: list[int] | None, bitmap: bytes |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         bits = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").view(bool)
+        shift = np.uint64(0 if bits is None else 65 - len(bits).bit_length())
         for batch in batches:
             out = []
             for n, (id_, row) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                templates, own = tokens.template(batch.column(2)[n].as_py() or "")
+                text = batch.column(2)[n].as_py() or ""
+                templates, own, start = tokens.template(text)
+                chars = sum(map(str.isalnum, text)) if widths is None else None
 
                 def places(which: np.ndarray, at: int, width: int) -> list[dict]:
                     return [{"at": k, "value": int(own[at + k].view(np.int64))} for k in np.flatnonzero(which[at:at + width]).tolist()]
@@ -165,9 +195,10 @@ def template_windows(texts: DataFrame, widths: list[int] | None, bitmap: bytes |
                 for width in widths or [min(WINDOW, len(own))]:
                     if not width or len(own) < width:
                         continue
-                    for hashes, wanted, slot in _windows(templates, own, width, widths is None):
+                    found = _whole_windows(templates, own, widths is None) if width == WINDOW else _short_windows(own, start, width, chars)
+                    for hashes, wanted, slot in found:
                         if bits is not None:
-                            wanted &= bits[(hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)]
+                            wanted = wanted & bits[(hashes >> shift).astype(np.int64)]
                         fixed = templates[0][1] & ~slot if widths is None else np.zeros(len(own), bool)
                         for at in np.flatnonzero(wanted).tolist():
                             out.append((id_, row, len(own), at, width, int(hashes[at].view(np.int64)), places(slot, at, width), places(fixed, at, width)))
@@ -178,13 +209,13 @@ def template_windows(texts: DataFrame, widths: list[int] | None, bitmap: bytes |
 
 
 def _bitmap(items: DataFrame) -> bytes:
-    """The first bits of the items' window hashes as a bitmap of fixed size."""
-    place = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
+    """The first bits of the items' window hashes as a bitmap that has room for them, within bounds."""
+    bits = min(max((BITMAP_ROOM * items.count()).bit_length(), BITMAP_BITS[0]), BITMAP_BITS[-1])
+    place = F.shiftrightunsigned("hash", 64 - bits)
     one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-    words = items.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(one).alias("bits")).collect()
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    for word, bits in words:
-        out[word] = bits
+    words = items.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.tobytes()
 
 
@@ -272,7 +303,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataFra
     item that a document holds; n_changed counts slots with another value.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns
-    are not read. Null and empty texts hold nothing and are in nothing. Rows
+    are not read. Null and empty texts, and texts of punctuation alone, hold
+    nothing and are in nothing; short items are held as said above. Rows
     that repeat doc_id and text, or an item, count once; of rows that share only
     the doc_id each is judged, and the best match is returned.
     """
