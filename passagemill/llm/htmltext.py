@@ -3,12 +3,18 @@
 Markup is stripped so that every block of text becomes a line; an edge of a
 section (a container, or something removed: menus, headers, footers, sidebars,
 notices, adverts, forms, comments, scripts, styles) leaves a window of blank
-lines. Text lengths are summed over sliding windows of lines. A run of text
-starts at a surge point, where a window's sum leaves the floor, and ends at a
-dive point, where a whole window is blank; the runs that rise high enough are
-the main text. On pages that mark their article, lines outside it are blank
-and every run within it counts, however short. On others a short run counts if
-it follows one that rises high enough in the same parent container.
+lines. A line weighs its characters outside links less those inside. Weights
+are summed over sliding windows of lines. A run of lines, between blank
+windows, surges where a window's sum is above the floor; the main text reaches
+from the first surge point to the last dive point, where sums fall back to
+nothing, and what stands between them stays.
+
+On pages that mark their article, lines outside it are blank, each article has
+its own surge and dive points, and the floor is the least weight: every run
+that is not mostly links surges, so lists of links at either end go, with the
+headings that announce them. On other pages the floor is ``SURGE``, points are
+sought in each parent container, and short runs of text beside those that
+surge stay, headings before the first one included.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +32,7 @@ from pyspark.sql import functions as F
 
 from passagemill.llm.common import table
 
-#: Lines of a window, and characters that a run's best window needs on pages without an article.
+#: Lines of a window, and weight that a run's best window needs on pages without an article.
 WINDOW_LINES = 3
 SURGE = 120
 
@@ -38,7 +45,8 @@ ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
 
-LINE_TAGS = frozenset("p br h1 h2 h3 h4 h5 h6 li tr td th dt dd blockquote pre figcaption hr caption address summary option label".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LINE_TAGS = HEADINGS | frozenset("p br li tr td th dt dd blockquote pre figcaption hr caption address summary option label".split())
 SECTION_TAGS = frozenset(
     "html head body div section article main table ul ol dl figure details fieldset center tbody thead tfoot "
     "nav header footer aside form menu dialog button input".split())
@@ -54,32 +62,48 @@ REMOVED_NAMES = frozenset(
 PLAIN_NAMES = frozenset(
     "site main page global primary secondary top bottom left right upper lower mobile desktop post entry block wp user "
     "list lists item items links link buttons button icons bar box boxes wrapper wrap container inner outer area section region row column col "
-    "slot unit posts articles stories text title body content icon overlay message dialog panel group".split())
+    "slot unit posts articles stories text title body content icon overlay message dialog panel group grid card cards thread feed "
+    "carousel slider label module holder placeholder google header footer".split())
+#: Words that say so as the first or last part of a name, whatever else is in it; as the last part alone.
+ENDING_NAMES = frozenset("comment comments disqus ads advert adverts advertisement advertising adsense sponsored promo".split())
+LAST_NAMES = frozenset("ad".split())
+COMMENT_NAMES = frozenset("comment comments commentlist disqus".split())
+#: Words that make of a name a statement about something else.
+STATE_NAMES = frozenset("no not without with has is hide hidden open opened closed enabled disabled allowed count on off".split())
 #: Elements that the next block ends even where they are not closed.
 SHORT_TAGS = frozenset("p span a li".split())
 VOID_TAGS = frozenset("br hr img input meta link area base col embed source track wbr".split())
 
 
-def _says_removed(name: str) -> bool:
-    parts = [x for x in re.split(r"[_-]+", name) if x and not x.isdigit()]
-    return not REMOVED_NAMES.isdisjoint(parts) and all(x in REMOVED_NAMES or x in PLAIN_NAMES for x in parts)
+def _parts(name: str) -> list[str]:
+    """The words of a name: between hyphens, underscores and changes of case, without numbers."""
+    return [x for x in re.split(r"[_-]+|(?<=[a-z0-9])(?=[A-Z])", name) if x and not x.isdigit()]
+
+
+def _says_removed(name: str, words: frozenset[str] = REMOVED_NAMES) -> bool:
+    parts = [x.lower() for x in _parts(name)]
+    if words.isdisjoint(parts) or not STATE_NAMES.isdisjoint(parts):
+        return False
+    return parts[0] in ENDING_NAMES or parts[-1] in ENDING_NAMES | LAST_NAMES or all(x in REMOVED_NAMES or x in PLAIN_NAMES for x in parts)
+
+
+def _named(attributes: str, words: frozenset[str] = REMOVED_NAMES) -> bool:
+    return any(_says_removed(name, words) for values in NAMES.findall(attributes) for name in "".join(values).split())
 
 
 def _removed(tag: str, attributes: str, named: bool = True) -> bool:
-    """``named``: its name may say so, too."""
+    """``named``: its name may say so, too. An article's may only say that it is a comment."""
     if tag in REMOVED_TAGS:
         return True
     if not attributes:
         return False
-    if tag in NAMED_TAGS and tag != "article" and named:
-        for values in NAMES.findall(attributes):
-            if any(_says_removed(name) for name in "".join(values).lower().split()):
-                return True
+    if tag in NAMED_TAGS and named and _named(attributes, COMMENT_NAMES if tag == "article" else REMOVED_NAMES):
+        return True
     return tag not in VOID_TAGS and bool(HIDDEN.search(attributes))
 
 
 def _holders(page: str) -> set[int]:
-    """Where the tags of containers stand that hold an article or main."""
+    """Where the tags of containers stand that hold an article, other than a comment, or main."""
     if not ARTICLE.search(page):
         return set()
     found: set[int] = set()
@@ -98,7 +122,7 @@ def _holders(page: str) -> set[int]:
                     break
             marked = min(marked, len(stack))
             continue
-        if tag in ("article", "main"):
+        if tag == "main" or tag == "article" and not _named(token["attributes"] or "", COMMENT_NAMES):
             found.update(at for _, at in stack[marked:])
             marked = len(stack)
         if not (token["attributes"] or "").endswith("/"):
@@ -107,11 +131,19 @@ def _holders(page: str) -> set[int]:
     return found
 
 
-def to_lines(page: str) -> tuple[list[str], list[bool], list[tuple[int, int]]]:
-    """The page's lines (blank ones for edges), whether each is in an article, and its container and that one's parent."""
-    lines: list[str] = []
-    inside: list[bool] = []
-    places: list[tuple[int, int]] = []
+class Line(NamedTuple):
+    """A block's text (blank for an edge), its weight, whether it is a heading, the number of its article (0: none),
+    and its container and that one's parent."""
+
+    text: str
+    weight: int
+    heading: bool
+    article: int
+    place: tuple[int, int]
+
+
+def to_lines(page: str) -> list[Line]:
+    lines: list[Line] = []
     buffer: list[str] = []
     holders = _holders(page)
     #: Open containers and their numbers; the page is number 0. Tags that are open, outside and inside what is removed.
@@ -119,24 +151,24 @@ def to_lines(page: str) -> tuple[list[str], list[bool], list[tuple[int, int]]]:
     outer: Counter[str] = Counter()
     inner: list[str] = []
     within: Counter[str] = Counter()
-    articles, skipped, at, made = 0, "", 0, 0
+    articles, seen, skipped, at, made = 0, 0, "", 0, 0
+    linked, link_chars, heading = False, 0, False
 
     def end_line(blanks: int = 0) -> None:
+        nonlocal link_chars, linked
         text = " ".join(html.unescape("".join(buffer)).split()) if buffer else ""
         buffer.clear()
         place = (stack[-1][1], stack[-2][1] if len(stack) > 1 else 0)
         if text:
-            lines.append(text)
-            inside.append(articles > 0)
-            places.append(place)
-        if blanks and lines and lines[-1]:
-            lines.extend([""] * blanks)
-            inside.extend([False] * blanks)
-            places.extend([place] * blanks)
+            lines.append(Line(text, max(0, len(text) - 2 * link_chars), heading, seen if articles else 0, place))
+        if blanks and lines and lines[-1].text:
+            lines.extend([Line("", 0, False, 0, place)] * blanks)
+        linked, link_chars = False, 0
 
     for token in TOKEN.finditer(page):
         if not skipped and token.start() > at:
             buffer.append(page[at:token.start()])
+            link_chars += linked * len(buffer[-1].strip())
         at = token.end()
         tag = (token["tag"] or token["tag2"] or "").lower()
         if not tag:
@@ -173,6 +205,7 @@ def to_lines(page: str) -> tuple[list[str], list[bool], list[tuple[int, int]]]:
         elif tag in SECTION_TAGS:
             end_line(WINDOW_LINES)
             if tag in ("article", "main"):
+                seen += not articles and not closing
                 articles = max(0, articles + (-1 if closing else 1))
             if closing:
                 while outer[tag]:
@@ -186,36 +219,75 @@ def to_lines(page: str) -> tuple[list[str], list[bool], list[tuple[int, int]]]:
                 outer[tag] += 1
         elif block:
             end_line()
+        elif tag == "a":
+            linked = not closing
+        if block:
+            heading = tag in HEADINGS and not closing
     if not skipped:
         buffer.append(page[at:])
     end_line()
-    return lines, inside, places
+    return lines
+
+
+def _runs(lines: list[Line], window: int) -> list[tuple[int, int, int]]:
+    """First line, end, and the greatest weight of a window, of each run of lines between blank windows."""
+    lengths, weights = (np.fromiter(x, np.int64, len(lines)) for x in ((len(x.text) for x in lines), (x.weight for x in lines)))
+    if not weights.any():
+        weights = lengths
+    # Sum i covers lines i .. i + window - 1.
+    sums, weighed = (np.convolve(np.r_[x, np.zeros(window - 1, np.int64)], np.ones(window, np.int64), "valid") for x in (lengths, weights))
+    edges = np.flatnonzero(np.diff(np.r_[False, sums > 0, False]))
+    return [(a, b, int(weighed[a:b].max())) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
+
+
+def _in_article(lines: list[Line], window: int) -> list[str]:
+    """From the first surge to the last dive point of an article."""
+    runs = _runs(lines, window)
+    surging = [n for n, (_, _, top) in enumerate(runs) if top > 0]
+    # A linked heading is no list of links.
+    first = min([surging[0], *(n for n, (a, b, _) in enumerate(runs) if n < surging[0] and any(x.heading for x in lines[a:b]))])
+    kept = [x for a, b, _ in runs[first:surging[-1] + 1] for x in lines[a:b] if x.text]
+    if surging[-1] < len(runs) - 1:
+        while len(kept) > 1 and kept[-1].heading:
+            kept.pop()
+    return [x.text for x in kept]
+
+
+def _in_page(lines: list[Line], window: int, floor: int) -> list[str]:
+    """From the first surge to the last dive point of each parent container, and short runs of text beside."""
+    runs = _runs(lines, window)
+    places = [{p for x in lines[a:b] if x.text for p in x.place} for a, b, _ in runs]
+    # Where no run rises above the floor, the highest do.
+    floor = min(floor, max(top for *_, top in runs))
+    surging = [n for n, (_, _, top) in enumerate(runs) if top >= floor]
+    reach: dict[int, tuple[int, int]] = {}
+    for n in surging:
+        for place in places[n]:
+            reach[place] = reach.get(place, (n, n))[0], n
+    kept = []
+    for n, (a, b, top) in enumerate(runs):
+        family = places[n] & reach.keys()
+        if n in surging or family and (top > 0 or any(reach[p][0] < n < reach[p][1] for p in family)):
+            kept.extend(x.text for x in lines[a:b] if x.text)
+    return kept
 
 
 def main_text(page: str, window: int = WINDOW_LINES, surge: int = SURGE) -> str:
     """The main text of a page, its blocks joined by a space."""
-    lines, inside, places = to_lines(page)
-    if any(inside):
-        lines, surge = [x if i else "" for x, i in zip(lines, inside)], 1
+    lines = to_lines(page)
     if not lines:
         return ""
-    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
-    sums = np.convolve(np.r_[lengths, np.zeros(window - 1, np.int64)], np.ones(window, np.int64), "valid")
-    # sums[i] covers lines i .. i + window - 1; runs lie between blank windows.
-    edges = np.flatnonzero(np.diff(np.r_[False, sums > 0, False]))
-    runs = [(a, b, sums[a:b].max()) for a, b in zip(edges[::2], edges[1::2])]
-    best = max((top for *_, top in runs), default=0)
-    wanted = np.array([top >= min(surge, best) for *_, top in runs], bool)
-    # Where no run rises high enough, all those beside the best count.
-    first, last = {}, {}
-    for n, (a, b, _) in enumerate(runs):
-        for place in {p for k in range(a, b) if lines[k] for p in places[k]}:
-            if wanted[n] or best < surge:
-                first.setdefault(place, n)
-            last[place] = n
-    parents = {p for n, (a, b, _) in enumerate(runs) if wanted[n] for k in range(a, b) if lines[k] for p in places[k]}
-    family = [{p for k in range(a, b) if lines[k] for p in places[k]} & parents for a, b, _ in runs]
-    kept = [x for n, (a, b, _) in enumerate(runs) if wanted[n] or any(first.get(p, n + 1) <= n <= last[p] for p in family[n]) for x in lines[a:b] if x]
+    numbers = sorted({x.article for x in lines if x.article})
+    if not numbers:
+        return " ".join(_in_page(lines, window, surge))
+    blank = Line("", 0, False, 0, (0, 0))
+    kept = []
+    at = 0
+    for number in numbers:
+        # An article's lines stand together, with edges between them.
+        first = next(n for n in range(at, len(lines)) if lines[n].article == number)
+        at = next((n for n in range(first, len(lines)) if lines[n].article not in (0, number)), len(lines))
+        kept.extend(_in_article([x if x.article == number else blank for x in lines[first:at]], window))
     return " ".join(kept)
 
 
