@@ -6,9 +6,13 @@ two sets that link share a token among the first few of each (their prefixes).
 Three orders are used, and a pair has to pass all of them before it is
 verified:
 
-* by hash: classes whose prefix tokens are no other class's are out;
+* by hash. Two sets that link share not only one token of their prefixes, but
+  ``more`` of prefixes that are ``more - 1`` tokens longer. Classes with fewer
+  such tokens in common with any others are out. Tasks count packed tokens, and
+  a token that many classes of a task have leaves it once;
 * by another hash, for the classes left: the same;
-* rarest first, by the tokens' counts over the classes left: classes that share
+* rarest first, by a sketch of the tokens' counts over the classes left (any
+  fixed order is right, so collisions cost time at most): classes that share
   a prefix token are a bucket. Candidates come from buckets, then must share
   a prefix token under the first two orders as a pair, and the sets of those
   that do are compared.
@@ -29,11 +33,13 @@ Tokens and sets are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +54,13 @@ PART = 4096
 AT_ONCE = 1 << 20
 CHUNK_ROWS = 100_000
 SKETCH_BITS = 1024
+#: Tokens that a task merges at once, and those of a group of tokens that are counted together.
+CHUNK_TOKENS = 1_000_000
+GROUP_TOKENS = 2_000_000
+#: Cells of the sketch of counts, in slices; tasks whose slices are added at once.
+COUNT_BITS = 20
+SLICES = 16
+ADDED = 256
 #: Odd factors make other orders of hashed tokens.
 SECOND, THIRD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -78,61 +91,121 @@ def can_link(n: int, percent: int = PERCENT) -> bool:
     return n > 0 and 100 * n >= percent * (n + 1)
 
 
+def more_of(n: int, percent: int = PERCENT) -> int:
+    """How many tokens of longer prefixes have to be shared."""
+    return max(1, min(prefix_length(n, percent) // 2, (percent * n + 99) // 100))
+
+
+def _reach(n: int, percent: int) -> int:
+    """The length of a prefix in which the longer ones of all sets that link find as many tokens as they need."""
+    return min(n, prefix_length(n, percent) - 1 + more_of(100 * n // percent, percent))
+
+
 def _tokens(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.uint64)
 
 
-def sets_of(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n, cls (a hash of the set, null for an empty one) and tokens of every document."""
+def _class_of(tokens: np.ndarray) -> int | None:
+    return xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None
+
+
+def first_of(tokens: np.ndarray, count: int, factor: np.uint64 | None) -> np.ndarray:
+    """The first tokens of a set (ascending) in the order of their products with ``factor``."""
+    if factor is None:
+        return tokens[:count]
+    return tokens[np.argsort(tokens * factor)[:count]]
+
+
+def sets_of(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n, cls (a hash of the set, null for an empty one) and its first tokens by hash, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [shingles(t.as_py() or b"", width).tobytes() for t in batch.column(1).cast(pa.binary())]
-            classes = [xxhash.xxh64_intdigest(b) - (1 << 63) if b else None for b in blobs]
+            sets = [shingles(t.as_py() or b"", width) for t in batch.column(1).cast(pa.binary())]
+            first = [x[:_reach(len(x), percent)].tobytes() if can_link(len(x), percent) else b"" for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(b) // 8 for b in blobs], pa.int64()), pa.array(classes, pa.int64()), pa.array(blobs, pa.binary())],
-                ["doc_id", "n", "cls", "tokens"])
+                [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(_class_of, sets), pa.int64()), pa.array(first, pa.binary())],
+                ["doc_id", "n", "cls", "first"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, cls long, tokens binary")
-
+    return rows.mapInArrow(run, "doc_id long, n long, cls long, first binary")
+
+
+def _merged(tokens: np.ndarray, classes: np.ndarray, counts: np.ndarray, groups: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+    """(group, its tokens, their classes and whether they count, classes already counted) of a chunk of distinct (token, class)."""
+    order = np.argsort(tokens, kind="stable")
+    tokens, classes, counts = tokens[order], classes[order], counts[order]
+    start = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    many = np.repeat(np.diff(np.r_[start, len(tokens)]) > 1, np.diff(np.r_[start, len(tokens)]))
+    lead = np.zeros(len(tokens), bool)
+    lead[start] = True
+    found = classes[many & (counts == 1)]
+    # A token that several classes have is sent once, as such.
+    counts = np.where(many, 2, counts).astype(np.uint8)
+    tokens, classes, counts = tokens[lead], classes[lead], counts[lead]
+    group, to = ((x % np.uint64(groups)).astype(np.int64) for x in (tokens, found.view(np.uint64)))
+    order, local = np.argsort(group, kind="stable"), np.argsort(to, kind="stable")
+    group, to = group[order], to[local]
+    names = np.union1d(group, to)
+    edges, cuts = ((np.searchsorted(x, names), np.searchsorted(x, names, "right")) for x in (group, to))
+    for n, k in enumerate(names.tolist()):
+        some, mine = order[edges[0][n]:edges[1][n]], local[cuts[0][n]:cuts[1][n]]
+        yield k, tokens[some].tobytes(), classes[some].tobytes(), counts[some].tobytes(), found[mine].tobytes()
+
+
+def _sharing(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Classes (cls) of ``prefixes`` (cls, n, first) that have as many tokens in common with others as links need."""
+    total = prefixes.agg(F.coalesce(F.sum(F.octet_length("first")), F.lit(0))).first()[0] // 8
+    groups = max(2 * prefixes.sparkSession.sparkContext.defaultParallelism, -(-total // GROUP_TOKENS))
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
 
-def _postings(sets: DataFrame, percent: int, factor: np.uint64 | None, whole: bool = False) -> DataFrame:
-    """(token, cls, n) of the prefix tokens, or of all, of classes that may link; a task tells a class once."""
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*_merged(*map(np.concatenate, zip(*held)), groups)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["grp", "tokens", "classes", "counts", "found"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            tokens, classes, sizes = [np.zeros(0, np.uint64)], [], []
             for cls, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if cls in seen or not can_link(n, percent):
+                if cls in seen:
                     continue
                 seen.add(cls)
                 own = _tokens(blob.as_py())
-                own = own if whole else first_of(own, prefix_length(n, percent), factor)
-                tokens.append(own)
-                classes.append(np.full(len(own), cls, np.int64))
-                sizes.append(np.full(len(own), n, np.int64))
-            if classes:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes))],
-                    ["token", "cls", "n"])
-
-    return sets.select("cls", "n", "tokens").mapInArrow(run, "token long, cls long, n long")
-
-
-def first_of(tokens: np.ndarray, count: int, factor: np.uint64 | None) -> np.ndarray:
-    """The first tokens of a set (ascending) under the order of their products with ``factor``."""
-    if factor is None:
-        return tokens[:count]
-    return tokens[np.argpartition(tokens * factor, count - 1)[:count]] if count < len(tokens) else tokens
-
-
-def _sharing(sets: DataFrame, percent: int, factor: np.uint64 | None) -> DataFrame:
-    """Classes with a prefix token that another class's prefix has, too."""
-    postings = keep(_postings(sets, percent, factor), "postings")
-    shared = postings.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("token")
-    return keep(split_by_ids(postings, keep(shared, "shared"), "token")[0].select("cls").distinct(), "sharing")
+                counts = (np.arange(len(own)) < prefix_length(n, percent) - 1 + more_of(n, percent)).astype(np.uint8)
+                held.append((own, np.full(len(own), cls, np.int64), counts))
+                size += len(own)
+                if size >= CHUNK_TOKENS:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    def count(group: pa.Table) -> pa.Table:
+        tokens, classes, counts, found = (
+            np.frombuffer(b"".join(group.column(c).to_pylist()), t)
+            for c, t in (("tokens", np.uint64), ("classes", np.int64), ("counts", np.uint8), ("found", np.int64)))
+        # Copies in several tasks are one class; of a token, marks of several classes come last.
+        several = counts == 2
+        order = np.lexsort((classes, several, tokens))
+        tokens, classes, counts, several = tokens[order], classes[order], counts[order], several[order]
+        new = np.r_[True, tokens[1:] != tokens[:-1]] if len(tokens) else np.zeros(0, bool)
+        other = new | np.r_[True, classes[1:] != classes[:-1]] if len(tokens) else new
+        start = np.flatnonzero(new)
+        shared = (np.add.reduceat(other & ~several, start) > 1) | np.logical_or.reduceat(several, start) if len(start) else new
+        size = np.diff(np.r_[start, len(tokens)]) if len(start) else np.zeros(0, np.int64)
+        here = classes[np.repeat(shared, size) & other & (counts == 1)] if len(start) else classes
+        names, many = np.unique(np.r_[here, found], return_counts=True)
+        return pa.table({"cls": pa.array(names, pa.int64()), "shared": pa.array(many, pa.int64())})
+
+    rows = prefixes.select("cls", "n", "first").mapInArrow(chunks, "grp int, tokens binary, classes binary, counts binary, found binary")
+    counted = rows.groupBy("grp").applyInArrow(count, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
+    need = F.expr(f"({percent} * n + 99) div 100")
+    more = F.greatest(F.lit(1), F.least(F.expr(f"(n - ({percent} * n + 99) div 100 + 1) div 2"), need))
+    sizes = prefixes.groupBy("cls").agg(F.max("n").alias("n"))
+    return keep(counted.join(sizes, "cls").where(F.col("shared") >= more).select("cls"), "sharing")
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
@@ -141,38 +214,100 @@ def _sketch(tokens: np.ndarray) -> bytes:
     return np.packbits((cells & 1).astype(np.uint8)).tobytes()
 
 
-def _active(sets: DataFrame, percent: int) -> DataFrame:
+def _active(docs: DataFrame, marked: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """One row (cls, n, tokens, one, two, sketch) for each class that passes the first two orders; one and two are their prefixes."""
-    left = split_by_ids(sets.where("cls IS NOT NULL"), _sharing(sets.where("cls IS NOT NULL"), percent, None), "cls")[0]
-    left = keep(left.groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
-    left = split_by_ids(left, _sharing(left, percent, SECOND), "cls")[0]
+    able = marked.where(f"cls IS NOT NULL AND 100 * n >= {percent} * (n + 1)")
+    left = _sharing(able, percent)
+    # Of a class the text with its smallest id is read again; other texts with that id are not of the classes left.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = keep(classes.join(left, "cls", "left_semi").select(F.col("least").alias("doc_id")).distinct(), "ids")
+    texts = split_by_ids(texts, ids, "doc_id")[0]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingles(t.as_py() or b"", width) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_class_of, own), pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["cls", "tokens"])
+
+    sets = texts.mapInArrow(whole, "cls long, tokens binary").join(left, "cls", "left_semi")
+    sets = keep(sets.groupBy("cls").agg(F.first("tokens").alias("tokens")), "classes")
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_tokens(x.as_py()) for x in batch.column(1)]
+            first = [first_of(x, _reach(len(x), percent), SECOND).tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, own), pa.int64()), pa.array(first, pa.binary())], ["cls", "n", "first"])
+
+    left = _sharing(keep(sets.mapInArrow(prefixes, "cls long, n long, first binary"), "prefixes"), percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [_tokens(x.as_py()) for x in batch.column(2)]
+            own = [_tokens(x.as_py()) for x in batch.column(1)]
             some = [[first_of(x, prefix_length(len(x), percent), f).tobytes() for x in own] for f in (None, SECOND)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(x, pa.binary()) for x in (*some, [_sketch(x) for x in own]))], ["cls", "n", "tokens", "one", "two", "sketch"])
+                [batch.column(0), pa.array(map(len, own), pa.int64()), batch.column(1),
+                 *(pa.array(x, pa.binary()) for x in (*some, [_sketch(x) for x in own]))], ["cls", "n", "tokens", "one", "two", "sketch"])
+
+    left = split_by_ids(sets, left, "cls")[0]
+    return keep(left.select("cls", "tokens").mapInArrow(run, "cls long, n long, tokens binary, one binary, two binary, sketch binary"), "active")
+
 
-    return keep(left.select("cls", "n", "tokens").mapInArrow(run, "cls long, n long, tokens binary, one binary, two binary, sketch binary"), "active")
+def _cells(tokens: np.ndarray) -> np.ndarray:
+    return ((tokens * THIRD) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
-def _mixed(token: Column) -> Column:
-    return F.xxhash64(token)
+def _count_sketch(active: DataFrame) -> np.ndarray:
+    """For each cell of a sketch, the binary order of the count of its tokens over all classes of ``active``.
+
+    A task makes one row for each slice of the sketch, and they are added in
+    two steps, so that neither a task nor the driver holds many of them.
+    """
+    width = (1 << COUNT_BITS) // SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for blob in batch.column(0):
+                np.add.at(total, _cells(_tokens(blob.as_py())), 1)
+        part = TaskContext.get().partitionId() // ADDED
+        rows = [zlib.compress(total[k * width:(k + 1) * width].tobytes(), 1) for k in range(SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int32()), pa.array(rows, pa.binary())],
+                                         ["slice", "part", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in group.column("counts"))
+        return pa.table({"slice": group.column("slice").slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    slices = active.select("tokens").mapInArrow(count, "slice int, part int, counts binary")
+    added = slices.groupBy("slice", "part").applyInArrow(add, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
+    out = np.zeros(1 << COUNT_BITS, np.int64)
+    # As many rows as slices.
+    for row in added.collect():
+        out[row["slice"] * width:(row["slice"] + 1) * width] = np.frombuffer(zlib.decompress(row.counts), np.int64)
+    return np.frexp(out.astype(np.float64))[1].astype(np.uint8)
 
 
 def _buckets(active: DataFrame, percent: int) -> DataFrame:
     """(token, cls, n, before) of the prefixes under rarest-first order, without tokens of one class; ``before`` is the class's token before."""
-    every = keep(_postings(active, percent, None, whole=True), "tokens")
-    shared = every.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
-    ranked = every.join(shared, "token")
-    own = Window.partitionBy("cls")
-    order = own.orderBy("classes", _mixed(F.col("token")), "token")
-    # Tokens that no other class has come first and were left out.
-    place = F.row_number().over(order) + F.col("n") - F.count("*").over(own)
-    length = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
-    ranked = ranked.select("token", "cls", "n", place.alias("place"), length.alias("length"), F.lag("token").over(order).alias("before"))
-    return keep(ranked.where("place <= length").select("token", "cls", "n", "before"), "buckets")
+    sketch = _count_sketch(active)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, lengths = [np.zeros(0, np.uint64)], []
+            for blob in batch.column(2):
+                own = _tokens(blob.as_py())
+                first = np.lexsort((own * THIRD, sketch[_cells(own)]))[:prefix_length(len(own), percent)]
+                tokens.append(own[first])
+                lengths.append(len(first))
+            place = np.concatenate([np.arange(x) for x in lengths]) if lengths else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.repeat(batch.column(c).to_numpy(), lengths)) for c in (0, 1)),
+                 pa.array(place, pa.int32())], ["token", "cls", "n", "place"])
+
+    postings = keep(active.select("cls", "n", "tokens").mapInArrow(run, "token long, cls long, n long, place int"), "postings")
+    shared = postings.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1").select("token")
+    shared = split_by_ids(postings, keep(shared, "shared"), "token")[0]
+    before = F.lag("token").over(Window.partitionBy("cls").orderBy("place"))
+    return keep(shared.select("token", "cls", "n", before.alias("before")), "buckets")
 
 
 def _near_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -289,9 +424,8 @@ def _rest_pairs(buckets: DataFrame, active: DataFrame, roots: DataFrame, percent
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def links(sets: DataFrame, percent: int = PERCENT, part: int = PART) -> DataFrame:
-    """(u, v) for each class u of ``sets`` that links with others: v is the smallest class reachable, itself left out."""
-    active = _active(sets, percent)
+def links(active: DataFrame, percent: int = PERCENT, part: int = PART) -> DataFrame:
+    """(u, v) for each class u of ``active`` that links with others: v is the smallest class reachable, itself left out."""
     buckets = _buckets(active, percent)
     first = keep(_pivot_pairs(buckets, percent), "pairs")
     linked = keep(verified(first, active, percent), "linked")
@@ -316,9 +450,9 @@ def similar_documents(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int
     where no row of the component has one. Repeated rows stay rows; other
     columns are not read; an empty table gives no row.
     """
-    sets = keep(sets_of(docs, width), "sets")
-    roots = links(sets, percent, part)
-    classes = sets.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    sets = keep(sets_of(docs, width, percent), "sets")
+    classes = keep(sets.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least")), "classes")
+    roots = links(_active(docs, sets, classes, width, percent), percent, part)
     rooted = keep(classes.join(roots.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left")
                   .select("cls", "least", F.coalesce("root", "cls").alias("root")), "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id")

@@ -94,6 +94,9 @@ def test_prefixes_of_linked_sets_share_a_token():
             continue
         assert len(np.unpackbits(np.frombuffer(ngramjoin._sketch(a), np.uint8) ^ np.frombuffer(ngramjoin._sketch(b), np.uint8)).nonzero()[0]) \
             <= len(a) + len(b) - 2 * common
+        c, e = ngramjoin.prefix_length(len(a)) - 1 + ngramjoin.more_of(len(a)), ngramjoin._reach(len(b), 90)
+        longer = [ngramjoin.first_of(x, k, ngramjoin.SECOND) for x, k in ((a, c), (b, e))]
+        assert np.isin(*longer).sum() >= ngramjoin.more_of(len(a))
         for factor in (None, ngramjoin.SECOND):
             first = [ngramjoin.first_of(x, ngramjoin.prefix_length(len(x)), factor) for x in (a, b)]
             assert np.isin(*first).any()
