@@ -6,11 +6,15 @@ population of packings side by side. Crossover injects whole well-filled bins
 of one parent into the other, removes the bins that hold the same pieces again,
 and places the displaced pieces by best fit, longest first. After each epoch
 the best packing of an island migrates to the next island of its shard. An
-island rests once it has as few bins as the total length allows.
+island rests once it has as few bins as the total length allows; the farther it
+is from that, the more generations it has. The first packing is best fit. Where
+it leaves a gap, others join it that pack the longest pieces among themselves
+and balance the rest: the longest with the shortest, and what fits best between.
 
 Bins that a shard could not fill are dissolved, and their pieces are packed
-anew, together with those of other shards, in far fewer shards, until one is
-left. Shards, islands and levels are rows of tables in the shared folder.
+anew, together with those of other shards, as long as that saves bins or until
+one shard is left. Shards, islands and levels are rows of tables in the shared
+folder.
 """
 
 from __future__ import annotations
@@ -37,7 +41,13 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of a shard, on average.
 SHARD_PIECES = 4096
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 5, 8
+ISLANDS, EPOCHS, POPULATION = 2, 2, 6
+#: Generations of an epoch: so many, and one for each so many bins of the gap, up to so many.
+GENERATIONS, GAP_BINS, MOST_GENERATIONS = 8, 4, 40
+#: Shares of the longest pieces that the first packings keep to themselves.
+CUTS = tuple(n / 40 for n in range(21))
+#: A level that saves less than this share of the bins is the last.
+GAIN = 0.002
 #: A bin filled to less than this share is dissolved for the next level.
 FILLED = 0.98
 TAIL = b".,!?;:$%&*#"
@@ -187,6 +197,33 @@ def best_fit(pieces: list[int], lengths: list[int], capacity: int, bins: list[li
     return Packing(bins, free, capacity)
 
 
+def balanced(cut: float, lengths: list[int], capacity: int) -> Packing:
+    """The longest pieces (a share of ``cut``) by best fit; a bin of the rest takes the
+    longest piece, as many of the shortest as an even share allows, and the best fits."""
+    order = sorted(range(len(lengths)), key=lambda p: -lengths[p])
+    many = int(cut * len(order))
+    top = best_fit(order[:many], lengths, capacity, [], [])
+    bins, free = top.bins, top.free
+    rest = sorted((lengths[p], p) for p in order[many:])
+    if rest:
+        share = max(2, round(capacity * len(rest) / max(1, sum(n for n, _ in rest))))
+    while rest:
+        need, piece = rest.pop()
+        members, left = [piece], capacity - need
+        for _ in range(share - 2):
+            if rest and rest[0][0] <= left:
+                need, piece = rest.pop(0)
+                members.append(piece)
+                left -= need
+        while at := bisect_left(rest, (left + 1, -1)):
+            need, piece = rest.pop(at - 1)
+            members.append(piece)
+            left -= need
+        bins.append(members)
+        free.append(left)
+    return Packing(bins, free, capacity)
+
+
 def crossover(a: Packing, b: Packing, lengths: list[int], capacity: int, rng: random.Random) -> Packing:
     """b's best-filled bins go into a; what they displace is placed by best fit."""
     full = sorted(range(len(b.bins)), key=b.free.__getitem__)
@@ -211,19 +248,24 @@ def evolve(lengths: list[int], capacity: int, population: list[Packing], rng: ra
     if not population:
         population.append(best_fit(sorted(order, key=lambda p: -lengths[p]), lengths, capacity, [], []))
     least = math.ceil(sum(lengths) / capacity)
-    if -population[0].fitness[0] > least:
+    gap = -population[0].fitness[0] - least
+    if gap > 0:
+        if len(population) < POPULATION:
+            first = sorted((balanced(cut, lengths, capacity) for cut in CUTS), key=lambda p: p.fitness, reverse=True)
+            population += first[:POPULATION - 2]
         while len(population) < POPULATION:
             rough = sorted(order, key=lambda p: -lengths[p] * rng.uniform(0.8, 1.2))
             population.append(best_fit(rough, lengths, capacity, [], []))
         population.sort(key=lambda p: p.fitness, reverse=True)
-        for _ in range(GENERATIONS):
+        gap = -population[0].fitness[0] - least
+        for _ in range(min(MOST_GENERATIONS, GENERATIONS + gap // GAP_BINS)):
+            if -population[0].fitness[0] == least:
+                break
             a, b = rng.sample(range(len(population)), 2)
             for x, y in ((a, b), (b, a)):
                 population.append(crossover(population[x], population[y], lengths, capacity, rng))
             population.sort(key=lambda p: p.fitness, reverse=True)
             del population[POPULATION:]
-            if -population[0].fitness[0] == least:
-                break
     return sorted(population, key=lambda p: p.fitness, reverse=True)
 
 
@@ -301,24 +343,28 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
     doc_id, piece, start, length, ids_crc32 (ids too, if asked for), sequence_id
     and offset. A null or empty text is its end id alone; repeated rows are
-    packed like any others. An empty table has no pieces.
+    packed like any others. An empty table has no pieces. Other columns are not
+    read, whatever their names.
     """
     pieces = keep(cut_pieces(docs, tokenizer, capacity, with_ids), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "sequence_id", "offset"]
-    done, level, count = [], 0, pieces.count()
+    done, level, count, before = [], 0, pieces.count(), None
     while True:
         shards = max(1, math.ceil(count / shard_pieces))
         placed = keep(_pack_shards(pieces, shards, level, capacity), "placed")
-        if shards == 1:
-            done.append(placed.select(columns))
-            break
         short = F.col("filled") < FILLED * capacity
-        left = placed.where(short).count()
-        if left > count // 2:
+        bins, poor, left = placed.agg(
+            F.count_distinct("sequence_id"), F.count_distinct(F.when(short, F.col("sequence_id"))), F.count_if(short)).first()
+        if before is not None and bins >= before[1]:
+            # Nothing saved: the pieces stay where they were.
+            done.append(before[0].select(columns))
+            break
+        if shards == 1 or not left or before is not None and bins > (1 - GAIN) * before[1]:
             done.append(placed.select(columns))
             break
         done.append(placed.where(~short).select(columns))
-        pieces, count, level = placed.where(short).drop("sequence_id", "offset", "filled"), left, level + 1
+        before = placed.where(short), poor
+        pieces, count, level = before[0].drop("sequence_id", "offset", "filled"), left, level + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)
