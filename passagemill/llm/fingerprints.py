@@ -26,25 +26,6 @@ from passagemill.session import keep
 
 #: Places of a fingerprint: groups x places of a group.
 GROUPS, GROUP_PLACES = 4, 8
-#: Steps of the table of Gamma(2, 1) quantiles from which r is drawn.
-GAMMA_STEPS = 1024
-#: Stands for a null doc_id in joins; it sorts before all others, as null does.
-NULL_ID = -(1 << 63)
-
-
-def gamma_quantiles(steps: int = GAMMA_STEPS) -> list[float]:
-    """Quantiles of Gamma(2, 1) in the middle of each of so many equal steps."""
-    out, x = [], 0.0
-    for n in range(steps):
-        p = (n + 0.5) / steps
-        x = max(x, math.sqrt(2 * p) / 2)
-        for _ in range(60):  # Newton's method for 1 - (1 + x) exp(-x) = p
-            step = (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
-            x -= step
-            if abs(step) < 1e-12:
-                break
-        out.append(x)
-    return out
 
 
 def _followers(rows: DataFrame) -> DataFrame:
@@ -63,17 +44,18 @@ def _followers(rows: DataFrame) -> DataFrame:
     return linked.select("k", "half", then["k"].alias("next_k"), then["first_th"].alias("next_th"))
 
 
-def _draws(term: Column, place: Column) -> tuple[Column, Column, Column, Column]:
-    """r, 1 / r, b and ln c of a term at a place."""
+def _uniform(bits: Column, width: int) -> Column:
+    """A number above 0 and below 1 from so many bits."""
+    return (bits.cast("double") + 0.5) * F.lit(2.0 ** -width)
+
+
+def _draws(term: Column, place: Column) -> tuple[Column, Column, Column]:
+    """r, b and ln c of a term at a place; -ln(u v) of two uniform numbers is of Gamma(2, 1)."""
     one, two = F.xxhash64(term, place), F.xxhash64(term, place, F.lit("c"))
-    quantiles = gamma_quantiles()
-    step = one.bitwiseAND(F.lit(GAMMA_STEPS - 1)).cast("int")
-    r = F.get(F.array(*[F.lit(q) for q in quantiles]), step)
-    inverse = F.get(F.array(*[F.lit(1 / q) for q in quantiles]), step)
-    b = F.shiftrightunsigned(one, 24).cast("double") * F.lit(2.0 ** -40)
-    u = (F.shiftrightunsigned(two, 32).cast("double") + 0.5) * F.lit(2.0 ** -32)
-    v = (two.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) * F.lit(2.0 ** -32)
-    return r, inverse, b, F.log(-F.log(u * v))
+    r = -F.log(_uniform(F.shiftrightunsigned(one, 42), 22) * _uniform(F.shiftrightunsigned(one, 20).bitwiseAND(F.lit((1 << 22) - 1)), 22))
+    b = one.bitwiseAND(F.lit((1 << 20) - 1)).cast("double") * F.lit(2.0 ** -20)
+    c = F.log(-F.log(_uniform(F.shiftrightunsigned(two, 32), 32) * _uniform(two.bitwiseAND(F.lit(0xFFFFFFFF)), 32)))
+    return r, b, c
 
 
 def _samples(sides: DataFrame) -> DataFrame:
@@ -95,13 +77,13 @@ def _samples(sides: DataFrame) -> DataFrame:
         F.when(F.col("edited") > 0, F.log(F.col("edited").cast("double"))).alias("edited"), F.explode(groups).alias("g"))
     draws = []
     for n in range(GROUP_PLACES):
-        for name, draw in zip(("r", "i", "b", "c"), _draws(F.col("term"), F.col("g") * GROUP_PLACES + n)):
+        for name, draw in zip(("r", "b", "c"), _draws(F.col("term"), F.col("g") * GROUP_PLACES + n)):
             draws.append(draw.alias(f"{name}{n}"))
     rows = rows.select("k", "th", "info", "g", "own", "edited", *draws)
 
     def least(weight: str, n: int) -> Column:
-        r, i, b, c = (F.col(f"{x}{n}") for x in "ribc")
-        t = F.floor(F.col(weight) * i + b).cast("double")
+        r, b, c = (F.col(f"{x}{n}") for x in "rbc")
+        t = F.floor(F.col(weight) / r + b).cast("double")
         return F.min(c - r * (t - b + 1))
 
     rows = rows.groupBy("k", "th", "info", "g").agg(
@@ -135,10 +117,12 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     empty, and the fingerprint of a text without words is all zeros (equal to
     any other such). A null doc_id sorts first. Of rows that share a doc_id, the
     one with the smallest text hash is what precedes others; rows that repeat
-    text too have equal results.
+    text too have equal results. Other columns are not read.
     """
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # A null id is a key like any other, and sorts first.
+    id_ = F.col("doc_id").cast("long")
+    key = F.struct(id_.isNotNull().alias("named"), F.coalesce(id_, F.lit(0)).alias("id"))
+    rows = docs.select(key.alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
     keys = keep(rows.select("k", "th", F.length("text").alias("n")), "keys")
     repeated = not keys.groupBy("k", "th").count().where("count > 1").isEmpty()
@@ -172,7 +156,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     if repeated:
         out = keys.select("k", "th").join(out, ["k", "th"])
     return out.select(
-        F.when(F.col("k") != NULL_ID, F.col("k")).alias("doc_id"), F.get("info", F.lit(0)).cast("long").alias("n_chars"),
+        F.when(F.col("k.named"), F.col("k.id")).alias("doc_id"), F.get("info", F.lit(0)).cast("long").alias("n_chars"),
         F.get("info", F.lit(1)).alias("edited_sha256"), _hex(F.col("own")).alias("fingerprint"), _hex(F.col("edited")).alias("edited_fingerprint"),
         _likeness(F.col("own"), F.col("edited")).alias("near_edited"), _likeness(F.col("own"), F.col("next_own")).alias("near_next"))
 
