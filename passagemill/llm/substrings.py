@@ -3,7 +3,8 @@
 The suffixes of all documents (one from each word) are split by their first
 words into groups that fit a task's memory: a first word, or a bucket of rare
 ones, is a group as long as its suffixes are few; where they are too many, the
-prefix is lengthened to four words and dealt into as many groups as needed.
+prefix is lengthened to all words of a window and dealt into as many groups as
+needed, so that no frequent phrase makes a group of its own.
 Counts over all documents decide. A group is one subtree. Its leaves are the
 suffixes, and an internal node of a depth of ``window`` words or more with
 leaves of two documents is a passage that repeats; leaves are sorted by the
@@ -33,17 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import split_by_ids
+from passagemill.llm.common import BROADCAST_BYTES, split_by_ids
 from passagemill.session import keep
 
 WINDOW = 13
 #: First words are counted in so many buckets; a heavy one is split by its longer prefix.
 BUCKET_BITS = 12
-LONG_PREFIX = 4
-#: Leaves of a subtree, words that a map task merges at once, documents of a bucket when texts are cut.
+#: Leaves of a subtree, words that a map task merges at once, documents of a bucket when texts are cut, and bytes of a part of one.
 GROUP_LEAVES = 2_000_000
 CHUNK_WORDS = 1_000_000
 BUCKET_DOCS = 2_000
+PART_BYTES = 32 * 1024 * 1024
 #: Stands for a null doc_id, which sorts before all others.
 NULL_ID = -(1 << 63)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -187,8 +188,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, leaves: int = GROUP_LEAVES) -
         keep_ = np.arange(len(joined)) <= np.repeat(np.cumsum(lengths) - window, lengths)
         keep_ = keep_[:len(full)]
         bucket = (joined[:len(full)] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)[keep_]
-        long_ = rolling(joined, min(LONG_PREFIX, window))[:len(full)][keep_]
-        group = base[bucket] + (long_ % parts[bucket].astype(np.uint64)).astype(np.int64)
+        group = base[bucket] + (full[keep_] % parts[bucket].astype(np.uint64)).astype(np.int64)
         owner = np.repeat(np.array(ids, np.int64), lengths)[:len(full)][keep_]
         full = full[keep_]
         order, found = repeated(owner, full)
@@ -270,9 +270,18 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, leaves: int = GROUP_LE
     a document with a smaller doc_id; all windows are judged on the input.
     Words are split at ASCII white space. A null text has no words; a text with
     fewer words than a window stays as it is. A null doc_id is smaller than any
-    other; rows that share a doc_id do not remove each other's words.
+    other; rows that share a doc_id do not remove each other's words. Other
+    columns are not read. (A table with both the least and the greatest doc_id
+    of 64 bits has no number left for a null one and is an error.)
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low == NULL_ID:
+        # The least number stands for a null.
+        if high == -1 - NULL_ID:
+            raise ValueError("doc_id takes up all of 64 bits")
+        moved = dedup_passages(rows.withColumn("doc_id", F.col("doc_id") + 1), window, leaves)
+        return moved.withColumn("doc_id", F.col("doc_id") - 1)
     found, buckets = repeats(rows, window, leaves)
 
     def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +317,14 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, leaves: int = GROUP_LE
         return pa.Table.from_batches([_kept_rows(ids, out)])
 
     keyed = hit.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(NULL_ID)), F.lit(buckets)).cast("long"))
-    done = keyed.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(cut, KEPT)
+    # A bucket of many bytes (long texts, or many under one id) is cut in parts by its texts, and each has the bucket's windows.
+    parts = keyed.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("text")) / PART_BYTES).cast("int").alias("parts")).where("parts > 1")
+    parts = keep(parts, "parts")
+    parts = F.broadcast(parts) if parts.count() * 64 <= BROADCAST_BYTES else parts
+    many = F.coalesce("parts", F.lit(1))
+    keyed = keyed.join(parts, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("text"), many).cast("int")).drop("parts")
+    dealt = found.join(parts, "bucket", "left").select("bucket", F.explode(F.sequence(F.lit(0), many - 1)).alias("part"), "windows")
+    done = keyed.groupBy("bucket", "part").cogroup(dealt.groupBy("bucket", "part")).applyInArrow(cut, KEPT)
     return done.unionByName(rest.mapInArrow(whole, KEPT))
 
 
