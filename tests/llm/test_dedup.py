@@ -129,3 +129,18 @@ def test_passages_are_brute_force(docs, corpus, leaves):
     for r in got:
         assert sum(s["end"] - s["start"] for s in r.removed) == r.n_removed
         assert all(a["end"] < b["start"] for a, b in zip(r.removed, r.removed[1:]))
+
+
+def test_many_rows_under_one_id_and_the_least_id(spark, monkeypatch):
+    """Texts without an id, or under one, are cut in parts; the least number of 64 bits is an id like any other."""
+    monkeypatch.setattr(substrings, "PART_BYTES", 2000)
+    passage = " ".join(f"p{n}" for n in range(20))
+    least = -(1 << 63)
+    rows = [(None, f"n{n} {passage} m{n}") for n in range(300)] + [(least, f"l {passage}"), (7, passage), (7, f"x {passage} y")]
+    got = sorted(((r.doc_id, r.kept) for r in substrings.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()),
+                 key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert got == [(least, "l"), (7, ""), (7, "x y")] + sorted((i, t) for i, t in rows if i is None)
+    one = [(least, passage), (3, passage)]
+    assert {(r.doc_id, r.n_removed) for r in substrings.dedup_passages(spark.createDataFrame(one, "doc_id long, text string")).collect()} == {(least, 0), (3, 20)}
+    with pytest.raises(ValueError):
+        substrings.dedup_passages(spark.createDataFrame([(least, "a"), (-1 - least, "b")], "doc_id long, text string"))

@@ -62,6 +62,39 @@ def test_genetic_step_keeps_pieces_and_beats_best_fit():
     assert better > 0
 
 
+@pytest.mark.parametrize("low, high, share", [(900, 2000, 0.98), (600, 1500, 0.98), (1200, 1700, 0.97)])
+def test_evolution_beats_best_fit_where_packing_is_hard(low, high, share):
+    rng = random.Random(4)
+    lengths = [rng.randint(low, high) for _ in range(2000)]
+    order = sorted(range(len(lengths)), key=lambda p: -lengths[p])
+    plain = packing.best_fit(order, lengths, 4096, [], [])
+    population = []
+    for epoch in range(packing.EPOCHS):
+        population = packing.evolve(lengths, 4096, population, random.Random(epoch))
+    best = population[0]
+    assert sorted(p for b in best.bins for p in b) == list(range(2000))
+    assert [4096 - sum(lengths[p] for p in b) for b in best.bins] == best.free and min(best.free) >= 0
+    assert len(best.bins) <= share * len(plain.bins)
+
+
+def test_bins_that_stay_short_are_packed_as_long_as_that_saves_some(spark):
+    """Lengths that fill no bin in any shard: levels end, every piece has one place, and small shards cost few bins."""
+    rng = random.Random(8)
+    texts = [(n, "the " * (rng.randint(90, 200) - 1)) for n in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = packing.pack(docs, capacity=410, shard_pieces=25).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(400))
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for parts in sequences.values():
+        parts.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and parts[0][0] == 0 and sum(parts[-1]) <= 410
+    lengths = [r.length for r in rows]
+    plain = packing.best_fit(sorted(range(400), key=lambda p: -lengths[p]), lengths, 410, [], [])
+    assert len(sequences) <= len(plain.bins)
+
+
 # --- HTML
 
 
@@ -163,9 +196,22 @@ def test_fingerprints_of_odd_rows(spark):
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"one one ").hexdigest()
 
 
-def test_gamma_quantiles_are_of_the_distribution():
-    q = fingerprints.gamma_quantiles()
-    assert all(abs(1 - (1 + x) * math.exp(-x) - (n + 0.5) / len(q)) < 1e-9 for n, x in enumerate(q))
+def test_draws_are_of_their_distributions(spark):
+    n = 40_000
+    rows = spark.range(n).select(*(c.alias(k) for k, c in zip(("r", "b", "c"), fingerprints._draws(F.xxhash64("id"), F.lit(3))))).collect()
+    for k, below in (("r", lambda x: 1 - (1 + x) * math.exp(-x)), ("b", lambda x: x), ("c", lambda x: 1 - (1 + math.exp(x)) * math.exp(-math.exp(x)))):
+        values = sorted(r[k] for r in rows)
+        assert max(abs(below(x) - (i + 0.5) / n) for i, x in enumerate(values)) < 1.63 / math.sqrt(n)
+
+
+def test_the_least_id_is_no_null(spark):
+    least = -(1 << 63)
+    rows = [(least, "a b c"), (None, "d e f"), (None, "a b c"), (4, "g")]
+    got = fingerprints.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in got) == Counter([least, None, None, 4])
+    # Null is first; its least text hash and the others are followed by the least id, the greatest by a null.
+    edited = {(r.doc_id, r.edited_sha256) for r in got}
+    assert (least, hashlib.sha256(b"a bg").hexdigest()) in edited and (None, hashlib.sha256(b"a b" + b"a ").hexdigest()) in edited
 
 
 # --- decontamination
@@ -321,7 +367,7 @@ def test_leaks_are_brute_force(spark):
 
 def test_the_bitmap_grows_with_the_items(spark):
     rows = spark.range(70_000).select(F.xxhash64("id").alias("hash"))
-    assert len(decontaminate._bitmap(rows)) * 8 == 1 << 21
+    assert len(decontaminate._bitmap(rows)) * 8 == 1 << 23
     assert len(decontaminate._bitmap(rows.limit(3))) * 8 == 1 << 16
 
 
