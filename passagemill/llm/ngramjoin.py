@@ -19,9 +19,9 @@ verified:
 
 A bucket may hold any number of classes (copies with small edits, a passage
 that many texts share), so its pairs are not listed. First every member meets
-two pivots of its bucket; what links becomes one component. Buckets with one
-component are done. In others, the members outside the largest group that the
-pivots made meet the rest, in parts of at most ``PART`` by ``PART`` classes: a
+the pivot of its bucket; what links becomes one component. Buckets with one
+component are done. In others, the members outside the pivot's component
+meet all, in parts of at most about ``PART`` by ``PART`` classes: a
 task passes by pairs of one component, pairs whose sizes are too far apart,
 pairs that share the token before this one (they meet in its bucket), and
 pairs whose parity sketches differ in more bits than their sets may differ in
@@ -228,8 +228,11 @@ def _active(docs: DataFrame, marked: DataFrame, classes: DataFrame, width: int,
             own = [shingles(t.as_py() or b"", width) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(map(_class_of, own), pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["cls", "tokens"])
 
-    sets = texts.mapInArrow(whole, "cls long, tokens binary").join(left, "cls", "left_semi")
-    sets = keep(sets.groupBy("cls").agg(F.first("tokens").alias("tokens")), "classes")
+    read = keep(texts.mapInArrow(whole, "cls long, tokens binary"), "read")
+    once, several = split_by_ids(read, left, "cls")[0], read.groupBy("cls").count().where("count > 1").select("cls")
+    # Rows that share an id may have been read for one another; the sets of such classes alone are moved.
+    again, once = split_by_ids(once, keep(several, "several"), "cls")
+    sets = keep(once.unionByName(again.groupBy("cls").agg(F.first("tokens").alias("tokens"))), "classes")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,10 +318,9 @@ def _near_sizes(a: Column, b: Column, percent: int) -> Column:
 
 
 def _pivot_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of each bucket's members and its two pivots, the first and last of its classes by hash."""
-    who = F.struct(F.xxhash64("cls").alias("h"), "cls", "n")
-    ends = buckets.groupBy("token").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low.cls <> high.cls")
-    pairs = buckets.select("token", "cls", "n").join(ends, "token").select("cls", "n", F.explode(F.array("low", "high")).alias("p"))
+    """(a, b) of each bucket's members and its pivot, the first of its classes by hash."""
+    ends = buckets.groupBy("token").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "n")).alias("p"))
+    pairs = buckets.select("token", "cls", "n").join(ends, "token")
     pairs = pairs.where((F.col("cls") != F.col("p.cls")) & _near_sizes(F.col("n"), F.col("p.n"), percent))
     return pairs.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
 
@@ -331,7 +333,17 @@ def _with_both(pairs: DataFrame, active: DataFrame, *columns: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share a prefix token under both hash orders, and then link by their sets."""
+    """The pairs (a, b) that share a prefix token under both hash orders, and then link by their sets.
+
+    Pairs whose sketches are too far apart are left out first, as their short rows cost least to move.
+    """
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("a_sketch", "b_sketch"))
+            n = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
+            good = (100 + percent) * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (100 - percent) * n
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,6 +361,7 @@ def verified(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * common >= percent * (len(both) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    pairs = keep(_with_both(pairs, active, "n", "sketch").mapInArrow(near, "a long, b long"), "near")
     shared = _with_both(pairs, active, "one", "two").mapInArrow(share, "a long, b long")
     return _with_both(keep(shared, "candidates"), active, "tokens").mapInArrow(compare, "a long, b long")
 
