@@ -48,7 +48,7 @@ SHORT_TOKENS = 4
 SHORT_CHARS = 12
 #: Marks on the hashes of windows that are a line or sentence, or a text, of their own.
 AS_LINE, AS_TEXT = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD6E8FEB86659FD93)
-BITMAP_ROOM = 16
+BITMAP_ROOM = 64
 BITMAP_BITS = range(16, 28)
 
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”‘’„‚«»‹›¿¡…–—·•"
@@ -131,22 +131,26 @@ class Tokens(dict):
         return [(np.where(k, PLACEHOLDERS["name"], values), value | k) for k in kinds], own, start
 
 
-def _whole_windows(templates: list[tuple[np.ndarray, np.ndarray]], own: np.ndarray, is_item: bool) -> Iterator[tuple]:
+def _whole_windows(templates: list[tuple[np.ndarray, np.ndarray]], own: np.ndarray, wanted_of) -> Iterator[tuple]:
     """Hashes of the windows, which of them to take, and what is a slot, for the words themselves and each template.
 
-    An item's windows are taken only if they are evidence. One that is taken is not taken again.
+    ``wanted_of`` says which are wanted at all; one that is taken is not taken again.
     """
     earlier: list[tuple[np.ndarray, np.ndarray]] = []
     for template, slot in [(own, np.zeros(len(own), bool)), *templates]:
         hashes = rolling(template, WINDOW) ^ np.uint64(WINDOW)
-        wanted = np.ones(len(hashes), bool)
-        if is_item:
-            slots = np.r_[0, np.cumsum(slot)]
-            wanted = (WINDOW - (slots[WINDOW:] - slots[:-WINDOW]) >= LITERALS * WINDOW) | (template is own)
-        for h, taken in earlier:
-            wanted &= ~taken | (hashes != h)
-        earlier.append((hashes, wanted.copy()))
-        yield hashes, wanted, slot
+        wanted = wanted_of(hashes, slot)
+        if wanted.any():
+            for h, taken in earlier:
+                wanted &= ~taken | (hashes != h)
+            earlier.append((hashes, wanted))
+            yield hashes, wanted, slot
+
+
+def _evident(hashes: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Which of an item's windows have enough words that are no slots."""
+    slots = np.r_[0, np.cumsum(slot)]
+    return WINDOW - (slots[WINDOW:] - slots[:-WINDOW]) >= LITERALS * WINDOW
 
 
 def _short_windows(own: np.ndarray, start: np.ndarray, width: int, chars: int | None) -> Iterator[tuple]:
@@ -182,6 +186,10 @@ def template_windows(texts: DataFrame, widths: list[int] | None, bitmap: bytes |
         tokens = Tokens()
         bits = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").view(bool)
         shift = np.uint64(0 if bits is None else 65 - len(bits).bit_length())
+
+        def known(hashes: np.ndarray, slot: np.ndarray) -> np.ndarray:
+            return np.ones(len(hashes), bool) if bits is None else bits[(hashes >> shift).astype(np.int64)]
+
         for batch in batches:
             out = []
             for n, (id_, row) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
@@ -195,10 +203,10 @@ def template_windows(texts: DataFrame, widths: list[int] | None, bitmap: bytes |
                 for width in widths or [min(WINDOW, len(own))]:
                     if not width or len(own) < width:
                         continue
-                    found = _whole_windows(templates, own, widths is None) if width == WINDOW else _short_windows(own, start, width, chars)
+                    found = _whole_windows(templates, own, known if widths else _evident) if width == WINDOW else _short_windows(own, start, width, chars)
                     for hashes, wanted, slot in found:
-                        if bits is not None:
-                            wanted = wanted & bits[(hashes >> shift).astype(np.int64)]
+                        if width < WINDOW:
+                            wanted = wanted & known(hashes, slot)
                         fixed = templates[0][1] & ~slot if widths is None else np.zeros(len(own), bool)
                         for at in np.flatnonzero(wanted).tolist():
                             out.append((id_, row, len(own), at, width, int(hashes[at].view(np.int64)), places(slot, at, width), places(fixed, at, width)))
