@@ -22,6 +22,17 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: What a broadcast row of a few numbers takes in an executor's table.
+BROADCAST_ROW = 64
+
+
+def free_name(rows: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``rows`` does not have."""
+    while name in rows.columns:
+        name = f"_{name}"
+    return name
+
+
 def split_by_ids(rows: DataFrame, ids: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose keys are among ``ids``, and the others.
 
@@ -29,11 +40,11 @@ def split_by_ids(rows: DataFrame, ids: DataFrame, *keys: str) -> tuple[DataFrame
     it is small, so that the texts of ``rows`` stay where they are; beyond that
     both sides are shuffled. Nulls are equal to each other.
     """
-    count = ids.count()
-    other = ids.select(*(F.col(key).alias(f"__other_{n}") for n, key in enumerate(keys)))
-    if count * 16 * len(keys) <= BROADCAST_BYTES:
+    names = [free_name(rows, f"__other_{n}") for n in range(len(keys))]
+    other = ids.select(*(F.col(key).alias(name) for key, name in zip(keys, names)))
+    if ids.count() * BROADCAST_ROW * len(keys) <= BROADCAST_BYTES:
         other = F.broadcast(other)
-    same = reduce(Column.__and__, (rows[key].eqNullSafe(F.col(f"__other_{n}")) for n, key in enumerate(keys)))
+    same = reduce(Column.__and__, (rows[key].eqNullSafe(F.col(name)) for key, name in zip(keys, names)))
     return rows.join(other, same, "left_semi"), rows.join(other, same, "left_anti")
 
 
@@ -43,9 +54,10 @@ def row_of() -> Column:
 
 
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id and text are not among ``gone`` (doc_id, row; distinct, a written table)."""
-    gone = gone.select("doc_id", F.col("row").alias("__row"))
-    return split_by_ids(docs.withColumn("__row", row_of()), gone, "doc_id", "__row")[1].drop("__row")
+    """The rows of ``docs`` whose doc_id and text are not among ``gone`` (doc_id, row; distinct, a written table), with all their columns."""
+    row = free_name(docs, "__row")
+    gone = gone.select("doc_id", F.col("row").alias(row))
+    return split_by_ids(docs.withColumn(row, row_of()), gone, "doc_id", row)[1].drop(row)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -11,14 +11,18 @@ edges from ``d - r`` to ``d + r``.
 
 A shard's tree goes by a keyed shuffle to the queries that need it; one
 broadcast of all trees would grow with the corpus. A shard beyond
-``shard_rows`` is cut into that many trees as it needs, and each of its blocks
-of queries meets each tree in a task of its own, so no task holds a hot shard.
-A task returns a spanning forest of the links it found, not the links.
+``shard_rows`` is dealt again: its fingerprints agree on a block, so those
+within ``r`` bits agree on one of ``r + 1`` blocks of the bits left, too. A
+fingerprint then has ``r + 1`` rows for each time its shard is dealt, however
+many fingerprints there are. What is still larger after ``LEVELS`` times is cut
+into trees, and each of its blocks of queries meets each tree in a task of its
+own. A task returns a spanning forest of the links it found, not the links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import components, row_of, split_by_ids, without_rows
+from passagemill.llm.common import components, free_name, row_of, split_by_ids, without_rows
 from passagemill.session import keep
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 #: Fingerprints of one tree at most; a larger shard is cut.
 SHARD_ROWS = 4096
+#: Times that fingerprints are dealt by blocks of bits.
+LEVELS = 3
 #: Rows of whole shards that a task works on at once, and (query, node) pairs that it holds at once.
 CHUNK_ROWS = 200_000
 FRONTIER = 2_000_000
@@ -152,16 +158,47 @@ def _links(chunk: pa.Table, radius: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(fp[linked].view(np.int64)), pa.array(fp[label[linked]].view(np.int64))], ["u", "v"])
 
 
+def _masks(blocks: int, levels: int) -> list[list[int]]:
+    """For each level the blocks of bits, as signed masks: those of all bits, then for each of these those of the bits left, and so on."""
+    left, out = [list(range(64))], []
+    for _ in range(levels):
+        parts = [[bits[len(bits) * b // blocks:len(bits) * (b + 1) // blocks] for b in range(blocks)] for bits in left]
+        masks = [sum(1 << x for x in part) for each in parts for part in each]
+        out.append([m - (1 << 64) if m >> 63 else m for m in masks])
+        left = [[x for x in bits if x not in part] for bits, each in zip(left, parts) for part in each]
+    return out
+
+
+def shard_members(distinct: DataFrame, max_bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS, levels: int = LEVELS) -> DataFrame:
+    """(shard, fp, trees) of distinct fingerprints ``fp``; any two within ``max_bits`` share a shard.
+
+    ``trees`` is above one only where a shard is too large after all levels.
+    """
+    blocks = max_bits + 1
+    zero = F.lit(0).cast("long")
+    members, ready = distinct.select("fp", zero.alias("shard"), F.lit(0).alias("path")), []
+    for level, masks in enumerate(_masks(blocks, levels)):
+        all_masks = F.array(*[F.lit(m).cast("long") for m in masks])
+        path = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.col("path") * blocks + b))
+        members = members.select("fp", "shard", path.alias("path"))
+        value = F.col("fp").bitwiseAND(F.get(all_masks, F.col("path")))
+        members = members.select("fp", F.xxhash64("shard", "path", value).alias("shard"), "path")
+        large = members.groupBy("shard").count().where(F.col("count") > shard_rows)
+        large = keep(large.select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("trees")), "shards")
+        if level == levels - 1:
+            ready.append(members.join(large, "shard", "left").fillna(1, ["trees"]).select("shard", "fp", "trees"))
+            break
+        if large.isEmpty():
+            ready.append(members.select("shard", "fp", F.lit(1).alias("trees")))
+            break
+        ready.append(members.join(large, "shard", "left_anti").select("shard", "fp", F.lit(1).alias("trees")))
+        members = keep(members.join(large, "shard", "left_semi").select("fp", "shard", "path"), "hot")
+    return reduce(DataFrame.unionByName, ready)
+
+
 def link_shards(distinct: DataFrame, max_bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Edges (u, v) that connect what is linked among distinct fingerprints ``fp``."""
-    blocks = max_bits + 1
-    cuts = [64 * b // blocks for b in range(blocks + 1)]
-    shards = F.explode(F.array(*[
-        F.shiftrightunsigned(F.shiftleft("fp", 64 - cuts[b + 1]), 64 - cuts[b + 1] + cuts[b]) * blocks + b for b in range(blocks)]))
-    members = distinct.select("fp", shards.alias("shard"))
-    large = keep(members.groupBy("shard").count().where(F.col("count") > shard_rows)
-                 .select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("trees")), "shards")
-    members = members.join(large, "shard", "left").fillna(1, ["trees"])
+    members = shard_members(distinct, max_bits, shard_rows)
     members = members.select("shard", "fp", "trees", F.pmod(F.xxhash64("fp"), "trees").cast("int").alias("block"))
     # A block is a tree for itself and later blocks, and asks the trees of earlier ones.
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("trees") - 1), lambda o: F.struct(
@@ -230,8 +267,9 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, ma
         F.count("*").alias("rows"), F.bool_or(who == F.col("first")).alias("stays")), "found")
     # What goes is the shorter list; while it is short, the texts need no shuffle to meet it.
     rest = without_rows(docs, keep(found.where("NOT stays").select("doc_id", "row"), "dropped"))
-    repeated = keep(found.where("stays AND rows > 1").select("doc_id", F.col("row").alias("__row")), "repeated")
+    row = free_name(docs, "__row")
+    repeated = keep(found.where("stays AND rows > 1").select("doc_id", F.col("row").alias(row)), "repeated")
     if repeated.isEmpty():
         return rest
-    again, single = split_by_ids(rest.withColumn("__row", row_of()), repeated, "doc_id", "__row")
-    return single.unionByName(again.dropDuplicates(["doc_id", "__row"])).drop("__row")
+    again, single = split_by_ids(rest.withColumn(row, row_of()), repeated, "doc_id", row)
+    return single.unionByName(again.dropDuplicates(["doc_id", row])).drop(row)

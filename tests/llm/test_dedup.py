@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from passagemill.llm import linededup, simhash, substrings
 
@@ -61,6 +62,30 @@ def test_a_dense_cluster_keeps_every_link(spark, shard_rows):
     assert [values.index(roots.get(v, v)) for v in values] == want
 
 
+def test_rows_of_a_fingerprint_do_not_grow_with_the_input(spark):
+    """Shards that are too large are dealt again, not paired."""
+    rows = spark.range(16_000).select(F.xxhash64("id").alias("fp"))
+    each = {}
+    for n in (2000, 16_000):
+        members = simhash.shard_members(rows.limit(n), shard_rows=n // 8192 + 4)
+        got = members.agg(F.count("*").alias("rows"), F.max("trees").alias("trees")).first()
+        each[n] = got.rows / n
+        assert got.trees == 1
+    assert 5 <= each[2000] <= 25 and each[16_000] <= 25
+
+
+def test_masks_hold_every_bit_once():
+    for level, masks in enumerate(simhash._masks(5, 3)):
+        assert len(masks) == 5 ** (level + 1)
+        for n in range(0, len(masks), 5):
+            assert sum(m % (1 << 64) for m in masks[n:n + 5]).bit_count() == sum((m % (1 << 64)).bit_count() for m in masks[n:n + 5])
+            path, used = n // 5, 0
+            for above in reversed(range(level)):
+                used |= simhash._masks(5, 3)[above][path]
+                path //= 5
+            assert (sum(m % (1 << 64) for m in masks[n:n + 5]) | used % (1 << 64)) == (1 << 64) - 1
+
+
 def test_one_of_each_group_stays(docs, corpus):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns

@@ -155,3 +155,20 @@ def test_long_words_are_read_whole(many):
     read = set(inputs.flat.tolist())
     assert {toxicity.xxhash.xxh64_intdigest(word[n:n + 3]) % toxicity.GRAM_SLOTS for n in range(many - 2)} <= read
     assert {toxicity.xxhash.xxh64_intdigest(x) % toxicity.GRAM_SLOTS for x in ("^" + word[:2], word[-2:] + "$")} <= read
+
+
+def test_a_callers_columns_stay(spark):
+    """Columns named like the operators' own are kept, with their values."""
+    rows = [(n, f"some words number {n} that are here", f"r{n}", n, -n) for n in range(4)] + [(3, "some words number 3 that are here", "r3", 3, -3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row string, __other_0 int, __other_1 int")
+    items = spark.createDataFrame([(1, "some words number 2 that are here")], "item_id long, text string")
+    for kept, ids in ((simhash.drop_near_duplicates(docs, max_bits=0), {0, 1, 2, 3}), (decontaminate.drop_leaks(docs, items), {0, 1, 3})):
+        assert kept.columns == docs.columns
+        assert {(r.doc_id, r["__row"], r["__other_0"], r["__other_1"]) for r in kept.collect()} == {(n, f"r{n}", n, -n) for n in ids}
+
+
+def test_an_empty_table_passes_every_stage(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
