@@ -42,19 +42,32 @@ def _as_lists(rows: np.ndarray, valid: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)), mask=pa.array(~valid))
 
 
+def _hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens each text has, and the hashes of all of them in turn."""
+    hashes: list[int] = []
+    sizes = np.zeros(len(texts), dtype=np.int64)
+    for position, value in enumerate(texts):
+        if value is not None:
+            tokens = TOKEN.findall(value.lower())
+            sizes[position] = len(tokens)
+            hashes.extend(map(_TOKEN_HASHES.__getitem__, tokens))
+    return sizes, np.array(hashes, dtype=np.int64)
+
+
+def term_counts(texts: list[str | None], dim: int = HASH_DIM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, term and count of the entries of ``token_counts`` that are not zero."""
+    sizes, hashes = _hashed(texts)
+    cells, counts = np.unique(np.repeat(np.arange(len(texts)) * dim, sizes) + hashes % dim, return_counts=True)
+    return cells // dim, cells % dim, counts
+
+
 def token_counts(text: Column, dim: int = HASH_DIM) -> Column:
     """Token counts hashed into ``dim`` buckets, as array<float>."""
 
     @F.arrow_udf(EMBEDDING)
     def count_batch(texts: pa.Array) -> pa.Array:
-        hashes: list[int] = []
-        sizes = np.zeros(len(texts), dtype=np.int64)
-        for position, value in enumerate(texts.to_pylist()):
-            if value is not None:
-                tokens = TOKEN.findall(value.lower())
-                sizes[position] = len(tokens)
-                hashes.extend(map(_TOKEN_HASHES.__getitem__, tokens))
-        cells = np.repeat(np.arange(len(texts)) * dim, sizes) + np.array(hashes, dtype=np.int64) % dim
+        sizes, hashes = _hashed(texts.to_pylist())
+        cells = np.repeat(np.arange(len(texts)) * dim, sizes) + hashes % dim
         rows = np.bincount(cells, minlength=len(texts) * dim).astype(np.float32).reshape(len(texts), dim)
         return _as_lists(rows, texts.is_valid().to_numpy(zero_copy_only=False))
 
@@ -121,25 +134,41 @@ def embed(
     return df.withColumn(out_col, embed_batches(F.col(text_col)))
 
 
+#: Words of a training task at least; below that, averaging tasks' vectors costs more than it saves.
+TASK_WORDS = 200_000
+
+
 def fit_word2vec(
     documents: DataFrame, dim: int = HASH_DIM, text_col: str = "content", min_count: int = 5,
-    max_vocabulary: int = 2_000_000, partitions: int = 1, seed: int = 7, max_iter: int = 1,
+    max_vocabulary: int = 2_000_000, partitions: int | None = None, seed: int = 7, max_iter: int | None = None,
 ):
-    """Train word vectors with Spark ML.
+    """Train word vectors with Spark ML on words that occur ``min_count`` times or more; others have none.
 
+    Training is spread evenly over as many tasks as there are cores, as long as
+    each has ``TASK_WORDS``; then three rounds average what the tasks learn.
     The model keeps its vocabulary on the driver, so its size is counted first
     and a corpus with a larger one needs a higher ``min_count``.
     """
     words = documents.select(word_list(F.col(text_col)).alias("words"))
-    frequent = words.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= min_count).count()
+    counts = words.select(F.explode("words").alias("w")).groupBy("w").count()
+    frequent, total = counts.agg(F.count_if(F.col("count") >= min_count), F.coalesce(F.sum("count"), F.lit(0))).first()
     if frequent > max_vocabulary:
         raise ValueError(f"{frequent} words occur {min_count} times or more; raise min_count")
+    if partitions is None:
+        partitions = max(1, min(total // TASK_WORDS, documents.sparkSession.sparkContext.defaultParallelism))
     return Word2Vec(
-        vectorSize=dim, minCount=min_count, numPartitions=partitions, seed=seed, maxIter=max_iter,
+        vectorSize=dim, minCount=min_count, numPartitions=partitions, seed=seed, maxIter=max_iter or (1 if partitions == 1 else 3),
         inputCol="words", outputCol="vector",
     ).fit(words)
 
 
+def known_words(documents: DataFrame, model, id_col: str, text_col: str = "content") -> DataFrame:
+    """(id, n_words, n_known): a text's words, and those that have a vector; without any, its vector is zero."""
+    words = documents.select(id_col, F.explode_outer(word_list(F.col(text_col))).alias("word"))
+    known = model.getVectors().select("word", F.lit(1).alias("known"))
+    return words.join(known, "word", "left").groupBy(id_col).agg(F.count("word").alias("n_words"), F.count("known").alias("n_known"))
+
+
 def word_list(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 

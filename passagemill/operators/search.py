@@ -3,65 +3,92 @@
 A batch of request vectors is scored against the store without pairing rows in
 a join: each task holds one bounded block of requests, streams its part of the
 store through a matrix product and keeps only the best ``k`` per request. What
-leaves a task is therefore bounded by the requests, not by the store.
+leaves a task is therefore bounded by the requests, not by the store. Where the
+store has many splits, growing shares of them are looked at first: the
+``k``-th best of a share bounds the distance of a hit, so that in the end no
+split emits rows beyond it, and what is shuffled does not grow with the splits.
+
+A scan takes requests of both search types at once. Its state carries, for a
+request that will be re-ranked, the vector of each candidate, and for all of
+them the file that holds it, so that text is read from those files alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions import vectors as V
 from passagemill.operators.embedding import token_counts
-from passagemill.session import keep
+from passagemill.session import keep, scratch_path
 from passagemill.settings import HASH_DIM
 
 # More than any store holds: a request for more gets everything, and sums of
 # counts stay in 64 bits.
 MOST_HITS = 1 << 40
 # A block of requests is sent to the tasks only below this size; a larger
-# batch is ranked tile by tile (see ``_grid_candidates``).
+# batch is dealt into blocks, each with a scan of its own.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Best-so-far rows a task may hold for one block of requests.
+# Best-so-far rows a task may hold for one block of requests; a row with its
+# vector counts as several.
 STATE_ROWS = 2_000_000
+ROW_BYTES = 48
+# Stores of more splits have distances bounded by shares of one split in so
+# many, one after the other, before the full scan.
+BOUND_SPLITS = 64
+SHARES = (4096, 512, 64, 8)
 # Requests asking for more hits than this keep no state in the task.
 STATE_K = 1_000_000
 # Requests asking for more hits than this are ranked by a distributed sort.
 RANK_K = 4096
 # Ranked ids (about 100 bytes each) are broadcast up to this many.
 BROADCAST_HITS = 500_000
+# Hits in more files than this have their text looked for in the whole store.
+MOST_FILES = 10_000
 # Cells of one score matrix, and pairs of one exact re-computation.
 SCORE_CELLS = 4_000_000
 EXACT_PAIRS = 65_536
 # First merge level of the per-task results, so that one request's rows are
 # not all ranked by one task.
 MERGE_FANOUT = 32
-# Rows per tile when the request batch is too large to broadcast.
-TILE_ROWS = 500_000
-# Requests (with one vector each) broadcast in a round of distributed MMR.
-MMR_BROADCAST_REQUESTS = 5_000
-# Candidates one task re-ranks at once.
-MMR_GROUP_ROWS = 20_000
+# Rows of one batch that leaves a task.
+EMIT_ROWS = 16_384
+# Vectors of candidates that one task re-ranks at once.
+MMR_GROUP_BYTES = 16 * 1024 * 1024
+# Candidates that a pass of distributed MMR brings together, for each request.
+MMR_AHEAD = 256
 
 
 @dataclass
 class Block:
-    """Requests as arrays: ids, (n, dim) vectors and hits wanted."""
+    """Requests as arrays: ids, (n, dim) vectors, hits wanted, whether these
+    carry their vectors, and the distance beyond which no row is a hit."""
 
     ids: pa.Array
     vectors: np.ndarray
     wanted: np.ndarray
+    carry: np.ndarray
+    bound: np.ndarray
 
     def part(self, rows: np.ndarray) -> Block:
-        return Block(self.ids.take(pa.array(rows)), self.vectors[rows], self.wanted[rows])
+        return Block(self.ids.take(pa.array(rows)), *(x[rows] for x in (self.vectors, self.wanted, self.carry, self.bound)))
+
+
+@dataclass
+class Part:
+    """Rows of the store as arrays: ids, files and (n, dim) vectors."""
+
+    ids: pa.Array
+    files: pa.Array
+    vectors: np.ndarray
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -115,8 +142,8 @@ class Scorer:
         with np.errstate(divide="ignore", invalid="ignore"):
             return rows / lengths[:, None]
 
-    def rough(self, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Inner products of all pairs and, per request, the error to allow."""
+    def rough(self, rows: np.ndarray, lengths: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inner products of ``some`` requests with all rows and, per request, the error to allow."""
         bad = self._without_direction(lengths)
         if self.metric == "l2":
             form = np.column_stack([rows, -0.5 * lengths**2])
@@ -125,12 +152,12 @@ class Scorer:
         form[bad] = 0.0
         widest = _lengths(form).max(initial=0.0)
         if widest * self.form_lengths.max(initial=0.0) < 1e30:
-            products, unit = self.single @ form.astype(np.float32).T, 1.2e-7
+            products, unit = self.single[some] @ form.astype(np.float32).T, 1.2e-7
         else:
-            products, unit = self.form @ form.T, 2.3e-16
+            products, unit = self.form[some] @ form.T, 2.3e-16
         products[:, bad] = -np.inf
-        products[self.undefined] = -np.inf
-        return products, (form.shape[1] + 4) * unit * self.form_lengths * widest
+        products[self.undefined[some]] = -np.inf
+        return products, (form.shape[1] + 4) * unit * self.form_lengths[some] * widest
 
     def product_at(self, distance: np.ndarray) -> np.ndarray:
         """The inner product that corresponds to a distance."""
@@ -161,80 +188,118 @@ class BestRows:
     def __init__(self, block: Block, metric: str):
         self.block = block
         self.scorer = Scorer(block, metric)
-        self.bound = np.full(len(block.ids), np.inf)
+        self.bound = block.bound.copy()
         self.most = int(block.wanted.max(initial=1))
-        self.held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
-        self.n_held = 0
+        #: Pieces of (request, distance, id, file, place of the vector or -1), and the vectors carried.
+        self.held: list[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array, np.ndarray]] = []
+        self.vectors: list[np.ndarray] = []
+        self.n_held, self.n_vectors = 0, 0
         self.limit = 2 * int(block.wanted.sum()) + 100_000
 
-    def add(self, ids: pa.Array, rows: np.ndarray) -> None:
-        step = max(1, SCORE_CELLS // max(1, len(self.bound)))
-        for start in range(0, len(rows), step):
-            part = rows[start:start + step].astype(np.float64)
-            lengths = _lengths(part)
-            products, slack = self.scorer.rough(part, lengths)
-            floor = self.scorer.product_at(self.bound)
+    def add(self, part: Part, some: np.ndarray | None = None) -> None:
+        """Look at rows for all requests, or only for the numbers ``some``."""
+        some = np.arange(len(self.bound)) if some is None else some
+        step = max(1, SCORE_CELLS // max(1, len(some)))
+        for start in range(0, len(part.vectors), step):
+            narrow = part.vectors[start:start + step]
+            wide = narrow.astype(np.float64)
+            lengths = _lengths(wide)
+            products, slack = self.scorer.rough(wide, lengths, some)
+            floor = self.scorer.product_at(self.bound)[some]
             # Requests that have not seen ``k`` rows yet take the part's own
             # k-th best as their first bound.
-            unbounded = np.flatnonzero(np.isinf(self.bound) & ~self.scorer.undefined)
-            if len(unbounded) and len(part) > self.most:
-                place = len(part) - self.most
+            unbounded = np.flatnonzero((np.isinf(self.bound) & ~self.scorer.undefined)[some])
+            if len(unbounded) and len(wide) > self.most:
+                place = len(wide) - self.most
                 own = np.partition(products[unbounded], place, axis=1)[:, place]
                 floor[unbounded] = np.fmax(floor[unbounded], own - slack[unbounded])
             floor = np.nextafter((floor - slack).astype(products.dtype), -np.inf)
-            q, i = np.divmod(np.flatnonzero(products >= floor[:, None]), len(part))
-            self.held.append((q, self.scorer.exact(q, part, i, lengths), ids.take(pa.array(start + i))))
-            self.n_held += len(q)
+            q, i = np.divmod(np.flatnonzero(products >= floor[:, None]), len(wide))
+            q = some[q]
+            d = self.scorer.exact(q, wide, i, lengths)
+            within = d <= self.bound[q]
+            self._hold(q[within], d[within], i[within], start, narrow, part)
             if self.n_held > self.limit or len(unbounded):
                 self.compact()
 
+    def _hold(self, q: np.ndarray, d: np.ndarray, i: np.ndarray, start: int, vectors: np.ndarray, part: Part) -> None:
+        place = np.full(len(q), -1)
+        carried = self.block.carry[q]
+        if carried.any():
+            used, place[carried] = np.unique(i[carried], return_inverse=True)
+            place[carried] += self.n_vectors
+            self.vectors.append(vectors[used])
+            self.n_vectors += len(used)
+        at = pa.array(start + i)
+        self.held.append((q, d, part.ids.take(at), part.files.take(at), place))
+        self.n_held += len(q)
+
     def compact(self) -> pa.Table:
-        ids = [piece[2] for piece in self.held]
+        columns = list(zip(*self.held)) or [[np.empty(0, np.int64)], [np.empty(0)], [pa.array([], pa.null())], [pa.array([], pa.null())], [np.empty(0, np.int64)]]
         table = pa.table({
-            "q": np.concatenate([piece[0] for piece in self.held]) if self.held else np.empty(0, np.int64),
-            "d": np.concatenate([piece[1] for piece in self.held]) if self.held else np.empty(0),
-            "id": pa.chunked_array(ids) if ids else pa.array([], pa.null()),
+            "q": np.concatenate(columns[0]), "d": np.concatenate(columns[1]), "id": pa.chunked_array(columns[2]),
+            "file": pa.chunked_array(columns[3]), "place": np.concatenate(columns[4]),
         })
         if len(table):
             table = table.sort_by([("q", "ascending"), ("d", "ascending"), ("id", "ascending")])
             q = table["q"].to_numpy()
             position = np.arange(len(q)) - np.searchsorted(q, q)
-            keep = position < self.block.wanted[q]
             last = position == self.block.wanted[q] - 1
-            self.bound[q[last]] = table["d"].to_numpy()[last]
-            table = table.filter(pa.array(keep)).combine_chunks()
-            self.held = [(table["q"].to_numpy(), table["d"].to_numpy(), table["id"].combine_chunks())]
+            self.bound[q[last]] = np.minimum(self.bound[q[last]], table["d"].to_numpy()[last])
+            table = table.filter(pa.array(position < self.block.wanted[q])).combine_chunks()
+            place = table["place"].to_numpy().copy()
+            if self.n_vectors:
+                used, place[place >= 0] = np.unique(place[place >= 0], return_inverse=True)
+                self.vectors = [np.concatenate(self.vectors)[used]]
+                self.n_vectors = len(used)
+                table = table.set_column(4, "place", pa.array(place))
+            self.held = [(table["q"].to_numpy(), table["d"].to_numpy(), table["id"].combine_chunks(), table["file"].combine_chunks(), place)]
             self.n_held = len(table)
         return table
 
-
-def _emit(block: Block, q: np.ndarray, d: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [block.ids.take(pa.array(q)), ids, pa.array(d, mask=np.isinf(d)), pa.array(block.wanted[q])],
-        ["q_id", "chunk_id", "distance", "k"],
-    )
+    def emit(self) -> Iterator[pa.RecordBatch]:
+        table = self.compact()
+        if len(table):
+            vectors = self.vectors[0] if self.vectors else np.empty((0, self.block.vectors.shape[1]), np.float32)
+            yield from _emit(self.block, *(table[c].to_numpy() for c in ("q", "d")), *(table[c].combine_chunks() for c in ("id", "file")),
+                             table["place"].to_numpy(), vectors)
 
 
-def _rank_stream(block: Block, metric: str, parts: Iterator[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Candidates of a block from a stream of (ids, vectors)."""
+def _emit(block: Block, q: np.ndarray, d: np.ndarray, ids: pa.Array, files: pa.Array, place: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Batches of hits; ``place`` says which of the ``vectors`` a hit carries."""
+    dim = block.vectors.shape[1]
+    for start in range(0, len(q), EMIT_ROWS):
+        cut = slice(start, start + EMIT_ROWS)
+        some, at = q[cut], place[cut]
+        offsets = np.r_[0, np.cumsum(np.where(at >= 0, dim, 0))].astype(np.int32)
+        carried = pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors[at[at >= 0]].ravel()), mask=pa.array(at < 0))
+        yield pa.RecordBatch.from_arrays(
+            [block.ids.take(pa.array(some)), ids.slice(start, len(some)), pa.array(d[cut], mask=np.isinf(d[cut])), pa.array(block.wanted[some]),
+             files.slice(start, len(some)), carried],
+            ["q_id", "chunk_id", "distance", "k", "file", "vector"])
+
+
+def _rank_stream(block: Block, metric: str, parts: Iterator[Part]) -> Iterator[pa.RecordBatch]:
+    """Candidates of a block from a stream of parts of the store."""
     modest = block.part(np.flatnonzero(block.wanted <= STATE_K))
     greedy = block.part(np.flatnonzero(block.wanted > STATE_K))
     best = BestRows(modest, metric) if len(modest.ids) else None
     scorer = Scorer(greedy, metric) if len(greedy.ids) else None
-    for ids, rows in parts:
+    for part in parts:
         if best:
-            best.add(ids, rows)
+            best.add(part)
         if scorer:
-            wide = rows.astype(np.float64)
+            wide = part.vectors.astype(np.float64)
             lengths = _lengths(wide)
-            every = np.arange(len(rows))
+            every = np.arange(len(wide))
             for number in range(len(greedy.ids)):
-                q = np.full(len(rows), number)
-                yield _emit(greedy, q, scorer.exact(q, wide, every, lengths), ids)
+                d = scorer.exact(np.full(len(wide), number), wide, every, lengths)
+                near = np.flatnonzero(d <= greedy.bound[number])
+                place = near if greedy.carry[number] else np.full(len(near), -1)
+                at = pa.array(near)
+                yield from _emit(greedy, np.full(len(near), number), d[near], part.ids.take(at), part.files.take(at), place, part.vectors)
     if best:
-        table = best.compact()
-        if len(table):
-            yield _emit(modest, table["q"].to_numpy(), table["d"].to_numpy(), table["id"].combine_chunks())
+        yield from best.emit()
 
 
 def _candidate_schema(requests: DataFrame, store: DataFrame) -> T.StructType:
@@ -243,6 +308,8 @@ def _candidate_schema(requests: DataFrame, store: DataFrame) -> T.StructType:
         T.StructField("chunk_id", store.schema["chunk_id"].dataType),
         T.StructField("distance", T.DoubleType()),
         T.StructField("k", T.LongType()),
+        T.StructField("file", T.LongType()),
+        T.StructField("vector", store.schema["embedding"].dataType),
     ])
 
 
@@ -253,130 +320,130 @@ def _with_vector(rows):
 
 def _as_block(table: pa.Table, dim: int) -> Block:
     table = _with_vector(table).combine_chunks()
-    ids = table["q_id"]
-    vectors = table["embedding"]
-    return Block(
-        ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids,
-        _matrix(vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors, dim),
-        np.asarray(table["k"].to_numpy(), dtype=np.int64),
-    )
+    ids, vectors = (table[c].combine_chunks() if isinstance(table[c], pa.ChunkedArray) else table[c] for c in ("q_id", "embedding"))
+    wanted = np.asarray(table["k"].to_numpy(), dtype=np.int64)
+    return Block(ids, _matrix(vectors, dim), wanted, table["carry"].to_numpy().astype(bool), np.full(len(wanted), np.inf))
+
+
+def _file() -> Column:
+    """The file that holds a row, as a number."""
+    return F.xxhash64("_metadata.file_path")
 
 
-def _state_sized(block: Block) -> Iterator[Block]:
-    """Cut a block so that the hits kept for each part stay bounded."""
-    load = np.cumsum(np.minimum(block.wanted, STATE_K))
-    for number in np.unique(load // STATE_ROWS):
-        yield block.part(np.flatnonzero(load // STATE_ROWS == number))
+def _located(store: DataFrame) -> DataFrame:
+    """(chunk_id, embedding, file); the file is null where rows come from none."""
+    hidden = store._jdf.queryExecution().analyzed().metadataOutput()
+    stored = any(hidden.apply(n).name() == "_metadata" for n in range(hidden.size()))
+    return store.select("chunk_id", "embedding", (_file() if stored else F.lit(None).cast("long")).alias("file"))
 
 
-def _scan_candidates(block: Block, store: DataFrame, schema: T.StructType, metric: str) -> DataFrame:
-    """One pass over the store with the whole request block in every task."""
-    shared = store.sparkSession.sparkContext.broadcast(block)
+def _scan_candidates(block: Block, rows: DataFrame, schema: T.StructType, metric: str, share: int = 1) -> DataFrame:
+    """One pass over the store, or one of ``share`` splits of it, with the whole request block in every task."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
     dim = block.vectors.shape[1]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if TaskContext.get().partitionId() % share:
+            return
         present = map(_with_vector, batches)
-        parts = ((b.column("chunk_id"), _matrix(b.column("embedding"), dim)) for b in present)
+        parts = (Part(b.column("chunk_id"), b.column("file"), _matrix(b.column("embedding"), dim)) for b in present)
         yield from _rank_stream(shared.value, metric, parts)
 
-    return store.mapInArrow(scan, schema)
+    return rows.mapInArrow(scan, schema)
 
 
-def _numbers(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+def _splits(rows: DataFrame) -> int:
+    """About how many tasks a scan has; 1 where Spark does not know the size."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    each = rows._jdf.sparkSession().sessionState().conf().filesMaxPartitionBytes()
+    return 1 if size >= 1 << 60 else size // each
 
 
-def _grid_candidates(
-    queries: DataFrame, store: DataFrame, schema: T.StructType, metric: str, dim: int, block_rows: int, tile_rows: int,
-) -> DataFrame:
-    """Request blocks x store tiles, for batches too large to broadcast.
+def _bounded(block: Block, rows: DataFrame, schema: T.StructType, metric: str, most: int, shares: list[int]) -> Block:
+    """The block with distances beyond which no row is a hit.
 
-    Requests are hashed into blocks and stored rows into tiles; each side is
-    copied along the other axis and the bounded cells meet by an equi-key, so
-    no cell depends on how keys are distributed and none is collected.
+    The ``k``-th best row of a part of the store is as far as a hit may be.
+    Each share holds the one before, and its rows beyond what that one said
+    are not emitted, so a step emits some ``k`` rows times the ratio of shares.
     """
-    n_blocks = -(-queries.count() // block_rows)
-    n_tiles = max(1, -(-store.count() // tile_rows))
-    left = queries.select(
-        "*", F.pmod(F.xxhash64("q_id"), F.lit(n_blocks)).alias("block"),
-        F.explode(_numbers(n_tiles)).alias("tile"),
-    )
-    right = store.select(
-        "*", F.pmod(F.xxhash64("chunk_id"), F.lit(n_tiles)).alias("tile"),
-        F.explode(_numbers(n_blocks)).alias("block"),
-    )
-
-    def cell(requests: pa.Table, rows: pa.Table) -> pa.Table:
-        found = []
-        if len(requests) and len(rows):
-            part = _with_vector(rows).combine_chunks()
-            ids, vectors = part["chunk_id"].combine_chunks(), _matrix(part["embedding"].combine_chunks(), dim)
-            for block in _state_sized(_as_block(requests, dim)):
-                found.extend(_rank_stream(block, metric, iter([(ids, vectors)])))
-        if found:
-            return pa.Table.from_batches(found)
-        return pa.table({
-            "q_id": requests["q_id"].slice(0, 0) if len(requests) else pa.array([], requests.schema.field("q_id").type),
-            "chunk_id": pa.array([], rows.schema.field("chunk_id").type),
-            "distance": pa.array([], pa.float64()),
-            "k": pa.array([], pa.int64()),
-        })
-
-    return left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile")).applyInArrow(cell, schema)
+    light = replace(block, carry=np.zeros(len(block.ids), bool), bound=block.bound.copy())
+    for share in shares:
+        found = _rank(_scan_candidates(light, rows, schema, metric, share), most).where("rank = k AND distance IS NOT NULL")
+        last = found.select("q_id", "distance").toArrow()
+        at = pc.index_in(last["q_id"].combine_chunks(), block.ids).to_numpy(zero_copy_only=False)
+        light.bound[at] = np.minimum(light.bound[at], last["distance"].to_numpy())
+    return replace(light, carry=block.carry)
 
 
-def knn_batch(
-    requests: DataFrame, store: DataFrame, metric: str = "l2",
-    broadcast_bytes: int = BROADCAST_BYTES, tile_rows: int = TILE_ROWS,
+def nearest(
+    requests: DataFrame, store: DataFrame, metric: str = "l2", broadcast_bytes: int = BROADCAST_BYTES, bound_splits: int = BOUND_SPLITS,
 ) -> DataFrame:
     """The ``k`` nearest chunks of every request, exactly.
 
     ``requests(q_id, embedding, k)``, ``store(chunk_id, embedding)``; both ids
-    are unique. Returns (q_id, rank, chunk_id, distance), ties broken by id.
+    are unique. Returns (q_id, rank, chunk_id, distance, file, vector), ties
+    broken by id. ``vector`` is the hit's own for requests whose column
+    ``carry`` is true, else null; ``file`` tells where the hit is stored.
+
+    One pass over the store serves all requests that may be broadcast. More of
+    them are dealt into blocks by a hash, and each block has a pass; rows of
+    the store are never shuffled.
     """
+    spark = store.sparkSession
+    carry = F.coalesce("carry", F.lit(False)) if "carry" in requests.columns else F.lit(False)
     # Requests are read several times below, but embedded once.
     queries = keep(requests.where("k > 0").select(
-        "q_id", F.col("embedding").cast("array<double>").alias("embedding"), F.least(F.col("k").cast("long"), F.lit(MOST_HITS)).alias("k")
-    ), "requests")
+        "q_id", F.col("embedding").cast("array<double>").alias("embedding"), F.least(F.col("k").cast("long"), F.lit(MOST_HITS)).alias("k"),
+        carry.alias("carry")), "requests")
     # Missing vectors are dropped in the tasks: a filter on the column here
     # would compute embeddings that come from a function a second time.
-    rows = store.select("chunk_id", "embedding")
-    schema = _candidate_schema(requests, store)
-    dim, most = queries.agg(F.max(F.when(F.col("embedding").isNotNull(), F.size("embedding"))), F.max("k")).first()
+    rows = _located(store)
+    schema = _candidate_schema(requests, rows)
+    held = F.least("k", F.lit(STATE_K))
+    dim, most, count, state, carried = queries.where("embedding IS NOT NULL").agg(
+        F.max(F.size("embedding")), F.max("k"), F.count("*"), F.sum(held), F.sum(F.when(F.col("carry"), held).otherwise(0))).first()
     if dim is None:
-        return store.sparkSession.createDataFrame([], _ranked_schema(schema))
-    block_rows = max(1, broadcast_bytes // (8 * max(1, dim)))
-    if most <= RANK_K:
-        return rank_hits(_candidates(queries, rows, schema, metric, dim, block_rows, tile_rows), most)
-    few = _candidates(queries.where(F.col("k") <= RANK_K), rows, schema, metric, dim, block_rows, tile_rows)
-    many = _candidates(queries.where(F.col("k") > RANK_K), rows, schema, metric, dim, block_rows, tile_rows)
-    return rank_hits(few, RANK_K).unionByName(rank_long(many))
+        return spark.createDataFrame([], _ranked_schema(schema))
+    splits = _splits(rows)
+    shares = [share for share in SHARES if splits >= share] if splits >= bound_splits else []
+
+    def ranked(table: pa.Table) -> DataFrame:
+        block = _bounded(_as_block(table, dim), rows, schema, metric, most, shares)
+        return _rank(_scan_candidates(block, rows, schema, metric), most).select(_ranked_schema(schema).names)
+
+    blocks = max(-(-count * 8 * dim // broadcast_bytes), -(-int(state + carried * 8 * dim / ROW_BYTES) // STATE_ROWS))
+    if blocks <= 1:
+        return ranked(queries.toArrow())
+    dealt = scratch_path(spark, "request-blocks")
+    queries.withColumn("block", F.pmod(F.xxhash64("q_id"), F.lit(blocks))).write.partitionBy("block").parquet(dealt)
+    paths = []
+    for number in range(blocks):
+        table = spark.read.schema(queries.schema.add("block", "long")).parquet(dealt).where(F.col("block") == number).toArrow()
+        if len(table):
+            paths.append(scratch_path(spark, "block-hits"))
+            keep(ranked(table), "block-hits", paths[-1])
+    return spark.read.schema(_ranked_schema(schema)).parquet(*paths)
 
 
-def _candidates(
-    queries: DataFrame, rows: DataFrame, schema: T.StructType, metric: str, dim: int, block_rows: int, tile_rows: int,
-) -> DataFrame:
-    # Reads one row more than may be broadcast, never the whole batch.
-    collected = queries.limit(block_rows + 1).toArrow()
-    if len(collected) > block_rows:
-        return _grid_candidates(queries, rows, schema, metric, dim, block_rows, tile_rows)
-    scans = [_scan_candidates(block, rows, schema, metric) for block in _state_sized(_as_block(collected, dim))]
-    return reduce(DataFrame.unionAll, scans) if scans else rows.sparkSession.createDataFrame([], schema)
+def knn_batch(requests: DataFrame, store: DataFrame, metric: str = "l2", **options) -> DataFrame:
+    """(q_id, rank, chunk_id, distance) of the ``k`` nearest chunks; see ``nearest``."""
+    return nearest(requests.select("q_id", "embedding", "k"), store, metric, **options).select("q_id", "rank", "chunk_id", "distance")
 
 
 def _ranked_schema(schema: T.StructType) -> T.StructType:
-    q, chunk, distance = schema.fields[:3]
-    return T.StructType([q, T.StructField("rank", T.LongType()), chunk, distance])
+    q, chunk, distance, _, file, vector = schema.fields
+    return T.StructType([q, T.StructField("rank", T.LongType()), chunk, distance, file, vector])
 
 
-def rank_hits(candidates: DataFrame, most: int | None = None) -> DataFrame:
-    """Number (q_id, chunk_id, distance, k) per request from 1 and keep ``k``.
+def _rank(candidates: DataFrame, most: int) -> DataFrame:
+    """Candidates with their ``rank``, by whichever way suits each request's ``k``."""
+    if most <= RANK_K:
+        return _rank_few(candidates, most)
+    candidates = keep(candidates, "candidates")
+    return _rank_few(candidates.where(F.col("k") <= RANK_K), RANK_K).unionByName(_rank_many(candidates.where(F.col("k") > RANK_K)))
 
-    ``most``, no less than any ``k``, lets Spark drop rows before the shuffle.
 
-    Ranked in two levels: within a slice of the tasks' results, then among the
-    survivors, so a request's candidates never meet in one task all at once.
-    """
+def _rank_few(candidates: DataFrame, most: int | None) -> DataFrame:
     nearest = [F.asc_nulls_last("distance"), F.asc("chunk_id")]
     sliced = candidates.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(MERGE_FANOUT)))
     within = Window.partitionBy("q_id", "slice").orderBy(*nearest)
@@ -387,10 +454,21 @@ def rank_hits(candidates: DataFrame, most: int | None = None) -> DataFrame:
     return (
         sliced.withColumn("rank", F.row_number().over(within)).where(wanted)
         .withColumn("rank", F.row_number().over(overall)).where(wanted)
-        .select("q_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "distance")
+        .withColumn("rank", F.col("rank").cast("long")).drop("slice")
     )
 
 
+def rank_hits(candidates: DataFrame, most: int | None = None) -> DataFrame:
+    """Number (q_id, chunk_id, distance, k) per request from 1 and keep ``k``.
+
+    ``most``, no less than any ``k``, lets Spark drop rows before the shuffle.
+
+    Ranked in two levels: within a slice of the tasks' results, then among the
+    survivors, so a request's candidates never meet in one task all at once.
+    """
+    return _rank_few(candidates, most).select("q_id", "rank", "chunk_id", "distance")
+
+
 def rank_long(candidates: DataFrame) -> DataFrame:
     """``rank_hits`` for requests that want very many rows.
 
@@ -398,6 +476,10 @@ def rank_long(candidates: DataFrame) -> DataFrame:
     request spreads over all tasks; a row's rank is its place within its
     partition plus the request's rows in the partitions before.
     """
+    return _rank_many(candidates).select("q_id", "rank", "chunk_id", "distance")
+
+
+def _rank_many(candidates: DataFrame) -> DataFrame:
     spark = candidates.sparkSession
     order = [F.asc("q_id"), F.asc_nulls_last("distance"), F.asc("chunk_id")]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -409,9 +491,7 @@ def rank_long(candidates: DataFrame) -> DataFrame:
     within = Window.partitionBy("q_id", "part").orderBy(F.asc_nulls_last("distance"), F.asc("chunk_id"))
     # Requests times tasks rows.
     ranked = placed.withColumn("place", F.row_number().over(within)).join(offsets, ["q_id", "part"])
-    return ranked.withColumn("rank", F.col("offset") + F.col("place")).where("rank <= k").select(
-        "q_id", "rank", "chunk_id", "distance"
-    )
+    return ranked.withColumn("rank", F.col("offset") + F.col("place")).where("rank <= k").select(*candidates.columns, "rank")
 
 
 def sparse_search(requests: DataFrame, chunks: DataFrame, dim: int = HASH_DIM, **options) -> DataFrame:
@@ -428,15 +508,15 @@ def sparse_search(requests: DataFrame, chunks: DataFrame, dim: int = HASH_DIM, *
 
 
 def knn_topk(query: list[float], store: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """The ``k`` nearest chunks of one vector; a top-n, not a full sort."""
+    """The ``k`` nearest chunks of one vector; a top-n, not a full sort, unless ``k`` is very large."""
     vector = F.array(*[F.lit(float(x)) for x in query])
-    near = (
-        store.where("embedding is not null")
-        .select("chunk_id", V.distance(F.col("embedding"), vector, metric).alias("distance"))
-        .orderBy(F.asc_nulls_last("distance"), F.asc("chunk_id")).limit(max(k, 0))
-    )
-    order = Window.orderBy(F.asc_nulls_last("distance"), F.asc("chunk_id"))
-    return near.select(F.row_number().over(order).cast("long").alias("rank"), "chunk_id", "distance")
+    near = store.where("embedding is not null").select("chunk_id", V.distance(F.col("embedding"), vector, metric).alias("distance"))
+    order = [F.asc_nulls_last("distance"), F.asc("chunk_id")]
+    if k > RANK_K:
+        asked = near.select(F.lit(0).alias("q_id"), "chunk_id", "distance", F.lit(k).cast("long").alias("k"))
+        return rank_long(asked).select("rank", "chunk_id", "distance")
+    near = near.orderBy(*order).limit(max(k, 0))
+    return near.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), "chunk_id", "distance")
 
 
 def fetch_candidates(requests: DataFrame, store: DataFrame, metric: str = "l2", **options) -> DataFrame:
@@ -454,10 +534,25 @@ def _mmr_picks(query: np.ndarray, rows: np.ndarray, k: int, weight: float) -> li
     """Positions picked, given candidates in first-stage order."""
     lengths = _lengths(rows)
     relevance = _cosines(rows, lengths, query)
-    score, redundancy = relevance.copy(), np.full(len(rows), -np.inf)
+    return _greedy(rows, relevance, np.full(len(rows), -np.inf), k, weight, None)
+
+
+def _greedy(rows: np.ndarray, relevance: np.ndarray, redundancy: np.ndarray, k: int, weight: float, rest: tuple[float, int] | None) -> list[int]:
+    """Positions picked from candidates in order of their rank.
+
+    ``redundancy`` is -inf as long as nothing has been picked. ``rest`` bounds
+    rows that are not here: the score of the best of them, and how many of the
+    candidates have a better rank; a pick that it may beat is left for another
+    pass.
+    """
+    lengths = _lengths(rows)
+    score = relevance if np.isneginf(redundancy).all() else weight * relevance - (1 - weight) * redundancy
+    score = score.copy()
     picks: list[int] = []
     for _ in range(min(k, len(rows))):
         pick = int(np.argmax(score))
+        if rest is not None and (score[pick], -pick) < (rest[0], 0.5 - rest[1]):
+            break
         picks.append(pick)
         redundancy = np.maximum(redundancy, _cosines(rows, lengths, rows[pick]))
         score = weight * relevance - (1 - weight) * redundancy
@@ -479,76 +574,106 @@ def _mmr_positions(query: pa.Array, found: pa.Array, k: pa.Array, weight: pa.Arr
 def _mmr_bounded(asked: DataFrame, found: DataFrame) -> DataFrame:
     """Re-rank each request's candidates (at most ``fetch_k``) in one row."""
     gathered = found.groupBy("q_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "distance", "embedding"))).alias("found")
+        F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "distance", "file", "vector"))).alias("found")
     )
     picked = gathered.join(asked, "q_id").select(
-        "q_id", "found", F.posexplode_outer(_mmr_positions("embedding", "found.embedding", "k", "lambda_mult")).alias("turn", "pick")
+        "q_id", "found", F.posexplode_outer(_mmr_positions("embedding", "found.vector", "k", "lambda_mult")).alias("turn", "pick")
     ).where("turn is not null")
     chosen = F.col("found")[F.col("pick")]
     return picked.select(
-        "q_id", (F.col("turn") + 1).cast("long").alias("rank"), chosen["chunk_id"].alias("chunk_id"),
-        chosen["distance"].alias("distance"),
+        "q_id", (F.col("turn") + 1).cast("long").alias("rank"), *(chosen[c].alias(c) for c in ("chunk_id", "distance", "file"))
     )
 
 
-def _mmr_rounds(requests: DataFrame, found: DataFrame, rounds: int, n_requests: int) -> DataFrame:
-    """Round by round over distributed candidates, for very large ``fetch_k``.
+PICKED = "turn long, chunk_id {id}, distance double, file long, vector {vector}"
+
 
-    Each round picks one row per request with an aggregate that combines on
-    the map side, and brings every other row's redundancy up to date; the
-    candidates of a request are never brought together.
+def _mmr_passes(requests: DataFrame, found: DataFrame, ahead: int) -> DataFrame:
+    """Distributed candidates, for very large ``fetch_k``, written once and never again.
+
+    A row's score only falls while rows are picked, so what it was bounds what
+    it will be. Each pass scores all rows against the picks so far, brings the
+    best ``ahead`` of each request together, and picks from them for as long as
+    no other row may do better. Only picks are kept between passes; a request's
+    candidates never meet.
     """
     asked = requests.select("q_id", F.col("embedding").alias("q_vec"), "k", "lambda_mult")
-    asked = F.broadcast(asked) if n_requests <= MMR_BROADCAST_REQUESTS else asked
-    relevance = F.coalesce(V.cosine(F.col("embedding"), F.col("q_vec")), F.lit(0.0))
-    columns = ["q_id", "rank", "chunk_id", "distance", "embedding", "k", "lambda_mult", "relevance", "redundancy", "turn"]
-    state = found.join(asked, "q_id").withColumns({
-        "relevance": relevance, "redundancy": F.lit(None).cast("double"), "turn": F.lit(None).cast("long"),
-    }).select(*columns)
-    for number in range(1, rounds + 1):
-        state = keep(state, "mmr-state")
+    relevance = F.coalesce(V.cosine(F.col("vector"), F.col("q_vec")), F.lit(0.0))
+    rows = keep(found.join(asked, "q_id").select(
+        "q_id", "rank", "chunk_id", "distance", "file", "vector", "k", "lambda_mult", relevance.alias("relevance")), "candidates")
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    kind = PICKED.format(id=fields["chunk_id"], vector=fields["vector"])
+    picked = keep(rows.limit(0).select("q_id", F.lit(0).cast("long").alias("turn"), "chunk_id", "distance", "file", "vector"), "picked")
+    # What each request gets in the end: as many rows as it asks for, or has.
+    total = rows.groupBy("q_id").agg(F.least(F.max("k").cast("long"), F.count("*")).alias("total"))
+    total = keep(total, "totals")
+    dim = rows.agg(F.max(F.size("vector"))).first()[0] or 1
+
+    def choose(group: pa.Table) -> pa.Table:
+        table = group.sort_by([("place", "ascending")])
+        scores, ranks = table["score"].to_numpy(), table["rank"].to_numpy()
+        # The last row stands for all that are not here.
+        last = (scores[-1], int(ranks[-1])) if len(table) > ahead else None
+        table = table.slice(0, ahead).sort_by([("rank", "ascending")])
+        ranks = table["rank"].to_numpy()
+        vectors = table["vector"].combine_chunks()
+        matrix = _matrix(vectors, len(vectors[0])).astype(np.float64)
+        redundancy = table["redundancy"].to_numpy(zero_copy_only=False).astype(np.float64)
+        redundancy = np.where(np.isnan(redundancy), -np.inf, redundancy)
+        done, wanted, weight = (table[c][0].as_py() for c in ("done", "total", "lambda_mult"))
+        rest = None if last is None else (last[0], int(np.searchsorted(ranks, last[1])))
+        # The first pick is by relevance alone, which does not bound later scores.
+        most = 1 if not done and rest else wanted - done
+        picks = _greedy(matrix, table["relevance"].to_numpy(), redundancy, most, weight, rest)
+        chosen = table.take(pa.array(picks, pa.int64()))
+        turns = pa.array(np.arange(done + 1, done + 1 + len(picks)), pa.int64())
+        return chosen.select(["q_id", "chunk_id", "distance", "file", "vector"]).add_column(1, "turn", turns)
+
+    while True:
+        had = picked.groupBy("q_id").agg(F.count("*").alias("done"), F.collect_list("vector").alias("taken"), F.collect_list("chunk_id").alias("gone"))
+        open_ = keep(total.join(had, "q_id", "left").withColumn("done", F.coalesce("done", F.lit(0).cast("long"))).where("done < total"), "open")
+        many, most = open_.agg(F.count("*"), F.coalesce(F.max("done"), F.lit(0))).first()
+        if not many:
+            return picked.select("q_id", F.col("turn").alias("rank"), "chunk_id", "distance", "file")
+        few = F.broadcast(open_) if many * (most + 1) * dim * 8 <= BROADCAST_BYTES else open_
+        redundancy = F.array_max(F.transform("taken", lambda v: F.coalesce(V.cosine(F.col("vector"), v), F.lit(0.0))))
+        scored = rows.join(few, "q_id").where("gone IS NULL OR NOT array_contains(gone, chunk_id)").withColumn("redundancy", redundancy)
         score = F.when(F.col("redundancy").isNull(), F.col("relevance")).otherwise(
-            F.col("lambda_mult") * F.col("relevance") - (1 - F.col("lambda_mult")) * F.col("redundancy")
-        )
-        best = state.where((F.col("k") >= number) & F.col("turn").isNull()).groupBy("q_id").agg(
-            F.max_by(F.struct("chunk_id", "embedding"), F.struct(score, -F.col("rank"))).alias("best")
-        ).select("q_id", F.col("best.chunk_id").alias("taken"), F.col("best.embedding").alias("vec"))
-        best = F.broadcast(best) if n_requests <= MMR_BROADCAST_REQUESTS else best
-        similar = F.coalesce(V.cosine(F.col("embedding"), F.col("vec")), F.lit(0.0))
-        # Requests that have all their rows find no partner and stay as they are.
-        state = state.join(best, "q_id", "left").withColumns({
-            "redundancy": F.when(F.col("taken").isNull(), F.col("redundancy")).otherwise(F.greatest("redundancy", similar)),
-            "turn": F.when(F.col("chunk_id") == F.col("taken"), F.lit(number).cast("long")).otherwise(F.col("turn")),
-        }).select(*columns)
-    picked = state.where("turn is not null")
-    return picked.select("q_id", F.col("turn").alias("rank"), "chunk_id", "distance")
+            F.col("lambda_mult") * F.col("relevance") - (1 - F.col("lambda_mult")) * F.col("redundancy"))
+        place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), F.asc("rank")))
+        best = scored.withColumn("score", score).drop("taken", "gone").withColumn("place", place).where(F.col("place") <= ahead + 1)
+        new = best.groupBy("q_id").applyInArrow(choose, f"q_id {fields['q_id']}, {kind}")
+        picked = keep(picked.unionByName(new), "picked")
+
+
+def rerank(requests: DataFrame, found: DataFrame, group_bytes: int = MMR_GROUP_BYTES, ahead: int = MMR_AHEAD) -> DataFrame:
+    """(q_id, rank, chunk_id, distance, file) by maximal marginal relevance.
+
+    ``requests(q_id, embedding, k, fetch_k, lambda_mult)`` with their candidates
+    ``found(q_id, rank, chunk_id, distance, file, vector)``, at most ``fetch_k``
+    each. Relevance and redundancy are cosines; ties go to the better rank.
+    Candidates beyond ``group_bytes`` of vectors are never brought together.
+    """
+    asked = requests.select("q_id", "embedding", "k", "fetch_k", "lambda_mult")
+    large = F.coalesce(F.col("fetch_k").cast("double") * F.size("embedding") * 8 > group_bytes, F.lit(False))
+    if asked.where(large).isEmpty():
+        return _mmr_bounded(asked, found)
+    found = keep(found, "candidates")
+    few, many = (found.join(asked.where(side).select("q_id"), "q_id", "left_semi") for side in (~large, large))
+    return _mmr_bounded(asked.where(~large), few).unionByName(_mmr_passes(asked.where(large), many, ahead))
 
 
 def mmr(
-    requests: DataFrame, store: DataFrame, metric: str = "l2", group_rows: int = MMR_GROUP_ROWS, **options,
+    requests: DataFrame, store: DataFrame, metric: str = "l2", group_bytes: int = MMR_GROUP_BYTES, ahead: int = MMR_AHEAD, **options,
 ) -> DataFrame:
     """Maximal marginal relevance over the ``fetch_k`` nearest chunks.
 
-    ``requests(q_id, embedding, k, fetch_k, lambda_mult)``. Relevance and
-    redundancy are cosines; ties go to the better first-stage rank. The result
-    has min(k, fetch_k, candidates) rows per request.
+    ``requests(q_id, embedding, k, fetch_k, lambda_mult)``. The result has
+    min(k, fetch_k, candidates) rows per request; the store is scanned once.
     """
     wanted = requests.where("k > 0 and fetch_k > 0")
-    near = fetch_candidates(wanted, store, metric, **options)
-    found = join_hits(near, store.select("chunk_id", "embedding"), wanted, "fetch_k")
-    asked = wanted.select("q_id", "embedding", "k", "fetch_k", "lambda_mult")
-    large = asked.where(F.col("fetch_k") > group_rows)
-    load = large.agg(F.max(F.least("k", "fetch_k")).alias("rounds"), F.count(F.lit(1)).alias("n")).first()
-    ranked = None
-    if load["n"]:
-        asked = asked.where(F.col("fetch_k") <= group_rows)
-        many = found.join(large.select("q_id"), "q_id", "left_semi")
-        # A request asks for more rounds than it has candidates only to get them all.
-        most = near.groupBy("q_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-        ranked = _mmr_rounds(large, many, min(load["rounds"], most), load["n"])
-        found = found.join(asked.select("q_id"), "q_id", "left_semi")
-    picked = _mmr_bounded(asked, found)
-    return picked if ranked is None else picked.unionByName(ranked)
+    near = nearest(wanted.select("q_id", "embedding", F.col("fetch_k").alias("k"), F.lit(True).alias("carry")), store, metric, **options)
+    return rerank(wanted, near, group_bytes, ahead).drop("file")
 
 
 def join_hits(hits: DataFrame, rows: DataFrame, requests: DataFrame, limit_col: str = "k") -> DataFrame:
@@ -562,6 +687,22 @@ def join_hits(hits: DataFrame, rows: DataFrame, requests: DataFrame, limit_col:
     return rows.join(F.broadcast(hits) if most <= BROADCAST_HITS else hits, "chunk_id")
 
 
+def _files_of(hits: DataFrame) -> list[int] | None:
+    """The files that hold the hits, unless there are too many or one is unknown."""
+    files = [row[0] for row in hits.select("file").distinct().limit(MOST_FILES + 1).collect()]
+    return None if len(files) > MOST_FILES or None in files else files
+
+
 def attach_content(hits: DataFrame, store: DataFrame, requests: DataFrame) -> DataFrame:
-    """Text and metadata of ranked ids; only ids and scores were shuffled."""
-    return join_hits(hits, store.drop("embedding", "hash"), requests)
+    """Text and metadata of ranked ids; only ids and scores were shuffled.
+
+    Hits that say which ``file`` holds them (a written table, as it is read
+    twice) have their text read from those files alone.
+    """
+    rows = store
+    if "file" in hits.columns:
+        files = _files_of(hits)
+        # Spark leaves out files by this condition before it reads anything.
+        rows = store if files is None else store.where(_file().isin(files))
+        hits = hits.drop("file")
+    return join_hits(hits, rows.drop("embedding", "hash"), requests)

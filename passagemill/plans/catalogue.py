@@ -11,9 +11,10 @@ from passagemill.functions.text import (
     content_hash, content_preview, decode_text, render_prompt, row_to_text, wrap_content,
 )
 from passagemill.operators.cards import csv_cards, table_card
+from passagemill.operators.cells import knn_cells, write_cells
 from passagemill.operators.changes import detect_changes, ingest_counts, merge_manifest, replace_chunks
 from passagemill.operators.chunking import chunk_fixed, chunk_recursive
-from passagemill.operators.embedding import embed, embed_hash, embed_word2vec, fit_word2vec, sparse_terms
+from passagemill.operators.embedding import embed, embed_hash, embed_word2vec, fit_word2vec, known_words, sparse_terms
 from passagemill.operators.filters import (
     filter_changed, filter_nonblank, filter_size_cap, filter_visible, rejected_requests, valid_requests, validate_requests,
 )
@@ -22,6 +23,7 @@ from passagemill.operators.hits import (
 )
 from passagemill.operators.search import attach_content, knn_batch, knn_topk, mmr, sparse_search
 from passagemill.operators.status import store_info, store_status
+from passagemill.operators.termindex import search_terms, write_term_index
 from passagemill.operators.userfuncs import answer, extract_text
 from passagemill.plans import inputs as I
 from passagemill.plans.ingest import document_columns, ingest, load_documents, rebuild
@@ -170,6 +172,18 @@ def chunk_recursive_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_recursive(I.text_documents(spark, sf_dir)).select("path", "chunk_no", "chunk_id", "content", "file_type")
 
 
+def chunk_recursive_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What chunks cut at the default separators, without overlap, hold of every document: all but white space at their ends."""
+    chunks = chunk_recursive(I.text_documents(spark, sf_dir), 300, 0)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "content"))), lambda c: c["content"])
+    solid = F.regexp_replace(F.array_join(parts, ""), r"\s", "")
+    # A chunk has under 300 characters, or is a piece of 300 of a longer word.
+    return chunks.groupBy("path").agg(
+        F.md5(solid).alias("solid"), (F.max(F.length("content")) <= 300).alias("all_fit"), (F.min("chunk_no") == 0).alias("from_zero"),
+        (F.max("chunk_no") == F.count("*") - 1).alias("gapless"),
+        F.max((F.regexp_replace("content", r"^\s+|\s+$", "") != F.col("content")).cast("int")).cast("long").alias("untrimmed"))
+
+
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunk_recursive(I.text_documents(spark, sf_dir), 700, 300, separators=("",))
     return chunks.select("path", "chunk_no", "chunk_id", "content")
@@ -207,6 +221,15 @@ def embed_word2vec_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_word2vec(documents, model, text_col="text").select("doc_id", F.size("embedding").alias("dimension"), "embedding")
 
 
+def word2vec_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, those that were learnt, and whether it has a vector."""
+    documents = I.spread_table(spark, sf_dir, "documents")
+    model = fit_word2vec(documents, dim=16, text_col="text")
+    vectors = embed_word2vec(documents, model, text_col="text").select(
+        "doc_id", F.size("embedding").cast("long").alias("dimension"), F.exists("embedding", lambda x: x != 0).alias("has_vector"))
+    return known_words(documents, model, "doc_id", "text").join(vectors, "doc_id")
+
+
 def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector against the centre of its label."""
     vectors = I.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("q_id"), F.col("embedding").alias("a"))
@@ -244,17 +267,33 @@ def knn_batch_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_batch_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The way taken when the requests are too many to broadcast."""
     return _distance(knn_batch(
-        I.vector_requests(spark, sf_dir), I.vector_store(spark, sf_dir), "l2", broadcast_bytes=8 * I.VECTOR_DIM * 3, tile_rows=200
+        I.vector_requests(spark, sf_dir), I.vector_store(spark, sf_dir), "l2", broadcast_bytes=8 * I.VECTOR_DIM * 3
     ))
 
 
+def _in_cells(spark: SparkSession, sf_dir: str, metric: str, **options) -> DataFrame:
+    path = scratch_path(spark, "cells")
+    write_cells(I.vector_store(spark, sf_dir), path, metric, cells=32)
+    return _distance(knn_cells(I.vector_requests(spark, sf_dir), path, metric, **options))
+
+
+def knn_cells_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors from a store in metric cells."""
+    return _in_cells(spark, sf_dir, "l2")
+
+
+def knn_cells_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the cosine, with requests in several blocks."""
+    return _in_cells(spark, sf_dir, "cosine", broadcast_bytes=8 * I.VECTOR_DIM * 3)
+
+
 def mmr_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _distance(mmr(I.vector_requests(spark, sf_dir), I.vector_store(spark, sf_dir)))
 
 
 def mmr_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The way taken when ``fetch_k`` is too large to re-rank in one task."""
-    return _distance(mmr(I.vector_requests(spark, sf_dir), I.vector_store(spark, sf_dir), group_rows=20))
+    return _distance(mmr(I.vector_requests(spark, sf_dir), I.vector_store(spark, sf_dir), group_bytes=8 * I.VECTOR_DIM * 20, ahead=6))
 
 
 def mmr_lambda_1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,6 +332,22 @@ def sparse_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _distance(sparse_search(asked, chunk_fixed(I.text_documents(spark, sf_dir))))
 
 
+def _term_index(spark: SparkSession, sf_dir: str, dim: int) -> DataFrame:
+    path = scratch_path(spark, "terms")
+    write_term_index(chunk_fixed(I.text_documents(spark, sf_dir)), path, dim)
+    return _distance(search_terms(spark, I.questions(spark, sf_dir).withColumn("k", F.lit(10)), path, dim))
+
+
+def term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions by shared terms over an index of the chunks."""
+    return _term_index(spark, sf_dir, 64)
+
+
+def term_index_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with so many dimensions that terms hardly collide."""
+    return _term_index(spark, sf_dir, 1 << 18)
+
+
 def question_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _distance(_question_hits(spark, sf_dir)[1])
 
@@ -510,16 +565,20 @@ QUERIES = {
     "chunk_fixed": chunk_fixed_query,
     "chunk_recursive": chunk_recursive_query,
     "chunk_windows": chunk_windows,
+    "chunk_recursive_cover": chunk_recursive_cover,
     "embed_hash": embed_hash_query,
     "embed_hash_unit": embed_hash_unit,
     "embed_user": embed_user,
     "embed_word2vec": embed_word2vec_query,
+    "word2vec_cover": word2vec_cover,
     "vector_functions": vector_functions,
     "knn_single": knn_single,
     "knn_batch_l2": knn_batch_l2,
     "knn_batch_cosine": knn_batch_cosine,
     "knn_batch_dot": knn_batch_dot,
     "knn_batch_grid": knn_batch_grid,
+    "knn_cells_l2": knn_cells_l2,
+    "knn_cells_cosine": knn_cells_cosine,
     "mmr": mmr_query,
     "mmr_rounds": mmr_rounds,
     "mmr_lambda_1": mmr_lambda_1,
@@ -527,6 +586,8 @@ QUERIES = {
     "requests_rejected": requests_rejected,
     "read_questions": read_questions_query,
     "sparse_search": sparse_search_query,
+    "term_index": term_index,
+    "term_index_wide": term_index_wide,
     "question_hits": question_hits,
     "hit_counts": hit_counts_query,
     "files_fetched": files_fetched_query,

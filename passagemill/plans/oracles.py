@@ -63,14 +63,19 @@ def _stripped_windows(source: str, key: str, text: str, size: int, overlap: int)
   WHERE piece <> ''"""
 
 
-def _counts(name: str, source: str, key: str, text: str) -> str:
-    """Dense hashed token counts per row, as a list of 64 doubles."""
+def _tf(name: str, source: str, key: str, text: str, dim: int = 64) -> str:
+    """Counts of hashed tokens, a row for each that is not zero."""
     return f"""
 {name}_tf AS (
   SELECT key, dim, count(*) AS tf
-  FROM (SELECT {key} AS key, ('0x' || substr(md5(token), 1, 8))::BIGINT % 64 AS dim
+  FROM (SELECT {key} AS key, ('0x' || substr(md5(token), 1, 8))::BIGINT % {dim} AS dim
         FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS token FROM {source}))
-  GROUP BY key, dim),
+  GROUP BY key, dim)"""
+
+
+def _counts(name: str, source: str, key: str, text: str) -> str:
+    """Dense hashed token counts per row, as a list of 64 doubles."""
+    return f"""{_tf(name, source, key, text)},
 {name}_counts AS (
   SELECT k.{key} AS key, list(coalesce(tf, 0)::DOUBLE ORDER BY d.dim) AS counts
   FROM {source} k CROSS JOIN (SELECT unnest(range(64)) AS dim) d
@@ -250,6 +255,22 @@ def _card(name: str, source: str, group: str) -> str:
        || chr(10) || 'Data preview:' || chr(10) || string_agg({CARD_ROW}, chr(10) ORDER BY row_no) FILTER (row_no <= 10)"""
 
 
+def _sparse_search(dim: int) -> str:
+    """Ten nearest chunks of each question by the cosine of hashed term counts."""
+    return f"""WITH questions AS (SELECT conv_id || ':' || turn AS q_id, text AS query FROM conversations WHERE role = 'user'), {CHUNKS},
+        {_tf('d', 'chunks', 'chunk_id', 'content', dim)}, {_tf('r', 'questions', 'q_id', 'query', dim)},
+        products AS (
+          SELECT r.key AS q_id, d.key AS chunk_id, sum(r.tf * d.tf)::DOUBLE AS product
+          FROM r_tf r JOIN d_tf d USING (dim) GROUP BY r.key, d.key),
+        d_len AS (SELECT key, sqrt(sum(tf * tf)::DOUBLE) AS n FROM d_tf GROUP BY key),
+        r_len AS (SELECT key, sqrt(sum(tf * tf)::DOUBLE) AS n FROM r_tf GROUP BY key),
+        scored AS (
+          SELECT r.key AS q_id, d.key AS chunk_id, 1 - coalesce(product, 0) / (d.n * r.n) AS distance
+          FROM r_len r CROSS JOIN d_len d LEFT JOIN products p ON p.q_id = r.key AND p.chunk_id = d.key)
+        SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY distance, chunk_id)::BIGINT AS rank, chunk_id, round(distance, 6) AS distance
+        FROM scored QUALIFY rank <= 10"""
+
+
 ORACLES = {
     "file_kinds": f"""WITH {FILES} SELECT path, file_name, file_type, kind FROM kinds
         WHERE (NOT starts_with(file_name, '.') OR file_name LIKE '%.md' OR file_name LIKE '%.txt') AND (kind <> 'other' OR length < 1500)""",
@@ -308,6 +329,8 @@ ORACLES = {
     "knn_batch_cosine": f"WITH {CENTRES}, {_knn('1 - ' + _dot('q', 'v') + ' / (' + _norm('q') + ' * ' + _norm('v') + ')')} {RANKED} near",
     "knn_batch_dot": f"WITH {CENTRES}, {_knn('-' + _dot('q', 'v'))} {RANKED} near",
     "knn_batch_grid": f"WITH {CENTRES}, {_knn(_l2('q', 'v'))} {RANKED} near",
+    "knn_cells_l2": f"WITH {CENTRES}, {_knn(_l2('q', 'v'))} {RANKED} near",
+    "knn_cells_cosine": f"WITH {CENTRES}, {_knn('1 - ' + _dot('q', 'v') + ' / (' + _norm('q') + ' * ' + _norm('v') + ')')} {RANKED} near",
     "mmr": f"WITH RECURSIVE {CENTRES}, {_knn(_l2('q', 'v'), 'fetch_k')}, {_mmr('0.5')} {RANKED} picked",
     "mmr_rounds": f"WITH RECURSIVE {CENTRES}, {_knn(_l2('q', 'v'), 'fetch_k')}, {_mmr('0.5')} {RANKED} picked",
     "mmr_lambda_1": f"""WITH {CENTRES}, {_knn(_l2('q', 'v'), 'fetch_k')},
@@ -318,18 +341,17 @@ ORACLES = {
         FROM checked WHERE raw IS NULL OR query = ''""",
     "read_questions": f"""SELECT conv_id || ':' || turn AS q_id, {_trim('text')} AS query FROM conversations
         WHERE role = 'user' AND regexp_matches(text, '{NON_BLANK}')""",
-    "sparse_search": f"""WITH questions AS (SELECT conv_id || ':' || turn AS q_id, text AS query FROM conversations WHERE role = 'user'), {CHUNKS},
-        {_counts('d', 'chunks', 'chunk_id', 'content')}, {_counts('r', 'questions', 'q_id', 'query')},
-        products AS (
-          SELECT r.key AS q_id, d.key AS chunk_id, sum(r.tf * d.tf)::DOUBLE AS product
-          FROM r_tf r JOIN d_tf d USING (dim) GROUP BY r.key, d.key),
-        d_len AS (SELECT key, sqrt(sum(tf * tf)::DOUBLE) AS n FROM d_tf GROUP BY key),
-        r_len AS (SELECT key, sqrt(sum(tf * tf)::DOUBLE) AS n FROM r_tf GROUP BY key),
-        scored AS (
-          SELECT r.key AS q_id, d.key AS chunk_id, 1 - coalesce(product, 0) / (d.n * r.n) AS distance
-          FROM r_len r CROSS JOIN d_len d LEFT JOIN products p ON p.q_id = r.key AND p.chunk_id = d.key)
-        SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY distance, chunk_id)::BIGINT AS rank, chunk_id, round(distance, 6) AS distance
-        FROM scored QUALIFY rank <= 10""",
+    "chunk_recursive_cover": """SELECT doc_id::VARCHAR AS path, md5(regexp_replace(text, '\\s', '', 'g')) AS solid, true AS all_fit, true AS from_zero,
+          true AS gapless, 0::BIGINT AS untrimmed FROM documents WHERE regexp_matches(text, '\\S')""",
+    "word2vec_cover": """WITH words AS (
+          SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM documents),
+        known AS (SELECT word FROM words GROUP BY word HAVING count(*) >= 5),
+        counted AS (SELECT doc_id, count(*) AS n_words, count(k.word) AS n_known FROM words w LEFT JOIN known k USING (word) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_known, 0) AS n_known, 16::BIGINT AS dimension, coalesce(n_known, 0) > 0 AS has_vector
+        FROM documents LEFT JOIN counted USING (doc_id)""",
+    "sparse_search": _sparse_search(64),
+    "term_index": _sparse_search(64),
+    "term_index_wide": _sparse_search(1 << 18),
     "question_hits": f"WITH {QUESTIONS} SELECT * REPLACE (round(distance, 6) AS distance) FROM hits",
     "hit_counts": f"WITH {QUESTIONS} SELECT q_id, count(distance) AS hits FROM questions LEFT JOIN hits USING (q_id) GROUP BY q_id",
     "files_fetched": f"WITH {QUESTIONS} SELECT q_id, string_agg(file_name, ',' ORDER BY rank) AS file_names FROM hits GROUP BY q_id",

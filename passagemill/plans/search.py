@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from passagemill.operators.embedding import embed_hash
 from passagemill.operators.filters import rejected_requests, valid_requests, validate_requests
 from passagemill.operators.hits import hit_columns, prompts, to_answer_record
-from passagemill.operators.search import attach_content, knn_batch, mmr
+from passagemill.operators.search import attach_content, nearest, rerank
 from passagemill.operators.userfuncs import answer
 from passagemill.plans.ingest import Embedder
 from passagemill.session import keep
@@ -26,10 +26,17 @@ def prepare_requests(requests: DataFrame, settings: Settings = Settings(), embed
 
 
 def rank_requests(ready: DataFrame, store: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(q_id, rank, chunk_id, distance) by each request's own search type."""
-    similar = knn_batch(ready.where("search_type = 'similarity'"), store, settings.metric)
-    diverse = mmr(ready.where("search_type = 'mmr'"), store, settings.metric)
-    return similar.unionByName(diverse)
+    """(q_id, rank, chunk_id, distance, file) by each request's own search type.
+
+    One pass over the store finds the ``k`` nearest chunks of similarity
+    requests and, with their vectors, the ``fetch_k`` candidates of the others.
+    """
+    diverse = F.col("search_type") == "mmr"
+    budget = F.when(diverse, F.when(F.col("k") > 0, F.col("fetch_k"))).otherwise(F.col("k"))
+    near = keep(nearest(ready.select("q_id", "embedding", budget.alias("k"), diverse.alias("carry")), store, settings.metric), "near")
+    # Candidates of the one kind carry vectors, hits of the other do not.
+    similar = near.where("vector IS NULL").drop("vector")
+    return similar.unionByName(rerank(ready.where(diverse), near.where("vector IS NOT NULL")))
 
 
 def search(
@@ -40,9 +47,10 @@ def search(
     ``requests`` has q_id and query and may have k, search_type, fetch_k and
     lambda_mult; what is absent comes from the settings.
     """
-    # Used for every search type and for the join below, embedded once.
+    # Used for both search types and for the join below, embedded once.
     ready = keep(prepare_requests(requests, settings, embedder), "requests")
-    return hit_columns(attach_content(rank_requests(ready, store, settings), store, ready))
+    ranked = keep(rank_requests(ready, store, settings), "ranked")
+    return hit_columns(attach_content(ranked, store, ready))
 
 
 def answer_questions(

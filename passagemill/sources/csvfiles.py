@@ -8,7 +8,8 @@ file in which quotes stand where that rule would be misled (each range checks
 its own records) is read again in order by one task, with the same tokeniser.
 
 A byte that is no UTF-8, or a record with more cells than the first ones have,
-makes the whole file unreadable, wherever it stands.
+makes the whole file unreadable, wherever it stands. Cards of files and rows
+of files (``summarise_csv``, ``scan_csv``) come from the same ranges and rules.
 """
 
 from __future__ import annotations
@@ -17,21 +18,25 @@ import csv
 import logging
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagemill.session import keep
-from passagemill.sources.rawfiles import open_filesystem
+from passagemill.sources.rawfiles import list_files, open_filesystem
 
 log = logging.getLogger(__name__)
 
 RANGE_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 1024 * 1024
+BATCH_RECORDS = 4096
+CELLS = pa.list_(pa.string())
 SUMMARY = (
     "path string, header array<string>, preview array<array<string>>, "
-    "kinds array<string>, n_rows long"
+    "kinds array<string>, n_rows long, lead int"
 )
 #: What a range has: its first cells, how many cells its records have, and for
 #: each place whether all present cells are whole numbers (of 64 bits, with or
@@ -59,21 +64,6 @@ def separator(path: str, sep: str | None = None) -> str:
     return sep or ("\t" if path.lower().endswith(".tsv") else ",")
 
 
-def scan_csv(spark: SparkSession, paths, sep: str = ",", multi_line: bool | None = None) -> DataFrame:
-    """Rows of files that share a header, typed, with their file in ``source_path``.
-
-    Files are split between tasks unless a quoted cell has a line break, which
-    is looked for where ``multi_line`` does not tell.
-    """
-    if multi_line is None:
-        quotes = F.length(F.regexp_replace("value", '[^"]', ""))
-        multi_line = not spark.read.text(paths).where(quotes % 2 == 1).isEmpty()
-    return (
-        spark.read.csv(paths, header=True, inferSchema=True, sep=sep, multiLine=multi_line, escape='"')
-        .select("*", F.col("_metadata.file_path").alias("source_path"))
-    )
-
-
 class _Lines:
     """Lines of a file from a place on, decoded; counts what has been taken."""
 
@@ -164,17 +154,24 @@ def _flags_of(cell: str, flags: list[bool]) -> None:
     flags[TRUTH] = flags[TRUTH] and bool(BOOLEAN.fullmatch(cell))
 
 
-def _read_range(path: str, sep: str, start: int, end: int | None, quoted: bool, rows: int) -> tuple:
+@contextmanager
+def _open_range(path: str, sep: str, start: int, end: int | None, quoted: bool) -> Iterator[tuple[_Lines, list[str] | None, Iterator[list[str]]]]:
+    """The lines of a range, the header if it begins the file, and its other records."""
     csv.field_size_limit(1 << 30)
     filesystem, inner = open_filesystem(path)
-    first, flags, n_rows, first_cells, most = [], [], 0, None, 0
     with filesystem.open_input_file(inner) as stream:
         lines = _Lines(stream, 0) if start == 0 else _skip_to_record(stream, start, quoted)
         records = lines.records(sep, end)
-        if start == 0:
-            header = next(records, None)
-            if header is None:
-                raise ValueError("no header")
+        header = next(records, None) if start == 0 else None
+        if start == 0 and header is None:
+            raise ValueError("no header")
+        yield lines, header, records
+
+
+def _read_range(path: str, sep: str, start: int, end: int | None, quoted: bool, rows: int) -> tuple:
+    first, flags, n_rows, first_cells, most = [], [], 0, None, 0
+    with _open_range(path, sep, start, end, quoted) as (lines, header, records):
+        if header is not None:
             first.append(header)
         for record in records:
             n_rows += 1
@@ -242,7 +239,7 @@ def _names(header: list[str]) -> list[str]:
 
 def _kind(flags: list[bool]) -> str:
     if flags[WHOLE]:
-        return "int" if flags[SIGNED] or flags[UNSIGNED] else "text"
+        return "int" if flags[SIGNED] else "unsigned" if flags[UNSIGNED] else "text"
     return "float" if flags[REAL] else "bool" if flags[TRUTH] else "text"
 
 
@@ -251,7 +248,7 @@ def _merge(rows: int):
         """All ranges of one file; they are as many as its length has ranges."""
         found = found.sort_values("start")
         path = found["path"].iloc[0]
-        unreadable = pd.DataFrame([(path, None, None, None, 0)], columns=[p.split()[0] for p in SUMMARY.split(", ")])
+        unreadable = pd.DataFrame([(path, None, None, None, 0, 0)], columns=[p.split()[0] for p in SUMMARY.split(", ")])
         if found["bad"].any() or found["start"].iloc[0] != 0:
             return unreadable
         parts = [list(map(list, x)) for x in found["first"]]
@@ -267,17 +264,14 @@ def _merge(rows: int):
                 own[:] = [a and bool(b) for a, b in zip(own, more)]
         preview = [r[lead:] + [""] * (len(header) + lead - len(r)) for part in parts for r in part][:rows]
         preview = [[None if c in ABSENT else c for c in r[:len(header)]] for r in preview]
-        return pd.DataFrame([(path, header, preview, [_kind(f) for f in flags], int(found["n_rows"].sum()))],
+        return pd.DataFrame([(path, header, preview, [_kind(f) for f in flags], int(found["n_rows"].sum()), lead)],
                             columns=[p.split()[0] for p in SUMMARY.split(", ")])
 
     return run
 
 
-def summarise_csv(files: DataFrame, preview_rows: int, sep: str | None = None, split_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(path, length) -> header, first rows, column kinds and row count per file.
-
-    ``split_bytes`` is what a task reads at once; results do not depend on it.
-    """
+def _ranges(files: DataFrame, split_bytes: int) -> DataFrame:
+    """(path, length) -> (path, start, end, length, quoted): what tasks read, and whether it begins within quotes."""
     files = files.select("path", F.coalesce("length", F.lit(0)).alias("length"))
     last = F.greatest(F.floor((F.col("length") - 1) / split_bytes), F.lit(0)).cast("long")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("n"), last.alias("last"))
@@ -288,12 +282,86 @@ def summarise_csv(files: DataFrame, preview_rows: int, sep: str | None = None, s
     several = _deal(ranges.where("start > 0 OR end IS NOT NULL")).mapInPandas(_count_quotes, "path string, start long, end long, length long, quotes long")
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     several = several.withColumn("quoted", F.coalesce(F.sum("quotes").over(before) % 2 == 1, F.lit(False))).drop("quotes")
-    single = ranges.where("start = 0 AND end IS NULL").withColumn("quoted", F.lit(False))
-    found = keep(_deal(single.unionByName(several)).mapInPandas(_read_ranges(preview_rows, sep), FOUND), "tables")
+    return ranges.where("start = 0 AND end IS NULL").withColumn("quoted", F.lit(False)).unionByName(several)
+
+
+def _whole(paths: DataFrame) -> DataFrame:
+    """Files as one range each."""
+    return paths.select("path", F.lit(0).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(False).alias("quoted"))
+
+
+def _found(ranges: DataFrame, preview_rows: int, sep: str | None) -> tuple[DataFrame, DataFrame]:
+    """What ranges have, and the files (path) that had to be read in order."""
+    found = keep(_deal(ranges).mapInPandas(_read_ranges(preview_rows, sep), FOUND), "tables")
     misled = found.groupBy("path").agg(F.bool_or("odd").alias("odd"), F.count("*").alias("n")).where("odd AND n > 1").select("path")
-    again = misled.select("path", F.lit(0).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(False).alias("quoted"))
-    found = found.join(misled, "path", "left_anti").unionByName(again.mapInPandas(_read_ranges(preview_rows, sep), FOUND))
-    return found.groupBy("path").applyInPandas(_merge(preview_rows), SUMMARY)
+    again = _whole(misled).mapInPandas(_read_ranges(preview_rows, sep), FOUND)
+    return found.join(misled, "path", "left_anti").unionByName(again), misled
+
+
+def summarise_csv(files: DataFrame, preview_rows: int, sep: str | None = None, split_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(path, length) -> header, first rows, column kinds and row count per file.
+
+    ``split_bytes`` is what a task reads at once; results do not depend on it.
+    """
+    return _found(_ranges(files, split_bytes), preview_rows, sep)[0].groupBy("path").applyInPandas(_merge(preview_rows), SUMMARY)
+
+
+#: Types of columns, by the kinds that their cells have in the files; a column without cells is taken as whole numbers.
+TYPES = {frozenset(["int"]): "long", frozenset(["unsigned"]): "decimal(20,0)", frozenset(["int", "unsigned"]): "decimal(20,0)",
+         frozenset(["float"]): "double", frozenset(["int", "float"]): "double", frozenset(["bool"]): "boolean"}
+
+
+def _files_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, length) of files, and of files below folders."""
+    out = None
+    for path in [paths] if isinstance(paths, str) else paths:
+        filesystem, inner = open_filesystem(path)
+        info = filesystem.get_file_info(inner)
+        one = spark.createDataFrame([(path, info.size)], "path string, length long") if info.is_file else \
+            list_files(spark, path).where(r"path RLIKE '(?i)\\.(csv|tsv)$' AND path NOT RLIKE '/\\.[^/]*$'")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def scan_csv(spark: SparkSession, paths: str | list[str], sep: str | None = None, split_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Rows of files that share a header, typed, with their file in ``source_path``.
+
+    ``paths`` are files, or folders whose visible ``.csv`` and ``.tsv`` files
+    are read. A file that ``csv_cards`` cannot read has no row here, either, and
+    is logged; missing cells are null, row labels before the first column are
+    left out, and files with another header than the rest are an error. A
+    column has the type that the cells of all files have.
+    """
+    ranges = keep(_ranges(_files_of(spark, paths), split_bytes), "ranges")
+    found, misled = _found(ranges, 0, sep)
+    tables = keep(found.groupBy("path").applyInPandas(_merge(0), SUMMARY), "summaries").where("header IS NOT NULL")
+    headers = tables.select("header").distinct().limit(2).collect()
+    if not headers:
+        return spark.createDataFrame([], "source_path string")
+    if len(headers) > 1:
+        raise ValueError(f"files have different headers: {headers[0][0]} and {headers[1][0]}")
+    names = headers[0][0]
+    kinds = tables.where("n_rows > 0").select(F.posexplode("kinds").alias("place", "kind")).groupBy("place").agg(F.collect_set("kind").alias("kinds"))
+    types = {r.place: TYPES.get(frozenset(r.kinds), "string") for r in kinds.collect()}
+    good = tables.select("path", "lead")
+    read = ranges.drop("length").join(misled, "path", "left_anti").unionByName(_whole(misled)).join(good, "path")
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                held = []
+                with _open_range(row["path"], separator(row["path"], sep), row["start"], row["end"], row["quoted"]) as (_, _, rest):
+                    for record in rest:
+                        held.append([None if cell in ABSENT else cell for cell in record[row["lead"]:]])
+                        if len(held) == BATCH_RECORDS:
+                            yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * len(held)), pa.array(held, CELLS)], ["path", "cells"])
+                            held = []
+                yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * len(held), pa.string()), pa.array(held, CELLS)], ["path", "cells"])
+
+    tasks = max(spark.sparkContext.defaultParallelism, -(-ranges.count() // 4))
+    rows = read.repartition(tasks, "path", "start").mapInArrow(records, "path string, cells array<string>")
+    columns = [F.get("cells", F.lit(n)).cast(types.get(n, "string")).alias(name) for n, name in enumerate(names)]
+    return rows.select(*columns, F.col("path").alias("source_path"))
 
 
 def _deal(ranges: DataFrame) -> DataFrame:

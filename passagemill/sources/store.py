@@ -17,7 +17,7 @@ from __future__ import annotations
 import logging
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.schemas import STORE
@@ -95,6 +95,12 @@ def _write_data(chunks: DataFrame, path: str, buckets: int, folder: str | None =
     return [(folder, int(name.split("=")[1]), buckets) for name in names]
 
 
+def _place_of(kind: str, places: dict[str, int]) -> Column:
+    """The place, in the order of writes, of the folder that a row's file is in."""
+    known = F.create_map(*[F.lit(x) for folder, place in places.items() for x in (folder, place)])
+    return F.element_at(known, F.regexp_extract(F.col("_metadata.file_path"), rf"/{kind}/(w[0-9a-f]+)/", 1))
+
+
 def _read_data(spark: SparkSession, path: str, parts: Parts) -> DataFrame:
     """What the parts hold, without what later ones supersede."""
     held = [part for part in parts if part[1] >= 0]
@@ -105,15 +111,10 @@ def _read_data(spark: SparkSession, path: str, parts: Parts) -> DataFrame:
     lists = {part[0]: part[3] for part in parts if part[4] and part[3] > oldest}
     if not lists:
         return rows
-    places = F.create_map(*[F.lit(x) for folder, place in {part[0]: part[3] for part in held}.items() for x in (folder, place)])
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/data/(w[0-9a-f]+)/bucket=", 1)
-    rows = rows.select("*", F.element_at(places, folder).alias("__place"))
-    # One list for each write since the last compaction. Spark broadcasts them while they are small.
-    gone = None
-    for name, place in lists.items():
-        one = spark.read.schema("path string").parquet(f"{path}/gone/{name}").select("path", F.lit(place).cast("long").alias("__until"))
-        gone = one if gone is None else gone.unionAll(one)
-    gone = gone.groupBy("path").agg(F.max("__until").alias("__until"))
+    rows = rows.select("*", _place_of("data", {part[0]: part[3] for part in held}).alias("__place"))
+    # Lists are as many as writes since the last compaction, and one scan. Spark broadcasts it while it is small.
+    gone = spark.read.schema("path string").parquet(*[f"{path}/gone/{name}" for name in lists])
+    gone = gone.groupBy("path").agg(F.max(_place_of("gone", lists)).alias("__until"))
     rows = rows.join(gone, "path", "left").where("__until IS NULL OR __place >= __until")
     return rows.select(*STORE.names)
 
@@ -193,17 +194,28 @@ def update_store(new_chunks: DataFrame, path: str, changed_paths: DataFrame | No
 def compact_store(spark: SparkSession, path: str, buckets: int | None = None) -> None:
     """Rewrite the store as one folder without superseded rows.
 
-    Call it when many writes have gathered; a writer that comes in between
-    makes it fail with a ``VersionConflict``, and nothing is lost.
+    Call it when many writes have gathered. Writers may go on meanwhile: the
+    new folder takes the place of those that were read, and what came later
+    stays after it. A second compaction, or a store that has been replaced in
+    between, makes it fail with a ``VersionConflict``, and nothing is lost.
     """
-    base = newest_number(spark, f"{path}/parts")
     parts = _read_parts(spark, path)
     if not parts:
         raise FileNotFoundError(f"no store at {path}")
     buckets = buckets or parts[0][2]
-    place = max(part[3] for part in parts) + 1
+    place = max(part[3] for part in parts)
     written = _write_data(_read_data(spark, path, parts), path, buckets)
-    _write_parts(spark, path, [(*part, place, False) for part in written or [("", -1, buckets)]], base)
+    compacted = [(*part, place, False) for part in written or [("", -1, buckets)]]
+    for _ in range(ATTEMPTS):
+        base = newest_number(spark, f"{path}/parts")
+        now = _read_parts(spark, path)
+        if not set(parts) <= set(now):
+            break
+        try:
+            return _write_parts(spark, path, compacted + [part for part in now if part not in parts], base)
+        except VersionConflict:
+            log.info("another writer was first at %s; looking again", path)
+    raise VersionConflict(f"{path}: the store was replaced meanwhile, or others came first {ATTEMPTS} times")
 
 
 def vacuum_store(spark: SparkSession, path: str) -> list[str]:

@@ -2,23 +2,99 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from passagemill.operators.embedding import embed_hash
 from passagemill.plans.ingest import Embedder, chunks_with_vectors
-from passagemill.session import keep, scratch
+from passagemill.session import keep, path_exists, scratch
 from passagemill.settings import Settings
-from passagemill.sources.store import BUCKETS, create_store, load_paths, store_exists, update_store
+from passagemill.sources.store import BUCKETS, create_store, load_store, store_exists, update_store
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def latest_per_path(documents: DataFrame) -> DataFrame:
-    """One version per path and batch: the one processed last."""
+    """One version per path: the one processed last."""
     newest = F.max_by(F.struct(*documents.columns), F.struct("processed_at", F.md5(F.col("content").cast("binary"))))
     return documents.groupBy("path").agg(newest.alias("d")).select("d.*")
 
 
+class NewestVersion(StatefulProcessor):
+    """Lets a path's newest version of a batch through, unless a later one came before.
+
+    The state of a path is the time of the version let through last, in
+    microseconds; a version without a time is always let through and clears it.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best, place = None, None
+        for frame in rows:
+            for n, (at, content) in enumerate(zip(frame["processed_micros"], frame["content"])):
+                digest = "" if content is None else hashlib.md5(content.encode(), usedforsecurity=False).hexdigest()
+                own = (not pd.isna(at), 0 if pd.isna(at) else int(at), digest)
+                if place is None or own > place:
+                    best, place = frame.iloc[n:n + 1], own
+        if best is None:
+            return
+        timed, at, _ = place
+        if timed and self.newest.exists() and self.newest.get()[0] > at:
+            return
+        if timed:
+            self.newest.update((at,))
+        else:
+            self.newest.clear()
+        yield best.drop(columns="processed_micros")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        at = initialState["at"].iloc[0]
+        if not pd.isna(at):
+            self.newest.update((int(at),))
+
+    def close(self) -> None:
+        pass
+
+
+def _held(spark: SparkSession, store: str) -> DataFrame:
+    """The time of each path that a store holds."""
+    return load_store(spark, store).groupBy("path").agg(F.max(F.unix_micros("processed_at")).alias("at"))
+
+
+@contextmanager
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def newest_versions(documents: DataFrame, store: str, checkpoint: str) -> DataFrame:
+    """Of a stream of documents those that are newer than what came before, by keyed state.
+
+    A store that is there when the stream first begins is the initial state;
+    later batches look at the state of their own paths alone.
+    """
+    spark = documents.sparkSession
+    begun = path_exists(spark, f"{checkpoint}/commits")
+    held = _held(spark, store).groupBy("path") if not begun and store_exists(spark, store) else None
+    timed = documents.withColumn("processed_micros", F.unix_micros(F.col("processed_at").cast("timestamp")))
+    return timed.groupBy("path").transformWithStateInPandas(
+        NewestVersion(), outputStructType=documents.schema, outputMode="Update", timeMode="None", initialState=held)
+
+
 def ingest_stream(
     documents: DataFrame, store: str, checkpoint: str, embedder: Embedder = embed_hash,
     settings: Settings = Settings(), available_now: bool = True, buckets: int = BUCKETS,
@@ -26,23 +102,27 @@ def ingest_stream(
     """Keep ``store`` up to date with a stream of document rows.
 
     Each micro-batch replaces the chunks of its paths, so replaying a batch
-    after a failure leaves the same rows, not a second copy. Its cost follows
-    the batch; ``compact_store`` now and then keeps reading cheap. A document
-    that was processed before what the store holds of its path is late and
-    changes nothing. ``buckets`` is for a store that does not exist yet.
+    after a failure leaves the same rows, not a second copy. The newest time of
+    each path is the stream's state, kept by path in RocksDB and checkpointed,
+    so a batch reads nothing of the store and its cost follows the batch;
+    ``compact_store`` now and then keeps reading cheap. A document that was
+    processed before what came of its path, or what the store held of it when
+    the stream first began, is late and changes nothing. ``buckets`` is for a
+    store that does not exist yet.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if not store_exists(spark, store):
-            create_store(chunks_with_vectors(latest_per_path(batch), embedder, settings), store, buckets)
-            return
         with scratch(spark, "ingest-stream") as work:
-            latest = keep(latest_per_path(batch), "latest", f"{work}/latest")
-            held = load_paths(spark, store, latest).groupBy("path").agg(F.max("processed_at").alias("__held"))
-            fresh = latest.join(held, "path", "left").where("__held IS NULL OR processed_at IS NULL OR processed_at >= __held").drop("__held")
-            fresh = keep(fresh, "fresh", f"{work}/fresh")
-            update_store(chunks_with_vectors(fresh, embedder, settings), store, fresh)
-
-    writer = documents.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write_batch)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+            # Computed once: the state moves on with it.
+            fresh = keep(batch, "fresh", f"{work}/fresh")
+            chunks = chunks_with_vectors(fresh, embedder, settings)
+            if store_exists(spark, store):
+                update_store(chunks, store, fresh)
+            else:
+                create_store(chunks, store, buckets)
+
+    with _set(documents.sparkSession, PROVIDER, ROCKSDB):
+        fresh = newest_versions(documents, store, checkpoint)
+        writer = fresh.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write_batch)
+        return (writer.trigger(availableNow=True) if available_now else writer).start()

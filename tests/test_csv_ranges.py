@@ -55,3 +55,34 @@ def test_scan_csv_reads_line_breaks_where_there_are_any(spark, tmp_path):
     (tmp_path / "b.csv").write_text("x,y\n1,u\n2,w\n")
     assert [tuple(r)[:2] for r in scan_csv(spark, [str(tmp_path / "a.csv")]).collect()] == [(1, "u\nv")]
     assert scan_csv(spark, [str(tmp_path / "b.csv")]).count() == 2
+
+
+@pytest.mark.parametrize("split_bytes", [1, 17, 1 << 20])
+def test_rows_and_cards_agree_on_every_table(spark, files, split_bytes):
+    """A surplus cell or bad byte anywhere, odd quotes, labels, short rows: both read the file, or neither does."""
+    readable = cards(files)
+    for path in sorted(r.path for r in files.collect()):
+        name = path.rsplit("/", 1)[-1]
+        rows = scan_csv(spark, path, split_bytes=split_bytes)
+        if not readable[name]:
+            assert rows.columns == ["source_path"] and rows.count() == 0
+            continue
+        lines = readable[name].split("\n")
+        count = int(next(x for x in lines if x.startswith("Number of rows: ")).split(": ")[1])
+        assert rows.count() == count, name
+        assert "Columns: " + ", ".join(rows.columns[:-1]) == lines[1]
+    big = scan_csv(spark, str(next(r.path for r in files.collect() if r.path.endswith("/big.csv"))), split_bytes=split_bytes)
+    assert dict(big.dtypes)["id"] == "bigint" and dict(big.dtypes)["u"] == "decimal(20,0)" and dict(big.dtypes)["over"] == "string"
+    assert {(r.id, int(r.u), r.over, r.real) for r in big.collect()} == {(1234567890123456789, 18446744073709551615, "99999999999999999999", 1.0), (-5, 0, "1", 2.5)}
+
+
+def test_no_cell_is_lost(spark, tmp_path):
+    (tmp_path / "surplus.csv").write_text("n,k\n1,x\n2,y,SURPLUS\n")
+    (tmp_path / "good.csv").write_text("n,k\n1.5,NA\n,z\n7\n")
+    (tmp_path / ".hidden.csv").write_text("n,k\n9,q\n")
+    got = scan_csv(spark, str(tmp_path)).collect()
+    assert {(r.n, r.k) for r in got} == {(1.5, None), (None, "z"), (7.0, None)}
+    assert {r.source_path.rsplit("/", 1)[-1] for r in got} == {"good.csv"}
+    (tmp_path / "other.csv").write_text("n,m\n1,x\n")
+    with pytest.raises(ValueError, match="different headers"):
+        scan_csv(spark, str(tmp_path))

@@ -65,12 +65,42 @@ def test_batch_equals_brute_force(spark, data, metric):
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
-def test_grid_equals_brute_force(spark, data, metric):
+def test_request_blocks_equal_brute_force(spark, data, metric):
     queries, vectors = data
-    got = knn_batch(requests_of(spark, queries), store_of(spark, vectors), metric, broadcast_bytes=8 * 8 * 5, tile_rows=70)
+    got = knn_batch(requests_of(spark, queries), store_of(spark, vectors), metric, broadcast_bytes=8 * 8 * 5)
     same(ranked(got), brute(queries, vectors, 5, metric))
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_bounds_from_shares_change_nothing(spark, data, metric, monkeypatch):
+    """Shares of one split in four and in two bound the distances; some hold fewer rows than are wanted."""
+    queries, vectors = data
+    monkeypatch.setattr(S, "_splits", lambda rows: 5000)
+    monkeypatch.setattr(S, "SHARES", (4, 2))
+    store = store_of(spark, vectors).repartition(5)
+    for k in (5, 130):
+        same(ranked(knn_batch(requests_of(spark, queries, k=k), store, metric)), brute(queries, vectors, k, metric))
+    if metric == "l2":
+        monkeypatch.setattr(S, "RANK_K", 4)
+        monkeypatch.setattr(S, "STATE_K", 6)
+        same(ranked(knn_batch(requests_of(spark, queries, k=7), store, metric)), brute(queries, vectors, 7, metric))
+
+
+def test_emitted_rows_do_not_grow_with_the_splits(spark):
+    rng = np.random.default_rng(1)
+    store = S._located(store_of(spark, rng.normal(size=(1600, 4))))
+    requests = requests_of(spark, rng.normal(size=(4, 4)), k=5).withColumn("carry", F.lit(False)).withColumn("k", F.col("k").cast("long"))
+    schema = S._candidate_schema(requests, store)
+    block = S._as_block(requests.select("q_id", "embedding", "k", "carry").toArrow(), 4)
+    emitted = {}
+    for splits in (8, 32):
+        rows = store.repartition(splits, "chunk_id")
+        plain = S._scan_candidates(block, rows, schema, "l2").count()
+        bound = S._bounded(block, rows, schema, "l2", 5, [4])
+        emitted[splits] = plain, S._scan_candidates(bound, rows, schema, "l2").count()
+    assert emitted[32][0] == 4 * emitted[8][0] == 640 and emitted[32][1] < 1.5 * emitted[8][1] + 40 < 320
+
+
 def test_mixed_k_and_long_results(spark, data, monkeypatch):
     queries, vectors = data
     monkeypatch.setattr(S, "RANK_K", 10)
@@ -104,6 +134,14 @@ def test_one_vector(spark, data):
         assert [(r["rank"], r["chunk_id"]) for r in got] == [w[:2] for w in want]
 
 
+def test_one_vector_for_very_many_rows(spark, data, monkeypatch):
+    queries, vectors = data
+    monkeypatch.setattr(S, "RANK_K", 20)
+    got = knn_topk(list(queries[0]), store_of(spark, vectors), 170)
+    want = brute(queries[:1], vectors, 170, "l2")[0]
+    assert sorted((r["rank"], r["chunk_id"]) for r in got.collect()) == [w[:2] for w in want]
+
+
 def test_known_order_in_the_plane(spark):
     store = store_of(spark, [(0, 1), (1, 0), (2, 0), (-1, 0)])
     got = ranked(knn_batch(requests_of(spark, [(1, 0)], k=3), store))
@@ -183,11 +221,11 @@ def mmr_brute(query, vectors, order, k, weight):
     return chosen
 
 
-@pytest.mark.parametrize("group_rows", [S.MMR_GROUP_ROWS, 3])
+@pytest.mark.parametrize("group_bytes, ahead", [(S.MMR_GROUP_BYTES, S.MMR_AHEAD), (8 * 8 * 3, S.MMR_AHEAD), (8 * 8 * 3, 3), (8 * 8 * 3, 1)])
 @pytest.mark.parametrize("weight", [0.0, 0.3, 0.5, 1.0])
-def test_mmr_equals_brute_force(spark, data, weight, group_rows):
+def test_mmr_equals_brute_force(spark, data, weight, group_bytes, ahead):
     queries, vectors = data[0][:3], data[1]
-    got = ranked(mmr(requests_of(spark, queries, 4, 12, weight), store_of(spark, vectors), group_rows=group_rows))
+    got = ranked(mmr(requests_of(spark, queries, 4, 12, weight), store_of(spark, vectors), group_bytes=group_bytes, ahead=ahead))
     near = brute(queries, vectors, 12, "l2")
     for q, query in enumerate(queries):
         order = [int(row[1][1:]) for row in near[q]]
@@ -247,3 +285,80 @@ def test_sparse_search_counts_shared_terms(spark):
     got = S.sparse_search(asked, chunks, dim=4096).orderBy("rank").collect()
     assert [r["chunk_id"] for r in got] == ["a", "b", "c", "d"]
     assert abs(got[0]["distance"] - (1 - 2 / 5**0.5)) < 1e-12 and got[1]["distance"] == 1.0 and got[3]["distance"] is None
+
+
+def files_read(df):
+    """Files that the scans of a finished query have opened."""
+    def walk(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            yield from walk(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            yield from walk(node.plan())
+        elif node.nodeName().startswith("Scan parquet"):
+            yield node.metrics().apply("numFiles").value()
+        else:
+            children = node.children()
+            for n in range(children.size()):
+                yield from walk(children.apply(n))
+
+    df.collect()
+    return sorted(walk(df._jdf.queryExecution().executedPlan()))
+
+
+@pytest.fixture(scope="module")
+def saved(spark, tmp_path_factory):
+    """A store of twelve files."""
+    from passagemill.sources.store import as_store
+
+    rng = np.random.default_rng(2)
+    rows = [(f"c{i:04d}", [float(x) for x in rng.normal(size=4)], f"text {i}", f"/p/{i}") for i in range(240)]
+    df = as_store(spark.createDataFrame(rows, "chunk_id string, embedding array<float>, content string, path string"))
+    path = str(tmp_path_factory.mktemp("stores") / "store")
+    df.repartitionByRange(12, "chunk_id").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_one_scan_serves_both_search_types(spark, saved, monkeypatch):
+    from passagemill.plans.search import rank_requests
+
+    rng = np.random.default_rng(4)
+    rows = [(n, [float(x) for x in rng.normal(size=4)], 3 + n, 9 + n, 0.4, "mmr" if n % 2 else "similarity") for n in range(8)]
+    ready = spark.createDataFrame(rows, ASKED + ", search_type string")
+    scans = []
+    whole = S._scan_candidates
+    monkeypatch.setattr(S, "_scan_candidates", lambda *a, **b: scans.append(a) or whole(*a, **b))
+    got = rank_requests(ready, saved)
+    assert len(scans) == 1
+    assert got.columns == ["q_id", "rank", "chunk_id", "distance", "file"]
+    both = ranked(got.drop("file"))
+    monkeypatch.undo()
+    assert {q: both[q] for q in both if q % 2} == ranked(mmr(ready.where("search_type = 'mmr'"), saved))
+    assert {q: both[q] for q in both if not q % 2} == ranked(knn_batch(ready.where("search_type = 'similarity'"), saved))
+
+
+def test_text_is_read_from_the_files_of_the_hits(spark, saved, tmp_path):
+    from passagemill.session import keep
+
+    one = saved.where("chunk_id = 'c0101'").first()
+    requests = requests_of(spark, [one.embedding], k=1)
+    hits = keep(S.nearest(requests, saved).drop("vector"), "hits")
+    found = S.attach_content(hits, saved, requests)
+    assert [(r.chunk_id, r.content) for r in found.collect()] == [("c0101", "text 101")]
+    assert files_read(S.attach_content(hits, saved, requests))[0] == 1
+    # Hits without a known file, and rows that come from no file.
+    assert S.attach_content(hits.drop("file"), saved, requests).count() == 1
+    store = spark.createDataFrame(saved.limit(5).collect(), saved.schema)
+    hits = keep(S.nearest(requests, store).drop("vector"), "hits")
+    assert hits.first().file is None and S.attach_content(hits, store, requests).count() == 1
+
+
+def test_carried_vectors_are_those_of_the_hits(spark, saved, monkeypatch):
+    rng = np.random.default_rng(6)
+    asked = requests_of(spark, rng.normal(size=(6, 4)), k=7).withColumn("carry", F.col("q_id") % 2 == 0)
+    vectors = {r.chunk_id: r.embedding for r in saved.collect()}
+    for cells, state in ((S.SCORE_CELLS, S.STATE_K), (50, S.STATE_K), (50, 3)):
+        monkeypatch.setattr(S, "SCORE_CELLS", cells)
+        monkeypatch.setattr(S, "STATE_K", state)
+        rows = S.nearest(asked, saved).collect()
+        assert len(rows) == 42
+        assert all((r.vector is None) if r.q_id % 2 else r.vector == vectors[r.chunk_id] for r in rows)

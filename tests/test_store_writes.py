@@ -57,7 +57,7 @@ def test_an_update_between_read_and_commit_of_another(spark, tmp_path, monkeypat
     assert [p for p in os.listdir(f"{path}/parts") if p.startswith(".new")] == []
 
 
-def test_compaction_keeps_the_rows_and_yields_to_writers(spark, tmp_path, monkeypatch):
+def test_compaction_keeps_the_rows_beside_writers(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "s")
     S.create_store(chunks_of(spark, [(f"p{n}", "1") for n in range(9)]), path, buckets=2)
     for n in range(4):
@@ -66,24 +66,45 @@ def test_compaction_keeps_the_rows_and_yields_to_writers(spark, tmp_path, monkey
     assert want == [(f"p{n}", "2") for n in range(4)] + [(f"p{n}", "1") for n in range(5, 9)]
     write = S._write_data
 
-    def and_another(*args):
+    def and_others(*args):
         out = write(*args)
         monkeypatch.setattr(S, "_write_data", write)
         S.append_store(chunks_of(spark, [("new", "1")]), path)
+        S.update_store(chunks_of(spark, [("p8", "3")]), path)
         return out
 
-    monkeypatch.setattr(S, "_write_data", and_another)
-    with pytest.raises(VersionConflict):
-        S.compact_store(spark, path)
+    monkeypatch.setattr(S, "_write_data", and_others)
+    S.compact_store(spark, path, buckets=5)
+    want = sorted([x for x in want if x[0] != "p8"] + [("new", "1"), ("p8", "3")])
+    assert texts(spark, path) == want
+    assert [part[2] for part in S._read_parts(spark, path) if part[4]] == [2] * sum(part[4] for part in S._read_parts(spark, path))
     S.compact_store(spark, path, buckets=5)
-    assert texts(spark, path) == sorted([*want, ("new", "1")])
+    assert texts(spark, path) == want
     assert {part[2] for part in S._read_parts(spark, path)} == {5} and not any(part[4] for part in S._read_parts(spark, path))
     S.vacuum_store(spark, path)
-    assert texts(spark, path) == sorted([*want, ("new", "1")])
+    assert texts(spark, path) == want
     S.update_store(chunks_of(spark, [("p7", "3")]), path)
     assert ("p7", "3") in texts(spark, path) and ("p7", "1") not in texts(spark, path)
 
 
+def test_one_of_two_compactions_fails(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    S.create_store(chunks_of(spark, [("a", "1"), ("b", "1")]), path)
+    S.update_store(chunks_of(spark, [("a", "2")]), path)
+    write = S._write_data
+
+    def and_another(*args):
+        out = write(*args)
+        monkeypatch.setattr(S, "_write_data", write)
+        S.compact_store(spark, path)
+        return out
+
+    monkeypatch.setattr(S, "_write_data", and_another)
+    with pytest.raises(VersionConflict):
+        S.compact_store(spark, path)
+    assert texts(spark, path) == [("a", "2"), ("b", "1")]
+
+
 def test_a_write_costs_what_changes(spark, tmp_path):
     path = str(tmp_path / "s")
     S.create_store(chunks_of(spark, [(f"p{n}", os.urandom(500).hex()) for n in range(3000)]), path, buckets=4)
@@ -110,6 +131,38 @@ def test_late_documents_change_nothing(spark, tmp_path):
     assert send(2, [("a", "newer", "2026-01-04")]) == [("a", "newer"), ("b", "b2")]
 
 
+def arrive(spark, tmp_path, rows, **options):
+    folder = str(tmp_path / "in")
+    made = spark.createDataFrame(rows, "path string, content string, at string")
+    made = made.select("path", F.lit("f").alias("file_name"), F.lit(".md").alias("file_type"), F.lit(1).cast("long").alias("file_size"), "content",
+                       F.to_timestamp("at").alias("processed_at"))
+    made.select(*DOCUMENTS.names).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+    ingest_stream(stream, str(tmp_path / "store"), str(tmp_path / "checkpoint")).awaitTermination()
+    return texts(spark, str(tmp_path / "store"))
+
+
+def test_a_stream_begins_with_what_the_store_holds(spark, tmp_path, monkeypatch):
+    first = chunks_of(spark, [("a", "held"), ("b", "held"), ("c", "held")]).withColumn(
+        "processed_at", F.when(F.col("path") != "c", F.to_timestamp(F.lit("2026-01-05"))))
+    S.create_store(first, str(tmp_path / "store"))
+    got = arrive(spark, tmp_path, [("a", "late", "2026-01-04"), ("b", "same time", "2026-01-05"), ("c", "any", "2020-01-01"), ("d", "new", None)])
+    assert got == [("a", "held"), ("b", "same time"), ("c", "any"), ("d", "new")]
+    # Later batches read nothing of the store.
+    from passagemill.streaming import ingest as module
+    monkeypatch.setattr(module, "load_store", None)
+    got = arrive(spark, tmp_path, [("a", "late again", "2026-01-04"), ("b", "no time", None), ("d", "timed", "2019-01-01"), ("c", "older", "2019-12-31")])
+    assert got == [("a", "held"), ("b", "no time"), ("c", "any"), ("d", "timed")]
+    # A version without a time clears what was known of the path.
+    assert ("b", "old") in arrive(spark, tmp_path, [("b", "old", "2001-01-01")])
+
+
+def test_versions_of_one_batch(spark, tmp_path):
+    rows = [("a", f"v{n}", f"2026-01-{n:02d}") for n in range(1, 9)] + [("a", None, "2025-01-01"), ("b", "y", "2026-01-01"), ("b", "x", "2026-01-01")]
+    got = arrive(spark, tmp_path, rows)
+    assert ("a", "v8") in got and len(got) == 2
+
+
 def test_stale_and_missing_files_leave_the_store(spark, tmp_path):
     root, store, manifest = tmp_path / "docs", str(tmp_path / "store"), str(tmp_path / "manifest")
     root.mkdir()
