@@ -121,7 +121,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """
     # A null id is a key like any other, and sorts first.
     id_ = F.col("doc_id").cast("long")
-    key = F.struct(id_.isNotNull().alias("named"), F.coalesce(id_, F.lit(0)).alias("id"))
+    # Of the type that it is read back with, or a join casts it and what it has dealt by it is dealt again.
+    key = F.struct(id_.isNotNull().alias("named"), F.coalesce(id_, F.lit(0)).alias("id")).cast("struct<named:boolean,id:bigint>")
     rows = docs.select(key.alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
     keys = keep(rows.select("k", "th", F.length("text").alias("n")), "keys")

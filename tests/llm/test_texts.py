@@ -184,6 +184,21 @@ def test_fingerprints_estimate_weighted_jaccard(spark):
     assert got[18].fingerprint == got[21].fingerprint and got[18].near_next == 1.0
 
 
+def test_words_of_a_text_stay_where_it_was_dealt(spark, monkeypatch):
+    """Texts are dealt by their key once; their words are counted and sampled there."""
+    plans, keep = [], fingerprints.keep
+
+    def kept(rows, label, path=None):
+        if label == "marks":
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return keep(rows, label, path)
+
+    monkeypatch.setattr(fingerprints, "keep", kept)
+    fingerprints.fingerprint_edits(spark.createDataFrame([(n, f"text {n}") for n in range(9)], "doc_id long, text string"))
+    dealt = [line for line in plans[0].splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and not any("term#" in line or "th#" in line for line in dealt)
+
+
 def test_fingerprints_of_odd_rows(spark):
     schema = "doc_id long, text string"
     assert fingerprints.fingerprint_edits(spark.createDataFrame([], schema)).collect() == []
