@@ -52,7 +52,7 @@ def table_card(df: DataFrame, name: str, order_by, n: int = PREVIEW_ROWS) -> Dat
 def _cell(value, kind: str) -> str:
     if value is None:
         return MISSING_CELL
-    if kind in ("int", "unsigned"):
+    if kind in ("small", "int", "unsigned"):
         return str(int(value))
     if kind == "float":
         return str(float(value))

@@ -56,7 +56,7 @@ ABSENT = frozenset(MISSING)
 INTEGER = re.compile(r"\s*[+-]?[0-9]+\s*", re.A)
 NUMBER = re.compile(r"\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*", re.A)
 BOOLEAN = re.compile(r"True|TRUE|true|False|FALSE|false")
-WHOLE, SIGNED, UNSIGNED, REAL, TRUTH = range(5)
+WHOLE, SIGNED, UNSIGNED, REAL, TRUTH, SMALL = range(6)
 LINE = re.compile(rb"[^\r\n]*(?:\r\n|\r|\n)")
 
 
@@ -146,6 +146,7 @@ def _flags_of(cell: str, flags: list[bool]) -> None:
         whole = INTEGER.fullmatch(cell)
         if whole:
             value = int(cell) if len(cell) < 40 else 1 << 64
+            flags[SMALL] = flags[SMALL] and -(1 << 31) <= value < 1 << 31
             flags[SIGNED] = flags[SIGNED] and -(1 << 63) <= value < 1 << 63
             flags[UNSIGNED] = flags[UNSIGNED] and 0 <= value < 1 << 64
         else:
@@ -181,7 +182,7 @@ def _read_range(path: str, sep: str, start: int, end: int | None, quoted: bool,
             if len(first) < rows + (start == 0):
                 first.append(record)
             while len(flags) < len(record):
-                flags.append([True] * 5)
+                flags.append([True] * 6)
             for cell, own in zip(record, flags):
                 if cell not in ABSENT and (own[WHOLE] or own[REAL] or own[TRUTH]):
                     _flags_of(cell, own)
@@ -239,7 +240,7 @@ def _names(header: list[str]) -> list[str]:
 
 def _kind(flags: list[bool]) -> str:
     if flags[WHOLE]:
-        return "int" if flags[SIGNED] else "unsigned" if flags[UNSIGNED] else "text"
+        return "small" if flags[SMALL] else "int" if flags[SIGNED] else "unsigned" if flags[UNSIGNED] else "text"
     return "float" if flags[REAL] else "bool" if flags[TRUTH] else "text"
 
 
@@ -258,7 +259,7 @@ def _merge(rows: int):
         lead = max(0, int(firsts.iloc[0]) - len(header)) if len(firsts) else 0
         if found["most_cells"].max() > len(header) + lead:
             return unreadable
-        flags = [[True] * 5 for _ in header]
+        flags = [[True] * 6 for _ in header]
         for one in found["flags"]:
             for own, more in zip(flags, list(one)[lead:]):
                 own[:] = [a and bool(b) for a, b in zip(own, more)]
@@ -306,11 +307,16 @@ def summarise_csv(files: DataFrame, preview_rows: int, sep: str | None = None, s
     return _found(_ranges(files, split_bytes), preview_rows, sep)[0].groupBy("path").applyInPandas(_merge(preview_rows), SUMMARY)
 
 
-#: Types of columns, by the kinds that their cells have in the files; a column without cells is taken as whole numbers.
+#: Types of columns, by the kinds that their cells have in the files, "small" being "int" in 32 bits; a column without cells is taken as whole numbers.
 TYPES = {frozenset(["int"]): "long", frozenset(["unsigned"]): "decimal(20,0)", frozenset(["int", "unsigned"]): "decimal(20,0)",
          frozenset(["float"]): "double", frozenset(["int", "float"]): "double", frozenset(["bool"]): "boolean"}
 
 
+def _type(kinds: list[str]) -> str:
+    """The type of a column that has cells of these kinds."""
+    return "int" if set(kinds) == {"small"} else TYPES.get(frozenset("int" if kind == "small" else kind for kind in kinds), "string")
+
+
 def _files_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, length) of files, and of files below folders."""
     out = None
@@ -342,7 +348,7 @@ def scan_csv(spark: SparkSession, paths: str | list[str], sep: str | None = None
         raise ValueError(f"files have different headers: {headers[0][0]} and {headers[1][0]}")
     names = headers[0][0]
     kinds = tables.where("n_rows > 0").select(F.posexplode("kinds").alias("place", "kind")).groupBy("place").agg(F.collect_set("kind").alias("kinds"))
-    types = {r.place: TYPES.get(frozenset(r.kinds), "string") for r in kinds.collect()}
+    types = {r.place: _type(r.kinds) for r in kinds.collect()}
     good = tables.select("path", "lead")
     read = ranges.drop("length").join(misled, "path", "left_anti").unionByName(_whole(misled)).join(good, "path")
 
