@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -69,60 +70,80 @@ PLACEHOLDERS = {k: np.uint64(xxhash.xxh64_intdigest(f"<{k}>")) for k in ("number
 
 
 class Tokens(dict):
-    """What words are, remembered for the words of late: a hash of the folded
-    word, whose lowest bits give way to its kind and whether it ends a sentence."""
+    """What words are, remembered for the words of late: eight bytes, a hash of the
+    folded word, whose lowest bits give way to its kind and whether it ends a sentence.
+
+    Words of the time before are looked up once more, so that common ones are not worked out again.
+    """
 
     SIZE = 300_000
 
-    def __missing__(self, word: str) -> int:
+    def __init__(self) -> None:
+        super().__init__()
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        value = self[word] = self.before.get(word) or self._looked_at(word)
+        return value
+
+    @staticmethod
+    def _looked_at(word: str) -> bytes:
         plain = word.isalpha()
         core = word if plain else word.strip(EDGES)
         low = core.lower()
+        letters = plain or core.isalpha()
         if not core:
             kind = SKIP
-        elif low in NUMBER_WORDS or not plain and NUMBER.fullmatch(core):
+        elif low in NUMBER_WORDS or not letters and NUMBER.fullmatch(core):
             kind = NUMBER_KIND
-        elif not plain and MEASURE.fullmatch(low):
+        elif not letters and MEASURE.fullmatch(low):
             kind = MEASURE_KIND
         elif low in UNIT_WORDS:
             kind = UNIT
         else:
-            kind = TITLE if len(core) > 1 and core[0].isupper() and core[1:].islower() else LITERAL
+            kind = TITLE if not core.islower() and len(core) > 1 and core[0].isupper() and core[1:].islower() else LITERAL
         ends = not plain and word.rstrip("\"'”’»)")[-1:] in ENDS
-        value = self[word] = xxhash.xxh64_intdigest(low) & ~15 | kind | ends << 3
-        return value
+        return (xxhash.xxh64_intdigest(low) & ~15 | kind | ends << 3).to_bytes(8, "little")
 
     def template(self, text: str) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
         """The text's templates, each with what is a slot in it, the tokens' own hashes, and where lines and sentences start."""
         if len(self) > self.SIZE:
+            self.before = dict(self)
             self.clear()
         lines = [words for line in text.split("\n") if (words := line.split())]
-        words = [w for line in lines for w in line]
-        found = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        found = np.frombuffer(b"".join(map(self.__getitem__, chain.from_iterable(lines))), "<u8").astype(np.uint64, copy=False)
         return self._resolve(found & np.uint64(~15 & (1 << 64) - 1), found & np.uint64(7), (found & np.uint64(8)) > 0, lines)
 
     @staticmethod
     def _resolve(own, kind, ends, lines) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-        first = np.zeros(len(own), bool)
-        if len(own):
-            first[np.r_[0, np.cumsum([len(x) for x in lines])[:-1]]] = True
-        ends = np.r_[False, ends[:-1]] if len(own) else ends
+        # Where a line starts, or a sentence after a word that ends one.
+        first = np.zeros(len(own) + 1, bool)
+        first[1:] = ends
+        first[0] = True
+        first[np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))] = True
         used = kind != SKIP
-        # A word of punctuation alone passes on that a sentence starts.
-        start = np.maximum.accumulate(np.where(first | ends, np.arange(len(own)), -1)) if len(own) else first
-        own, kind = own[used], kind[used]
-        before = np.r_[-1, np.flatnonzero(used)[:-1]] if len(own) else np.zeros(0, np.int64)
-        start = start[used] > before
+        if used.all():
+            start = first[:-1]
+        else:
+            # A word of punctuation alone passes on that a sentence starts.
+            begun = np.cumsum(first[:-1])[used]
+            own, kind = own[used], kind[used]
+            start = np.ones(len(own), bool)
+            start[1:] = begun[1:] > begun[:-1]
         values = own.copy()
-        number = kind == NUMBER_KIND
-        values[number] = PLACEHOLDERS["number"]
-        unit = (kind == UNIT) & np.r_[False, number[:-1]] if len(own) else number
-        values[unit] = PLACEHOLDERS["unit"]
-        measure = kind == MEASURE_KIND
-        values[measure] = PLACEHOLDERS["measure"]
-        value = number | unit | measure
-        # A sentence's first word is a name if it is one inside a sentence, too.
         title = kind == TITLE
+        value = ~title & (kind != LITERAL)
+        if value.any():
+            number = kind == NUMBER_KIND
+            values[number] = PLACEHOLDERS["number"]
+            unit = kind == UNIT
+            unit[0] = False
+            unit[1:] &= number[:-1]
+            values[unit] = PLACEHOLDERS["unit"]
+            measure = kind == MEASURE_KIND
+            values[measure] = PLACEHOLDERS["measure"]
+            value = number | unit | measure
+        # A sentence's first word is a name if it is one inside a sentence, too.
         name = title & ~start
         if name.any():
             name |= title & np.isin(own, own[name])
@@ -161,9 +182,10 @@ def _short_windows(own: np.ndarray, start: np.ndarray, width: int, chars: int |
         mark = AS_TEXT if chars < SHORT_CHARS else AS_LINE if width < SHORT_TOKENS else np.uint64(0)
         yield hashes ^ mark, every, none
         return
-    ends = np.r_[start[1:], True]
     yield hashes, every, none
-    yield hashes ^ AS_LINE, start[:len(hashes)] & ends[width - 1:], none
+    alone = start[:len(hashes)].copy()
+    alone[:-1] &= start[width:]
+    yield hashes ^ AS_LINE, alone, none
     yield hashes ^ AS_TEXT, every & (len(own) == width), none
 
 

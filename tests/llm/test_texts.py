@@ -322,6 +322,20 @@ def test_short_items(spark):
     assert set(leaks_of(spark, texts, items)) == {(1, 0), (3, 0), (2, 1), (4, 2), (6, 2), (7, 5), (9, 6)}
 
 
+def test_words_of_the_time_before_are_not_worked_out_again(monkeypatch):
+    seen = []
+    real = decontaminate.Tokens._looked_at
+    monkeypatch.setattr(decontaminate.Tokens, "_looked_at", staticmethod(lambda word: seen.append(word) or real(word)))
+    monkeypatch.setattr(decontaminate.Tokens, "SIZE", 3)
+    tokens = decontaminate.Tokens()
+    common = tokens.template("the Cat ran 5 km.")
+    for n in range(5):
+        tokens.template(f"the x{n} the y{n} z{n} the Cat")
+    assert seen.count("the") == 1 and seen.count("x0") == 1
+    again = tokens.template("the Cat ran 5 km.")
+    assert all((a == b).all() for x, y in zip(common[0], again[0]) for a, b in zip(x, y))
+
+
 def slow_leaks(texts, items, run=decontaminate.RUN):
     """Every place of every text beside every place of every item (of a whole window at least), compared token by token."""
     width, tokens, out = decontaminate.WINDOW, decontaminate.Tokens(), {}
