@@ -38,7 +38,8 @@ LISTING_ROWS = 10_000
 READ_BLOCK = 8 * 1024 * 1024
 # What one value of a row can hold; a longer file is an unreadable one, and the run goes on.
 MOST_BYTES = (1 << 31) - (1 << 20)
-BATCH_BYTES = 32 * 1024 * 1024
+# Files that a task holds at once; as bytes, as text and on their way to Spark they take several times that.
+BATCH_BYTES = 8 * 1024 * 1024
 TASK_BYTES = 128 * 1024 * 1024
 
 

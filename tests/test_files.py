@@ -1,6 +1,7 @@
 import hashlib
 import io
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,6 +13,7 @@ from passagemill.operators.cards import csv_cards, table_card
 from passagemill.plans.ingest import load_documents
 from passagemill.settings import Settings
 from passagemill.sources.csvfiles import scan_csv
+from passagemill.sources import rawfiles
 from passagemill.sources.rawfiles import hash_files, list_files, scan_files
 
 TREE = {
@@ -213,3 +215,15 @@ def test_decoding_follows_text_files(raw):
         return ""
 
     assert decode_bytes(raw).replace("\r\n", "\n").replace("\r", "\n") == read()
+
+
+def test_a_reader_holds_few_files_at_once(tmp_path):
+    size, paths = 1024 * 1024, []
+    for n in range(20):
+        paths.append(str(tmp_path / f"{n}.txt"))
+        (tmp_path / f"{n}.txt").write_bytes(b"%d" % (n % 10) * size)
+    wanted = pd.DataFrame({"path": paths, "length": [size] * 20, "kind": ["text"] * 20})
+    batches = list(rawfiles._read_texts(None, ("utf-8",))(iter([wanted])))
+    assert max(batch["text"].str.len().sum() for batch in batches) <= 9 * size
+    read = pd.concat(batches)
+    assert list(read["path"]) == paths and [text[0] for text in read["text"]] == [str(n % 10) for n in range(20)]
