@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.llm.common import components, split_by_ids, table
-from passagemill.session import keep
+from passagemill.session import keep, scratch
 
 SHINGLE_WORDS = 3
 PERCENT = 90
@@ -214,8 +214,11 @@ def _sketch(tokens: np.ndarray) -> bytes:
     return np.packbits((cells & 1).astype(np.uint8)).tobytes()
 
 
-def _active(docs: DataFrame, marked: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """One row (cls, n, tokens, one, two, sketch) for each class that passes the first two orders; one and two are their prefixes."""
+def _active(docs: DataFrame, marked: DataFrame, classes: DataFrame, width: int, percent: int, work: str) -> DataFrame:
+    """One row (cls, n, tokens, one, two, sketch) for each class that passes the first two orders; one and two are their prefixes.
+
+    A table below ``work``; the sets that it is made from are removed again.
+    """
     able = marked.where(f"cls IS NOT NULL AND 100 * n >= {percent} * (n + 1)")
     left = _sharing(able, percent)
     # Of a class the text with its smallest id is read again; other texts with that id are not of the classes left.
@@ -228,11 +231,17 @@ def _active(docs: DataFrame, marked: DataFrame, classes: DataFrame, width: int,
             own = [shingles(t.as_py() or b"", width) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(map(_class_of, own), pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["cls", "tokens"])
 
-    read = keep(texts.mapInArrow(whole, "cls long, tokens binary"), "read")
-    once, several = split_by_ids(read, left, "cls")[0], read.groupBy("cls").count().where("count > 1").select("cls")
-    # Rows that share an id may have been read for one another; the sets of such classes alone are moved.
-    again, once = split_by_ids(once, keep(several, "several"), "cls")
-    sets = keep(once.unionByName(again.groupBy("cls").agg(F.first("tokens").alias("tokens"))), "classes")
+    with scratch(docs.sparkSession, "read") as read_at:
+        read = texts.mapInArrow(whole, "cls long, tokens binary")
+        read = keep(split_by_ids(read, left, "cls")[0], "read", f"{read_at}/sets")
+        several = keep(read.groupBy("cls").count().where("count > 1").select("cls"), "several")
+        # Rows that share an id may have been read for one another; the sets of such classes alone are moved.
+        again, once = split_by_ids(read, several, "cls")
+        return _prefixed(once.unionByName(again.groupBy("cls").agg(F.first("tokens").alias("tokens"))), percent, read_at, work)
+
+
+def _prefixed(sets: DataFrame, percent: int, read_at: str, work: str) -> DataFrame:
+    """What ``_active`` returns, of ``sets`` (cls, tokens)."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +249,7 @@ def _active(docs: DataFrame, marked: DataFrame, classes: DataFrame, width: int,
             first = [first_of(x, _reach(len(x), percent), SECOND).tobytes() for x in own]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, own), pa.int64()), pa.array(first, pa.binary())], ["cls", "n", "first"])
 
-    left = _sharing(keep(sets.mapInArrow(prefixes, "cls long, n long, first binary"), "prefixes"), percent)
+    left = _sharing(keep(sets.mapInArrow(prefixes, "cls long, n long, first binary"), "prefixes", f"{read_at}/prefixes"), percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +260,7 @@ def _active(docs: DataFrame, marked: DataFrame, classes: DataFrame, width: int,
                  *(pa.array(x, pa.binary()) for x in (*some, [_sketch(x) for x in own]))], ["cls", "n", "tokens", "one", "two", "sketch"])
 
     left = split_by_ids(sets, left, "cls")[0]
-    return keep(left.select("cls", "tokens").mapInArrow(run, "cls long, n long, tokens binary, one binary, two binary, sketch binary"), "active")
+    return keep(left.select("cls", "tokens").mapInArrow(run, "cls long, n long, tokens binary, one binary, two binary, sketch binary"), "active", f"{work}/active")
 
 
 def _cells(tokens: np.ndarray) -> np.ndarray:
@@ -306,11 +315,12 @@ def _buckets(active: DataFrame, percent: int) -> DataFrame:
                 [pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.repeat(batch.column(c).to_numpy(), lengths)) for c in (0, 1)),
                  pa.array(place, pa.int32())], ["token", "cls", "n", "place"])
 
-    postings = keep(active.select("cls", "n", "tokens").mapInArrow(run, "token long, cls long, n long, place int"), "postings")
-    shared = postings.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1").select("token")
-    shared = split_by_ids(postings, keep(shared, "shared"), "token")[0]
-    before = F.lag("token").over(Window.partitionBy("cls").orderBy("place"))
-    return keep(shared.select("token", "cls", "n", before.alias("before")), "buckets")
+    with scratch(active.sparkSession, "postings") as path:
+        postings = keep(active.select("cls", "n", "tokens").mapInArrow(run, "token long, cls long, n long, place int"), "postings", path)
+        shared = postings.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1").select("token")
+        shared = split_by_ids(postings, keep(shared, "shared"), "token")[0]
+        before = F.lag("token").over(Window.partitionBy("cls").orderBy("place"))
+        return keep(shared.select("token", "cls", "n", before.alias("before")), "buckets")
 
 
 def _near_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -326,6 +336,9 @@ def _pivot_pairs(buckets: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_both(pairs: DataFrame, active: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` (a, b; a written table) with ``columns`` of both classes; only classes of pairs are moved."""
+    paired = keep(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "paired")
+    active = split_by_ids(active.select("cls", *columns), paired, "cls")[0]
     for side in ("a", "b"):
         other = active.select(F.col("cls").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
         pairs = pairs.join(other, side)
@@ -465,7 +478,8 @@ def similar_documents(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int
     """
     sets = keep(sets_of(docs, width, percent), "sets")
     classes = keep(sets.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least")), "classes")
-    roots = links(_active(docs, sets, classes, width, percent), percent, part)
+    with scratch(docs.sparkSession, "active") as work:
+        roots = links(_active(docs, sets, classes, width, percent, work), percent, part)
     rooted = keep(classes.join(roots.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left")
                   .select("cls", "least", F.coalesce("root", "cls").alias("root")), "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from passagemill.llm import ngramjoin
+from passagemill.session import child_names, shared_dir
 
 
 def slow_set(text):
@@ -79,6 +80,24 @@ def test_other_thresholds(spark, corpus):
     compared(spark, [(r[0], r[1]) for r in corpus if r[0] != 110], percent=60)
 
 
+def test_sets_do_not_stay_on_disk(spark, corpus):
+    """Tables that hold whole sets go as soon as nothing reads them any more; the result does not need them."""
+    folder = f"{shared_dir(spark)}/passagemill"
+    before = set(child_names(spark, folder))
+    compared(spark, [(r[0], r[1]) for r in corpus])
+    kinds = {name.rsplit("-", 1)[0] for name in set(child_names(spark, folder)) - before}
+    assert "sets" in kinds and not kinds & {"read", "prefixes", "active", "postings"}
+
+
+def test_only_classes_of_pairs_are_moved(spark):
+    active = spark.createDataFrame([(n, bytes([n])) for n in range(9)], "cls long, tokens binary").repartition(3)
+    pairs = ngramjoin.keep(spark.createDataFrame([(1, 2), (1, 5), (3, 3)], "a long, b long"), "pairs")
+    both = ngramjoin._with_both(pairs, active, "tokens")
+    assert "LeftSemi" in both._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.a, r.b, bytes(r.a_tokens), bytes(r.b_tokens)) for r in both.collect()) == \
+        [(1, 2, b"\x01", b"\x02"), (1, 5, b"\x01", b"\x05"), (3, 3, b"\x03", b"\x03")]
+
+
 def test_no_documents(nothing):
     assert ngramjoin.similar_documents(nothing).collect() == []
 
