@@ -214,13 +214,11 @@ def _sketch(tokens: np.ndarray) -> bytes:
     return np.packbits((cells & 1).astype(np.uint8)).tobytes()
 
 
-def _active(docs: DataFrame, marked: DataFrame, classes: DataFrame, width: int, percent: int, work: str) -> DataFrame:
-    """One row (cls, n, tokens, one, two, sketch) for each class that passes the first two orders; one and two are their prefixes.
+def _active(docs: DataFrame, left: DataFrame, classes: DataFrame, width: int, percent: int, work: str) -> DataFrame:
+    """One row (cls, n, tokens, one, two, sketch) for each class of ``left`` that passes the second order; one and two are its prefixes.
 
     A table below ``work``; the sets that it is made from are removed again.
     """
-    able = marked.where(f"cls IS NOT NULL AND 100 * n >= {percent} * (n + 1)")
-    left = _sharing(able, percent)
     # Of a class the text with its smallest id is read again; other texts with that id are not of the classes left.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = keep(classes.join(left, "cls", "left_semi").select(F.col("least").alias("doc_id")).distinct(), "ids")
@@ -476,10 +474,13 @@ def similar_documents(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int
     where no row of the component has one. Repeated rows stay rows; other
     columns are not read; an empty table gives no row.
     """
-    sets = keep(sets_of(docs, width, percent), "sets")
+    with scratch(docs.sparkSession, "prefixes") as path:
+        marked = keep(sets_of(docs, width, percent), "prefixes", path)
+        sets = keep(marked.drop("first"), "sets")
+        left = _sharing(marked.where(f"cls IS NOT NULL AND 100 * n >= {percent} * (n + 1)"), percent)
     classes = keep(sets.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least")), "classes")
     with scratch(docs.sparkSession, "active") as work:
-        roots = links(_active(docs, sets, classes, width, percent, work), percent, part)
+        roots = links(_active(docs, left, classes, width, percent, work), percent, part)
     rooted = keep(classes.join(roots.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left")
                   .select("cls", "least", F.coalesce("root", "cls").alias("root")), "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id")
