@@ -4,6 +4,7 @@ import os
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from passagemill.schemas import DOCUMENTS
 from passagemill.sources import store as S
 from passagemill.sources.manifest import read_manifest, write_manifest
 from passagemill.sources.versions import VersionConflict, newest_number, write_version
-from passagemill.streaming.ingest import ingest_stream
+from passagemill.streaming.ingest import NewestVersion, ingest_stream
 
 
 def chunks_of(spark, rows):
@@ -163,6 +164,32 @@ def test_versions_of_one_batch(spark, tmp_path):
     assert ("a", "v8") in got and len(got) == 2
 
 
+def test_a_bucket_of_paths_asks_for_its_state_once():
+    calls, held = [], []
+
+    class State:
+        def get(self):
+            calls.append("get")
+            return held[-1] if held else None
+
+        def update(self, value):
+            calls.append("update")
+            held.append(value)
+
+    processor = NewestVersion()
+    processor.newest = State()
+
+    def batch(rows):
+        frames = [pd.DataFrame(rows[n:n + 40], columns=["path", "content", "processed_micros"]).assign(bucket=1) for n in range(0, len(rows), 40)]
+        return {(p, c) for out in processor.handleInputRows((1,), iter(frames), None) for p, c in zip(out["path"], out["content"])}
+
+    first = [(f"p{n}", f"{day}", day) for day in (2, 1, 3, 2) for n in range(25)] + [(None, "none", 5)]
+    assert batch(first) == {(f"p{n}", "3") for n in range(25)} | {(None, "none")}
+    assert calls == ["get", "update"]
+    assert batch([(f"p{n}", "late", 2) for n in range(10)] + [("p20", "untimed", None), ("null", "word", 1)]) == {("p20", "untimed"), ("null", "word")}
+    assert batch([("p20", "old", 1), (None, "late", 4)]) == {("p20", "old")}
+
+
 def test_stale_and_missing_files_leave_the_store(spark, tmp_path):
     root, store, manifest = tmp_path / "docs", str(tmp_path / "store"), str(tmp_path / "manifest")
     root.mkdir()
