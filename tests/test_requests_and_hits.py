@@ -1,9 +1,10 @@
+import tracemalloc
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from passagemill.operators.embedding import embed, embed_hash, sparse_terms
+from passagemill.operators.embedding import embed, embed_hash, sparse_terms, term_counts
 from passagemill.operators.filters import rejected_requests, valid_requests, validate_requests
 from passagemill.operators.hits import (
     collect_sources, files_fetched, hit_columns, hit_counts, prompts, stuff_context, to_answer_record, to_response,
@@ -125,3 +126,13 @@ def test_embedders(spark):
     assert own == {1: [11.0, 1.0], 2: [0.0, 1.0], 3: None}
     with pytest.raises(Exception, match="expected"):
         embed(rows, lambda: lambda texts: np.zeros((len(texts), 3)), 2).collect()
+
+
+def test_remembered_tokens_stay_small():
+    tracemalloc.start()
+    try:
+        for start in range(0, 600_000, 10_000):
+            term_counts([" ".join(f"word{n}" for n in range(start, start + 10_000))])
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    finally:
+        tracemalloc.stop()
