@@ -1,5 +1,5 @@
-import tracemalloc
 import json
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
