@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -362,3 +363,57 @@ def test_carried_vectors_are_those_of_the_hits(spark, saved, monkeypatch):
         rows = S.nearest(asked, saved).collect()
         assert len(rows) == 42
         assert all((r.vector is None) if r.q_id % 2 else r.vector == vectors[r.chunk_id] for r in rows)
+
+
+def held_by(asked, rows, wanted, metric="l2", parts=3):
+    """Request, distance and row number of what a task keeps, brute force beside it."""
+    block = S.Block(pa.array(np.arange(len(asked))), asked, np.full(len(asked), wanted), np.zeros(len(asked), bool), np.full(len(asked), np.inf))
+    best = S.BestRows(block, metric)
+    for numbers in np.array_split(np.arange(len(rows)), parts):
+        best.add(S.Part(pa.array(numbers), pa.nulls(len(numbers), pa.int64()), rows[numbers].astype(np.float32)))
+    return best, best.compact().sort_by([("q", "ascending"), ("d", "ascending"), ("id", "ascending")])
+
+
+def test_many_requests_are_scored_in_squares(monkeypatch):
+    """However many requests a block has, a piece of the store is no sliver of a few rows."""
+    rng = np.random.default_rng(3)
+    asked, rows = rng.normal(size=(512, 8)), rng.normal(size=(300, 8))
+    monkeypatch.setattr(S, "SCORE_CELLS", 4096)
+    sizes, lengths = [], S._lengths
+    monkeypatch.setattr(S, "_lengths", lambda x: (sizes.append(len(x)), lengths(x))[1])
+    _, table = held_by(asked, rows, 4)
+    assert max(n for n in sizes if n < 300) == 64
+    away = ((rows.astype(np.float32).astype(float)[None] - asked[:, None]) ** 2).sum(axis=2)
+    assert table["id"].to_pylist() == np.argsort(away, axis=1)[:, :4].reshape(-1).tolist()
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+@pytest.mark.parametrize("size", [1e-20, 1.0, 1e9, 1e80])
+def test_rows_and_requests_of_any_length(metric, size):
+    rng = np.random.default_rng(4)
+    asked, rows = rng.normal(size=(40, 5)) * size, rng.normal(size=(200, 5)) * min(size, 1e12)
+    _, table = held_by(asked, rows, 6, metric)
+    rows = rows.astype(np.float32).astype(float)
+    if metric == "l2":
+        away = ((rows[None] - asked[:, None]) ** 2).sum(axis=2)
+    else:
+        away = -(asked @ rows.T)
+        if metric == "cosine":
+            away = 1 + away / np.sqrt((asked**2).sum(axis=1))[:, None] / np.sqrt((rows**2).sum(axis=1))
+    assert np.allclose(table["d"].to_numpy().reshape(40, 6), np.sort(away, axis=1)[:, :6], rtol=1e-9, atol=1e-12 if metric == "cosine" else 0)
+
+
+def test_a_request_without_direction_holds_what_it_wants(monkeypatch):
+    """It is equally far from all rows: those of the least ids are kept, not every row of the part."""
+    held, hold = [], S.BestRows._hold
+    monkeypatch.setattr(S.BestRows, "_hold", lambda self, q, *rest: (held.append(np.bincount(q, minlength=2)[1]), hold(self, q, *rest))[1])
+    rng = np.random.default_rng(5)
+    _, table = held_by(np.array([[1.0, 0, 0], [0, 0, 0]]), rng.normal(size=(600, 3)), 4, "cosine")
+    assert sum(held) <= 3 * 4 and table["id"].to_pylist()[4:] == [0, 1, 2, 3]
+
+
+def test_ties_are_cut_by_id():
+    rows = np.repeat(np.eye(3), 40, axis=0)[::-1]
+    best, table = held_by(np.eye(3) * 2, rows, 5)
+    assert table["id"].to_pylist() == [80, 81, 82, 83, 84, 40, 41, 42, 43, 44, 0, 1, 2, 3, 4]
+    assert best.n_held == 15
