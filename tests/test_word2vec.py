@@ -22,3 +22,13 @@ def test_a_vocabulary_that_cannot_be_held_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(E, "most_words", lambda heap, dim: 2 if heap > 1 << 20 and dim == 2 else 9)
     with pytest.raises(ValueError, match="more memory"):
         E.fit_word2vec(texts, dim=2, text_col="text")
+
+
+def test_a_null_text_has_no_words(spark):
+    """Spark's Word2Vec fails on a null list of words."""
+    texts = spark.createDataFrame([(n, "one two three") for n in range(6)] + [(6, None), (7, "...")], "doc_id long, text string")
+    model = E.fit_word2vec(texts, dim=2, text_col="text")
+    vectors = {r.doc_id: r.embedding for r in E.embed_word2vec(texts, model, text_col="text").collect()}
+    assert vectors[6] == vectors[7] == [0.0, 0.0] != vectors[0]
+    counts = {r.doc_id: (r.n_words, r.n_known) for r in E.known_words(texts, model, "doc_id", "text").collect()}
+    assert counts[6] == counts[7] == (0, 0) and counts[0] == (3, 3)
